@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lintel.session import prepare
+from lintel.session import prepare, written
 
 BUCKET = 8192  # rows ranked together
 
@@ -112,16 +112,15 @@ def schedule(counts: DataFrame, block_docs: int) -> DataFrame:
 def ranked(df: DataFrame, source: str, key: Column) -> DataFrame:
     """Append __source and __rank (long, from 0): the row's place in its source by (hash bucket, hash, key)."""
     df = df.withColumn("__source", F.col(source).cast("string")).withColumn("__hash", F.xxhash64(key, F.lit(17)))
-    counts = df.groupBy("__source").agg(F.count(F.lit(1)).alias("__n"))
+    # small tables are written first: their size is then known, and the join needs no shuffle of the rows while they are small
+    counts = written(df.groupBy("__source").agg(F.count(F.lit(1)).alias("__n")), "mix-counts")
     sized = lambda d: d.withColumn("__bucket", F.pmod(F.col("__hash"), F.greatest(F.lit(1), F.ceil(F.col("__n") / BUCKET))))
-    same = lambda a, b: a["__source"].eqNullSafe(b["__source"])
     joined = df.join(counts.withColumnRenamed("__source", "__s"), F.col("__source").eqNullSafe(F.col("__s"))).drop("__s")
     bucketed = sized(joined)
     sizes = bucketed.groupBy("__source", "__bucket").agg(F.count(F.lit(1)).alias("__rows"))
     before = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(F.col("__source").alias("__s"), F.col("__bucket").alias("__b"), F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__offset"))
+    offsets = written(sizes.select(F.col("__source").alias("__s"), F.col("__bucket").alias("__b"), F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__offset")), "mix-offsets")
     inside = Window.partitionBy("__source", "__bucket").orderBy("__hash", key)
-    del same
     return (
         bucketed.withColumn("__at", F.row_number().over(inside))
         .join(offsets, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")))
@@ -144,7 +143,7 @@ def mix(df: DataFrame, source: str = "source", key: str = "doc_id", weights: dic
         weight = F.lit(float(default))
         for name, w in (weights or {}).items():
             weight = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(weight)
-    slots = schedule(counts.withColumn("weight", weight), block_docs)
+    slots = written(schedule(counts.withColumn("weight", weight), block_docs), "mix-slots")
     rows = ranked(df.select(*kept), source, F.col(key)).withColumn("mix_block", F.floor(F.col("__rank") / block_docs))
     slots = slots.select(F.col("source").alias("__s"), F.col("block").alias("__b"), F.col("slot").alias("mix_slot"), F.col("release").alias("mix_release"), F.col("deadline").alias("mix_deadline"))
     return rows.join(slots, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("mix_block") == F.col("__b"))).select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintel.llm import chat, media, mixing, sentencepieces
+from lintel.llm import chat, cotraining, html_text, jaccard, language, line_dedup, media, mixing, nearest, sentencepieces
 from lintel.session import prepare, table
 
 #: Mixing: a source's weight is its number of documents to this power; documents in a block.
@@ -20,11 +20,34 @@ def piece_model() -> bytes:
         return f.read()
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sentencepieces.encode_digests(docs, piece_model()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components_of(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (declared language, source as host) and pages (lang attribute, host of the address)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"))
+    pages = table(spark, sf_dir, "pages").select(
+        F.lit(None).cast("long").alias("doc_id"),
+        "page_id",
+        F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " "), r"<[^>]*>", " ").alias("text"),
+        F.nullif(F.regexp_extract("html", r"(?i)<html[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", 1), F.lit("")).alias("declared"),
+        F.nullif(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1), F.lit("")).alias("host"),
+    )
+    both = docs.unionByName(pages).withColumn("item", F.concat_ws(":", F.col("doc_id").cast("string"), F.concat(F.lit("page"), F.col("page_id").cast("string"))))
+    return language.identify(both, "item").select("doc_id", "page_id", "declared", "host", "language", "language_posterior", "language_kept")
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return media.media_columns(docs).select(
@@ -32,6 +55,15 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "lines_before", "lines_deleted", "text")
+
+
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(
@@ -50,15 +82,25 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.mix(docs, power=MIX_POWER, block_docs=MIX_BLOCK)
 
 
 QUERIES = {
+    "op1_nearest": op1_nearest,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_jaccard": op3_jaccard,
+    "op4_language": op4_language,
     "op5_media": op5_media,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_html": op7_html,
     "op8_chat": op8_chat,
+    "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
 }
 

@@ -76,7 +76,7 @@ class PieceCodec:
         joined = {c for p in self.ids if len(p) > 1 for c in p}
         alone = "".join(re.escape(c) for c in map(chr, range(33)) if c not in joined)
         self.cut = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+|[{alone}]")
-        self.memo: dict[str, tuple[str, int, str]] = {}
+        self.memo: dict[str, tuple[str, int, str, bytes]] = {}
 
     def merge(self, chunk: str) -> list[str]:
         """The pieces that the score-ordered agenda leaves."""
@@ -210,8 +210,8 @@ class PieceCodec:
             if self.library.decode(theirs) != raw or self.decode(ours) != raw:
                 raise RuntimeError(f"decoding differs from the library's near {raw[:80]!r}")
 
-    def batch(self, texts: list[str | None]) -> list[list[tuple[str, int, str]]]:
-        """For each text its chunks' (decimal ids joined by commas, number of ids, decoded text)."""
+    def batch(self, texts: list[str | None]) -> list[list[tuple[str, int, str, bytes]]]:
+        """For each text its chunks' (decimal ids joined by commas, number of ids, decoded text, ids as 32-bit integers)."""
         cut = [self.chunks(t or "") for t in texts]
         memo = self.memo
         if len(memo) > MEMO:
@@ -220,7 +220,7 @@ class PieceCodec:
         fresh = self.all_ids(new)
         if self.check and fresh:
             self.compare(fresh)
-        made = {c: (",".join(map(str, ids)), len(ids), self.decode_inner(ids)) for c, ids in fresh.items()}
+        made = {c: (",".join(map(str, ids)), len(ids), self.decode_inner(ids), np.array(ids, np.int32).tobytes()) for c, ids in fresh.items()}
         short = {c: v for c, v in made.items() if len(c) <= LONG}
         memo.update(short)
         if len(short) == len(made):
@@ -278,8 +278,11 @@ def encode(df: DataFrame, model: bytes, text: str = "text", check: bool = True)
     """Append token_ids array<int> and n_tokens long; null and empty texts give an empty array."""
 
     def rows(codec: PieceCodec, texts: list[str | None]) -> list[pa.Array]:
-        ids = [[int(i) for p in parts for i in p[0].split(",")] for parts in codec.batch(texts)]
-        return [pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64())]
+        cut = codec.batch(texts)
+        counts = np.array([sum([p[1] for p in parts]) for parts in cut], np.int64)
+        values = np.frombuffer(b"".join([p[3] for parts in cut for p in parts]), np.int32)
+        ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+        return [pa.ListArray.from_arrays(ends, pa.array(values)), pa.array(counts)]
 
     return with_codec(df, model, text, [StructField("token_ids", ArrayType(IntegerType())), StructField("n_tokens", LongType())], rows, check)
 
