@@ -7,6 +7,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -55,3 +56,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def widened(df: DataFrame, columns: str) -> StructType:
+    """The frame's schema with more columns, given as DDL; the frame's own schema object stays as it is."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(columns).fields])
