@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.session import prepare, written
+from lintel.session import prepare, widened, written
 
 LETTERS = re.compile(r"[^\W\d_]+")
 TEXT_FEATURES = "log_words word_length distinct repeated upper letters symbols digits spaced_bar bang vowels type_ratio top_share hapax".split()
@@ -110,7 +110,7 @@ class Calibrated:
 def features(docs: DataFrame, text: str) -> DataFrame:
     """Append __content and __shape, arrays of doubles; the text is dropped."""
     kept = [c for c in docs.columns if c != text]
-    schema = docs.select(*kept).schema.add("__content", "array<double>").add("__shape", "array<double>")
+    schema = widened(docs.select(*kept), "__content array<double>, __shape array<double>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -125,9 +125,7 @@ def features(docs: DataFrame, text: str) -> DataFrame:
 
 def view_scores(table: DataFrame, views: list[tuple[str, Calibrated]]) -> DataFrame:
     """Append a score column (calibrated logit) for each (array column, model)."""
-    schema = table.schema
-    for i in range(len(views)):
-        schema = schema.add(f"__view{i}", "double")
+    schema = widened(table, ", ".join(f"__view{i} double" for i in range(len(views))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

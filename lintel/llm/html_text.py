@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintel.llm.trees import Tree, grow
-from lintel.session import prepare
+from lintel.session import prepare, widened
 
 # Element and container names.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -308,7 +308,7 @@ def extract(df: DataFrame, column: str = "html", text: str = "text", chars: str
     """Append the main text and its number of code points; the html column is dropped."""
     prepare(df.sparkSession)
     kept = [c for c in df.columns if c not in (column, text, chars)]
-    schema = df.select(*kept).schema.add(text, "string").add(chars, "long")
+    schema = widened(df.select(*kept), f"`{text}` string, `{chars}` long")
     tree = train()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

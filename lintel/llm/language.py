@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lintel.session import prepare, written
+from lintel.session import prepare, widened, written
 
 LANGUAGES = ("de", "en", "es", "fr")
 BUCKETS = 1 << 13
@@ -47,7 +47,7 @@ def trigrams(data: np.ndarray) -> np.ndarray:
 
 def text_model(docs: DataFrame, text: str, declared: str, key: str, languages: tuple[str, ...], sample: int) -> np.ndarray:
     """Log probabilities (BUCKETS, languages + 1); the last column is flat."""
-    order = Window.partitionBy(declared).orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(4)), key)
+    order = Window.partitionBy(declared).orderBy(F.xxhash64(F.col("__k").cast("string"), F.lit(4)), "__k")
     chosen = (
         docs.filter(F.col(declared).isin(*languages)).select(F.col(key).alias("__k"), F.col(declared)).withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= sample).select("__k")
     )
@@ -72,7 +72,7 @@ def text_model(docs: DataFrame, text: str, declared: str, key: str, languages: t
 def likelihoods(docs: DataFrame, text: str, model: np.ndarray, evidence: int) -> DataFrame:
     """Append __text array<double>, one entry a language and the flat model, and __letters boolean."""
     kept = docs.columns
-    schema = docs.schema.add("__text", "array<double>").add("__letters", "boolean")
+    schema = widened(docs, "__text array<double>, __letters boolean")
     here = kept.index(text)
     columns = [np.ascontiguousarray(model[:, i]) for i in range(model.shape[1])]
 

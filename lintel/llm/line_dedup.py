@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.session import prepare, written
+from lintel.session import prepare, widened, written
 
 SIGN = 1 << 63
 
@@ -126,7 +126,7 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_word
     )
     repeated = written(repeated, "line-fingerprints")
 
-    schema = narrow.select("key", "version").schema.add("fingerprint", "long").add("content", "long").add("first", "integer").add("last", "integer")
+    schema = widened(narrow.select("key", "version"), "fingerprint long, content long, first int, last int")
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -149,7 +149,7 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_word
     # windows of one document that overlap or touch are one run; sorted spans are merged before they are collected
     spans = later.groupBy("key", "version").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
     spans = written(spans, "line-spans")
-    out = docs.schema.add("lines_before", "long").add("lines_deleted", "long")
+    out = widened(docs, "lines_before long, lines_deleted long")
     joined = docs.join(spans.withColumnsRenamed({"key": "__key", "version": "__version"}), F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(F.col(text)) == F.col("__version")), "left")
     here = base.index(text)
 

@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.session import prepare, shared_dir, written
+from lintel.session import prepare, shared_dir, widened, written
 
 WIDTH = 192
 HEADER = 33  # signature and IHDR
@@ -126,7 +126,7 @@ def store(df: DataFrame, key: str, text: str, folder: str) -> DataFrame:
     A null text counts as empty. Equal payloads have equal digests and stored forms; a payload that several
     shards hold is addressed in the first of them, by name and offset."""
     prepare(df.sparkSession)
-    schema = df.select(F.col(key).alias("key")).schema.add("n_bytes", "long").add("digest", "string").add("shard", "string").add("shard_offset", "long").add("shard_length", "long")
+    schema = widened(df.select(F.col(key).alias("key")), "n_bytes long, digest string, shard string, shard_offset long, shard_length long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = Shards(folder)

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from lintel.session import prepare
 
@@ -259,9 +259,7 @@ def with_codec(df: DataFrame, model: bytes, text: str, columns: list[StructField
     prepare(df.sparkSession)
     names = {c.name for c in columns}
     kept = [c for c in df.columns if c not in names]
-    schema = df.select(*kept).schema
-    for c in columns:
-        schema = schema.add(c)
+    schema = StructType([*df.select(*kept).schema.fields, *columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model, check)
