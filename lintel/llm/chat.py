@@ -24,7 +24,7 @@ START, TEXT, NEXT, END = "<|start|>", "<|text|>", "<|next|>", "<|end|>"
 
 
 def escape(c: Column) -> Column:
-    return F.regexp_replace(c, r"<(\\*)\|", r"<$1\\\\|")
+    return F.regexp_replace(c, r"<(\\*)\|", r"<$1\\|")
 
 
 def unescape(c: Column) -> Column:
