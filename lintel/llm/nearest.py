@@ -76,7 +76,7 @@ def scan(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, long
     turn = rotation(vectors.shape[1] + 1)
     x, q = lifted(vectors, longest) @ turn, asked(queries) @ turn
     dims = x.shape[1]
-    cuts = [*range(0, dims - COLUMNS // 2, COLUMNS), dims]
+    cuts = [*range(0, max(1, dims - COLUMNS // 2), COLUMNS), dims]
     found = ([], [], [])
     for start in range(0, len(q), 64):
         group = q[start : start + 64]
