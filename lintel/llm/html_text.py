@@ -72,6 +72,10 @@ LABELLED = """
 40 0.00 0 0.00 0 0.00 1 0 0 1
 3 0.00 0 0.00 0 0.00 1 0 0 1
 3 1.00 30 0.00 26 0.00 1 0 0 1
+2 1.00 10 0.00 10 0.00 1 0 0 1
+1 1.00 1 1.00 1 1.00 1 0 0 1
+12 1.00 1 1.00 2 1.00 1 0 0 1
+6 0.80 0 0.00 3 1.00 1 0 0 1
 45 0.00 38 0.00 52 0.00 0 0 0 1
 33 0.05 47 0.00 18 0.00 0 0 0 1
 26 0.00 9 0.00 40 0.02 0 0 0 1
