@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintel.functions import scalars
-from lintel.operators import events, grouped, joins, metrics, ranking, rollups, scoring, sets
-from lintel.session import prepare, table
+from lintel.operators import events, grouped, joins, metrics, ranking, rollups, scoring, selection, sets
+from lintel.plans import quality
+from lintel.session import prepare, table, written
 
 EVENT_TYPES = ["signup", "view", "click", "purchase", "error"]
 #: Severities of event types and order priorities.
@@ -518,5 +519,59 @@ def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.cluster_bootstrap(metrics.confusion(labelled(spark, sf_dir), F.col("quality"), F.col("toxic"), ["source"]), "source")
 
 
+@query("SELECT o_custkey, o_orderkey, 'S' || lpad(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)::VARCHAR, 3, '0') AS display_id FROM orders")
+def display_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    return selection.display_ids(orders, ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")]).drop("o_orderdate")
+
+
+@query(
+    """SELECT a.o_custkey, count(*) FILTER (WHERE a.o_orderstatus = 'F' AND b.o_orderstatus = 'O' AND b.o_orderkey < a.o_orderkey) AS violations
+FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey GROUP BY 1"""
+)
+def order_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.order_violations(table(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus", "o_orderkey", [("O", "F")])
+
+
+@query(
+    """WITH s AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R' UNION SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey % 10 = 3)
+SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM s WHERE s.l_orderkey = l.l_orderkey AND s.l_linenumber = l.l_linenumber)) AS chosen FROM lineitem l GROUP BY 1"""
+)
+def selection_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.concat_ws(":", "l_orderkey", "l_linenumber").alias("id"), "l_orderkey", F.col("l_returnflag").alias("path"), F.col("l_suppkey").alias("smell"), F.col("l_linenumber").alias("pos")
+    )
+    by_file = spark.createDataFrame([("R",)], "path string")
+    by_id = rows.filter(F.col("smell") % 10 == 3).select("id")
+    marked = selection.split_selection(rows, selection.resolve(rows, by_file, by_id))
+    return marked.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.count_if("selected").alias("chosen"))
+
+
+def written_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python file for each part: one function of as many lines as the part's size."""
+    name = F.concat(F.lit("f"), F.col("p_partkey"))
+    text = F.concat(F.lit("def "), name, F.lit("():\n"), F.repeat(F.lit("    pass\n"), F.greatest(F.col("p_size"), F.lit(1))))
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("src/"), name, F.lit(".py")).alias("path"), F.lit("python").alias("language"), text.alias("text"))
+
+
+@query(
+    """SELECT 'src/f' || p_partkey || '.py' AS path, 'LongMethod' AS smell, CASE WHEN p_size + 1 > 60 THEN 'high' ELSE 'medium' END AS severity, 'f' || p_partkey AS name,
+p_size + 1 AS value FROM part WHERE p_size + 1 > 30
+UNION ALL SELECT 'src/f' || p_partkey || '.py', 'DeadCode', 'low', 'f' || p_partkey, NULL FROM part"""
+)
+def python_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = quality.findings(written_sources(spark, sf_dir))
+    return found.select("path", "smell", "severity", "name", "value")
+
+
+@query(
+    """SELECT 'src/f' || p_partkey || '.py' AS path, greatest(p_size, 1) + 1 AS lines, 1 + (p_size + 1 > 30)::INT AS findings,
+CASE WHEN p_size + 1 > 60 THEN 91.0 WHEN p_size + 1 > 30 THEN 95.0 ELSE 99.0 END::DOUBLE AS score FROM part"""
+)
+def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = written(written_sources(spark, sf_dir), "sources")
+    return quality.file_report(files, *quality.findings(files)).select("path", "lines", "findings", "score")
+
+
 def queries() -> dict:
     return {name: (lambda spark, sf_dir, f=f: f(prepare(spark), sf_dir)) for name, f in QUERIES.items()}
