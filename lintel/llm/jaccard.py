@@ -7,15 +7,16 @@ space), as 64-bit hashes. Two documents link when scale * intersection >= least
    represented by their smallest id. It also counts shingles that are frequent inside a task's input; the
    most frequent of all become the tail of the global order of shingles. (Any order is correct; the list is
    bounded, and no case depends on it.)
-2. A second pass indexes each set under the first n - ceil(least * n / scale) + 1 shingles in that order:
-   two linked sets share one of them. An index list is sorted by position. Size and position bounds
-   exclude pairs, and whole blocks of a long list are skipped once the smallest position of a block leaves
-   too little overlap: index-level skipping.
-3. In a short list all remaining pairs are candidates. In a long list each set is paired with the first
-   sets of the list (few rare shingles before the shared one, so they resemble most of the list). Verified
-   links give components, and a set's answer is taken from its hub's answer: pairs inside a component need
-   no work (answer-level skipping). The long lists are then joined again for pairs of different components,
-   until nothing is left unchecked. Every candidate is verified on whole texts, by exact set sizes.
+2. A second pass indexes each set under its first n - ceil(least * n / scale) + m shingles in that order,
+   with m = 1 + n // 50: two linked sets share the smaller m of them. An index list is sorted by position.
+   Size and position bounds exclude pairs, and whole blocks of a long list are skipped once the smallest
+   position of a block leaves too little overlap: index-level skipping.
+3. In short lists all remaining pairs are counted; those that reach the smaller m are candidates. In a long
+   list each set is paired with the first sets of the list (few rare shingles before the shared one, so they
+   resemble most of the list). Verified links give components, and a set's answer is taken from its hub's
+   answer: pairs inside a component need no work (answer-level skipping). The long lists are then joined
+   again for pairs of different components, and their counts added to those of the short lists, so nothing
+   is left unchecked. Every candidate is verified on whole texts, by exact set sizes.
 
 No link between different sets is lost, so components are exact. Documents without words (null, empty, white
 space) have size 0 and link with nothing. Copies cost one row each. A hub's verifications are dealt out by
@@ -75,8 +76,13 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(total)
 
 
+def shared(n):
+    """How many indexed shingles two linked sets have in common at least, by the smaller set's size."""
+    return 1 + n // 50
+
+
 def prefix_length(n: int, least: int, scale: int) -> int:
-    return n + least * n // -scale + 1  # n - ceil(least * n / scale) + 1
+    return min(n, n + least * n // -scale + shared(n))  # n - ceil(least * n / scale) + shared
 
 
 def set_hash(s: np.ndarray) -> int:
@@ -160,10 +166,36 @@ def index_entries(docs: DataFrame, size: int, least: int, scale: int, frequent:
 
 
 def may_link(pa_: np.ndarray, na: np.ndarray, pb: np.ndarray, nb: np.ndarray, least: int, scale: int) -> np.ndarray:
-    """Bounds at a pair's first shared shingle: sizes, what is left behind the positions, and what differs before them."""
+    """Bounds at each of a linked pair's first shared shingles: sizes, what is left behind the positions, and what differs before them."""
     small, large = np.minimum(na, nb), np.maximum(na, nb)
     overlap = -(-least * (na + nb) // (least + scale))
-    return (scale * small >= least * large) & (np.minimum(na - pa_, nb - pb) >= overlap) & (pa_ + pb <= na + nb - 2 * overlap)
+    before = shared(small) - 1
+    return (scale * small >= least * large) & (np.minimum(na - pa_, nb - pb) >= overlap - before) & (pa_ + pb <= na + nb - 2 * (overlap - before))
+
+
+class Counts:
+    """Pairs of sets with how often they met, smaller hash first; handed on when there are many."""
+
+    def __init__(self):
+        self.parts: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, x: np.ndarray, y: np.ndarray, need: np.ndarray) -> None:
+        if len(x):
+            self.parts.append(np.stack([np.minimum(x, y), np.maximum(x, y), need]))
+            self.size += len(x)
+
+    def take(self, kind: int, least: int = 200_000) -> Iterator[pa.RecordBatch]:
+        if self.size >= max(least, 1):
+            x, y, need = np.concatenate(self.parts, axis=1)
+            order = np.lexsort((y, x))
+            x, y, need = x[order], y[order], need[order]
+            first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+            n = np.diff(np.append(first, len(x)))
+            self.parts, self.size = [], 0
+            for i in range(0, len(first), 10_000):
+                at = first[i : i + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), *map(pa.array, (x[at], y[at], n[i : i + 10_000], need[at]))], names=["kind", "x", "y", "n", "need"])
 
 
 def runs_of(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
@@ -190,51 +222,40 @@ def runs_of(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[l
         yield x, np.flatnonzero(np.concatenate([[True], x[0][1:] != x[0][:-1]]))
 
 
+PAIRS = "kind int, x long, y long, n long, need long"
+
+
 def candidates(entries: DataFrame, least: int, scale: int) -> DataFrame:
-    """kind 0: candidate pairs (x hub, y). kind 1: entries (token x, at y, set z) of the long lists, for a second look."""
+    """kind 0: pairs (x, y) that met n times in short lists. kind 2: hub x and set y of a long list. kind 1: entries (token x, at y, set n) of long lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "x", "y", "z"]
-        seen: set[tuple[int, int]] = set()
-
-        def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch | None:
-            new = [p for p in set(zip(a.tolist(), b.tolist(), strict=True)) if p not in seen]
-            if len(seen) > 300_000:
-                seen.clear()
-            seen.update(new)
-            if not new:
-                return None
-            x = np.array(new, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(new), np.int32)), pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy()), pa.array(x[:, 1].copy())], names=names)
-
+        names = ["kind", "x", "y", "n", "need"]
+        counts = Counts()
+        hubs: set[tuple[int, int]] = set()
         for (token, at, own), starts in runs_of(batches, 3):
-            ends = np.append(starts[1:], len(token))
-            many = ends - starts > 1
-            starts, ends = starts[many], ends[many]
-            if not len(starts):
+            length = np.diff(np.append(starts, len(token)))
+            many = length > 1
+            if not many.any():
                 continue
             # copies from several tasks stand next to each other, for a set has one position in a list
-            position, n = at >> 32, at & 0xFFFFFFFF
-            length = ends - starts
-            pick = np.concatenate([np.arange(a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
-            run_id = np.repeat(np.arange(len(starts)), length)
-            fresh = np.concatenate([[True], (own[pick][1:] != own[pick][:-1]) | (run_id[1:] != run_id[:-1])])
-            pick, run_id = pick[fresh], run_id[fresh]
-            p, m, o, tk, a_ = position[pick], n[pick], own[pick], token[pick], at[pick]
-            count = np.bincount(run_id, minlength=len(starts))
-            first = np.concatenate([[0], np.cumsum(count)[:-1]])
-            place = np.arange(len(pick)) - first[run_id]
-            left: list[np.ndarray] = []
-            right: list[np.ndarray] = []
-            size = count[run_id]
+            pick = np.flatnonzero(np.repeat(many, length))
+            run_id = np.repeat(np.arange(many.sum()), length[many])
+            o = own[pick]
+            fresh = np.concatenate([[True], (o[1:] != o[:-1]) | (run_id[1:] != run_id[:-1])])
+            pick, run_id, o = pick[fresh], run_id[fresh], o[fresh]
+            p, m = at[pick] >> 32, at[pick] & 0xFFFFFFFF
+            size = np.bincount(run_id)
+            first = np.concatenate([[0], np.cumsum(size)[:-1]])
+            place, size = np.arange(len(pick)) - first[run_id], size[run_id]
             for gap in range(1, SHORT):  # all pairs of short lists, by distance
                 j = np.flatnonzero((size <= SHORT) & (place >= gap))
                 if not len(j):
                     break
                 i = j - gap
                 ok = may_link(p[i], m[i], p[j], m[j], least, scale)
-                left.append(o[i[ok]])
-                right.append(o[j[ok]])
+                i, j = i[ok], j[ok]
+                counts.add(o[i], o[j], shared(np.minimum(m[i], m[j])))
+            yield from counts.take(0)
             long = np.flatnonzero(size > SHORT)
             if len(long):
                 open_ = np.ones(len(pick), bool)
@@ -242,50 +263,53 @@ def candidates(entries: DataFrame, least: int, scale: int) -> DataFrame:
                     j = long[(place[long] > hub) & open_[long]]
                     i = first[run_id[j]] + hub
                     ok = may_link(p[i], m[i], p[j], m[j], least, scale)
-                    left.append(o[i[ok]])
-                    right.append(o[j[ok]])
                     open_[j[ok]] = False
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(long), np.int32)), pa.array(tk[long]), pa.array(a_[long]), pa.array(o[long])], names=names)
-            if left and (made := pairs(np.concatenate(left), np.concatenate(right))) is not None:
-                yield made
+                    new = [x for x in set(zip(o[i[ok]].tolist(), o[j[ok]].tolist(), strict=True)) if x not in hubs]
+                    if len(hubs) > 200_000:
+                        hubs.clear()
+                    hubs.update(new)
+                    if new:
+                        x = np.array(new, np.int64)
+                        one = pa.array(np.ones(len(new), np.int64))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(new), 2, np.int32)), pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy()), one, one], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(long), np.int32)), *map(pa.array, (token[pick[long]], at[pick[long]], o[long], o[long]))], names=names)
+        yield from counts.take(0, 0)
 
-    return entries.repartition("token").sortWithinPartitions("token", "at", "set").mapInArrow(run, "kind int, x long, y long, z long")
+    return entries.repartition("token").sortWithinPartitions("token", "at", "set").mapInArrow(run, PAIRS)
 
 
 def crossing(entries: DataFrame, least: int, scale: int) -> DataFrame:
-    """Pairs (x, y) of different components in the long lists (token, at, set, component), skipping blocks by position."""
+    """Pairs (x, y) of different components that met n times in the long lists (token, at, set, component), skipping blocks by position."""
     block = 512
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        counts = Counts()
         for (token, at, own, component), starts in runs_of(batches, 4):
             for a, b in zip(starts.tolist(), np.append(starts[1:], len(token)).tolist(), strict=True):
                 c = component[a:b]
                 if (c == c[0]).all():
                     continue
                 o, p, n = own[a:b], at[a:b] >> 32, at[a:b] & 0xFFFFFFFF
-                # at most this much of a pair may stand before its first shared shingle, whatever the partner's size
-                most = n * (1 + scale / least) * (scale - least) / (scale + least)
+                # at most this much of a pair may stand before a first shared shingle, whatever the partner's size
+                most = n * (1 + scale / least) * (scale - least) / (scale + least) + 2 * shared(n)
                 names, sizes = np.unique(c, return_counts=True)
-                ruling = names[sizes.argmax()]
-                others = np.flatnonzero(c != ruling)
+                others = np.flatnonzero(c != names[sizes.argmax()])
+                rank = np.full(len(c), -1)
+                rank[others] = np.arange(len(others))
                 for low in range(0, len(others), block):
                     j = others[low : low + block]
                     for from_ in range(0, len(c), block):
                         i = np.arange(from_, min(from_ + block, len(c)))
                         if p[i[0]] + p[j].min() > most[j].max():
                             break  # sorted by position: no later block can link
-                        ok = may_link(p[i][:, None], n[i][:, None], p[j][None], n[j][None], least, scale) & (c[i][:, None] != c[j][None])
+                        # two sets outside the ruling component meet once, at the later of them
+                        ok = may_link(p[i][:, None], n[i][:, None], p[j][None], n[j][None], least, scale) & (c[i][:, None] != c[j][None]) & (rank[i][:, None] < rank[j][None])
                         x, y = np.nonzero(ok)
-                        found = set(zip(np.minimum(o[i[x]], o[j[y]]).tolist(), np.maximum(o[i[x]], o[j[y]]).tolist(), strict=True)) - seen
-                        if len(seen) > 300_000:
-                            seen.clear()
-                        seen |= found
-                        if found:
-                            out = np.array(sorted(found), np.int64)
-                            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy())], names=["x", "y"])
+                        counts.add(o[i[x]], o[j[y]], shared(np.minimum(n[i[x]], n[j[y]])))
+                yield from counts.take(3)
+        yield from counts.take(3, 0)
 
-    return entries.repartition("token").sortWithinPartitions("token", "at", "set").mapInArrow(run, "x long, y long")
+    return entries.repartition("token").sortWithinPartitions("token", "at", "set").mapInArrow(run, PAIRS)
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, least: int, scale: int) -> DataFrame:
@@ -295,7 +319,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, l
     hubs = dealt.select("x", "part").distinct().select("x", "part", F.lit(0).alias("role"), F.col("x").alias("set"))
     needs = hubs.unionByName(dealt.select("x", "part", F.lit(1).alias("role"), F.col("y").alias("set")))
     needs = needs.join(classes.select("set", F.col("rep").alias("id")), "set").select("x", "part", "role", "id", "set")
-    texts = written(needs, "jaccard-needs").join(docs, "id")
+    # a merge join at every size: the list of needed texts grows with the input
+    texts = written(needs, "jaccard-needs").hint("merge").join(docs, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, hub, hub_id = None, np.zeros(0, U), 0
@@ -317,8 +342,8 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, l
                         continue
                     both = np.concatenate([hub, s])
                     both.sort()
-                    shared = int((both[1:] == both[:-1]).sum())
-                    if scale * shared >= least * (len(both) - shared):
+                    common = int((both[1:] == both[:-1]).sum())
+                    if scale * common >= least * (len(both) - common):
                         u.append(hub_id)
                         v.append(i)
             if u:
@@ -336,20 +361,31 @@ def components_of(df: DataFrame, key: str = "doc_id", text: str = "text", size:
     seen = written(survey(docs, size), "jaccard-survey")
     members = seen.filter("kind = 0").select("id", "n", "set")
     classes = written(members.filter("n > 0 AND id IS NOT NULL").groupBy("set").agg(F.min("id").alias("rep")), "jaccard-classes")
-    often = seen.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= GLOBALLY).orderBy(F.desc("n"), "id").limit(FREQUENT)
+    often = written(seen.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= GLOBALLY), "jaccard-frequent")
+    floor, room = 0, FREQUENT
+    for r in often.groupBy(F.floor(F.log2("n")).alias("power")).count().orderBy(F.desc("power")).collect():  # a row a power of two
+        room -= r["count"]
+        if room < 0:
+            floor = 2 ** (r["power"] + 1)
+            break
+    often = often.filter(F.col("n") >= floor)
     frequent = np.sort(np.array([r["id"] for r in often.select("id").toLocalIterator()], np.int64).view(U))
 
     found = written(candidates(index_entries(docs.filter("id IS NOT NULL"), size, least, scale, frequent), least, scale), "jaccard-candidates")
-    pairs = found.filter("kind = 0").select("x", "y").distinct()
+    met = found.filter("kind = 0").groupBy("x", "y").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
+    hubs = found.filter("kind = 2").select("x", "y").distinct()
+    flat = lambda d: d.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    enough = met.filter("n >= need").select("x", "y").join(flat(hubs), ["x", "y"], "left_anti")
+    pairs = written(hubs.unionByName(enough).distinct(), "jaccard-pairs")
     links = written(verified(pairs, classes, docs, size, least, scale), "jaccard-links")
     labels = connected(links)
 
-    lists = found.filter("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("at"), F.col("z").alias("set"))
+    lists = found.filter("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("at"), F.col("n").alias("set"))
     if not lists.isEmpty():
         known = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set", F.coalesce("label", "rep").alias("component"))
-        second = crossing(lists.join(known, "set").select("token", "at", "set", "component"), least, scale).distinct()
-        done = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        second = written(second.join(done, ["x", "y"], "left_anti"), "jaccard-second")
+        again = crossing(lists.join(known, "set").select("token", "at", "set", "component"), least, scale).groupBy("x", "y").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
+        total = again.join(met.select("x", "y", F.col("n").alias("short")), ["x", "y"], "left").filter(F.col("n") + F.coalesce("short", F.lit(0)) >= F.col("need"))
+        second = written(total.select("x", "y").join(flat(pairs), ["x", "y"], "left_anti"), "jaccard-second")
         if not second.isEmpty():
             links = written(links.unionByName(verified(second, classes, docs, size, least, scale)), "jaccard-links")
             labels = connected(links)
