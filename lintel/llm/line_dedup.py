@@ -150,7 +150,8 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_word
     spans = later.groupBy("key", "version").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
     spans = written(spans, "line-spans")
     out = widened(docs, "lines_before long, lines_deleted long")
-    joined = docs.join(spans.withColumnsRenamed({"key": "__key", "version": "__version"}), F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(F.col(text)) == F.col("__version")), "left")
+    # a merge join at every size: the list of spans grows with the input
+    joined = docs.join(spans.withColumnsRenamed({"key": "__key", "version": "__version"}).hint("merge"), F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(F.col(text)) == F.col("__version")), "left")
     here = base.index(text)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
