@@ -145,6 +145,8 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_word
     matches = written(narrow.mapInArrow(positions, schema).join(repeated, "fingerprint", "left_semi"), "line-windows")
     place = F.struct("key", "version", "first")
     earliest = matches.groupBy("fingerprint", "content").agg(F.min(place).alias("earliest"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    # written, so that the join reads two tables and the rows of a frequent window can be split among tasks
+    earliest = written(earliest, "line-earliest")
     later = matches.join(earliest, ["fingerprint", "content"]).filter(place > F.col("earliest"))
     # windows of one document that overlap or touch are one run; sorted spans are merged before they are collected
     spans = later.groupBy("key", "version").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
