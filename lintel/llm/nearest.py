@@ -12,8 +12,8 @@ Equal vectors are one class, which keeps its k + 1 smallest ids (more can't be a
 cost no pairs. Lists are dealt out in blocks of vectors and of queries, so neither a large list nor many
 queries of one list meet in one task.
 
-Centroids are fitted on a bounded sample: the `sample` classes with the smallest hash. Every vector is
-indexed. Vectors that are null, zero, of another length than most, or that hold null or non-finite
+Centroids are fitted on a bounded sample: the `sample` classes with the smallest hash, and the number of
+lists to probe is set by brute force inside it so that `recall` is reached. Every vector is indexed. Vectors that are null, zero, of another length than most, or that hold null or non-finite
 components take no part, as queries or candidates. Ties go to the smaller id. With fewer candidates than k
 a query has as many rows. Rows of equal id and vector count once.
 """
@@ -71,6 +71,20 @@ def centroids_of(x: np.ndarray, lists: int, rounds: int = 10) -> np.ndarray:
     return centres
 
 
+def probes_for(sample: np.ndarray, longest: float, centres: np.ndarray, k: int, recall: float) -> int:
+    """How many lists a query must probe to find this share of its k nearest of the sample, by brute force on 256 of its rows.
+
+    The nearest of all vectors are nearer than those of a sample, so the share of all is no smaller."""
+    queries = sample[:256]
+    inner = queries @ sample.T
+    inner[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
+    near = np.argsort(-inner, 1, kind="stable")[:, : min(k, len(sample) - 1)]
+    lists = distances(lifted(sample, longest), centres).argmin(1)
+    place = distances(asked(queries), centres).argsort(1, kind="stable").argsort(1)
+    needed = np.sort(np.take_along_axis(place, lists[near], 1).ravel()) + 1
+    return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) if len(needed) else 1
+
+
 def scan(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, longest: float, epsilon: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query places, ids, scores): each query's k best of the vectors, by adaptive dimension scan."""
     turn = rotation(vectors.shape[1] + 1)
@@ -116,7 +130,7 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.array(column.to_pylist(), dtype=np.float64)
 
 
-def search(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 20, sample: int = 8192, probes: float = 0.2, epsilon: float = 2.1) -> DataFrame:
+def search(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 20, sample: int = 8192, recall: float = 0.96, epsilon: float = 2.1) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of queries (key, vector) its k nearest other rows of df."""
     prepare(df.sparkSession)
     good = df.select(F.col(key).alias("id"), F.col(vector).alias("v")).filter(usable(F.col("v")) & F.col("id").isNotNull())
@@ -133,9 +147,13 @@ def search(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str =
     facts = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("longest")).first()
     longest = float(facts["longest"])
     lists = int(min(1024, max(1, round((facts["n"] / 2) ** 0.5)))) if facts["n"] >= 512 else 1
-    chosen = classes.orderBy(F.xxhash64("class"), "class").limit(sample).select("v").toArrow().column(0)
-    centres = centroids_of(lifted(matrix(chosen), longest), lists)
-    tested = max(1, min(lists, max(8, round(probes * lists))))
+    # about `sample` classes have a hash up to this; the few beyond are cut in the driver
+    spread = F.pmod(F.xxhash64("class"), F.lit(1 << 62))
+    chosen = classes.withColumn("h", spread).filter(F.col("h") <= int((1 << 62) * min(1.0, sample / facts["n"]))).toArrow()
+    order = np.lexsort((chosen["class"].to_numpy(), chosen["h"].to_numpy()))[:sample]
+    fitted = matrix(chosen["v"].take(pa.array(order)))
+    centres = centroids_of(lifted(fitted, longest), lists)
+    tested = min(lists, max(8, probes_for(fitted, longest, centres, k, recall)))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -365,10 +365,11 @@ def exact(x, ids, q, own, k):
     return [(int(ids[i]), float(s[i])) for i in order]
 
 
-def test_nearest_recall_and_contract(spark):
+@pytest.mark.parametrize("spread", [0.5, 50.0])  # clusters, and hardly any structure
+def test_nearest_recall_and_contract(spark, spread):
     rng = np.random.default_rng(1)
     centres = rng.standard_normal((8, 24))
-    x = (centres[rng.integers(0, 8, 1500)] + 0.5 * rng.standard_normal((1500, 24))).astype(np.float32)
+    x = (centres[rng.integers(0, 8, 1500)] + spread * rng.standard_normal((1500, 24))).astype(np.float32)
     x[100:400] = x[100]  # a common vector
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     bad = [(2000, None), (2001, [0.0] * 24), (2002, [float("nan")] * 24), (2003, [1.0]), (2004, [None] * 24), (2005, [float("inf")] + [1.0] * 23)]
@@ -385,7 +386,7 @@ def test_nearest_recall_and_contract(spark):
         want = exact(x.astype(float), ids, x[q].astype(float), q, 20)
         hits += len({w[0] for w in want} & {f[1] for f in found})
         for _, i, s in found:
-            assert abs(s - float(x[i].astype(float) @ x[q].astype(float))) < 1e-12
+            assert s == pytest.approx(float(x[i].astype(float) @ x[q].astype(float)), rel=1e-12, abs=1e-12)
         assert all((-a[2], a[1]) <= (-b[2], b[1]) for a, b in zip(found, found[1:]))
     assert hits / (20 * len(got)) >= 0.9
 
