@@ -47,10 +47,14 @@ def trigrams(data: np.ndarray) -> np.ndarray:
 
 def text_model(docs: DataFrame, text: str, declared: str, key: str, languages: tuple[str, ...], sample: int) -> np.ndarray:
     """Log probabilities (BUCKETS, languages + 1); the last column is flat."""
-    order = Window.partitionBy(declared).orderBy(F.xxhash64(F.col("__k").cast("string"), F.lit(4)), "__k")
-    chosen = (
-        docs.filter(F.col(declared).isin(*languages)).select(F.col(key).alias("__k"), F.col(declared)).withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= sample).select("__k")
-    )
+    known = docs.filter(F.col(declared).isin(*languages)).select(F.col(key).alias("__k"), F.col(declared).alias("__d"))
+    hashed = known.withColumn("__h", F.pmod(F.xxhash64(F.col("__k").cast("string"), F.lit(4)), F.lit(1 << 62)))
+    # about `sample` rows of a language have a hash up to its bound, so the window sees few rows
+    bound = F.lit(0)
+    for r in known.groupBy("__d").count().collect():  # a row a language
+        bound = F.when(F.col("__d") == r["__d"], int((1 << 62) * min(1.0, 1.2 * sample / r["count"]))).otherwise(bound)
+    order = Window.partitionBy("__d").orderBy("__h", "__k")
+    chosen = hashed.filter(F.col("__h") <= bound).withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= sample).select("__k")
     texts = docs.join(F.broadcast(chosen), F.col(key) == F.col("__k"), "left_semi").filter(F.col(declared).isin(*languages)).select(declared, text)  # at most sample ids a language
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
