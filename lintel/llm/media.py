@@ -155,7 +155,8 @@ def store(df: DataFrame, key: str, text: str, folder: str) -> DataFrame:
         shards.close()
 
     rows = written(df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema), "media-index")
-    first = rows.groupBy("digest").agg(F.min(F.struct("shard", "shard_offset", "shard_length")).alias("place"))
+    # written, so that the join reads two tables and the rows of a frequent payload can be split among tasks
+    first = written(rows.groupBy("digest").agg(F.min(F.struct("shard", "shard_offset", "shard_length")).alias("place")), "media-places")
     return rows.select("key", "n_bytes", "digest").join(first, "digest").select("key", "n_bytes", "digest", "place.*").withColumnRenamed("key", key)
 
 
