@@ -383,8 +383,10 @@ def components_of(df: DataFrame, key: str = "doc_id", text: str = "text", size:
     lists = found.filter("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("at"), F.col("n").alias("set"))
     if not lists.isEmpty():
         known = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set", F.coalesce("label", "rep").alias("component"))
-        again = crossing(lists.join(known, "set").select("token", "at", "set", "component"), least, scale).groupBy("x", "y").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
-        total = again.join(met.select("x", "y", F.col("n").alias("short")), ["x", "y"], "left").filter(F.col("n") + F.coalesce("short", F.lit(0)) >= F.col("need"))
+        again = crossing(lists.join(known, "set").select("token", "at", "set", "component"), least, scale)
+        # one aggregate over both kinds of lists; pairs that met in short lists only were decided above
+        both = again.select("x", "y", "n", "need", F.lit(1).alias("again")).unionByName(met.select("x", "y", "n", "need", F.lit(0).alias("again")))
+        total = both.groupBy("x", "y").agg(F.sum("n").alias("n"), F.max("need").alias("need"), F.max("again").alias("again")).filter("again = 1 AND n >= need")
         second = written(total.select("x", "y").join(flat(pairs), ["x", "y"], "left_anti"), "jaccard-second")
         if not second.isEmpty():
             links = written(links.unionByName(verified(second, classes, docs, size, least, scale)), "jaccard-links")
