@@ -26,12 +26,22 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest id. Five-word shingles, similarity of 0.8 or more."""
+    """One row of each group of near duplicates stays: the one with the smallest id. Five-word shingles, similarity of 0.8 or more.
+
+    Rows are compared by their texts, each for itself: rows of one id with different texts are different documents,
+    and a null id is an id like others, after all of them. Rows without words have no near duplicates; of those
+    that are equal in id and text one stays. Ties of ids are broken by hashes of the text and of the row."""
     prepare(spark)
-    found = jaccard.components_of(docs.select("doc_id", "text"), size=5, least=80, scale=100)
-    kept = found.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
-    kept = kept.withColumnRenamed("doc_id", "kept_id").hint("merge")  # the list of kept documents grows with the input
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"])
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.xxhash64(*docs.columns), "__row")
+    # written, so that every later read finds the same numbers
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__place", place), "pipeline-rows")
+    found = jaccard.components_of(rows.select("__row", "text"), key="__row", size=5, least=80, scale=100)
+    # merge joins: the lists of rows and of kept rows grow with the input
+    placed = rows.select("__row", "doc_id", F.xxhash64("text").alias("__version"), "__place").join(found.hint("merge"), "__row")
+    wordless = F.col("n_shingles") == 0
+    group = [F.when(~wordless, F.col("component_id")).alias("component"), F.when(wordless, F.col("doc_id")).alias("id"), F.when(wordless, F.col("__version")).alias("version")]
+    kept = placed.groupBy(*group).agg(F.min("__place").alias("first")).select(F.col("first.__row").alias("__row"))
+    return rows.join(kept.hint("merge"), "__row", "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

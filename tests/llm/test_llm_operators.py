@@ -474,3 +474,21 @@ def test_pipeline_stages(spark):
     codec = sentencepieces.PieceCodec(llm_queries.piece_model())
     for r in last.collect():
         assert r["token_ids"] == codec.library.encode(after[r["doc_id"]]) and r["n_tokens"] == len(r["token_ids"])
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    words = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdefgh"]
+    near = lambda t: t + " end"
+    rows = [(1, words[0]), (1, words[1]), (2, near(words[0])), (3, near(words[1])), (4, words[2]), (4, words[2])]  # one id, two texts with a near copy each; a repeated row
+    rows += [(0, words[3]), (5, words[3]), (5, words[4])]  # one of two texts is a copy, the other stands alone
+    rows += [(None, words[5]), (None, words[6]), (None, near(words[2])), (None, words[7]), (None, words[7])]  # null ids: different, near a kept text, equal
+    rows += [(6, ""), (6, ""), (7, ""), (7, None), (None, None), (None, None), (None, " ")]  # without words
+    want = [(1, words[0]), (1, words[1]), (4, words[2]), (0, words[3]), (5, words[4]), (None, words[5]), (None, words[6]), (None, words[7])]
+    want += [(6, ""), (7, ""), (7, None), (None, None), (None, " ")]
+    for seed in (1, 2):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS).repartition(3)
+        got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, df, SMALL).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
