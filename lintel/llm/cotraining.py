@@ -3,7 +3,8 @@
 Two logistic models see different views of a document: its text's content, and its page's metadata
 (source, language, length, shape of the lines). In each round both models, calibrated on held-out labelled
 rows, score all unlabelled documents; the ones that a model is most sure of, per class, become labelled
-examples of the other model. At the end the calibrated views are combined by a logistic model fitted on the
+examples of the other model. Documents that are equal in both views are one example, given once, however
+many copies there are. At the end the calibrated views are combined by a logistic model fitted on the
 held-out rows, and every document is scored.
 
 The models are fitted in the driver on a bounded sample: the `sample` labelled rows with the smallest hash
@@ -174,21 +175,23 @@ def classify(
         return table.select(F.col("__id").alias(key), flat.alias("text_probability"), flat.alias("page_probability"), flat.alias("quality_probability"), (flat >= keep).alias("quality_kept"))
     pool = [(v[~held], y[~held]) for v in views]
     names = ["__content", "__page"]
+    # one row for each different example: copies neither fill the exchange nor come back in a later round
+    examples = written(table.filter("__label IS NULL").groupBy(*names).agg(F.min("__id").alias("__id")), "quality-examples")
     fit = lambda: [Calibrated(x, t, v[held], y[held]) for (x, t), v in zip(pool, views, strict=True)]
     models = fit()
     taken: list = []
     for _ in range(rounds):
-        unlabelled = table.filter("__label IS NULL")
+        left = examples
         if taken:
-            unlabelled = unlabelled.join(F.broadcast(spark.createDataFrame([(t,) for t in taken], table.select("__id").schema)), "__id", "left_anti")  # at most 4 * exchange ids a round
-        scored = view_scores(unlabelled, list(zip(names, models, strict=True)))
+            left = left.join(F.broadcast(spark.createDataFrame(taken, examples.select(*names).schema)), names, "left_anti")  # at most 4 * exchange rows a round
+        scored = view_scores(left, list(zip(names, models, strict=True)))
         given: list[list] = [[], []]
         for i in (0, 1):
             for value, sort in ((1.0, F.desc(f"__view{i}")), (0.0, F.asc(f"__view{i}"))):
                 sure = scored.filter(F.col(f"__view{i}") > 2.0 if value else F.col(f"__view{i}") < -2.0)
-                for r in sure.orderBy(sort, "__id").limit(exchange).select("__id", *names).collect():
+                for r in sure.orderBy(sort, "__id", *names).limit(exchange).select(*names).collect():
                     given[1 - i].append((r[names[1 - i]], value))
-                    taken.append(r["__id"])
+                    taken.append(tuple(r))
         for i in (0, 1):
             if given[i]:
                 x, t = pool[i]

@@ -429,6 +429,25 @@ def test_quality_edges(spark):
     assert cotraining.classify(docs.limit(0), none).count() == 0
 
 
+def test_quality_copies_are_one_example(spark, monkeypatch):
+    pick = random.Random(5)
+    good = lambda: " ".join(pick.choice(["river", "stone", "garden", "winter", "letter", "window"]) + str(pick.randrange(9)) for _ in range(pick.randint(60, 120)))
+    bad = lambda: " ".join(pick.choice(["BUY", "%&*$#", "!!", "now | now"]) for _ in range(pick.randint(10, 40)))
+    copied = [good(), bad()]
+    texts = [t for _ in range(60) for t in (good(), bad())] + [copied[0]] * 300 + [copied[1]] * 300 + [t for _ in range(40) for t in (good(), bad())]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(120)], "doc_id long, quality int")
+    fitted = []
+    made = cotraining.Calibrated
+    monkeypatch.setattr(cotraining, "Calibrated", lambda x, *a: fitted.append(x) or made(x, *a))
+    rows = cotraining.classify(documents(spark, texts, source="s"), labels, exchange=20).collect()
+    assert len(rows) == len(texts)
+    for first, last, f in zip(fitted[:2], fitted[-2:], (cotraining.text_features, cotraining.shape_features), strict=True):
+        given = last[len(first) :]
+        assert len(given) > 40
+        for own in map(f, copied):
+            assert (np.abs(given[:, : len(own)] - own).max(1) < 1e-9).sum() <= 1
+
+
 # ---- Queries and pipeline
 
 
