@@ -1,7 +1,8 @@
 """Quality classifier by co-training.
 
-Two logistic models see different views of a document: its text's content, and its page's metadata
-(source, language, length, shape of the lines). In each round both models, calibrated on held-out labelled
+Two logistic models see different views of a document: its text's content (surface counts, and how often its
+words fall in each of 256 hash buckets, all words of the text), and its page's metadata (source, language,
+length, shape of the lines). In each round both models, calibrated on held-out labelled
 rows, score all unlabelled documents; the ones that a model is most sure of, per class, become labelled
 examples of the other model. Documents that are equal in both views are one example, given once, however
 many copies there are. At the end the calibrated views are combined by a logistic model fitted on the
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +34,37 @@ from lintel.session import prepare, widened, written
 
 LETTERS = re.compile(r"[^\W\d_]+")
 TEXT_FEATURES = "log_words word_length distinct repeated upper letters symbols digits spaced_bar bang vowels type_ratio top_share hapax".split()
+BUCKETS = 256  # of hashed words; a byte each
+WORD_RIDGE = 20.0  # their penalty: they are many, and labels may be few
 META_FEATURES = "log_chars log_lines line_length short_lines source_rate declared_rate".split()
 
 
+class Buckets(dict):
+    """Buckets of words without case; forgets all when it is full."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word.lower().encode("utf-8", "surrogatepass")) % BUCKETS
+        return h
+
+
+BUCKET_OF = Buckets()
+
+
+def word_features(text: str) -> bytes:
+    """Square roots of the shares of words in each bucket, in steps of 1/255."""
+    words = text.split()
+    n = np.bincount(np.fromiter(map(BUCKET_OF.__getitem__, words), np.int64, len(words)), minlength=BUCKETS)
+    return np.rint(255 * np.sqrt(n / max(1, len(words)))).astype(np.uint8).tobytes()
+
+
+def matrix(columns: list[list]) -> np.ndarray:
+    """A view's columns side by side: arrays of numbers, and bytes."""
+    parts = [np.frombuffer(b"".join(c), np.uint8).reshape(len(c), -1) / 255 if isinstance(c[0], bytes) else np.array(c, float) for c in columns]
+    return np.hstack(parts)
+
+
 def text_features(text: str) -> list[float]:
     """The content view, in the order of TEXT_FEATURES."""
     words = text.split()
@@ -76,11 +106,11 @@ def shape_features(text: str) -> list[float]:
 class Logistic:
     """Ridge logistic regression on standardised features, by Newton steps."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0):
+    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float | np.ndarray = 1.0):
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-9
         z = np.column_stack([np.ones(len(x)), np.clip((x - self.mean) / self.scale, -8, 8)])
-        w, penalty = np.zeros(z.shape[1]), np.full(z.shape[1], ridge)
-        penalty[0] = 1e-3
+        w, penalty = np.zeros(z.shape[1]), np.full(z.shape[1], 1e-3)
+        penalty[1:] = ridge
         for _ in range(25):
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
             step = np.linalg.solve((z * (p * (1 - p) + 1e-6)[:, None]).T @ z + np.diag(penalty), z.T @ (y - p) - penalty * w)
@@ -100,8 +130,8 @@ def probability(logit: np.ndarray) -> np.ndarray:
 class Calibrated:
     """A view's model with Platt scaling from held-out rows."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, held: np.ndarray, held_y: np.ndarray):
-        self.model = Logistic(x, y)
+    def __init__(self, x: np.ndarray, y: np.ndarray, held: np.ndarray, held_y: np.ndarray, ridge: float | np.ndarray = 1.0):
+        self.model = Logistic(x, y, ridge)
         self.platt = Logistic(self.model.logit(held)[:, None], held_y, 1e-2)
 
     def logit(self, x: np.ndarray) -> np.ndarray:
@@ -109,9 +139,9 @@ class Calibrated:
 
 
 def features(docs: DataFrame, text: str) -> DataFrame:
-    """Append __content and __shape, arrays of doubles; the text is dropped."""
+    """Append __content and __shape, arrays of doubles, and __words, bytes; the text is dropped."""
     kept = [c for c in docs.columns if c != text]
-    schema = widened(docs.select(*kept), "__content array<double>, __shape array<double>")
+    schema = widened(docs.select(*kept), "__content array<double>, __shape array<double>, __words binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -119,21 +149,22 @@ def features(docs: DataFrame, text: str) -> DataFrame:
                 b = whole.slice(start, 256)
                 texts = [t or "" for t in b.column(len(kept)).to_pylist()]
                 made = [pa.array([f(t) for t in texts], pa.list_(pa.float64())) for f in (text_features, shape_features)]
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], *made], names=schema.names)
+                words = pa.array(map(word_features, texts), pa.binary())
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], *made, words], names=schema.names)
 
     return docs.select(*kept, text).mapInArrow(run, schema)
 
 
-def view_scores(table: DataFrame, views: list[tuple[str, Calibrated]]) -> DataFrame:
-    """Append a score column (calibrated logit) for each (array column, model)."""
+def view_scores(table: DataFrame, views: list[tuple[list[str], Calibrated]]) -> DataFrame:
+    """Append a score column (calibrated logit) for each (columns of a view, model)."""
     schema = widened(table, ", ".join(f"__view{i} double" for i in range(len(views))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 out = []
-                for column, model in views:
-                    x = np.array(b.column(b.schema.get_field_index(column)).to_pylist(), dtype=float)
+                for columns, model in views:
+                    x = matrix([b.column(b.schema.get_field_index(c)).to_pylist() for c in columns])
                     out.append(pa.array(model.logit(x), pa.float64()))
                 yield pa.RecordBatch.from_arrays([*b.columns, *out], names=schema.names)
 
@@ -159,38 +190,41 @@ def classify(
         rate = written(rate.select(f"__m{i}", ((F.col("s") + 20 * overall) / (F.col("n") + 20)).alias(f"__rate{i}")), f"quality-rates-{i}")
         table = table.join(rate, f"__m{i}", "left")
         rates.append(F.coalesce(F.col(f"__rate{i}"), F.lit(overall)))
-    table = written(table.select("__id", "__label", "__order", "__held", "__content", F.concat("__shape", F.array(*rates)).alias("__page")), "quality-views")
+    table = written(table.select("__id", "__label", "__order", "__held", "__content", "__words", F.concat("__shape", F.array(*rates)).alias("__page")), "quality-views")
 
     known = table.filter("__label IS NOT NULL")
     n = known.count()
     # about `sample` rows have a hash up to this; the few beyond are cut in the driver
     if n > sample:
         known = known.filter(F.col("__order") <= int((1 << 62) * (sample / n)))
-    rows = known.select("__order", "__id", "__label", "__held", "__content", "__page").toPandas().sort_values(["__order", "__id"]).head(sample)
+    rows = known.select("__order", "__id", "__label", "__held", "__content", "__words", "__page").toPandas().sort_values(["__order", "__id"]).head(sample)
     y = rows["__label"].to_numpy(float)
     held = rows["__held"].to_numpy(bool)
-    views = [np.array(rows[c].tolist(), float) for c in ("__content", "__page")]
     if min((y[m] == c).sum() for m in (held, ~held) for c in (0, 1)) == 0:
         flat = F.lit(float(y.mean()) if len(y) else 0.5)
         return table.select(F.col("__id").alias(key), flat.alias("text_probability"), flat.alias("page_probability"), flat.alias("quality_probability"), (flat >= keep).alias("quality_kept"))
+    names = [["__content", "__words"], ["__page"]]
+    every = [c for view in names for c in view]
+    ridges = [np.append(np.ones(len(TEXT_FEATURES)), np.full(BUCKETS, WORD_RIDGE)), 1.0]
+    views = [matrix([[bytes(v) if isinstance(v, bytearray) else v for v in rows[c]] for c in view]) for view in names]
     pool = [(v[~held], y[~held]) for v in views]
-    names = ["__content", "__page"]
     # one row for each different example: copies neither fill the exchange nor come back in a later round
-    examples = written(table.filter("__label IS NULL").groupBy(*names).agg(F.min("__id").alias("__id")), "quality-examples")
-    fit = lambda: [Calibrated(x, t, v[held], y[held]) for (x, t), v in zip(pool, views, strict=True)]
+    examples = written(table.filter("__label IS NULL").groupBy(*every).agg(F.min("__id").alias("__id")), "quality-examples")
+    fit = lambda: [Calibrated(x, t, v[held], y[held], r) for (x, t), v, r in zip(pool, views, ridges, strict=True)]
     models = fit()
     taken: list = []
     for _ in range(rounds):
         left = examples
         if taken:
-            left = left.join(F.broadcast(spark.createDataFrame(taken, examples.select(*names).schema)), names, "left_anti")  # at most 4 * exchange rows a round
+            left = left.join(F.broadcast(spark.createDataFrame(taken, examples.select(*every).schema)), every, "left_anti")  # at most 4 * exchange rows a round
         scored = view_scores(left, list(zip(names, models, strict=True)))
         given: list[list] = [[], []]
         for i in (0, 1):
             for value, sort in ((1.0, F.desc(f"__view{i}")), (0.0, F.asc(f"__view{i}"))):
                 sure = scored.filter(F.col(f"__view{i}") > 2.0 if value else F.col(f"__view{i}") < -2.0)
-                for r in sure.orderBy(sort, "__id", *names).limit(exchange).select(*names).collect():
-                    given[1 - i].append((r[names[1 - i]], value))
+                for r in sure.orderBy(sort, "__id", *every).limit(exchange).select(*every).collect():
+                    r = [bytes(v) if isinstance(v, bytearray) else v for v in r]
+                    given[1 - i].append((matrix([[r[every.index(c)]] for c in names[1 - i]])[0], value))
                     taken.append(tuple(r))
         for i in (0, 1):
             if given[i]:

@@ -448,6 +448,16 @@ def test_quality_copies_are_one_example(spark, monkeypatch):
             assert (np.abs(given[:, : len(own)] - own).max(1) < 1e-9).sum() <= 1
 
 
+def test_quality_of_vocabulary_alone(spark):
+    pick = random.Random(8)
+    word = lambda: "".join(pick.choice("bcdfglmnprst") + pick.choice("aeiou") for _ in range(3))
+    good, bad = ([word() for _ in range(80)] for _ in range(2))
+    texts = [" ".join(pick.choice((bad, good)[i % 2]) for _ in range(100)) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    rows = cotraining.classify(documents(spark, texts, source="s"), labels, exchange=20).collect()
+    assert np.mean([r["quality_kept"] == bool(r["doc_id"] % 2) for r in rows if r["doc_id"] >= 200]) > 0.95
+
+
 # ---- Queries and pipeline
 
 
