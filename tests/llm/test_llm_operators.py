@@ -401,10 +401,41 @@ def test_nearest_few_candidates(spark):
 def test_scan_abandons_only_worse_candidates():
     rng = np.random.default_rng(2)
     x, q = rng.standard_normal((3000, 64)), rng.standard_normal((10, 64))
-    longest = float(np.linalg.norm(x, axis=1).max())
-    at, ids, _ = nearest.scan(q, x, np.arange(3000), 20, longest, 2.1)
+    scan = nearest.Scan(q, 20, float(np.linalg.norm(x, axis=1).max()), 2.1)
+    scan.show(np.arange(10), x, np.arange(3000))
+    at, ids, scores = scan.result()
     truth = np.argsort(-(q @ x.T), 1)[:, :20]
     assert np.mean([len(set(ids[at == i]) & set(truth[i])) / 20 for i in range(10)]) > 0.95
+    assert scores == pytest.approx((q[at] * x[ids]).sum(1), rel=1e-12)
+
+
+def test_scan_abandons_most_pairs_early_in_short_lists():
+    """The driver's vectors, in lists as short as there: the tests act, and what they abandon is not missed."""
+    table = ds.dataset("/root/testdata/sf0.1/embeddings.parquet").to_table(["embedding"])
+    x = nearest.flat(table["embedding"])
+    longest = float(np.linalg.norm(x, axis=1).max())
+    centres = nearest.centroids_of(nearest.lifted(x, longest), 32)
+    tested, epsilon = nearest.settings(x, longest, centres, 20, 0.95)
+    near = nearest.distances(nearest.lifted(x, longest), centres).argmin(1)
+    assert np.bincount(near).max() < 200
+    q = x[::20]
+    order = nearest.distances(nearest.asked(q), centres).argsort(1)
+    scan = nearest.Scan(q, 21, longest, epsilon)
+    for place in range(tested):
+        for one in range(32):
+            who = np.flatnonzero(order[:, place] == one)
+            if len(who):
+                scan.show(who, x[near == one], np.flatnonzero(near == one))
+    assert scan.pairs[-2] < 0.35 * scan.pairs[0] and scan.pairs[-1] < 0.2 * scan.pairs[0]
+    at, ids, _ = scan.result()
+    truth = np.argsort(-(q @ x.T), 1, kind="stable")[:, :21]
+    assert np.mean([len(set(ids[at == i]) & set(truth[i])) / 21 for i in range(len(q))]) > 0.93
+
+
+def test_centroids_on_two_levels():
+    x = nearest.lifted(np.random.default_rng(4).standard_normal((6000, 8)), 6.0)
+    centres = nearest.centroids_of(x, 1500)
+    assert 1400 < len(centres) < 1600 and np.isfinite(centres).all()
 
 
 # ---- Quality
