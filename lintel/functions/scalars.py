@@ -33,10 +33,11 @@ def detect_language(path: Column) -> Column:
 
 
 def is_test_file(path: Column) -> Column:
-    """Java classes named Test..., ...Test, ...Tests or ...IT; test modules and folders of other languages."""
-    name = file_name(path)
-    java = name.rlike(r"^(Test[A-Z].*|.*Tests?|.*IT)\.java$")
-    other = F.lower(name).rlike(r"^test_|_test\.|^conftest\.") | F.lower(path).rlike("(^|/)tests/")
+    """By file name only: Java classes named Test..., ...Test, ...Tests or ...IT; modules named test_..., ..._test(s), conftest or tests."""
+    name = file_name(F.regexp_replace(path, r"\\", "/"))
+    stem = F.regexp_replace(name, r"\.[^.]*$", "")
+    java = stem.rlike("^Test[A-Z]|[a-z0-9](Test|Tests|IT)$")
+    other = F.lower(stem).rlike("^test_|_tests?$|^conftest$|^tests$")
     return F.when(F.lower(name).endswith(".java"), java).otherwise(other)
 
 
@@ -76,6 +77,16 @@ def content_key(*parts: Column) -> Column:
     return F.substring(F.sha1(F.concat_ws("|", *[F.coalesce(p, F.lit("")) for p in parts])), 1, 20)
 
 
+def token_fingerprint(tokens: Column) -> Column:
+    """The first 20 hex digits of a SHA-1 over tokens with one space between them."""
+    return F.substring(F.sha1(F.array_join(tokens, " ")), 1, 20)
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """Rounded half up, after the noise in the last bits of a double is gone."""
+    return F.round(F.round(x, 12), digits)
+
+
 def number(x: Column) -> Column:
     """A finite double, or null."""
     d = x.try_cast("double")
@@ -147,6 +158,11 @@ def parse_time(text: Column) -> Column:
     return F.try_to_timestamp(text)
 
 
+def stamp(moment: Column) -> Column:
+    """UTC as text of a fixed width, so that texts sort as times do."""
+    return F.concat(F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+
+
 def minutes_between(start: Column, end: Column) -> Column:
     """Null if one is missing or the end is before the start."""
     micros = F.timestamp_diff("MICROSECOND", start, end)

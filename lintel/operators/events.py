@@ -65,3 +65,63 @@ def impact_totals(df: DataFrame, by: list[str], selected: Column, executable: Co
         F.round(F.avg(F.when(executable, risk)), 6).alias("mean_risk"),
         F.round(ratio(F.sum(F.when(selected, points).otherwise(0)), F.sum(points)), 6).alias("capture"),
     )
+
+
+def orchestration(df: DataFrame, by: list[str], action: str, details: dict[str, Column]) -> DataFrame:
+    """Sums and rates over event details: plans by source, runs, actions, steps, reviewed files.
+
+    details: source, success, rollback, actions, executable, noops, files_sent, files_missing, passed, failed, accepted, rejected."""
+    of = lambda name: F.col(action) == name
+    total = lambda event, name: F.coalesce(F.sum(F.when(of(event), details[name].cast("long"))), F.lit(0))
+    run = "transformation_run"
+    counts = {
+        "plans_remote": F.count_if(of("plan_generated") & (details["source"] == "remote")),
+        "plans_fallback": F.count_if(of("plan_generated") & ~F.coalesce(details["source"] == "remote", F.lit(False))),
+        "runs": F.count_if(of(run)),
+        "run_successes": F.count_if(of(run) & details["success"]),
+        "rollbacks": F.count_if(of(run) & details["rollback"]),
+        **{name: total(run, name) for name in ("actions", "executable", "noops", "files_sent", "files_missing")},
+        **{name: total("transformation_completed", name) for name in ("passed", "failed")},
+        **{name: total("transformation_accepted", name) for name in ("accepted", "rejected")},
+    }
+    found = df.groupBy(*by).agg(*[c.alias(name) for name, c in counts.items()])
+    c = F.col
+    rates = {
+        "remote_rate": ratio(c("plans_remote"), c("plans_remote") + c("plans_fallback")),
+        "success_rate": ratio(c("run_successes"), c("runs")),
+        "rollback_rate": ratio(c("rollbacks"), c("runs")),
+        "executable_rate": ratio(c("executable"), c("actions")),
+        "noop_rate": ratio(c("noops"), c("actions")),
+        "resolution_rate": ratio(c("files_sent") - c("files_missing"), c("files_sent")),
+        "step_pass_rate": ratio(c("passed"), c("passed") + c("failed")),
+        "file_acceptance_rate": ratio(c("accepted"), c("accepted") + c("rejected")),
+    }
+    return found.withColumns({k: F.round(v, 6) for k, v in rates.items()})
+
+
+def precondition_rates(df: DataFrame, by: list[str], finding: str, holds: Column) -> DataFrame:
+    """Candidates, those whose preconditions hold, their share, and findings with such a candidate."""
+    found = df.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), F.count_if(holds).alias("viable"), F.count_distinct(F.when(holds, F.col(finding))).alias("findings_with_viable"))
+    return found.withColumn("pass_rate", F.round(F.coalesce(ratio(F.col("viable"), F.col("total")), F.lit(0.0)), 4))
+
+
+def success_rates(df: DataFrame, by: list[str], success: Column, status: Column, done: tuple[str, ...] = ("success", "passed", "applied")) -> DataFrame:
+    """Steps that say they succeeded, by flag or by status, out of all."""
+    good = F.coalesce(success, F.lit(False)) | F.coalesce(F.lower(status).isin(*done), F.lit(False))
+    found = df.groupBy(*by).agg(F.count(F.lit(1)).alias("executed"), F.count_if(good).alias("successful"))
+    return found.withColumn("success_rate", F.round(ratio(F.col("successful"), F.col("executed")), 4))
+
+
+def by_stage(df: DataFrame, by: list[str], stage: str, position: str) -> DataFrame:
+    """Entries per stage, stages in the order in which they are first seen."""
+    found = df.groupBy(*by, stage).agg(F.count(F.lit(1)).alias("entries"), F.min(position).alias("first"))
+    return found.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("first")))
+
+
+def log_of(df: DataFrame, workflow: str, wanted, time: str, tie: str) -> DataFrame:
+    """A workflow's entries in order; equal times by the tie column."""
+    return df.filter(F.col(workflow) == wanted).orderBy(time, tie)
+
+
+def newest_first(df: DataFrame, time: str, tie: str) -> DataFrame:
+    return df.orderBy(F.desc(time), F.desc(tie))

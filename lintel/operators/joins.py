@@ -51,12 +51,13 @@ def exists_in_range(df: DataFrame, found: DataFrame, by: list[str], inside: Colu
 
 
 def hybrid_merge(rules: DataFrame, model: DataFrame, by: list[str]) -> DataFrame:
-    """Model findings (id, line, score) fold into the first rule finding (id, start, end) of the key around their line; the rest are added."""
+    """Model findings (id, line, score) fold into the first rule finding (id, start, end) of the key around their line; the rest are added. Ids name findings of a key."""
     hits = model.alias("m").join(rules.alias("r"), [F.col(f"m.{c}") == F.col(f"r.{c}") for c in by]).filter("m.line BETWEEN r.start AND r.end")
-    folded = hits.groupBy(F.col("m.id").alias("id")).agg(F.min("r.id").alias("rule_id"), F.first("m.score").alias("score"))
-    best = folded.groupBy("rule_id").agg(F.max("score").alias("score"))
-    merged = rules.join(best, rules["id"] == best["rule_id"], "left").select(*by, "id", F.when(F.col("score").isNull(), "rule").otherwise("rule+ml").alias("source"), "score")
-    added = model.join(folded.select("id"), "id", "left_anti").select(*by, "id", F.lit("ml").alias("source"), "score")
+    keys = [F.col(f"m.{c}").alias(c) for c in by]
+    folded = hits.groupBy(*keys, F.col("m.id").alias("id")).agg(F.min("r.id").alias("rule_id"), F.first("m.score").alias("score"))
+    best = folded.groupBy(*by, F.col("rule_id").alias("id")).agg(F.max("score").alias("score"))
+    merged = rules.join(best, [*by, "id"], "left").select(*by, "id", F.when(F.col("score").isNull(), "rule").otherwise("rule+ml").alias("source"), "score")
+    added = model.join(folded.select(*by, "id"), [*by, "id"], "left_anti").select(*by, "id", F.lit("ml").alias("source"), "score")
     return merged.unionByName(added)
 
 
@@ -93,6 +94,27 @@ def token_references(entities: DataFrame, name: str, files: DataFrame, path: str
     return entities.join(counts, name, "left").select(*entities.columns, (1 + F.coalesce("__n", F.lit(0))).alias("blast_radius"))
 
 
+def churn(files: DataFrame, changes: DataFrame, path: str, day: str, until: Column, days: int = 90) -> DataFrame:
+    """Changes of each file in the days before a date; 0 without any. changes: a row per change and file."""
+    recent = changes.filter((F.col(day) >= F.date_sub(until, days)) & (F.col(day) < until)).groupBy(path).agg(F.count(F.lit(1)).alias("churn"))
+    return files.join(recent, path, "left").withColumn("churn", F.coalesce("churn", F.lit(0)))
+
+
+def tested(files: DataFrame, path: str, shortest: int = 3) -> DataFrame:
+    """Append tested: another path that holds "test" or "spec" also holds the file's stem.
+
+    Stems are looked up among the test paths' substrings of stems' lengths: an equi-join, not a comparison of all pairs."""
+    low = F.lower(F.col(path))
+    stem = F.regexp_replace(F.regexp_extract(low, "[^/]*$", 0), r"\.[^.]*$", "")
+    stems = files.select(path, stem.alias("__stem")).filter(F.length("__stem") >= shortest)
+    lengths = stems.agg(F.array_sort(F.collect_set(F.length("__stem"))).alias("__lengths"))  # as many as there are lengths of names
+    tests = files.filter(low.contains("test") | low.contains("spec")).select(F.col(path).alias("__test"), low.alias("__low")).crossJoin(F.broadcast(lengths))
+    cut = F.flatten(F.transform("__lengths", lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.length("__low") - n, F.lit(0))), lambda i: F.substr("__low", i + 1, n))))
+    parts = tests.select("__test", F.explode(F.array_distinct(cut)).alias("__stem"))
+    hits = stems.join(parts, "__stem").filter(F.col("__test") != F.col(path)).select(path).distinct()
+    return files.join(hits.withColumn("tested", F.lit(True)), path, "left").withColumn("tested", F.coalesce("tested", F.lit(False)))
+
+
 def unique_base_names(paths: DataFrame, path: str) -> DataFrame:
     """(base, full): full paths whose last part no other path has."""
     base = F.element_at(F.split(F.col(path), "/"), -1)

@@ -118,6 +118,21 @@ def roc_auc(df: DataFrame, score: Column, truth: Column, by: list[str] | None =
     return summed.select(*by, F.round(ratio(F.col("u"), F.col("p") * F.col("n")), 6).alias("auc"), F.col("p").cast("long").alias("positives"), F.col("n").cast("long").alias("negatives"))
 
 
+def pr_auc(df: DataFrame, score: Column, truth: Column) -> DataFrame:
+    """Average precision: precision at each distinct score, weighted by the recall that it adds."""
+    at = df.select(score.alias("s"), truth.alias("y")).filter("s IS NOT NULL AND y IS NOT NULL")
+    counts = at.groupBy("s").agg(F.sum("y").alias("ones"), F.count(F.lit(1)).alias("rows"))
+    running = running_totals(counts, "s", ["ones", "rows"], descending=True)
+    summed = running.agg(F.sum(F.col("ones") * ratio(F.col("run_ones"), F.col("run_rows"))).alias("a"), F.sum("ones").alias("positives"))
+    return summed.select(F.round(ratio(F.col("a"), F.col("positives")), 6).alias("pr_auc"), "positives")
+
+
+def system_comparison(df: DataFrame, by: list[str], expected: Column, predicted: Column, rank: Column, latency: Column, k: int = 3) -> DataFrame:
+    """Per system: cases, accuracy, MRR and NDCG of the expected fix's rank, mean latency."""
+    found = df.groupBy(*by).agg(F.round(F.avg((expected == predicted).cast("double")), 6).alias("accuracy"), F.round(F.avg(latency), 6).alias("latency"))
+    return found.join(ranking(df, rank, k, by), by)
+
+
 def brier(df: DataFrame, score: Column, truth: Column) -> DataFrame:
     return df.agg(F.avg((score - truth) * (score - truth)).alias("brier"))
 

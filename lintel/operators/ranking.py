@@ -44,13 +44,6 @@ def rank_of_expected(ranked: DataFrame, expected: DataFrame, by: list[str], item
     return expected.join(places, [*by, item], "left")
 
 
-def preference_score(impact: Column, risk: Column, focused: Column, preferred: Column, decision: Column) -> Column:
-    """Whole-number score for re-ranking steps by a developer's preferences."""
-    level = lambda c, values: F.when(F.lower(c) == "high", values[0]).when(F.lower(c) == "medium", values[1]).otherwise(values[2])
-    chosen = F.when(F.lower(decision) == "approved", 2).when(F.lower(decision) == "rejected", -3).otherwise(0)
-    return level(impact, (3, 2, 1)) + level(risk, (-2, -1, 0)) + F.when(focused, 2).otherwise(0) + F.when(preferred, 2).otherwise(0) + chosen
-
-
 def renumber(df: DataFrame, by: list[str], order: list[Column], name: str = "step") -> DataFrame:
     """1-based places in order, per key."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

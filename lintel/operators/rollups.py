@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lintel.functions.scalars import normalize_severity, penalty, severity_rank
+from lintel.functions.scalars import penalty, severity_rank
 
 
 def quality_score(df: DataFrame, by: list[str], severity: Column) -> DataFrame:
@@ -81,20 +81,48 @@ def repository_summary(files: DataFrame, by: list[str] | None = None, missing: f
 
 
 def metrics_before(df: DataFrame, by: list[str], severity: Column) -> DataFrame:
-    """Complexity, debt and maintainability estimates from counts per severity."""
-    n = {s: F.count_if(normalize_severity(severity) == s) for s in ("high", "medium", "low")}
-    total = F.count(severity)
-    return df.groupBy(*by).agg(
-        F.least(F.lit(100), 30 + 8 * n["high"] + 4 * n["medium"] + n["low"]).alias("complexity"),
-        F.least(F.lit(100), 10 + 3 * total).alias("debt"),
-        F.greatest(F.lit(0), 100 - 8 * n["high"] - 4 * n["medium"] - n["low"]).alias("maintainability"),
+    """Complexity, duplication and maintainability estimates from counts per severity; rows without a severity count as findings."""
+    n = {s: F.count_if(F.lower(severity) == s) for s in ("critical", "high", "medium", "low")}
+    counted = df.groupBy(*by).agg(*[c.alias(s) for s, c in n.items()], F.count(F.lit(1)).alias("total"))
+    complexity = F.least(F.lit(100), 30 + 15 * F.col("critical") + 8 * F.col("high") + 4 * F.col("medium") + F.col("low"))
+    duplication = F.least(F.lit(100), 10 + 3 * F.col("total"))
+    return counted.withColumns({"complexity": complexity, "duplication": duplication, "maintainability": F.greatest(F.lit(0), 100 - complexity - F.floor(duplication / 2))})
+
+
+def metrics_after(before: DataFrame, resolved: Column) -> DataFrame:
+    """metrics_before after that many findings are resolved: what is taken off is cut to whole numbers."""
+    share = resolved / F.greatest(F.col("total"), F.lit(1))
+    simpler = (F.col("complexity") * share * 0.7).cast("long")
+    leaner = (F.col("duplication") * share * 0.6).cast("long")
+    maintainability = F.least(F.lit(100), F.col("maintainability") + simpler + F.floor(leaner / 2))
+    return before.withColumns(
+        {
+            "complexity_after": F.greatest(F.lit(5), F.col("complexity") - simpler),
+            "duplication_after": F.greatest(F.lit(0), F.col("duplication") - leaner),
+            "maintainability_after": maintainability,
+            "total_after": F.greatest(F.lit(0), F.col("total") - resolved),
+            **{f"{s}_after": F.greatest(F.lit(0), F.col(s) - (F.col(s) * share).cast("long")) for s in ("critical", "high", "medium", "low")},
+        }
+    )
+
+
+def line_coverage(df: DataFrame, by: list[str], start: Column, end: Column, severity: Column, anchor: Column | None = None, longest: int = 2000) -> DataFrame:
+    """A row per covered line with the number of findings, of findings anchored there, and the worst severity.
+
+    A finding of more than `longest` lines after its first counts at its anchor (or first) line only; one that starts before line 1 not at all."""
+    at = start if anchor is None else F.coalesce(F.nullif(anchor, F.lit(0)), start)
+    lines = F.when(end - start > longest, F.array(at)).when(end >= start, F.sequence(start, end))
+    spans = df.filter(start >= 1).select(*by, severity.alias("severity"), at.alias("__anchor"), F.explode(lines).alias("line"))
+    return spans.groupBy(*by, "line").agg(
+        F.count(F.lit(1)).alias("findings"), F.count_if(F.col("line") == F.col("__anchor")).alias("anchors"), F.min_by(F.lower("severity"), severity_rank(F.col("severity"))).alias("worst")
     )
 
 
-def line_coverage(df: DataFrame, by: list[str], start: Column, end: Column, severity: Column, longest: int = 2000) -> DataFrame:
-    """A row per covered line with the number of findings and the worst severity; longer spans count up to `longest` lines."""
-    spans = df.select(*by, severity.alias("severity"), F.explode(F.sequence(start, F.least(end, start + longest - 1))).alias("line"))
-    return spans.groupBy(*by, "line").agg(F.count(F.lit(1)).alias("findings"), F.min_by(F.lower("severity"), severity_rank(F.col("severity"))).alias("worst"))
+def quality_before(reports: DataFrame, findings: DataFrame, by: list[str], stated: str, file: str, score: str, position: str) -> DataFrame:
+    """The report's mean score, else the mean over files of the first score seen in each, else 0."""
+    first = findings.filter(F.col(score).isNotNull()).groupBy(*by, file).agg(F.min_by(score, position).alias("__s"))
+    means = first.groupBy(*by).agg(F.avg("__s").alias("__mean"))
+    return reports.join(means, by, "left").select(*by, F.round(F.coalesce(F.col(stated).cast("double"), "__mean", F.lit(0.0)), 6).alias("quality_before"))
 
 
 def null_counts(df: DataFrame) -> DataFrame:

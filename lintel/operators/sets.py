@@ -22,12 +22,35 @@ def difference(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
     return df.join(other.select(*on).distinct(), on, "left_anti")
 
 
-def prune_conflicts(steps: DataFrame, plan: str, entity: str, action: str, position: str, removing: list[str]) -> DataFrame:
-    """One step per (plan, entity, action), the first; then, of an entity that is to be removed, only its first removing step."""
-    once = first_per_key(steps, [plan, entity, action], [F.col(position)])
-    gone = once.filter(F.col(action).isin(removing)).groupBy(plan, entity).agg(F.min(position).alias("__first"))
-    joined = once.join(gone, [plan, entity], "left")
-    return joined.filter(F.col("__first").isNull() | (F.col(position) == F.col("__first"))).drop("__first")
+def prune_conflicts(steps: DataFrame, plan: str, entity: str, action: str, position: str, removing: list[str], group: str | None = None) -> DataFrame:
+    """Steps of a plan without conflicts: an entity that is to be removed keeps its removing steps only, of equal actions on
+    an entity the first stays, and so does the first of a group of duplicates. Steps without an entity or group stay."""
+    known = F.coalesce(F.nullif(F.nullif(F.trim(entity), F.lit("")), F.lit("unknown")))
+    rows = steps.withColumn("__e", known).withColumn("__removes", F.col(action).isin(removing))
+    gone = rows.filter("__e IS NOT NULL AND __removes").select(plan, F.col("__e")).distinct()
+    rows = rows.join(gone.withColumn("__gone", F.lit(True)), [plan, "__e"], "left").filter("__gone IS NULL OR __removes")
+    named = first_per_key(rows.filter(F.trim(entity) != ""), [plan, entity, action], [F.col(position)])
+    kept = named.unionByName(rows.filter(F.coalesce(F.trim(entity), F.lit("")) == ""))
+    if group:
+        kept = first_per_key(kept.filter(F.col(group).isNotNull()), [plan, group], [F.col(position)]).unionByName(kept.filter(F.col(group).isNull()))
+    return kept.select(*steps.columns)
+
+
+def union_names(*frames: DataFrame) -> DataFrame:
+    """Distinct rows of all frames, by column name."""
+    found = frames[0]
+    for f in frames[1:]:
+        found = found.unionByName(f)
+    return found.distinct()
+
+
+def union_in_order(*frames: DataFrame) -> DataFrame:
+    """All rows, with the number of the frame that a row is from."""
+    numbered = [f.withColumn("part", F.lit(i)) for i, f in enumerate(frames)]
+    found = numbered[0]
+    for f in numbered[1:]:
+        found = found.unionByName(f)
+    return found
 
 
 def split_by_group(df: DataFrame, group: str, percent: int = 20, seed: int = 7) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lintel.functions.scalars import canonical_smell, normalize_path
 from lintel.operators import grouped, metrics
 from lintel.session import written
 
@@ -14,6 +15,8 @@ def outcomes(truth: DataFrame, predictions: DataFrame) -> DataFrame:
 
     truth: language, path, smell, id, kind, name, start, end, pos, label; predictions: the keys, pid, name, start, end, pos."""
     keys = ["language", "path", "smell"]
+    named = {"language": F.lower("language"), "path": normalize_path(F.col("path")), "smell": canonical_smell(F.col("smell"))}
+    truth, predictions = truth.withColumns(named), predictions.withColumns(named)
     pairs = written(grouped.greedy_match(truth.drop("label"), predictions, keys), "matches")
     labels = truth.select(F.col("id"), "label")
     joined = pairs.join(labels, "id", "left")

@@ -112,7 +112,7 @@ SEVERITY_SQL = case_sql("event_type", EVENT_SEVERITY, "NULL")
 @query(
     f"""WITH s AS (SELECT user_id, date_trunc('day', ts) AS day, {SEVERITY_SQL} AS s FROM events)
 SELECT user_id, strftime(day, '%Y-%m-%d') AS day, count(s) AS findings,
-round(greatest(0.0, 100.0 - sum(CASE s WHEN 'high' THEN 8 WHEN 'medium' THEN 4 WHEN 'low' THEN 1 ELSE 0 END)), 1) AS score FROM s GROUP BY ALL"""
+round(greatest(0.0, 100.0 - sum(CASE s WHEN 'high' THEN 8 WHEN 'medium' THEN 4 WHEN 'low' THEN 1 ELSE 0 END)), 1)::DOUBLE AS score FROM s GROUP BY ALL"""
 )
 def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), event_severity().alias("s"))
@@ -180,14 +180,30 @@ def primary_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.primary(table(spark, sf_dir, "documents"), ["source"], "lang", "doc_id", "en")
 
 
+BEFORE_SQL = f"""s AS (SELECT user_id, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, CASE WHEN event_type = 'error' AND value > 80 THEN 'critical' ELSE {SEVERITY_SQL} END AS s FROM events),
+n AS (SELECT user_id, day, count(*) FILTER (WHERE s = 'critical') AS critical, count(*) FILTER (WHERE s = 'high') AS high, count(*) FILTER (WHERE s = 'medium') AS medium,
+count(*) FILTER (WHERE s = 'low') AS low, count(*) AS total FROM s GROUP BY ALL),
+c AS (SELECT *, least(100, 30 + 15 * critical + 8 * high + 4 * medium + low) AS complexity, least(100, 10 + 3 * total) AS duplication FROM n),
+b AS (SELECT *, greatest(0, 100 - complexity - duplication // 2) AS maintainability FROM c)"""
+
+
+@query(f"WITH {BEFORE_SQL} SELECT * FROM b")
+def metrics_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events of a day as findings."""
+    critical = (F.col("event_type") == "error") & (F.col("value") > 80)
+    df = table(spark, sf_dir, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.when(critical, "critical").otherwise(event_severity()).alias("s"))
+    return rollups.metrics_before(df, ["user_id", "day"], F.col("s"))
+
+
 @query(
-    f"""WITH s AS (SELECT user_id, {SEVERITY_SQL} AS s FROM events), n AS (SELECT user_id, count(*) FILTER (WHERE s = 'high') AS h,
-count(*) FILTER (WHERE s = 'medium') AS m, count(*) FILTER (WHERE s = 'low' OR s IS NULL) AS l, count(s) AS t FROM s GROUP BY 1)
-SELECT user_id, least(100, 30 + 8 * h + 4 * m + l) AS complexity, least(100, 10 + 3 * t) AS debt, greatest(0, 100 - 8 * h - 4 * m - l) AS maintainability FROM n"""
+    f"""WITH {BEFORE_SQL}, r AS (SELECT *, user_id % 4 AS resolved, (user_id % 4)::DOUBLE / greatest(total, 1) AS share FROM b),
+t AS (SELECT *, trunc(complexity * share * 0.7)::BIGINT AS simpler, trunc(duplication * share * 0.6)::BIGINT AS leaner FROM r)
+SELECT user_id, day, greatest(5, complexity - simpler) AS complexity_after, greatest(0, duplication - leaner) AS duplication_after, least(100, maintainability + simpler + leaner // 2) AS maintainability_after,
+greatest(0, total - resolved) AS total_after, greatest(0, high - trunc(high * share)::BIGINT) AS high_after, greatest(0, low - trunc(low * share)::BIGINT) AS low_after FROM t"""
 )
-def metrics_before(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "events").select("user_id", event_severity().alias("s"))
-    return rollups.metrics_before(df, ["user_id"], F.coalesce(F.col("s"), F.lit(None))).join(df.select("user_id").distinct(), "user_id")
+def metrics_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rollups.metrics_after(metrics_before(spark, sf_dir), F.col("user_id") % 4)
+    return found.select("user_id", "day", "complexity_after", "duplication_after", "maintainability_after", "total_after", "high_after", "low_after")
 
 
 @query("WITH g AS (SELECT lang, count(*)::DOUBLE AS n, sum(n_chars)::DOUBLE AS s, sum(n_chars::DOUBLE * n_chars) AS q FROM documents GROUP BY 1), t AS (SELECT count(*) AS k, sum(n) AS n, sum(s) AS s, sum(q) AS q, sum(s * s / n) AS b FROM g) SELECT k AS groups, n::BIGINT AS rows, round(((b - s * s / n) / (k - 1)) / ((q - b) / (n - k)), 4) AS f FROM t".replace("AS groups", 'AS "groups"').replace("AS rows", 'AS "rows"'))
@@ -439,14 +455,17 @@ def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH s AS (SELECT l_orderkey, l_linenumber AS a, l_linenumber + l_quantity::INT % 7 AS b, CASE l_returnflag WHEN 'R' THEN 'high' WHEN 'A' THEN 'medium' ELSE 'low' END AS s FROM lineitem),
-e AS (SELECT l_orderkey, s, unnest(generate_series(a, b)) AS line FROM s)
-SELECT l_orderkey, line::BIGINT AS line, count(*) AS findings, CASE min(CASE s WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS worst FROM e GROUP BY ALL"""
+    """WITH s AS (SELECT l_orderkey, l_linenumber - 1 AS a, l_linenumber - 1 + l_quantity::INT % 7 AS b, l_linenumber + 1 AS anchor,
+CASE l_returnflag WHEN 'R' THEN 'high' WHEN 'A' THEN 'medium' ELSE 'low' END AS s FROM lineitem),
+e AS (SELECT l_orderkey, s, anchor, unnest(CASE WHEN b - a > 4 THEN [anchor::BIGINT] ELSE generate_series(a, b) END) AS line FROM s WHERE a >= 1)
+SELECT l_orderkey, line::BIGINT AS line, count(*) AS findings, count(*) FILTER (WHERE line = anchor) AS anchors,
+CASE min(CASE s WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS worst FROM e GROUP BY ALL"""
 )
 def line_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    start = F.col("l_linenumber")
+    """Spans of up to seven lines; more than five count at their anchor only."""
+    start = F.col("l_linenumber") - 1
     severity = F.when(F.col("l_returnflag") == "R", "high").when(F.col("l_returnflag") == "A", "medium").otherwise("low")
-    found = rollups.line_coverage(table(spark, sf_dir, "lineitem"), ["l_orderkey"], start, start + F.col("l_quantity").cast("int") % 7, severity)
+    found = rollups.line_coverage(table(spark, sf_dir, "lineitem"), ["l_orderkey"], start, start + F.col("l_quantity").cast("int") % 7, severity, F.col("l_linenumber") + 1, longest=4)
     return found.withColumn("line", F.col("line").cast("long"))
 
 
@@ -467,14 +486,18 @@ LEVEL_SQL = "(CASE WHEN {0} <= 15 THEN 1 WHEN {0} <= 35 THEN 2 ELSE 3 END)::DOUB
 
 
 @query(
-    f"""WITH l AS (SELECT p_partkey, p_brand, {LEVEL_SQL.format("p_size")} AS c, {LEVEL_SQL.format("(p_partkey % 50)")} AS r, {LEVEL_SQL.format("(p_partkey * 7 % 50)")} AS i FROM part)
-SELECT p_partkey, p_brand, round(0.2 * (4 - c) + 0.4 * (4 - r) + 0.4 * i, 6) AS base,
-round(0.4 * (i - 1) / 2 + 0.25 * (1 - (r - 1) / 2) + 0.2 * (1 - (c - 1) / 2) + 0.15 * 0.5, 6) AS criteria FROM l"""
+    f"""WITH l AS (SELECT p_partkey, p_brand, p_size, {LEVEL_SQL.format("p_size")} AS c, {LEVEL_SQL.format("(p_partkey % 50)")} AS r, {LEVEL_SQL.format("(p_partkey * 7 % 50)")} AS i FROM part),
+s AS (SELECT *, 0.4 * (i - 1) / 2 + 0.25 * (3 - c) / 2 + 0.2 * (3 - r) / 2 + 0.15 * least(1, greatest(0, p_size / 40.0 - 0.1)) AS criteria FROM l)
+SELECT p_partkey, p_brand, round(0.2 * (4 - c) + 0.4 * (4 - r) + 0.4 * i, 6)::DOUBLE AS base, round(criteria, 6)::DOUBLE AS criteria,
+round(CASE WHEN p_partkey % 3 > 0 THEN least(1, greatest(0, criteria + ((p_size / 50.0 + 0.5 + 1 - p_partkey % 11 / 10.0) / 3 - 0.5) * 2 * (p_partkey % 3 / 2.0) * 0.25)) ELSE criteria END, 6)::DOUBLE AS judged FROM s"""
 )
 def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = lambda c: F.when(c <= 15, "low").when(c <= 35, "medium").otherwise("high")
-    c, r, i = level(F.col("p_size")), level(F.col("p_partkey") % 50), level(F.col("p_partkey") * 7 % 50)
-    return table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.round(scoring.base_score(c, r, i), 6).alias("base"), F.round(scoring.criteria_score(c, r, i), 6).alias("criteria"))
+    key, size = F.col("p_partkey"), F.col("p_size")
+    c, r, i = level(size), level(key % 50), level(key * 7 % 50)
+    criteria = scoring.criteria_score(c, r, i, size / 40 - 0.1)
+    judged = scoring.criteria_with_model(criteria, key % 3 / 2, size / 50, F.lit(0.5), key % 11 / 10)
+    return table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.round(scoring.base_score(c, r, i), 6).alias("base"), F.round(criteria, 6).alias("criteria"), F.round(judged, 6).alias("judged"))
 
 
 @query("SELECT event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type, props ORDER BY ts DESC, event_id DESC) = 1")
@@ -484,7 +507,17 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.upsert(rows.filter(even), rows.filter(~even), ["user_id", "event_type", "props"], "at").select("event_id", "user_id", "event_type")
 
 
-@query()
+@query(
+    """WITH RECURSIVE i AS (SELECT event_id, user_id, event_type, date_diff('second', TIMESTAMP '1970-01-01', date_trunc('minute', ts)) // 60 AS start, round_even(value, 0)::BIGINT AS len FROM events),
+t AS (SELECT user_id, event_id AS id, start, CASE WHEN start + len = 0 THEN start ELSE start + len END AS stop, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM i WHERE event_type = 'click'),
+p AS (SELECT user_id, list({'id': event_id, 'a': start, 'b': start + len} ORDER BY event_id) AS ps FROM i WHERE event_type = 'view' GROUP BY 1),
+r AS (SELECT user_id, 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS id, NULL::BIGINT AS pid FROM (SELECT DISTINCT user_id FROM t)
+UNION ALL SELECT m.user_id, m.k, CASE WHEN m.hit IS NULL THEN m.used ELSE list_append(m.used, m.hit) END, m.id, m.hit FROM (
+SELECT t.user_id, t.k, r.used, t.id, list_filter(coalesce(p.ps, []), lambda x: (abs(t.start - x.a) <= 5 OR (t.start <= x.b AND x.a <= t.stop)) AND NOT list_contains(r.used, x.id))[1].id AS hit
+FROM r JOIN t ON t.user_id = r.user_id AND t.k = r.k + 1 LEFT JOIN p ON p.user_id = t.user_id) m)
+SELECT user_id, id, pid FROM r WHERE id IS NOT NULL
+UNION ALL SELECT user_id, NULL, event_id FROM i WHERE event_type = 'view' AND event_id NOT IN (SELECT pid FROM r WHERE pid IS NOT NULL)"""
+)
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks as truth and views as predictions of a user, matched by minutes."""
     kinds = table(spark, sf_dir, "events").select("event_id", "event_type")
@@ -494,16 +527,30 @@ def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.greedy_match(truth, found, ["user_id"])
 
 
-@query()
+@query(
+    """WITH RECURSIVE g AS (SELECT l_orderkey, l_linenumber, sum(l_extendedprice) AS v, sum(l_quantity)::INT AS c FROM lineitem GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k FROM g),
+s AS (SELECT DISTINCT l_orderkey, 0::BIGINT AS k, 0::DOUBLE AS v, 0 AS c, []::BIGINT[] AS picked FROM n
+UNION ALL SELECT n.l_orderkey, n.k, CASE WHEN t.take THEN s.v + n.v ELSE s.v END, CASE WHEN t.take THEN s.c + n.c ELSE s.c END, CASE WHEN t.take THEN list_append(s.picked, n.k) ELSE s.picked END
+FROM s JOIN n ON n.l_orderkey = s.l_orderkey AND n.k = s.k + 1 CROSS JOIN (VALUES (true), (false)) AS t(take) WHERE NOT t.take OR s.c + n.c <= 60),
+best AS (SELECT l_orderkey, unnest(arg_max(picked, v)) AS k FROM (SELECT *, max(k) OVER (PARTITION BY l_orderkey) AS last FROM s) WHERE k = last GROUP BY l_orderkey)
+SELECT l_orderkey, n.l_linenumber, n.v AS points, n.c AS minutes FROM best JOIN n USING (l_orderkey, k)"""
+)
 def knapsack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best set of an order's lines for a budget of 60 quantity units."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_extendedprice").alias("l_extendedprice"), F.sum("l_quantity").alias("l_quantity"))
     return grouped.choose(lines, "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", 60)
 
 
-@query()
+@query(
+    f"""WITH r AS (SELECT o_custkey, o_orderkey AS id, o_orderstatus AS s, row_number() OVER (PARTITION BY o_custkey
+ORDER BY CASE {case_sql("o_orderpriority", PRIORITY_SEVERITY, "NULL")} WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END, o_orderkey) AS place FROM orders),
+f AS (SELECT *, min(place) FILTER (WHERE s = 'F') OVER w AS f, min(place) FILTER (WHERE s = 'O') OVER w AS o FROM r WINDOW w AS (PARTITION BY o_custkey)),
+g AS (SELECT *, CASE WHEN place = f THEN 0 WHEN o IS NULL THEN 1 WHEN s <> 'P' AND place < o THEN 1 WHEN place = o THEN 2 ELSE 3 END AS stage FROM f)
+SELECT o_custkey, id, row_number() OVER (PARTITION BY o_custkey ORDER BY stage, place)::INT AS step FROM g"""
+)
 def sequence_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A customer's orders as steps: finished ones before open ones before pending ones, urgent ones first."""
+    """A customer's orders as steps: open ones need a finished one before them, pending ones an open and a finished one; urgent ones first."""
     rank = scalars.severity_rank(F.try_element_at(scalars.literal_map(PRIORITY_SEVERITY), F.col("o_orderpriority")))
     steps = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("action"), rank.alias("rank"), F.col("o_orderkey").alias("pos"))
     return grouped.sequence_steps(steps, "o_custkey", [("O", "F"), ("P", "O"), ("P", "F")])
@@ -514,9 +561,54 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.bootstrap_ci(metrics.confusion(labelled(spark, sf_dir), F.col("quality"), F.col("toxic"), ["lang"]), ["lang"])
 
 
-@query()
+def poisson_sql(cluster: str, round_: str = "round", seed: int = 42) -> str:
+    """Poisson(1) draws by hash, as in operators.grouped."""
+    edges, p, total = [], 0.36787944117144233, 0.0
+    for k in range(18):
+        total += p
+        edges.append(repr(total))
+        p /= k + 1
+    u = f"((('0x' || substr(md5({cluster}::VARCHAR || '|' || {round_}::VARCHAR || '|{seed}'), 1, 12))::BIGINT)::DOUBLE + 0.5) / {float(1 << 48)!r}"
+    return f"len(list_filter([{', '.join(edges)}], lambda e: {u} > e))"
+
+
+@query(
+    f"""WITH c AS (SELECT source, {COUNTS_SQL} FROM {LABELLED_SQL} GROUP BY source),
+d AS (SELECT *, {poisson_sql("source")} AS w FROM c, (SELECT unnest(generate_series(1, 200)) AS round)),
+s AS (SELECT round, sum(tp * w) AS tp, sum(fp * w) AS fp, sum(fn * w) AS fn FROM d GROUP BY 1), f AS (SELECT 2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0) AS f1 FROM s)
+SELECT count(f1) AS rounds, round(quantile_cont(f1, 0.025), 6) AS low, round(quantile_cont(f1, 0.975), 6) AS high FROM f"""
+)
 def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouped.cluster_bootstrap(metrics.confusion(labelled(spark, sf_dir), F.col("quality"), F.col("toxic"), ["source"]), "source")
+    found = grouped.cluster_bootstrap(metrics.confusion(labelled(spark, sf_dir), F.col("quality"), F.col("toxic"), ["source"]), "source")
+    return found.withColumns({"low": F.round("low", 6), "high": F.round("high", 6)})
+
+
+PAIR_SQL = """SELECT source, count(*) FILTER (WHERE quality = 1 AND n_chars > 500) AS a_tp, count(*) FILTER (WHERE quality = 0 AND n_chars > 500) AS a_fp, count(*) FILTER (WHERE quality = 1 AND n_chars <= 500) AS a_fn,
+count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS b_tp, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS b_fp, count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS b_fn"""
+GAP_SQL = "coalesce(2.0::DOUBLE * sum(a_tp * w) / nullif(sum((2 * a_tp + a_fp + a_fn) * w), 0), 0) - coalesce(2.0::DOUBLE * sum(b_tp * w) / nullif(sum((2 * b_tp + b_fp + b_fn) * w), 0), 0)"
+
+
+@query(
+    f"""WITH c AS ({PAIR_SQL} FROM {LABELLED_SQL} GROUP BY source), d AS (SELECT *, {poisson_sql("source")} AS w FROM c, (SELECT unnest(generate_series(1, 200)) AS round)),
+s AS (SELECT {GAP_SQL} AS d FROM d GROUP BY round HAVING sum((a_tp + a_fn) * w) > 0)
+SELECT (SELECT round({GAP_SQL}, 6) FROM (SELECT *, 1 AS w FROM c)) AS difference, count(d) AS rounds, round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high FROM s"""
+)
+def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rules for good documents, length and absence of toxicity, compared on the same draws of sources."""
+    rows = labelled(spark, sf_dir)
+    a, b = (F.col("n_chars") > 500).cast("int"), (F.col("toxic") == 0).cast("int")
+    counts = [metrics.confusion(rows, F.col("quality"), x, ["source"]).select("source", *[F.col(c).alias(f"{side}_{c}") for c in ("tp", "fp", "fn")]) for side, x in (("a", a), ("b", b))]
+    found = grouped.paired_bootstrap(counts[0].join(counts[1], "source"), "source")
+    return found.withColumns({c: F.round(c, 6) for c in ("difference", "low", "high")})
+
+
+@query(
+    f"""WITH s AS (SELECT n_chars AS s, sum(quality) AS ones, count(*) AS n FROM {LABELLED_SQL} GROUP BY 1),
+r AS (SELECT *, sum(ones) OVER w AS hits, sum(n) OVER w AS called FROM s WINDOW w AS (ORDER BY s DESC))
+SELECT round(sum(ones * hits::DOUBLE / called) / sum(ones), 6) AS pr_auc, sum(ones)::BIGINT AS positives FROM r"""
+)
+def pr_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.pr_auc(labelled(spark, sf_dir), F.col("n_chars"), F.col("quality"))
 
 
 @query("SELECT o_custkey, o_orderkey, 'S' || lpad(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)::VARCHAR, 3, '0') AS display_id FROM orders")
@@ -573,5 +665,8 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.file_report(files, *quality.findings(files)).select("path", "lines", "findings", "score")
 
 
+from lintel import plan_queries  # noqa: E402, F401  registers more
+
+
 def queries() -> dict:
     return {name: (lambda spark, sf_dir, f=f: f(prepare(spark), sf_dir)) for name, f in QUERIES.items()}

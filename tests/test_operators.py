@@ -5,9 +5,10 @@ from __future__ import annotations
 import itertools
 import random
 
+import numpy as np
 import pytest
 from lintel.functions import scalars
-from lintel.operators import events, grouped, joins, metrics, ranking, rollups, scoring, sets
+from lintel.operators import events, grouped, joins, metrics, ranking, recommendation, rollups, scoring, sets
 from lintel.operators.windows import running_totals
 from lintel.plans import evaluation, planning
 from pyspark.sql import functions as F
@@ -27,7 +28,8 @@ def test_scalars(spark):
         none=scalars.detect_language(lit("a.b/readme")),
         test=scalars.is_test_file(lit("src/OrderTest.java")),
         not_test=scalars.is_test_file(lit("src/Testing.java")),
-        py_test=scalars.is_test_file(lit("tests/x.py")),
+        py_test=scalars.is_test_file(lit("x/test_y.py")),
+        by_folder=scalars.is_test_file(lit("tests/x.py")),
         severity=scalars.normalize_severity(lit(" HIGH ")),
         other=scalars.normalize_severity(lit("blocker")),
         method=scalars.entity_name(lit("a.b.C#run int"), lit("method")),
@@ -53,7 +55,7 @@ def test_scalars(spark):
         never=scalars.parse_time(lit("soon")),
     )
     assert r["path"] == "project/src/main.py" and (r["lang"], r["none"]) == ("java", None)
-    assert (r["test"], r["not_test"], r["py_test"]) == (True, False, True)
+    assert (r["test"], r["not_test"], r["py_test"], r["by_folder"]) == (True, False, True, False)
     assert (r["severity"], r["other"]) == ("high", "low")
     assert (r["method"], r["klass"], r["name"]) == ("run", "C", "extract method")
     assert (r["zero"], r["zero0"], r["nan"], r["num"], r["text"]) == (None, 0.0, None, 1.5, None)
@@ -100,7 +102,9 @@ def test_lines_match(spark):
     rows = [("function", 10, 40, 14, 42, True), ("function", 10, 40, 30, 70, True), ("function", 10, 40, 46, 60, False), ("class", 10, 40, 39, 90, True), ("class", 10, 40, 51, 90, False), ("function", None, None, 5, 6, True), ("function", 10, 0, 15, 0, True)]
     df = spark.createDataFrame(rows, "kind string, a int, b int, c int, d int, want boolean")
     for r in df.withColumn("got", joins.lines_match(*[F.col(x) for x in ("kind", "a", "b", "c", "d")])).collect():
-        assert r["got"] == r["want"] == grouped.compatible(r["kind"], r["a"], r["b"], r["c"], r["d"])
+        plain = [float("nan") if r[x] is None else float(r[x]) for x in "abcd"]
+        plain[1] = plain[1] if plain[1] else plain[0]
+        assert r["got"] == r["want"] == bool(grouped.line_window(r["kind"], plain[0], plain[1], np.array([plain[2]]), np.array([plain[3]]))[0])
 
 
 def test_overlap_edges_against_all_pairs(spark):
@@ -142,20 +146,66 @@ def test_greedy_match_uses_each_prediction_once(spark):
     assert rows == {("k", 1, 10), ("k", 2, 11), ("k", 3, None), ("z", 4, None), ("y", None, 12)}
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_knapsack_is_optimal(seed):
+def brute_matches(truth, found):
+    """The rule, one pair at a time."""
+    used, out = set(), []
+    for kind, name, start, end in truth:
+        hit = None
+        for i, (other, a, b) in enumerate(found):
+            fits = np.isnan(start) or np.isnan(a) or ((start <= a <= end or abs(start - a) <= 10) if kind == "class" else (abs(start - a) <= 5 or start <= b and a <= end))
+            if i not in used and fits and grouped.names_match(name, other):
+                hit = i
+                used.add(i)
+                break
+        out.append(hit)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_matching_against_one_pair_at_a_time(seed):
     rng = random.Random(seed)
-    values, costs = [rng.randint(0, 20) for _ in range(10)], [rng.randint(1, 9) for _ in range(10)]
-    chosen = grouped.knapsack(values, costs, 20)
-    best = max(sum(values[i] for i in c) for n in range(11) for c in itertools.combinations(range(10), n) if sum(costs[i] for i in c) <= 20)
-    assert sum(values[i] for i in chosen) == best and sum(costs[i] for i in chosen) <= 20
+    line = lambda: float("nan") if rng.random() < 0.1 else float(rng.randint(1, 150))
+    span = lambda: (a := line(), a + rng.randint(0, 30))
+    truth = [(rng.choice(["class", "function"]), rng.choice(["", "f", "fg"]), *span()) for _ in range(40)]
+    found = [(rng.choice(["", "f", "xfgy", "q"]), *span()) for _ in range(rng.randint(0, 40))]
+    assert grouped.matched(truth, found) == brute_matches(truth, found)
 
 
-def test_sequencing():
-    steps = [("a", "Move", 1), ("b", "Extract", 2), ("c", "Rename", 0)]
-    assert grouped.ordered_steps(steps, {("Move", "Extract")}) == ["c", "b", "a"]
-    with pytest.raises(ValueError):
-        grouped.ordered_steps(steps, {("Move", "Extract"), ("Extract", "Move")})
+@pytest.mark.parametrize("seed", range(4))
+def test_knapsacks_are_optimal(seed):
+    rng = random.Random(seed)
+    sizes = [rng.randint(1, 9) for _ in range(30)]
+    bounds = np.cumsum([0, *sizes])
+    values = np.array([float(rng.randint(-3, 20)) for _ in range(bounds[-1])])
+    costs = np.array([rng.randint(0, 30) for _ in range(bounds[-1])])
+    chosen = grouped.knapsacks(values, costs, bounds, 20)
+    for a, b in zip(bounds, bounds[1:]):
+        items = range(a, b)
+        best = max(sum(values[i] for i in c) for n in range(len(items) + 1) for c in itertools.combinations(items, n) if sum(costs[i] for i in c) <= 20)
+        got = [i for i in items if chosen[i]]
+        assert sum(values[i] for i in got) == best and sum(costs[i] for i in got) <= 20 and all(values[i] > 0 for i in got)
+
+
+def test_groups_come_whole(spark):
+    """Groups that lie across batches, long ones and null keys included."""
+    rows = [(None if g == 3 else g, i, 1.0, 1) for g in range(40) for i in range(900 if g == 7 else g % 5 + 1)]
+    df = spark.createDataFrame(rows, "g int, i int, v double, c int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = grouped.choose(df, "g", "i", "v", "c", 1000).groupBy("g").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r["g"]: r["count"] for r in got} == {(None if g == 3 else g): 900 if g == 7 else g % 5 + 1 for g in range(40)}
+
+
+def test_sequencing(spark):
+    assert grouped.ordered_steps(["Move", "Extract", "Rename"], [1, 2, 0], {"Move": {"Extract"}}) == [3, 2, 1]
+    # one applied step of a needed kind is enough
+    assert grouped.ordered_steps(["Move", "Extract", "Extract"], [0, 1, 2], {"Move": {"Extract"}}) == [2, 1, 3]
+    assert grouped.ordered_steps(["Move", "Extract", "Rename"], [1, 2, 0], {"Move": {"Extract"}, "Extract": {"Move"}}) == [None, None, 1]
+    df = spark.createDataFrame([("p", "a", "Move", 0, 0), ("p", "b", "Extract", 1, 1), ("q", "c", "Move", 0, 0), ("q", "d", None, None, 1)], "plan string, id string, action string, rank int, pos int")
+    rows = {(r["plan"], r["id"]): r["step"] for r in grouped.sequence_steps(df, "plan", [("Move", "Extract")]).collect()}
+    assert rows == {("p", "a"): 2, ("p", "b"): 1, ("q", "c"): 1, ("q", "d"): 2}
 
 
 def test_bootstrap():
@@ -206,9 +256,14 @@ def test_scores(spark):
         criteria=scoring.criteria_score(F.lit("low"), F.lit("low"), F.lit("high")),
         known=scoring.magnitude(F.lit(60), F.lit(20)),
         unknown=scoring.magnitude(F.lit(None).cast("int"), F.lit(20)),
-        risk=scoring.change_risk(F.lit(0.5), F.lit(1), F.lit(True)),
-        manual=scoring.recommendation(F.lit(95), F.lit("unknown"), F.lit(True), F.lit("low")),
-        good=scoring.recommendation(F.lit(95), F.lit("executable"), F.lit(True), F.lit("high")),
+        risk=scoring.change_risk(F.lit("medium"), F.lit(1), F.lit(True)),
+        spread=scoring.change_risk(F.lit("low"), F.lit(4), F.lit(False)),
+        manual=recommendation.category(F.lit(95), F.lit("advisory"), F.lit(True), F.lit("low")),
+        unknown_fix=recommendation.category(F.lit(95), F.lit("unknown"), F.lit(True), F.lit("low")),
+        risky=recommendation.category(F.lit(95), F.lit("executable"), F.lit(True), F.lit("high")),
+        margin=recommendation.selection_margin(F.lit(0.8), F.array().cast("array<double>")),
     )
     assert r["base"] == pytest.approx(3.0) and r["criteria"] == pytest.approx(0.925)
-    assert (r["known"], r["unknown"], r["risk"]["band"], r["manual"], r["good"]) == (1.0, 0.5, "medium" if r["risk"]["value"] >= 0.35 else "low", "manual_only", "recommended")
+    assert (r["known"], r["unknown"], r["risk"]["value"], r["risk"]["band"]) == (1.0, 0.5, 0.5, "medium")
+    assert (r["spread"]["value"], r["spread"]["band"]) == (0.39, "medium")  # 0.2 * 1.45 * 1.35
+    assert (r["manual"], r["unknown_fix"], r["risky"], r["margin"]) == ("manual_only", "not_recommended", "review", 0.5)
