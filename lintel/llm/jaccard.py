@@ -3,10 +3,10 @@
 A document's set is its distinct word shingles (lower-cased A-Z; words are runs of bytes other than white
 space), as 64-bit hashes. Two documents link when scale * intersection >= least * union (85 of 100, say).
 
-1. One pass over the texts gives each document's set size and a hash of its set; equal sets are one class,
-   represented by their smallest id. It also counts shingles that are frequent inside a task's input; the
-   most frequent of all become the tail of the global order of shingles. (Any order is correct; the list is
-   bounded, and no case depends on it.)
+1. One pass over the texts gives each document's set size, a hash of its set and a sketch (the parity of its
+   shingles in 512 buckets); equal sets are one class, represented by their smallest id. It also counts
+   shingles that are frequent inside a task's input; the most frequent of all become the tail of the global
+   order of shingles. (Any order is correct; the list is bounded, and no case depends on it.)
 2. A second pass indexes each set under its first n - ceil(least * n / scale) + m shingles in that order,
    with m = 1 + n // 50: two linked sets share the smaller m of them. An index list is sorted by position.
    Size and position bounds exclude pairs, and whole blocks of a long list are skipped once the smallest
@@ -14,13 +14,18 @@ space), as 64-bit hashes. Two documents link when scale * intersection >= least
 3. In short lists all remaining pairs are counted; those that reach the smaller m are candidates. In a long
    list each set is paired with the first sets of the list (few rare shingles before the shared one, so they
    resemble most of the list). Verified links give components, and a set's answer is taken from its hub's
-   answer: pairs inside a component need no work (answer-level skipping). The long lists are then joined
-   again for pairs of different components, and their counts added to those of the short lists, so nothing
-   is left unchecked. Every candidate is verified on whole texts, by exact set sizes.
+   answer: pairs inside a component need no work (answer-level skipping).
+4. Sets of a long list that are outside its ruling component look at the list again, twice. First each is
+   paired with its most similar set of another component only, by sketches, and takes over that one's answer
+   if they link. Then all pairs of different components are counted that sizes, positions and sketches (two
+   sketches differ in no more buckets than their sets differ in shingles) leave over, and the counts are added
+   to those of the short lists, so nothing is left unchecked. Every candidate is verified on whole texts.
 
 No link between different sets is lost, so components are exact. Documents without words (null, empty, white
-space) have size 0 and link with nothing. Copies cost one row each. A hub's verifications are dealt out by
-hub and a salt sized from its number of pairs, and stream past one set at a time.
+space) have size 0 and link with nothing; very long texts are used whole. Copies cost one row each. A hub's
+verifications are dealt out by hub and a salt sized from its number of pairs, and stream past one set at a time.
+Lists of frequent shingles are cut into parts by a hash of the set: each part has its own first sets, and on
+the second look the sets outside the ruling component visit all parts, which hold SPLIT sets of it each.
 """
 
 from __future__ import annotations
@@ -40,6 +45,8 @@ FREQUENT = 1 << 20  # length of the list of frequent shingles: 8 MB
 LOCALLY, GLOBALLY = 3, 64  # documents of a task, and of all, from which a shingle is frequent
 SHORT = 24  # a longer index list works by hubs first
 SALT = 64  # verifications of a hub in one group
+SPLIT = 4096  # entries of one index list in one part
+BUCKETS = 512  # of a sketch
 U = np.uint64
 
 
@@ -89,15 +96,20 @@ def set_hash(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes())
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parity of the shingles per bucket."""
+    return np.packbits(np.bincount((s >> U(64 - 9)).astype(np.int64), minlength=BUCKETS) & 1).tobytes()
+
+
 def as_long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64), pa.int64())
 
 
 def survey(docs: DataFrame, size: int) -> DataFrame:
-    """kind 0: a document's (id, n, set). kind 1: (n documents of one task's input hold shingle id)."""
+    """kind 0: a document's (id, n, set, sketch). kind 1: (n documents of one task's input hold shingle id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "id", "n", "set"]
+        names = ["kind", "id", "n", "set", "sketch"]
         held, count, seen = [], 0, {}
 
         def fold() -> None:
@@ -119,24 +131,26 @@ def survey(docs: DataFrame, size: int) -> DataFrame:
                     fold()
                 n = np.array([len(s) for s in sets], np.int64)
                 hashes = np.array([set_hash(s) for s in sets], U)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), part.column(0), pa.array(n), as_long(hashes)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), part.column(0), pa.array(n), as_long(hashes), pa.array(list(map(sketch, sets)), pa.binary())], names=names)
         fold()
         often = [(t, c) for t, c in seen.items() if c >= LOCALLY]
         if often:
             t, c = np.array([x[0] for x in often], U), np.array([x[1] for x in often], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(t), np.int32)), as_long(t), pa.array(c), as_long(t)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(t), np.int32)), as_long(t), pa.array(c), as_long(t), pa.nulls(len(t), pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "kind int, id long, n long, set long")
+    return docs.mapInArrow(run, "kind int, id long, n long, set long, sketch binary")
 
 
-def index_entries(docs: DataFrame, size: int, least: int, scale: int, frequent: np.ndarray) -> DataFrame:
-    """(token, at = position << 32 | set size, set) for the indexed shingles; copies in one task's input once."""
+def index_entries(docs: DataFrame, size: int, least: int, scale: int, frequent: np.ndarray, parts: np.ndarray) -> DataFrame:
+    """(token, part, at = position << 32 | set size, set) for the indexed shingles; copies in one task's input once.
+
+    parts: into how many the list of each frequent shingle is cut; part is -1 in whole lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for b in batches:
             for start in range(0, b.num_rows, 512):
-                tokens, ats, owners = [], [], []
+                tokens, ats, owners, places = [], [], [], []
                 for t in b.column(1).slice(start, 512).to_pylist():
                     s = shingles(t, size)
                     if not len(s):
@@ -156,19 +170,29 @@ def index_entries(docs: DataFrame, size: int, least: int, scale: int, frequent:
                             first = np.concatenate([first, s[common][: length - len(first)]])
                     else:
                         first = s[:length]
+                    place = np.full(length, -1, np.int32)
+                    if len(frequent):
+                        near = np.minimum(np.searchsorted(frequent, first), len(frequent) - 1)
+                        many = np.where(frequent[near] == first, parts[near], 1)
+                        place = np.where(many > 1, own % many, -1).astype(np.int32)
+                    places.append(place)
                     tokens.append(first)
                     ats.append(np.arange(length, dtype=np.int64) << 32 | len(s))
                     owners.append(np.full(length, own, U))
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([as_long(np.concatenate(tokens)), pa.array(np.concatenate(ats)), as_long(np.concatenate(owners))], names=["token", "at", "set"])
+                    yield pa.RecordBatch.from_arrays([as_long(np.concatenate(tokens)), pa.array(np.concatenate(places)), pa.array(np.concatenate(ats)), as_long(np.concatenate(owners))], names=["token", "part", "at", "set"])
 
-    return docs.mapInArrow(run, "token long, at long, set long")
+    return docs.mapInArrow(run, "token long, part int, at long, set long")
+
+
+def least_overlap(na: np.ndarray, nb: np.ndarray, least: int, scale: int) -> np.ndarray:
+    return -(-least * (na + nb) // (least + scale))
 
 
 def may_link(pa_: np.ndarray, na: np.ndarray, pb: np.ndarray, nb: np.ndarray, least: int, scale: int) -> np.ndarray:
     """Bounds at each of a linked pair's first shared shingles: sizes, what is left behind the positions, and what differs before them."""
     small, large = np.minimum(na, nb), np.maximum(na, nb)
-    overlap = -(-least * (na + nb) // (least + scale))
+    overlap = least_overlap(na, nb, least, scale)
     before = shared(small) - 1
     return (scale * small >= least * large) & (np.minimum(na - pa_, nb - pb) >= overlap - before) & (pa_ + pb <= na + nb - 2 * (overlap - before))
 
@@ -198,28 +222,34 @@ class Counts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), *map(pa.array, (x[at], y[at], n[i : i + 10_000], need[at]))], names=["kind", "x", "y", "n", "need"])
 
 
-def runs_of(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    """Sorted rows as (columns, starts of runs of equal first column), whole runs together."""
+def runs_of(batches: Iterator[pa.RecordBatch], columns: int, hold: int = 40_000, lead: int = 4) -> Iterator[tuple[list[np.ndarray], np.ndarray, int]]:
+    """Sorted rows as (columns, starts of runs of equal first column, repeated rows).
+
+    Runs come whole up to `hold` rows; a longer one comes in pieces that repeat its first `lead` rows."""
     rest: list[list[np.ndarray]] = []
-    size = 0
+    size = carried = 0
 
-    def made() -> list[np.ndarray]:
-        return [np.concatenate([r[i] for r in rest]) for i in range(columns)]
+    def made() -> tuple[list[np.ndarray], np.ndarray]:
+        x = [np.concatenate([r[i] for r in rest]) for i in range(columns)]
+        return x, np.flatnonzero(np.concatenate([[True], x[0][1:] != x[0][:-1]]))
 
     for b in batches:
         if not b.num_rows:
             continue
         rest.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(columns)])
         size += b.num_rows
-        if size < 40_000 or rest[0][0][0] == rest[-1][0][-1]:
+        if size < hold:
             continue
-        x = made()
-        cut = int(np.searchsorted(x[0], x[0][-1]))
-        yield [c[:cut] for c in x], np.flatnonzero(np.concatenate([[True], x[0][1:cut] != x[0][: cut - 1]]))
-        rest, size = [[c[cut:] for c in x]], len(x[0]) - cut
-    if rest:
-        x = made()
-        yield x, np.flatnonzero(np.concatenate([[True], x[0][1:] != x[0][:-1]]))
+        x, starts = made()
+        if len(starts) > 1:
+            cut = int(starts[-1])
+            yield [c[:cut] for c in x], starts[:-1], carried
+            rest, size, carried = [[c[cut:] for c in x]], len(x[0]) - cut, 0
+        else:
+            yield x, starts, carried
+            rest, size, carried = [[c[:lead] for c in x]], lead, lead
+    if rest and size > carried:
+        yield *made(), carried
 
 
 PAIRS = "kind int, x long, y long, n long, need long"
@@ -232,9 +262,12 @@ def candidates(entries: DataFrame, least: int, scale: int) -> DataFrame:
         names = ["kind", "x", "y", "n", "need"]
         counts = Counts()
         hubs: set[tuple[int, int]] = set()
-        for (token, at, own), starts in runs_of(batches, 3):
+        for (_, token, part, at, own), starts, carried in runs_of(batches, 5):
             length = np.diff(np.append(starts, len(token)))
             many = length > 1
+            whole = part[starts] < 0
+            whole[0] &= not carried  # a piece of a long list
+            many |= ~whole  # the other parts may hold partners
             if not many.any():
                 continue
             # copies from several tasks stand next to each other, for a set has one position in a list
@@ -246,6 +279,7 @@ def candidates(entries: DataFrame, least: int, scale: int) -> DataFrame:
             p, m = at[pick] >> 32, at[pick] & 0xFFFFFFFF
             size = np.bincount(run_id)
             first = np.concatenate([[0], np.cumsum(size)[:-1]])
+            size = np.where(whole[many], size, np.maximum(size, SHORT + 1))
             place, size = np.arange(len(pick)) - first[run_id], size[run_id]
             for gap in range(1, SHORT):  # all pairs of short lists, by distance
                 j = np.flatnonzero((size <= SHORT) & (place >= gap))
@@ -272,44 +306,102 @@ def candidates(entries: DataFrame, least: int, scale: int) -> DataFrame:
                         x = np.array(new, np.int64)
                         one = pa.array(np.ones(len(new), np.int64))
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(new), 2, np.int32)), pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy()), one, one], names=names)
+                long = long[pick[long] >= carried]
                 yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(long), np.int32)), *map(pa.array, (token[pick[long]], at[pick[long]], o[long], o[long]))], names=names)
         yield from counts.take(0, 0)
 
-    return entries.repartition("token").sortWithinPartitions("token", "at", "set").mapInArrow(run, PAIRS)
+    keyed = entries.select(F.xxhash64("token", "part").alias("key"), "token", "part", "at", "set")
+    return keyed.repartition("key").sortWithinPartitions("key", "token", "at", "set").mapInArrow(run, PAIRS)
 
 
-def crossing(entries: DataFrame, least: int, scale: int) -> DataFrame:
-    """Pairs (x, y) of different components that met n times in the long lists (token, at, set, component), skipping blocks by position."""
+def second_look(lists: DataFrame, known: DataFrame) -> DataFrame:
+    """Entries (key, at, set, home, outside, component, sketch) of the long lists (token, at, set) with sets of several components.
+
+    A list has parts by hash of the set; sets outside the component that rules the list visit all of them, home says in which they live."""
+    named = written(lists.join(known.select("set", "component"), "set").select("token", "at", "set", "component"), "jaccard-lists")
+    held = named.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
+    tokens = held.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("ruling"), F.ceil(F.sum("n") / SPLIT).cast("int").alias("parts"), F.count(F.lit(1)).alias("components"))
+    tokens = written(tokens.filter("components > 1").drop("components"), "jaccard-tokens")
+    rows = named.join(tokens, "token").withColumn("outside", F.col("component") != F.col("ruling")).withColumn("own", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("part", F.explode(F.when(F.col("outside"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))))
+    rows = written(rows.select(F.xxhash64("token", "part").alias("key"), "at", "set", (F.col("own") == F.col("part")).alias("home"), "outside", "component"), "jaccard-look")
+    return rows.join(known.select("set", "sketch"), "set").select("key", "at", "set", "home", "outside", "component", "sketch")
+
+
+def crossing(entries: DataFrame, least: int, scale: int, nearest: bool) -> DataFrame:
+    """Pairs of sets of different components in the lists of second_look, skipping blocks by position.
+
+    nearest: kind 2, each set outside the ruling component with its most similar partner. Otherwise kind 3, all pairs (x, y) that met n times."""
     block = 512
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts()
-        for (token, at, own, component), starts in runs_of(batches, 4):
-            for a, b in zip(starts.tolist(), np.append(starts[1:], len(token)).tolist(), strict=True):
-                c = component[a:b]
-                if (c == c[0]).all():
-                    continue
-                o, p, n = own[a:b], at[a:b] >> 32, at[a:b] & 0xFFFFFFFF
-                # at most this much of a pair may stand before a first shared shingle, whatever the partner's size
-                most = n * (1 + scale / least) * (scale - least) / (scale + least) + 2 * shared(n)
-                names, sizes = np.unique(c, return_counts=True)
-                others = np.flatnonzero(c != names[sizes.argmax()])
-                rank = np.full(len(c), -1)
-                rank[others] = np.arange(len(others))
-                for low in range(0, len(others), block):
-                    j = others[low : low + block]
-                    for from_ in range(0, len(c), block):
-                        i = np.arange(from_, min(from_ + block, len(c)))
-                        if p[i[0]] + p[j].min() > most[j].max():
-                            break  # sorted by position: no later block can link
-                        # two sets outside the ruling component meet once, at the later of them
-                        ok = may_link(p[i][:, None], n[i][:, None], p[j][None], n[j][None], least, scale) & (c[i][:, None] != c[j][None]) & (rank[i][:, None] < rank[j][None])
-                        x, y = np.nonzero(ok)
+        counts, done = Counts(), set()
+        for a in lists_of(batches):
+            key, at, own, home, outside, component, sketches = a
+            c, o, p, n = component, own, at >> 32, at & 0xFFFFFFFF
+            # at most this much of a pair may stand before a first shared shingle, whatever the partner's size
+            most = n * (1 + scale / least) * (scale - least) / (scale + least) + 2 * shared(n)
+            others = np.flatnonzero(outside)
+            for low in range(0, len(others), block):
+                j = others[low : low + block]
+                best, partner = np.full(len(j), BUCKETS + 1), np.zeros(len(j), np.int64)
+                for from_ in range(0, len(c), block):
+                    i = np.arange(from_, min(from_ + block, len(c)))
+                    if p[i[0]] + p[j].min() > most[j].max():
+                        break  # sorted by position: no later block can link
+                    ok = may_link(p[i][:, None], n[i][:, None], p[j][None], n[j][None], least, scale) & (c[i][:, None] != c[j][None])
+                    if not nearest:
+                        # two sets outside the ruling component meet once, where the smaller of them lives
+                        ok &= ~outside[i][:, None] | (o[i][:, None] < o[j][None]) & home[i][:, None]
+                    x, y = np.nonzero(ok)
+                    if not len(x):
+                        continue
+                    apart = np.bitwise_count(sketches[i[x]] ^ sketches[j[y]]).sum(1, dtype=np.int64)
+                    na, nb = n[i[x]], n[j[y]]
+                    on = apart <= na + nb - 2 * least_overlap(na, nb, least, scale)
+                    x, y, apart = x[on], y[on], apart[on]
+                    if nearest:
+                        order = np.lexsort((x, apart, y))
+                        first = order[np.unique(y[order], return_index=True)[1]]
+                        first = first[apart[first] < best[y[first]]]
+                        best[y[first]], partner[y[first]] = apart[first], o[i[x[first]]]
+                    else:
                         counts.add(o[i[x]], o[j[y]], shared(np.minimum(n[i[x]], n[j[y]])))
-                yield from counts.take(3)
+                if nearest and (best <= BUCKETS).any():
+                    found = {(min(u, v), max(u, v)) for u, v in zip(o[j[best <= BUCKETS]].tolist(), partner[best <= BUCKETS].tolist(), strict=True)} - done
+                    if len(done) > 200_000:
+                        done.clear()
+                    done |= found
+                    if found:
+                        pairs, one = np.array(sorted(found), np.int64), pa.array(np.ones(len(found), np.int64))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), 2, np.int32)), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), one, one], names=["kind", "x", "y", "n", "need"])
+            yield from counts.take(3)
         yield from counts.take(3, 0)
 
-    return entries.repartition("token").sortWithinPartitions("token", "at", "set").mapInArrow(run, PAIRS)
+    return entries.repartition("key").sortWithinPartitions("key", "at", "set").mapInArrow(run, PAIRS)
+
+
+def lists_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of each list in turn, sketches as rows of 64-bit words."""
+
+    def made(held: list[pa.RecordBatch]) -> list[np.ndarray]:
+        t = pa.Table.from_batches(held)
+        columns = [t.column(i).to_numpy() for i in range(6)]
+        return [*columns, np.frombuffer(b"".join(t.column(6).to_pylist()), U).reshape(-1, BUCKETS // 64)]
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = b.column(0).to_numpy()
+        cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+        for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+            if held and held[-1].column(0)[0].as_py() != key[start]:
+                yield made(held)
+                held = []
+            held.append(b.slice(start, end - start))
+    if held:
+        yield made(held)
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, least: int, scale: int) -> DataFrame:
@@ -352,15 +444,28 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, l
     return texts.select("x", "part", "role", "id", "set", "text").repartition("x", "part").sortWithinPartitions("x", "part", "role").mapInArrow(run, "u long, v long")
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (node, label) after more links (u, v): components of components."""
+    of = lambda end: F.coalesce(F.col(f"{end}_label"), F.col(end)).alias(end)
+    named = links
+    for end in ("u", "v"):
+        named = named.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label")), end, "left").select(of(end), *[c for c in named.columns if c != end])
+    again = written(connected(written(named.select("u", "v"), "jaccard-named")).select(F.col("node").alias("label"), F.col("label").alias("smaller")), "jaccard-again")
+    old = labels.join(again, "label", "left").select("node", F.coalesce("smaller", "label").alias("label"))
+    fresh = again.select(F.col("label").alias("node"), F.col("smaller").alias("label")).join(labels.select("node"), "node", "left_anti")
+    return written(old.unionByName(fresh), "jaccard-labels")
+
+
 def components_of(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, least: int = 85, scale: int = 100) -> DataFrame:
     """One row per input row: key, n_shingles and component_id, the smallest key reachable by links.
 
-    Keys are integers and name documents; rows with a null key have no part in links, and a null component."""
+    Keys are integers and name documents; rows with a null key have no part in links, and a null component. Repeated
+    rows repeat. Other columns of df, whatever their names, are not read. An empty table gives no rows."""
     prepare(df.sparkSession)
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     seen = written(survey(docs, size), "jaccard-survey")
-    members = seen.filter("kind = 0").select("id", "n", "set")
-    classes = written(members.filter("n > 0 AND id IS NOT NULL").groupBy("set").agg(F.min("id").alias("rep")), "jaccard-classes")
+    members = seen.filter("kind = 0").select("id", "n", "set", "sketch")
+    classes = written(members.filter("n > 0 AND id IS NOT NULL").groupBy("set").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch")), "jaccard-classes")
     often = written(seen.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= GLOBALLY), "jaccard-frequent")
     floor, room = 0, FREQUENT
     for r in often.groupBy(F.floor(F.log2("n")).alias("power")).count().orderBy(F.desc("power")).collect():  # a row a power of two
@@ -368,29 +473,36 @@ def components_of(df: DataFrame, key: str = "doc_id", text: str = "text", size:
         if room < 0:
             floor = 2 ** (r["power"] + 1)
             break
-    often = often.filter(F.col("n") >= floor)
-    frequent = np.sort(np.array([r["id"] for r in often.select("id").toLocalIterator()], np.int64).view(U))
+    often = [(r["id"], r["n"]) for r in often.filter(F.col("n") >= floor).select("id", "n").toLocalIterator()]
+    frequent, parts = np.array([t for t, _ in often], np.int64).view(U), np.array([-(-n // SPLIT) for _, n in often], U)
+    order = np.argsort(frequent)
+    entries = index_entries(docs.filter("id IS NOT NULL"), size, least, scale, frequent[order], parts[order])
 
-    found = written(candidates(index_entries(docs.filter("id IS NOT NULL"), size, least, scale, frequent), least, scale), "jaccard-candidates")
+    found = written(candidates(entries, least, scale), "jaccard-candidates")
     met = found.filter("kind = 0").groupBy("x", "y").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
-    hubs = found.filter("kind = 2").select("x", "y").distinct()
     flat = lambda d: d.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    hubs = found.filter("kind = 2").select("x", "y").distinct()
     enough = met.filter("n >= need").select("x", "y").join(flat(hubs), ["x", "y"], "left_anti")
     pairs = written(hubs.unionByName(enough).distinct(), "jaccard-pairs")
-    links = written(verified(pairs, classes, docs, size, least, scale), "jaccard-links")
-    labels = connected(links)
+    labels = written(connected(written(verified(pairs, classes, docs, size, least, scale), "jaccard-links")), "jaccard-labels")
 
     lists = found.filter("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("at"), F.col("n").alias("set"))
-    if not lists.isEmpty():
-        known = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set", F.coalesce("label", "rep").alias("component"))
-        again = crossing(lists.join(known, "set").select("token", "at", "set", "component"), least, scale)
-        # one aggregate over both kinds of lists; pairs that met in short lists only were decided above
-        both = again.select("x", "y", "n", "need", F.lit(1).alias("again")).unionByName(met.select("x", "y", "n", "need", F.lit(0).alias("again")))
-        total = both.groupBy("x", "y").agg(F.sum("n").alias("n"), F.max("need").alias("need"), F.max("again").alias("again")).filter("again = 1 AND n >= need")
-        second = written(total.select("x", "y").join(flat(pairs), ["x", "y"], "left_anti"), "jaccard-second")
-        if not second.isEmpty():
-            links = written(links.unionByName(verified(second, classes, docs, size, least, scale)), "jaccard-links")
-            labels = connected(links)
+    done = flat(pairs)
+    for nearest in (True, False):
+        if lists.isEmpty():
+            break
+        known = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set", F.coalesce("label", "rep").alias("component"), "sketch")
+        again = crossing(second_look(lists, known), least, scale, nearest)
+        if nearest:
+            more = again.select("x", "y")
+        else:
+            # one aggregate over both kinds of lists; pairs that met in short lists only were decided above
+            both = again.select("x", "y", "n", "need", F.lit(1).alias("again")).unionByName(met.select("x", "y", "n", "need", F.lit(0).alias("again")))
+            more = both.groupBy("x", "y").agg(F.sum("n").alias("n"), F.max("need").alias("need"), F.max("again").alias("again")).filter("again = 1 AND n >= need")
+        more = written(flat(more).distinct().join(done, ["x", "y"], "left_anti"), "jaccard-more")
+        if not more.isEmpty():
+            labels = merged(labels, written(verified(more, classes, docs, size, least, scale), "jaccard-links"))
+            done = done.unionByName(more)
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set", F.coalesce("label", "rep").alias("component"))
     return members.join(named, "set", "left").select(
         F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component_id")
