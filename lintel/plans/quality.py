@@ -11,13 +11,13 @@ from lintel.operators import rollups
 from lintel.session import written
 
 
-def findings(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def findings(files: DataFrame, repository: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(findings, file facts) of a source tree (path, language, text): one parse of each file, then joins. Numbers in tests are no findings."""
-    python = written(python_code.analyse(files.filter("language = 'python'")), "python-rows")
-    other = written(c_code.analyse(files), "c-rows")
-    rows = python_code.all_findings(python).unionByName(other.filter("kind = 'finding'").drop("kind"))
+    python = written(python_code.analyse(files.filter("language = 'python'"), repository=repository), "python-rows")
+    other = written(c_code.analyse(files, repository=repository), "c-rows")
+    rows = python_code.all_findings(python).unionByName(c_code.all_findings(other))
     rows = rows.filter(~((F.col("smell") == "MagicNumber") & is_test_file(F.col("path"))))
-    facts = python.filter("kind IN ('file', 'error')").unionByName(other.filter("kind = 'file'"))
+    facts = python.unionByName(other).filter("kind IN ('file', 'error')")
     return rows, facts.select("path", F.coalesce("smell", "kind").alias("fact"), "value", F.when(F.col("kind") == "error", F.col("detail")).alias("error"))
 
 

@@ -647,8 +647,7 @@ def written_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT 'src/f' || p_partkey || '.py' AS path, 'LongMethod' AS smell, CASE WHEN p_size + 1 > 60 THEN 'high' ELSE 'medium' END AS severity, 'f' || p_partkey AS name,
-p_size + 1 AS value FROM part WHERE p_size + 1 > 30
+    """SELECT 'src/f' || p_partkey || '.py' AS path, 'LongMethod' AS smell, 'high' AS severity, 'f' || p_partkey AS name, p_size AS value FROM part WHERE p_size > 30
 UNION ALL SELECT 'src/f' || p_partkey || '.py', 'DeadCode', 'low', 'f' || p_partkey, NULL FROM part"""
 )
 def python_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -657,8 +656,8 @@ def python_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT 'src/f' || p_partkey || '.py' AS path, greatest(p_size, 1) + 1 AS lines, 1 + (p_size + 1 > 30)::INT AS findings,
-CASE WHEN p_size + 1 > 60 THEN 91.0 WHEN p_size + 1 > 30 THEN 95.0 ELSE 99.0 END::DOUBLE AS score FROM part"""
+    """SELECT 'src/f' || p_partkey || '.py' AS path, greatest(p_size, 1) + 1 AS lines, 1 + (p_size > 30)::INT AS findings,
+CASE WHEN p_size > 30 THEN 91.0 ELSE 99.0 END::DOUBLE AS score FROM part"""
 )
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = written(written_sources(spark, sf_dir), "sources")

@@ -52,9 +52,19 @@ def folders(paths: DataFrame, path: str = "path") -> DataFrame:
     return rows.groupBy("folder").agg(F.count(F.lit(1)).alias("files")).select("folder", F.array_join(F.slice(F.split("folder", "/"), 1, F.greatest(depth - 1, F.lit(0))), "/").alias("parent"), depth.alias("depth"), "files")
 
 
-def archive_members(archives: DataFrame, name: str = "name", content: str = "content") -> DataFrame:
-    """(name, path, text, error) of the source files in ZIP archives. Members that would leave the archive's folder, and archives that are too large or broken, give an error row."""
+def archive_members(archives: DataFrame, name: str = "name", content: str = "content", largest_member: int = 64 << 20) -> DataFrame:
+    """(name, path, text, error) of the source files in ZIP archives. Archives that are too large or broken give an error row, and so
+    does each member that would leave the archive's folder, unpacks to more than largest_member bytes, or can't be read."""
     prepare(archives.sparkSession)
+    columns = ["name", "path", "text", "error"]
+
+    def text_of(z: zipfile.ZipFile, member: zipfile.ZipInfo) -> tuple[str | None, str | None]:
+        try:
+            with z.open(member) as f:
+                data = f.read(largest_member + 1)  # what the archive says of sizes may be wrong
+        except Exception as e:  # whatever a member holds, the others are read
+            return None, f"{type(e).__name__}: {e}"
+        return (None, "too large") if len(data) > largest_member else (data.decode("utf-8", "replace"), None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -69,11 +79,11 @@ def archive_members(archives: DataFrame, name: str = "name", content: str = "con
                         for i in sorted(members, key=lambda i: i.filename):
                             path = i.filename.replace("\\", "/")
                             if path.startswith("/") or ".." in path.split("/"):
-                                yield pd.DataFrame([(n, path, None, "path leaves the archive")], columns=["name", "path", "text", "error"])
+                                yield pd.DataFrame([(n, path, None, "path leaves the archive")], columns=columns)
                             elif path.rsplit(".", 1)[-1].lower() in EXTENSIONS:
-                                yield pd.DataFrame([(n, path.removeprefix(top), z.read(i).decode("utf-8", "replace"), None)], columns=["name", "path", "text", "error"])
-                except (zipfile.BadZipFile, ValueError) as e:
-                    yield pd.DataFrame([(n, None, None, str(e))], columns=["name", "path", "text", "error"])
+                                yield pd.DataFrame([(n, path.removeprefix(top), *text_of(z, i))], columns=columns)
+                except (zipfile.BadZipFile, ValueError, NotImplementedError, OSError) as e:
+                    yield pd.DataFrame([(n, None, None, str(e))], columns=columns)
 
     return archives.select(F.col(name).alias("name"), F.col(content).alias("content")).mapInPandas(run, "name string, path string, text string, error string")
 

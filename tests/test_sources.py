@@ -78,7 +78,7 @@ def test_python_findings():
 
 @pytest.mark.parametrize("lines,found", [(30, False), (31, True)])
 def test_long_method_boundary(lines, found):
-    text = "def f():\n" + "    pass\n" * (lines - 1)
+    text = "def f():\n" + '    """Says\n    what it does."""\n\n    # so\n' + "    pass\n" * lines  # the header, texts and comments don't count
     assert any(r[1] == "LongMethod" for r in python_code.rows_of(text)) == found
 
 
@@ -90,15 +90,88 @@ def test_c_text():
     assert c_code.control_depth(found[1]["body"]) == 4 and c_code.brace_depth("{{}{{}}}") == 3
     assert [c_code.number_value(t) for t in ("0x1F", "010", "5f", "1.5e3", "7UL", "1_000", "09")] == [31.0, 8.0, 5.0, 1500.0, 7.0, 1000.0, None]
     smells = {(r[1], r[3]) for r in c_code.rows_of("a.c", C_TEXT, "c") if r[0] == "finding"}
-    assert {("DeadCode", "unused"), ("DeepNesting", "deep"), ("TooManyParameters", "deep"), ("UnsafeFunction", "deep"), ("GlobalVariable", None), ("MagicNumber", "unused")} <= smells
+    assert {("DeadCode", "unused"), ("DeepNesting", "deep"), ("TooManyParameters", "deep"), ("UnsafeFunctionUsage", "gets"), ("GlobalVariable", "counter"), ("MagicNumber", "unused")} <= smells
     assert c_code.split_top("a, f(b, c), d[e, f]") == ["a", " f(b, c)", " d[e, f]"] and c_code.parameter_count("void") == 0
 
 
+RULES = """
+from abc import ABC
+import json
+def loose(a, b):
+    kept = 1
+    total = 0
+    total += a
+    hint: int
+    def inner():
+        lost = kept
+        return b
+    _gone = 5
+    _ = 6
+    for i in a:
+        continue
+        b(i)
+        b(7 * 3600)
+    return json.loads(a).x.y.replace(1).strip()
+class BaseThing: pass
+class Thing(BaseThing): pass
+class LonelyMixin: pass
+class Oops(Exception): pass
+class Record:
+    a: int
+    b: str = "x"
+    c: float
+    def __init__(self, other):
+        self.d: bool = other._init
+    def __eq__(self, other):
+        return other._d == self.d
+    def go(self, x=40, y=(41, 42)):
+        assert x != 43
+        MAX_SIZE = 44
+        return x._hidden > 45
+@loose
+def decorated(): pass
+"""
+
+
+def test_python_rules():
+    rows = [r for r in python_code.rows_of(RULES) if r[0] == "finding"]
+    of = lambda smell: [(r[3], r[7]) for r in rows if r[1] == smell]
+    assert of("UnusedVariable") == [("loose", "_gone"), ("inner", "lost"), ("go", "MAX_SIZE")]
+    assert [r[5] - r[4] for r in rows if r[1] == "UnreachableCode"] == [0, 0] and {r[2] for r in rows if r[1] == "UnreachableCode"} == {"low"}
+    assert of("MessageChains") == []
+    assert {n for n, _ in of("LazyClass")} == {"Thing"} and [(r[2], r[6]) for r in rows if r[1] == "PrimitiveObsession"] == [("medium", 4)]
+    assert of("InappropriateIntimacy") == [("Record", "_hidden")]
+    assert [d for _, d in of("MagicNumber")] == ["5", "6", "7", "45"]
+    checked = {r[3] for r in python_code.rows_of(RULES) if r[0] == "checked"}
+    assert checked == {"loose", "inner", "BaseThing", "Thing", "LonelyMixin", "Oops", "Record"}
+    assert {r[3] for r in python_code.rows_of(RULES) if r[0] == "abstract"} == {"BaseThing", "LonelyMixin"}
+
+
+def test_dead_code_of_one_repository(spark):
+    rows = [("r", "a.py", "def f(): pass\n"), ("r", "b.py", "from a import f\n"), ("s", "a.py", "def f(): pass\nclass OneMixin: pass\n")]
+    df = spark.createDataFrame(rows, "repo string, path string, text string")
+    found = python_code.all_findings(python_code.analyse(df, repository="repo")).collect()
+    assert {(r["repository"], r["smell"], r["name"]) for r in found} == {("s", "DeadCode", "f"), ("s", "DeadCode", "OneMixin"), ("s", "SpeculativeGenerality", "OneMixin")}
+
+
+def test_c_and_java_rules(spark):
+    body = "{ if (a) { } for (;;) { } switch (a) { case 1: break; } try { } catch (E e) { } int b = a ? 1 : 2; }"
+    assert (c_code.complexity(body, "c"), c_code.complexity(body, "java")) == (5, 5)
+    assert c_code.split_top("Map<A, B> m, int x") == ["Map<A", " B> m", " int x"]
+    text = "#define N 77\nint twice(int a);\nint twice(int a) { return a * 60; }\nint used(void) { return 7; }\nint main(void) { const int k = 9; int t[] = {3, 5}; switch (k) { case 6: used(); } return used() - 8; }\n"
+    rows = list(c_code.rows_of("x/a.c", text, "c"))
+    assert [(r[3], r[7]) for r in rows if r[1] == "MagicNumber"] == [("used", "7"), ("main", "8")]
+    df = spark.createDataFrame([("r", "a.c", "c", text), ("r", "b.c", "c", "int f(void) { return twice(1); }"), ("s", "a.c", "c", text)], "repo string, path string, language string, text string")
+    found = c_code.all_findings(c_code.analyse(df, repository="repo")).filter("smell = 'DeadCode'").collect()
+    assert {(r["repository"], r["name"]) for r in found} == {("r", "f"), ("s", "twice")}
+    assert c_code.comment_lines("/* Copyright */\n/** doc\n */\n// a\nint x; /* b\nc */\n") == 3
+
+
 def test_quality_report(spark, tree):
     source = files.source_tree(spark, tree)
     found, facts = quality.findings(source)
     smells = {(r["path"], r["smell"], r["name"]) for r in found.collect()}
-    assert ("src/klass.py", "DeadCode", "Unused") in smells and ("src/klass.py", "DuplicateCode", "same_two") in smells
+    assert ("src/klass.py", "DeadCode", "Unused") in smells and ("src/klass.py", "DuplicateCode", "same_one") in smells
     assert any(s[1] == "DataClumps" for s in smells) and not any(s[1] == "DeadCode" and s[2] == "same_one" for s in smells)
     reports = {r["path"]: r for r in quality.file_report(source, found, facts).collect()}
     assert reports["src/bad.py"]["error"] and reports["src/bad.py"]["score"] is None
@@ -116,8 +189,15 @@ def test_archives(spark):
         return out.getvalue()
 
     df = spark.createDataFrame([("ok", packed({"top/a.py": "x", "top/b.txt": "y"})), ("bad", b"no zip"), ("slip", packed({"../e.py": "x"})), ("none", None)], "name string, content binary")
-    rows = {(r["name"], r["path"]): r for r in files.archive_members(df).collect()}
-    assert rows["ok", "a.py"]["text"] == "x" and len(rows) == 4
+    broken = bytearray(packed({"a.py": "print('a text that is long enough to be packed, packed, packed')" * 9, "b.py": "y"}))
+    broken[45:60] = b"\xff" * 15
+    locked = bytearray(packed({"a.py": "x"}))
+    locked[6] |= 1  # marked as encrypted
+    locked[locked.index(b"PK\x01\x02") + 8] |= 1
+    df = df.unionByName(spark.createDataFrame([("broken", bytes(broken)), ("locked", bytes(locked)), ("bomb", packed({"a.py": " " * 3_000_000, "b.py": "z"}))], df.schema))
+    rows = {(r["name"], r["path"]): r for r in files.archive_members(df, largest_member=2_000_000).collect()}
+    assert rows["ok", "a.py"]["text"] == "x" and rows["bomb", "b.py"]["text"] == "z" and rows["broken", "b.py"]["text"] == "y"
+    assert rows["broken", "a.py"]["error"] and rows["locked", "a.py"]["error"] and "large" in rows["bomb", "a.py"]["error"]
     assert rows["bad", None]["error"] and rows["slip", "../e.py"]["error"] and rows["none", None]["error"]
 
 
