@@ -14,7 +14,10 @@ and scores are computed for all documents, whole texts, in one pass over the tex
 written once. Source rates, the metadata view's feature, are grouped aggregates over all labelled rows
 of the training part, shrunk to the overall rate.
 
-Null and empty texts have the features of an empty text. Null metadata is a value of its own. Without
+A round is one pass over the examples: each task keeps the surest of its rows for both views and classes.
+
+Very long texts are used whole; an empty table gives no rows. Other columns of the inputs, whatever their names,
+are not read. Null and empty texts have the features of an empty text. Null metadata is a value of its own. Without
 labelled rows of both classes every score is the labelled share of good rows (0.5 without labels).
 Repeated rows repeat; labels of a key that disagree count by their mean, rounded up.
 """
@@ -171,6 +174,37 @@ def view_scores(table: DataFrame, views: list[tuple[list[str], Calibrated]]) ->
     return table.mapInArrow(run, schema)
 
 
+def surest(table: DataFrame, views: list[tuple[list[str], Calibrated]], every: list[str], exchange: int, least: float = 2.0) -> list[list]:
+    """For each view and class (first the good) the examples that its model is surest of, as rows of `every`: one pass over the table.
+
+    Each task keeps its own surest; those are compared in the end. Ties go to the smaller id."""
+    schema = widened(table.select("__id", *every), "__end int, __score double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table | None] = [None] * (2 * len(views))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b]).select(["__id", *every])
+            for i, (columns, model) in enumerate(views):
+                score = model.logit(matrix([b.column(b.schema.get_field_index(c)).to_pylist() for c in columns]))
+                for end, sign in ((2 * i, 1), (2 * i + 1, -1)):
+                    sure = np.flatnonzero(sign * score > least)
+                    if len(sure):
+                        mine = t.take(pa.array(sure)).append_column("__end", pa.array(np.full(len(sure), end, np.int32))).append_column("__score", pa.array(sign * score[sure]))
+                        mine = mine if held[end] is None else pa.concat_tables([held[end], mine])
+                        held[end] = mine.sort_by([("__score", "descending"), ("__id", "ascending")]).slice(0, exchange).combine_chunks()
+        for t in held:
+            if t is not None:
+                yield from t.to_batches()
+
+    ends = written(table.select("__id", *every).mapInArrow(run, schema), "quality-surest")
+    return [
+        [[bytes(v) if isinstance(v, bytearray) else v for v in r] for r in ends.filter(F.col("__end") == end).orderBy(F.desc("__score"), "__id", *every).limit(exchange).select(*every).collect()]
+        for end in range(2 * len(views))
+    ]
+
+
 def classify(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", metadata: tuple[str, ...] = ("source", "lang"), label: str = "quality", sample: int = 20_000, rounds: int = 3, exchange: int = 200, keep: float = 0.5
 ) -> DataFrame:
@@ -217,15 +251,12 @@ def classify(
         left = examples
         if taken:
             left = left.join(F.broadcast(spark.createDataFrame(taken, examples.select(*every).schema)), every, "left_anti")  # at most 4 * exchange rows a round
-        scored = view_scores(left, list(zip(names, models, strict=True)))
         given: list[list] = [[], []]
-        for i in (0, 1):
-            for value, sort in ((1.0, F.desc(f"__view{i}")), (0.0, F.asc(f"__view{i}"))):
-                sure = scored.filter(F.col(f"__view{i}") > 2.0 if value else F.col(f"__view{i}") < -2.0)
-                for r in sure.orderBy(sort, "__id", *every).limit(exchange).select(*every).collect():
-                    r = [bytes(v) if isinstance(v, bytearray) else v for v in r]
-                    given[1 - i].append((matrix([[r[every.index(c)]] for c in names[1 - i]])[0], value))
-                    taken.append(tuple(r))
+        for end, found in enumerate(surest(left, list(zip(names, models, strict=True)), every, exchange)):
+            i, value = end // 2, 1.0 - end % 2
+            for r in found:
+                given[1 - i].append((matrix([[r[every.index(c)]] for c in names[1 - i]])[0], value))
+                taken.append(tuple(r))
         for i in (0, 1):
             if given[i]:
                 x, t = pool[i]

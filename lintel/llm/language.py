@@ -11,7 +11,9 @@ log posterior(language) = text + declared + prior, where
 
 A row is rejected (language "und") if the best language is the flat one, its posterior is under
 `threshold`, or the text has no letter. Null and empty texts, and those of white space, are rejected.
-Null declarations, hosts and suffixes give no evidence. Every row gives one row; repeated rows repeat.
+Null declarations, hosts and suffixes give no evidence. Every row gives one row; repeated rows repeat; an empty
+table gives none. Ties go to the first language. Texts are used whole, whatever their length. Other columns pass
+through; names that begin with two underscores are reserved.
 
 The text model is fitted on a bounded sample of declared rows: per language the `sample` rows with the
 smallest hash, whole texts. Everything else covers all rows.

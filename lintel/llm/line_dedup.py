@@ -148,7 +148,7 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_word
     # written, so that the join reads two tables and the rows of a frequent window can be split among tasks
     earliest = written(earliest, "line-earliest")
     later = matches.join(earliest, ["fingerprint", "content"]).filter(place > F.col("earliest"))
-    # windows of one document that overlap or touch are one run; sorted spans are merged before they are collected
+    # a document's spans: at most two windows for each of its lines
     spans = later.groupBy("key", "version").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("spans"))
     spans = written(spans, "line-spans")
     out = widened(docs, "lines_before long, lines_deleted long")

@@ -33,6 +33,7 @@ HEADER = 33  # signature and IHDR
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 SHARD_BYTES = 64 << 20
 BLOCK = 512  # of tar
+TASK_BYTES = 16 << 20  # read by one task
 
 
 def padded(data: bytes) -> bytes:
@@ -125,6 +126,12 @@ def store(df: DataFrame, key: str, text: str, folder: str) -> DataFrame:
 
     A null text counts as empty. Equal payloads have equal digests and stored forms; a payload that several
     shards hold is addressed in the first of them, by name and offset."""
+    rows, places = stored(df, key, text, folder)
+    return rows.join(places, "digest").select("key", "n_bytes", "digest", "shard", "shard_offset", "shard_length").withColumnRenamed("key", key)
+
+
+def stored(df: DataFrame, key: str, text: str, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(key, n_bytes, digest) of every row, and (digest, shard, shard_offset, shard_length) of every stored form."""
     prepare(df.sparkSession)
     schema = widened(df.select(F.col(key).alias("key")), "n_bytes long, digest string, shard string, shard_offset long, shard_length long")
 
@@ -155,15 +162,25 @@ def store(df: DataFrame, key: str, text: str, folder: str) -> DataFrame:
         shards.close()
 
     rows = written(df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema), "media-index")
-    # written, so that the join reads two tables and the rows of a frequent payload can be split among tasks
+    # written, so that a join with it reads two tables and the rows of a frequent payload can be split among tasks
     first = written(rows.groupBy("digest").agg(F.min(F.struct("shard", "shard_offset", "shard_length")).alias("place")), "media-places")
-    return rows.select("key", "n_bytes", "digest").join(first, "digest").select("key", "n_bytes", "digest", "place.*").withColumnRenamed("key", key)
+    return rows.select("key", "n_bytes", "digest"), first.select("digest", "place.*")
+
+
+def places_of(rows: DataFrame) -> DataFrame:
+    """(digest, shard, shard_offset, shard_length), once for each stored form."""
+    first = rows.groupBy("digest").agg(F.min(F.struct("shard", "shard_offset", "shard_length")).alias("place"))
+    return written(first.select("digest", "place.*"), "media-places")
 
 
-def ranges(rows: DataFrame, folder: str, read, schema: str) -> DataFrame:
-    """read(digest, length, at) for each distinct stored form; at(start, size) reads a range of it. Shards are read in order."""
-    prepare(rows.sparkSession)
-    unique = rows.groupBy("digest").agg(F.min(F.struct("shard", "shard_offset", "shard_length")).alias("place")).select("digest", "place.*")
+def ranges(places: DataFrame, folder: str, read, schema: str) -> DataFrame:
+    """Append read(length, at) to each stored form (digest, shard, shard_offset, shard_length); at(start, size) reads a range of it. Shards are read in order."""
+    prepare(places.sparkSession)
+    kept = ["digest", "shard", "shard_offset", "shard_length"]
+    # dealt by what is to be read, not by the size of these rows
+    total = places.agg(F.sum("shard_length")).first()[0] or 0
+    dealt = places.select(*kept).repartitionByRange(max(1, -(-total // TASK_BYTES)), "shard", "shard_offset")
+    out_schema = widened(places.select(*kept), schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = fs.FileSystem.from_uri(folder)
@@ -177,14 +194,14 @@ def ranges(rows: DataFrame, folder: str, read, schema: str) -> DataFrame:
                             source.close()
                         now, source = r["shard"], files.open_input_file(f"{root}/{r['shard']}")
                     offset, length = r["shard_offset"], r["shard_length"]
-                    out.append((r["digest"], *read(length, lambda at, size, o=offset: source.read_at(size, o + at))))
-                names = ["digest", *[c.split()[0] for c in schema.split(", ")]]
-                kinds = [pa.string(), *[{"long": pa.int64(), "string": pa.string()}[c.split()[1]] for c in schema.split(", ")]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                    out.append((*(r[c] for c in kept), *read(length, lambda at, size, o=offset: source.read_at(size, o + at))))
+                arrow = {"long": pa.int64(), "string": pa.string(), "bigint": pa.int64()}
+                kinds = [arrow[f.dataType.simpleString()] for f in out_schema.fields]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=out_schema.names)
         if source is not None:
             source.close()
 
-    return unique.sortWithinPartitions("shard", "shard_offset").mapInArrow(run, f"digest string, {schema}")
+    return dealt.sortWithinPartitions("shard", "shard_offset").mapInArrow(run, out_schema)
 
 
 def read_header(length: int, at) -> tuple:
@@ -198,21 +215,32 @@ def read_whole(length: int, at) -> tuple:
     return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(payload)
 
 
+HEADER_COLUMNS = "width long, height long, bits long"
+WHOLE_COLUMNS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
 def probe(rows: DataFrame, folder: str) -> DataFrame:
     """(digest, width, height, bits) from header-only range reads."""
-    return ranges(rows, folder, read_header, "width long, height long, bits long")
+    return ranges(places_of(rows), folder, read_header, HEADER_COLUMNS).drop("shard", "shard_offset", "shard_length")
 
 
 def fetch(rows: DataFrame, folder: str) -> DataFrame:
     """(digest, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature), read back from the shards."""
-    return ranges(rows, folder, read_whole, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return ranges(places_of(rows), folder, read_whole, WHOLE_COLUMNS).drop("shard", "shard_offset", "shard_length")
 
 
 def media_columns(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Store every text, then fill metadata (header reads) and features (whole reads): one row per input row."""
+    """Store every text, then fill metadata (a header read) and features (a whole read) of each stored form: one row per input row.
+
+    Other columns of df, whatever their names, are not read; a key that is named like an output column raises."""
+    new = [c.split()[0] for c in f"n_bytes long, digest string, shard string, shard_offset long, shard_length long, {HEADER_COLUMNS}, {WHOLE_COLUMNS}".split(", ")]
+    if key in new:
+        raise ValueError(f"the key column {key} is named like an output column")
     folder = f"{shared_dir(df.sparkSession)}/media-{uuid.uuid4().hex}"
-    rows = store(df, key, text, folder)
-    return rows.join(probe(rows, folder), "digest").join(fetch(rows, folder), "digest")
+    rows, places = stored(df, key, text, folder)
+    both = ranges(places, folder, lambda length, at: (*read_header(length, at), *read_whole(length, at)), f"{HEADER_COLUMNS}, {WHOLE_COLUMNS}")
+    # written, so that the join reads two tables and the rows of a frequent payload can be split among tasks
+    return rows.withColumnRenamed("key", key).join(written(both, "media-features"), "digest")
 
 
 def open_tar(data: bytes) -> dict[str, bytes]:
