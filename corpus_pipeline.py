@@ -1,4 +1,7 @@
-"""A corpus pipeline: documents to token ids, one operator a stage, each stage written and read again."""
+"""A corpus pipeline: documents to token ids, one operator a stage, each stage written and read again.
+
+Every stage takes documents (doc_id, text, lang, source, n_chars; more columns pass through all stages but the last) and
+works on whole texts of any length. An empty table gives an empty one."""
 
 from __future__ import annotations
 
@@ -11,14 +14,20 @@ from lintel.session import prepare, table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language the evidence rejects; the others stay as they are."""
+    """Drop documents whose language the evidence rejects; the others stay as they are.
+
+    Null and empty texts, and texts without letters, are rejected. Null languages and sources give no evidence. Repeated
+    rows have one fate, ties of languages go to the first; column names that begin with __ are reserved."""
     prepare(spark)
     found = language.identify(docs, "doc_id", declared="lang", host="source")
     return found.filter("language_kept").select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Delete later repeats of runs of 50 words or more; documents of which no line is left go, n_chars follows the text."""
+    """Delete later repeats of runs of 50 words or more; documents of which no line is left go, n_chars follows the text.
+
+    Null texts, and texts without lines to delete, stay as they are; a run's first place by id and line keeps it. Rows of
+    equal id and text count as one document and stay both. Null ids are one id, before all others."""
     prepare(spark)
     found = line_dedup.dedup_lines(docs)
     left = found.filter((F.col("lines_deleted") == 0) | (F.col("lines_deleted") < F.col("lines_before")))
@@ -45,14 +54,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, stored in the order of the Pfair schedule."""
+    """All documents, stored in the order of the Pfair schedule.
+
+    A null source is a source of its own; texts are not looked at. Every row, repeated ones included, has one place; ties
+    are broken by a hash of the id."""
     prepare(spark)
     mixed = mixing.mix(docs, power=MIX_POWER, block_docs=MIX_BLOCK)
     return mixed.repartitionByRange("mix_slot", "mix_place").sortWithinPartitions("mix_slot", "mix_place").select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang, n_chars, token_ids and n_tokens of every document."""
+    """doc_id, source, lang, n_chars, token_ids and n_tokens of every document.
+
+    Null and empty texts have no ids; null values of the other columns stay; every row gives one."""
     prepare(spark)
     return sentencepieces.encode(docs, piece_model()).select("doc_id", "source", "lang", "n_chars", "token_ids", "n_tokens")
 
