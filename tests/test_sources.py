@@ -141,7 +141,7 @@ def test_python_rules():
     assert of("MessageChains") == []
     assert {n for n, _ in of("LazyClass")} == {"Thing"} and [(r[2], r[6]) for r in rows if r[1] == "PrimitiveObsession"] == [("medium", 4)]
     assert of("InappropriateIntimacy") == [("Record", "_hidden")]
-    assert [d for _, d in of("MagicNumber")] == ["5", "6", "7", "45"]
+    assert sorted(d for _, d in of("MagicNumber")) == ["45", "5", "6", "7"]
     checked = {r[3] for r in python_code.rows_of(RULES) if r[0] == "checked"}
     assert checked == {"loose", "inner", "BaseThing", "Thing", "LonelyMixin", "Oops", "Record"}
     assert {r[3] for r in python_code.rows_of(RULES) if r[0] == "abstract"} == {"BaseThing", "LonelyMixin"}
