@@ -142,15 +142,15 @@ def survey(docs: DataFrame, size: int) -> DataFrame:
 
 
 def index_entries(docs: DataFrame, size: int, least: int, scale: int, frequent: np.ndarray, parts: np.ndarray) -> DataFrame:
-    """(token, part, at = position << 32 | set size, set) for the indexed shingles; copies in one task's input once.
+    """(key, token, at = position << 32 | set size, set) for the indexed shingles; copies in one task's input once.
 
-    parts: into how many the list of each frequent shingle is cut; part is -1 in whole lists."""
+    parts: into how many the list of each frequent shingle is cut. key names a list or a part of one; token is 0 in whole lists, whose key it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for b in batches:
             for start in range(0, b.num_rows, 512):
-                tokens, ats, owners, places = [], [], [], []
+                keys, tokens, ats, owners = [], [], [], []
                 for t in b.column(1).slice(start, 512).to_pylist():
                     s = shingles(t, size)
                     if not len(s):
@@ -170,19 +170,20 @@ def index_entries(docs: DataFrame, size: int, least: int, scale: int, frequent:
                             first = np.concatenate([first, s[common][: length - len(first)]])
                     else:
                         first = s[:length]
-                    place = np.full(length, -1, np.int32)
+                    key, token = first, np.zeros(length, U)
                     if len(frequent):
                         near = np.minimum(np.searchsorted(frequent, first), len(frequent) - 1)
-                        many = np.where(frequent[near] == first, parts[near], 1)
-                        place = np.where(many > 1, own % many, -1).astype(np.int32)
-                    places.append(place)
-                    tokens.append(first)
+                        cut = (frequent[near] == first) & (parts[near] > 1)
+                        key = np.where(cut, mixed(first + U(1) + own % parts[near]), first)
+                        token = np.where(cut, first, U(0))
+                    keys.append(key)
+                    tokens.append(token)
                     ats.append(np.arange(length, dtype=np.int64) << 32 | len(s))
                     owners.append(np.full(length, own, U))
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([as_long(np.concatenate(tokens)), pa.array(np.concatenate(places)), pa.array(np.concatenate(ats)), as_long(np.concatenate(owners))], names=["token", "part", "at", "set"])
+                    yield pa.RecordBatch.from_arrays([as_long(np.concatenate(keys)), as_long(np.concatenate(tokens)), pa.array(np.concatenate(ats)), as_long(np.concatenate(owners))], names=["key", "token", "at", "set"])
 
-    return docs.mapInArrow(run, "token long, part int, at long, set long")
+    return docs.mapInArrow(run, "key long, token long, at long, set long")
 
 
 def least_overlap(na: np.ndarray, nb: np.ndarray, least: int, scale: int) -> np.ndarray:
@@ -262,10 +263,11 @@ def candidates(entries: DataFrame, least: int, scale: int) -> DataFrame:
         names = ["kind", "x", "y", "n", "need"]
         counts = Counts()
         hubs: set[tuple[int, int]] = set()
-        for (_, token, part, at, own), starts, carried in runs_of(batches, 5):
+        for (token, part_of, at, own), starts, carried in runs_of(batches, 4):
             length = np.diff(np.append(starts, len(token)))
             many = length > 1
-            whole = part[starts] < 0
+            whole = part_of[starts] == 0
+            token = np.where(part_of == 0, token, part_of)
             whole[0] &= not carried  # a piece of a long list
             many |= ~whole  # the other parts may hold partners
             if not many.any():
@@ -310,8 +312,7 @@ def candidates(entries: DataFrame, least: int, scale: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(long), np.int32)), *map(pa.array, (token[pick[long]], at[pick[long]], o[long], o[long]))], names=names)
         yield from counts.take(0, 0)
 
-    keyed = entries.select(F.xxhash64("token", "part").alias("key"), "token", "part", "at", "set")
-    return keyed.repartition("key").sortWithinPartitions("key", "token", "at", "set").mapInArrow(run, PAIRS)
+    return entries.repartition("key").sortWithinPartitions("key", "at", "set").mapInArrow(run, PAIRS)
 
 
 def second_look(lists: DataFrame, known: DataFrame) -> DataFrame:
@@ -501,7 +502,8 @@ def components_of(df: DataFrame, key: str = "doc_id", text: str = "text", size:
             more = both.groupBy("x", "y").agg(F.sum("n").alias("n"), F.max("need").alias("need"), F.max("again").alias("again")).filter("again = 1 AND n >= need")
         more = written(flat(more).distinct().join(done, ["x", "y"], "left_anti"), "jaccard-more")
         if not more.isEmpty():
-            labels = merged(labels, written(verified(more, classes, docs, size, least, scale), "jaccard-links"))
+            links = written(verified(more, classes, docs, size, least, scale), "jaccard-links")
+            labels = labels if links.isEmpty() else merged(labels, links)
             done = done.unionByName(more)
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set", F.coalesce("label", "rep").alias("component"))
     return members.join(named, "set", "left").select(
