@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lintel.functions import scalars
 from lintel.operators import events, grouped, joins, metrics, problems, ranking, recommendation, rollups, scoring, sets, steps, taxonomy, validation
 from lintel.queries import query
+from lintel.plans import repository
 from lintel.session import table
 
 SMELLS = [*taxonomy.FIX_OF, "RefusedBequest", "TemporaryField", "UnusedVariable", "No Such Smell"]
@@ -807,3 +808,105 @@ def brier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     found = metrics.brier(table(spark, sf_dir, "labels").join(docs, "doc_id"), F.col("n_chars") / 5000, F.col("quality"))
     return found.select(F.round("brier", 6).alias("brier"))
+
+
+# ---- Repositories: nations as repositories, customers as files
+
+FILE_NAMES = ["README.md", "setup.py", "pom.xml", "main.py", "util.py", "OrderService.java", "Main.java", "store.c", "api.h", "Dockerfile", "test_x.py", "requirements.txt", "pytest.ini", "package.json", "notes.txt", "Makefile", "ci.yml", "user_dao.py"]
+FOLDER_NAMES = ["", "src", "src/api", "src/models", "app/core", "docs", "tests", "build/x", "my_services", ".github/workflows", "lib", "tools/deploy", "module_a", "odd", "src/odd"]
+FILE_TEXTS = ["", "if __name__ == '__main__':\n  go()", "public static void main(String[] a) {}", "int main(void) { return 0; }", "x = 1"]
+
+
+def repository_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    folder = picked(FOLDER_NAMES, F.expr("c_custkey div 3"))
+    path = F.concat_ws("/", F.nullif(folder, F.lit("")), picked(FILE_NAMES, key))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("repository"), path.alias("path"), key, picked(FILE_TEXTS, F.expr("c_custkey div 5")).alias("text"))
+    return rows.groupBy("repository", "path").agg(F.min_by("text", "c_custkey").alias("text"))
+
+
+FILES_SQL = f"""q AS (SELECT c_nationkey AS repository, c_custkey, {list_sql(FOLDER_NAMES, 'c_custkey // 3')} AS folder, {list_sql(FILE_NAMES, 'c_custkey')} AS file,
+{"CASE (c_custkey // 5) % 5 WHEN 1 THEN 'if __name__ == ''__main__'':' || chr(10) || '  go()' WHEN 2 THEN 'public static void main(String[] a) {}' WHEN 3 THEN 'int main(void) { return 0; }' WHEN 4 THEN 'x = 1' ELSE '' END"} AS text FROM customer),
+f AS (SELECT repository, folder, file, CASE WHEN folder = '' THEN file ELSE folder || '/' || file END AS path, arg_min(text, c_custkey) AS text FROM q GROUP BY ALL)"""
+ENTRY_SQL = r"""e AS (SELECT *, CASE WHEN (file LIKE '%.py' AND regexp_matches(text, 'if\s+__name__\s*==')) OR (file LIKE '%.java' AND contains(text, 'public static void main(String')) OR (file LIKE '%.c' AND (contains(text, 'int main(') OR contains(text, 'void main(')))
+THEN 'high' WHEN file IN ('main.py') THEN 'medium' END AS confidence FROM f)"""
+
+
+@query(
+    f"""WITH {FILES_SQL}, h AS (SELECT repository, category, tool, path, CASE WHEN folder = '' THEN 0 ELSE 1 END AS depth, pos FROM f JOIN (SELECT * FROM {values_sql([(i, *t) for i, t in enumerate(repository.TOOLS)], 'pos, name, category, tool')}) ON name = lower(file)
+WHERE folder = '' OR (NOT contains(folder, '/') AND folder NOT IN ('build', '.github')) UNION ALL SELECT repository, 'ci_cd', 'GitHub Actions', path, -1, 0 FROM f WHERE folder = '.github/workflows' AND file LIKE '%.yml'
+UNION ALL SELECT repository, 'testing', 'pytest', path, 2, 0 FROM f WHERE folder = '' AND file LIKE 'test@_%.py' ESCAPE '@')
+SELECT repository, category, tool, path AS evidence FROM h QUALIFY row_number() OVER (PARTITION BY repository, category, tool ORDER BY depth, path, pos) = 1"""
+)
+def project_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repository.artifacts(repository_files(spark, sf_dir))
+
+
+@query(
+    f"""WITH {FILES_SQL}, m AS (SELECT repository, folder, file AS build_file, CASE lower(file) WHEN 'pom.xml' THEN 'Maven module' WHEN 'package.json' THEN 'Node.js module' WHEN 'setup.py' THEN 'Python module' END AS type
+FROM f WHERE folder NOT IN ('', 'build/x', '.github/workflows') AND lower(file) IN ('pom.xml', 'package.json', 'setup.py')),
+o AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY repository, folder ORDER BY build_file) = 1)
+SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY repository ORDER BY folder) <= 10"""
+)
+def subprojects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repository.subprojects(repository_files(spark, sf_dir))
+
+
+@query(f"WITH {FILES_SQL}, {ENTRY_SQL} SELECT repository, path, confidence, row_number() OVER (PARTITION BY repository ORDER BY confidence = 'medium', path)::INT AS place FROM e WHERE confidence IS NOT NULL")
+def entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repository.entry_points(repository_files(spark, sf_dir))
+
+
+KNOWN_FOLDERS = {"src": ("Source", "high"), "src/api": ("API", "high"), "src/models": ("Data Model", "high"), "app": ("Application", "medium"), "app/core": ("Core", "high"), "docs": ("Documentation", "high"), "tests": ("Tests", "high"),
+                 "my_services": ("Service", "medium"), "lib": ("Library", "high"), "tools": ("Utility", "medium")}
+FOLDERS_SQL = f"""s AS (SELECT DISTINCT repository, d AS folder FROM (SELECT repository, unnest([split_part(folder, '/', 1), CASE WHEN folder LIKE 'src/%' OR folder LIKE 'app/%' THEN folder END]) AS d FROM f) WHERE d IS NOT NULL AND d <> ''),
+c AS (SELECT repository, folder, bool_or(file LIKE 'test@_%' ESCAPE '@') AND bool_or(file LIKE '%.py') AS tests, bool_or(file LIKE '%.h') AS headers FROM f GROUP BY ALL),
+k AS (SELECT s.repository, s.folder, coalesce(v.role, CASE WHEN tests THEN 'Tests' WHEN headers THEN 'Headers' END) AS role, coalesce(v.confidence, CASE WHEN tests THEN 'high' ELSE 'medium' END) AS confidence
+FROM s LEFT JOIN {values_sql([(k, *v) for k, v in KNOWN_FOLDERS.items()], 'folder, role, confidence')} USING (folder) LEFT JOIN c USING (repository, folder) WHERE s.folder NOT IN ('build', '.github')),
+i AS (SELECT *, row_number() OVER (PARTITION BY repository ORDER BY confidence <> 'high', folder)::INT AS place FROM k WHERE role IS NOT NULL)"""
+
+
+@query(f"WITH {FILES_SQL}, {FOLDERS_SQL} SELECT * FROM i WHERE place <= 20")
+def important_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repository.important_folders(repository_files(spark, sf_dir))
+
+
+def marked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with a known role by name, in order of paths."""
+    roles = {"README.md": "Documentation", "requirements.txt": "Dependency Manifest", "setup.py": "Build Configuration", "pom.xml": "Build Configuration", "pytest.ini": "Build Configuration"}
+    role = F.try_element_at(scalars.literal_map(roles), scalars.file_name(F.col("path")))
+    rows = repository_files(spark, sf_dir).select("repository", "path", role.alias("role"), F.when(scalars.file_name(F.col("path")) == "pytest.ini", "medium").otherwise("high").alias("importance")).filter("role IS NOT NULL")
+    return ranking.renumber(rows, ["repository"], [F.col("path")], "pos")
+
+
+@query(
+    f"""WITH {FILES_SQL}, {ENTRY_SQL}, {FOLDERS_SQL}, n AS (SELECT repository, path, file, row_number() OVER (PARTITION BY repository ORDER BY path) AS pos FROM f WHERE file IN ('README.md', 'requirements.txt', 'setup.py', 'pom.xml', 'pytest.ini')),
+p AS (SELECT repository, path, 1 AS part, pos FROM n WHERE file = 'README.md' QUALIFY row_number() OVER (PARTITION BY repository ORDER BY pos) = 1
+UNION ALL SELECT repository, path, 2, pos FROM n WHERE file = 'requirements.txt' UNION ALL SELECT repository, path, 3, pos FROM n WHERE file IN ('setup.py', 'pom.xml')
+UNION ALL SELECT repository, path, 4, row_number() OVER (PARTITION BY repository ORDER BY path) FROM e WHERE confidence = 'high'
+UNION ALL SELECT repository, folder || '/', 5, list_position({list(repository.LAYERS)}, role) FROM i WHERE place <= 20 AND role IN {repository.LAYERS} QUALIFY row_number() OVER (PARTITION BY repository, role ORDER BY place) = 1),
+o AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY repository, path ORDER BY part, pos) = 1)
+SELECT repository, row_number() OVER (PARTITION BY repository ORDER BY part, pos, path)::INT AS step, path FROM o"""
+)
+def reading_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = repository_files(spark, sf_dir)
+    return repository.reading_path(marked_files(spark, sf_dir), repository.entry_points(files), repository.important_folders(files))
+
+
+@query(
+    rf"""WITH {FILES_SQL}, {ENTRY_SQL}, d AS (SELECT repository, path, row_number() OVER (PARTITION BY repository ORDER BY path) AS n FROM f),
+g AS (SELECT a.repository, a.path AS src, b.path AS dst FROM d a JOIN d b ON a.repository = b.repository AND b.n < a.n AND a.n % (b.n + 1) = 0),
+fi AS (SELECT * FROM (SELECT repository, dst AS path, count(*) AS fan_in FROM g GROUP BY ALL HAVING count(*) >= 2) QUALIFY row_number() OVER (PARTITION BY repository ORDER BY fan_in DESC, path) <= 10),
+fo AS (SELECT * FROM (SELECT repository, src AS path, count(*) AS fan_out FROM g GROUP BY ALL HAVING count(*) >= 3) QUALIFY row_number() OVER (PARTITION BY repository ORDER BY fan_out DESC, path) <= 10),
+r AS (SELECT *, CASE WHEN file LIKE '%.h' THEN 'Header / Interface' WHEN confidence = 'high' OR (file = 'main.py' AND text <> '') THEN 'Entry Point' WHEN regexp_matches(lower(regexp_replace(file, '\.[^.]*$', '')), 'test|spec|mock|stub|fixture') THEN 'Tests'
+WHEN contains(lower(file), 'service') THEN 'Service' WHEN file IN ('store.c', 'user_dao.py') THEN 'Repository' WHEN file = 'util.py' THEN 'Utility' WHEN file LIKE '%.py' OR file LIKE '%.java' OR file LIKE '%.c' THEN 'Application Source' ELSE 'Unknown' END AS role FROM e),
+s AS (SELECT repository, path, role, (CASE WHEN confidence IS NOT NULL THEN 30 ELSE 0 END + coalesce(least(20, 4 * fan_in), 0) + CASE WHEN fan_out IS NOT NULL THEN 10 ELSE 0 END
++ CASE WHEN role IN ('Service', 'Repository') THEN 15 ELSE 0 END + CASE WHEN role = 'Entry Point' THEN 20 ELSE 0 END)::BIGINT AS score FROM r LEFT JOIN fi USING (repository, path) LEFT JOIN fo USING (repository, path))
+SELECT *, CASE WHEN score >= 30 THEN 'high' WHEN score >= 15 THEN 'medium' ELSE 'low' END AS importance FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY repository ORDER BY score DESC, path) <= 15"""
+)
+def key_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = repository_files(spark, sf_dir)
+    placed = ranking.renumber(files.select("repository", "path"), ["repository"], [F.col("path")], "n")
+    a, b = placed.select("repository", F.col("path").alias("src"), F.col("n").alias("an")), placed.select("repository", F.col("path").alias("dst"), F.col("n").alias("bn"))
+    edges = a.join(b, "repository").filter((F.col("bn") < F.col("an")) & (F.col("an") % (F.col("bn") + 1) == 0)).select("repository", "src", "dst")
+    return repository.key_files(files, edges)
