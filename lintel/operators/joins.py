@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lintel.session import written
+
 
 def lines_match(kind: Column, start: Column, end: Column, other_start: Column, other_end: Column, near: int = 5, class_near: int = 10) -> Column:
     """Do two line ranges mean the same entity? Classes: the other starts inside or close by; the rest: starts close by or ranges overlap. No start: yes."""
@@ -74,24 +76,16 @@ def with_fallback(df: DataFrame, stats: DataFrame, first: str, second: str, meas
 def frequent_pairs(df: DataFrame, basket: str, item: str, least: int, busiest: int | None = None) -> DataFrame:
     """Pairs of baskets that share at least `least` items, with the sorted items. Items in one basket only are dropped before the self join.
 
+    Pairs are counted first, from narrow rows; items are collected for the pairs that reach `least` only.
     busiest: leave out items in more baskets than this (a definition of noise words, not a default)."""
     rows = df.select(F.col(basket).alias("k"), F.col(item).alias("i")).filter("k IS NOT NULL AND i IS NOT NULL").distinct()
     n = rows.groupBy("i").agg(F.count(F.lit(1)).alias("n")).filter("n > 1" + (f" AND n <= {busiest}" if busiest else ""))
-    shared = rows.join(n, "i", "left_semi")
-    pairs = shared.alias("a").join(shared.alias("b"), F.col("a.i") == F.col("b.i")).filter("a.k < b.k")
-    found = pairs.groupBy(F.col("a.k").alias("first"), F.col("b.k").alias("second")).agg(F.count(F.lit(1)).alias("shared"), F.array_sort(F.collect_list("a.i")).alias("items"))
-    return found.filter(F.col("shared") >= least)
-
-
-def token_references(entities: DataFrame, name: str, files: DataFrame, path: str, text: str, own: str | None = None, shortest: int = 3) -> DataFrame:
-    """Per entity: 1 and the number of other files whose text has its name as a whole word. One tokenisation, one equi-join."""
-    words = files.select(F.col(path).alias("__p"), F.explode(F.array_distinct(F.split(F.col(text), r"\W+"))).alias("__w")).filter(F.length("__w") >= shortest)
-    named = entities.filter(F.length(name) >= shortest)
-    hits = named.join(words, F.col(name) == F.col("__w"))
-    if own:
-        hits = hits.filter(F.col("__p") != F.col(own))
-    counts = hits.groupBy(name).agg(F.countDistinct("__p").alias("__n"))
-    return entities.join(counts, name, "left").select(*entities.columns, (1 + F.coalesce("__n", F.lit(0))).alias("blast_radius"))
+    shared = written(rows.join(n.select("i"), "i", "left_semi"), "baskets")
+    a, b = shared.select(F.col("k").alias("first"), "i"), shared.select(F.col("k").alias("second"), "i")
+    pairs = a.join(b, "i").filter("first < second").groupBy("first", "second").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
+    pairs = written(pairs, "basket-pairs")
+    common = pairs.join(a, "first").join(b, ["second", "i"], "left_semi")
+    return common.groupBy("first", "second").agg(F.first("shared").alias("shared"), F.array_sort(F.collect_list("i")).alias("items"))
 
 
 def churn(files: DataFrame, changes: DataFrame, path: str, day: str, until: Column, days: int = 90) -> DataFrame:
@@ -145,19 +139,25 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def similar_pairs(df: DataFrame, by: list[str], key: str, tokens: Column, least: float) -> DataFrame:
-    """Pairs of one key whose token sets have a Jaccard similarity of at least `least`, by shared tokens and set sizes."""
-    sets = df.select(*by, F.col(key).alias("k"), F.array_distinct(tokens).alias("t")).filter(F.size("t") > 0)
+    """Pairs of one key whose token sets have a Jaccard similarity of at least `least`. Tokens are compared by 64-bit hashes.
+
+    Each set is indexed under its rarest tokens, as many as are enough to find a partner; sizes and the places of the first
+    shared token exclude pairs before they are shuffled. Arrays are joined once for each remaining pair."""
+    hashed = F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t)))
+    sets = written(df.select(*by, F.col(key).alias("k"), hashed.alias("t")).filter(F.size("t") > 0), "token-sets")
     words = sets.select(*by, "k", F.size("t").alias("n"), F.explode("t").alias("w"))
-    # the rarest words of each set are enough to find a partner: all but ceil(least * n) - 1 of them
     counts = words.groupBy(*by, "w").agg(F.count(F.lit(1)).alias("c"))
     order = Window.partitionBy(*by, "k").orderBy("c", "w")
     rare = words.join(counts, [*by, "w"]).withColumn("p", F.row_number().over(order)).filter(F.col("p") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1)
-    a, b = rare.alias("a"), rare.alias("b")
-    near = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*by, "w"]]).filter(
-        (F.col("a.k") < F.col("b.k")) & (F.least("a.n", "b.n") >= F.lit(least) * F.greatest("a.n", "b.n") - 1e-9)
-    )
-    pairs = near.select(*[F.col(f"a.{c}").alias(c) for c in by], F.col("a.k").alias("first"), F.col("b.k").alias("second")).distinct()
+    rare = written(rare.filter("c > 1").select(*by, "k", "n", "w", "p"), "token-index")
+    a, b = rare.toDF(*by, "first", "na", "w", "pa"), rare.toDF(*by, "second", "nb", "w", "pb")
+    # at its first shared token a pair has at most this many tokens in common
+    most = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    needed = F.ceil(F.lit(least / (1 + least)) * (F.col("na") + F.col("nb")) - 1e-9)
+    near = a.join(b, [*by, "w"]).filter((F.col("first") < F.col("second")) & (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb") - 1e-9))
+    pairs = near.groupBy(*by, "first", "second").agg(F.max(most - needed).alias("room")).filter("room >= 0").drop("room")
     one, two = sets.select(F.col("k").alias("first"), F.col("t").alias("t1")), sets.select(F.col("k").alias("second"), F.col("t").alias("t2"))
-    full = pairs.join(one, "first").join(two, "second")
-    similarity = F.size(F.array_intersect("t1", "t2")) / F.size(F.array_union("t1", "t2"))
+    full = written(pairs, "token-pairs").join(one, "first").join(two, "second")
+    both = F.size(F.array_intersect("t1", "t2"))
+    similarity = both / (F.size("t1") + F.size("t2") - both)
     return full.select(*by, "first", "second", F.round(similarity, 6).alias("similarity")).filter(F.col("similarity") >= least)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lintel.operators import sets
 from lintel.operators.windows import running_totals
+from lintel.session import written
 
 
 def vocabulary(df: DataFrame, column: str) -> list[str]:
@@ -55,8 +58,8 @@ def with_logs(df: DataFrame, features: list[str]) -> DataFrame:
 
 def out_of_fold(df: DataFrame, pipeline: Pipeline, group: str, folds: int = 5, seed: int = 7) -> DataFrame:
     """Append `probability1`, each row scored by a model that saw none of its group. Models are chosen by this, never by test rows."""
-    cut = sets.folds_by_group(df, group, folds, seed).cache()
-    parts = []
+    cut = written(sets.folds_by_group(df, group, folds, seed), "folds")
+    parts = [cut.withColumn("probability1", F.lit(0.0)).limit(0)]
     for k in range(folds):
         test = cut.filter(F.col("fold") == k)
         if not test.isEmpty():
@@ -81,6 +84,44 @@ def tree_score(trees: list[dict], features: dict[str, Column], rate: float = 0.1
     return 1.0 / (1.0 + F.exp(-total))
 
 
+FORMAT = {"format": "boosted-trees", "version": 1}
+
+
+def export_trees(path: str, classifiers: dict[str, dict]) -> None:
+    """Write classifiers as JSON: by smell {"trees", "rate", "start", "threshold", "enabled"}."""
+    with open(path, "w") as f:
+        json.dump({**FORMAT, "classifiers": classifiers}, f)
+
+
+def load_trees(path: str) -> dict[str, dict]:
+    """Classifiers of a JSON file; another format or version raises."""
+    with open(path) as f:
+        found = json.load(f)
+    if any(found.get(k) != v for k, v in FORMAT.items()):
+        raise ValueError(f"{path} is not a model of this format and version")
+    return found["classifiers"]
+
+
+def learned_smells(classifiers: dict[str, dict], experimental: bool = False) -> list[str]:
+    """Smells with an enabled classifier; experimental: with any."""
+    return sorted(k for k, c in classifiers.items() if experimental or c.get("enabled", True))
+
+
+def model_findings(df: DataFrame, classifiers: dict[str, dict], features: dict[str, Column], experimental: bool = False) -> DataFrame:
+    """A row for each entity and smell whose probability reaches the smell's threshold: df's columns, smell, probability. One pass for all smells."""
+    names = learned_smells(classifiers, experimental)
+    if not names:
+        return df.withColumns({"smell": F.lit(""), "probability": F.lit(0.0)}).limit(0)
+    scored = F.array(
+        *[
+            F.struct(F.lit(n).alias("smell"), tree_score(c["trees"], features, c.get("rate", 0.1), c.get("start", 0.0)).alias("probability"), F.lit(float(c.get("threshold", 0.5))).alias("least"))
+            for n, c in ((n, classifiers[n]) for n in names)
+        ]
+    )
+    found = df.select(*df.columns, F.explode(scored).alias("__s")).filter("__s.probability >= __s.least")
+    return found.select(*df.columns, F.col("__s.smell").alias("smell"), F.col("__s.probability").alias("probability"))
+
+
 def single_metric_rule(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """The best rule `feature >= x` or `feature <= x` by F1: feature, direction, threshold, f1. Sorted running counts, once a feature and direction."""
     best = None

@@ -41,6 +41,18 @@ def split_selection(findings: DataFrame, selected: DataFrame) -> DataFrame:
     return findings.join(marks, "id", "left").withColumn("selected", F.coalesce("__chosen", F.lit(False))).drop("__chosen")
 
 
+def payload(findings: DataFrame, selected: DataFrame, by: list[str]) -> DataFrame:
+    """Per group: findings, chosen and excluded ones, files with a chosen one, chosen ones per severity."""
+    marked, on = split_selection(findings, selected), F.col("selected")
+    return marked.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(on).alias("chosen"),
+        F.count_if(~on).alias("excluded"),
+        F.count_distinct(F.when(on, F.col("path"))).alias("files"),
+        *[F.count_if(on & (F.lower("severity") == s)).alias(s) for s in ("high", "medium", "low")],
+    )
+
+
 def display_ids(df: DataFrame, by: list[str], order: list, name: str = "display_id") -> DataFrame:
     """S001, S002, ... in order, per report."""
     return df.withColumn(name, F.format_string("S%03d", F.row_number().over(Window.partitionBy(*by).orderBy(*order))))

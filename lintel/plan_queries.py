@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintel.functions import scalars
-from lintel.operators import events, grouped, joins, metrics, problems, ranking, recommendation, rollups, scoring, sets, steps, taxonomy, validation
+from lintel.operators import events, grouped, joins, metrics, models, problems, ranking, recommendation, rollups, scoring, selection, sets, steps, taxonomy, validation
 from lintel.queries import query
 from lintel.plans import repository
 from lintel.session import table
+from lintel.sources import files as sources
+from lintel.streaming import jobs
 
 SMELLS = [*taxonomy.FIX_OF, "RefusedBequest", "TemporaryField", "UnusedVariable", "No Such Smell"]
 RATINGS = ["low", "medium", "high", "unheard of"]
@@ -910,3 +912,57 @@ def key_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = placed.select("repository", F.col("path").alias("src"), F.col("n").alias("an")), placed.select("repository", F.col("path").alias("dst"), F.col("n").alias("bn"))
     edges = a.join(b, "repository").filter((F.col("bn") < F.col("an")) & (F.col("an") % (F.col("bn") + 1) == 0)).select("repository", "src", "dst")
     return repository.key_files(files, edges)
+
+
+# ---- Selections, labels, models, jobs
+
+
+@query(
+    f"""WITH {STEPS_SQL}, m AS (SELECT *, o_orderkey % 3 = 0 AS chosen, {list_sql(RATINGS[:3], 'o_orderkey')} AS severity FROM o)
+SELECT o_custkey, count(*) AS total, count(*) FILTER (WHERE chosen) AS chosen, count(*) FILTER (WHERE NOT chosen) AS excluded, count(DISTINCT mode) FILTER (WHERE chosen) AS files,
+count(*) FILTER (WHERE chosen AND severity = 'high') AS high, count(*) FILTER (WHERE chosen AND severity = 'medium') AS medium, count(*) FILTER (WHERE chosen AND severity = 'low') AS low FROM m GROUP BY 1"""
+)
+def selection_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as findings, modes as files; every third order is chosen."""
+    rows = order_steps(spark, sf_dir).select("o_custkey", F.col("o_orderkey").alias("id"), F.col("mode").alias("path"), picked(RATINGS[:3], F.col("o_orderkey")).alias("severity"))
+    return selection.payload(rows, rows.filter("id % 3 = 0").select("id"), ["o_custkey"])
+
+
+@query("""SELECT 'lang' AS "column", lang AS value, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source""")
+def label_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.label_counts(table(spark, sf_dir, "documents"), ("lang", "source"))
+
+
+TREES = {
+    "LongMethod": {"trees": [{"feature": "size", "threshold": 30, "left": {"leaf": -1.5}, "right": {"feature": "price", "threshold": 1500, "left": {"leaf": 0.5}, "right": {"leaf": 2.0}}}], "rate": 1.0, "threshold": 0.6},
+    "GodClass": {"trees": [{"feature": "price", "threshold": 1700, "left": {"leaf": -2}, "right": {"leaf": 3}}, {"leaf": 0.25}], "rate": 0.5, "start": 0.1, "threshold": 0.7},
+    "Draft": {"trees": [{"leaf": 9.0}], "enabled": False},
+}
+
+
+@query(
+    """WITH s AS (SELECT p_partkey, 'LongMethod' AS smell, 1 / (1 + exp(-CASE WHEN p_size <= 30 THEN -1.5 WHEN p_retailprice <= 1500 THEN 0.5 ELSE 2.0 END)) AS p, 0.6 AS least FROM part
+UNION ALL SELECT p_partkey, 'GodClass', 1 / (1 + exp(-(0.1 + 0.5 * CASE WHEN p_retailprice <= 1700 THEN -2 ELSE 3 END + 0.125))), 0.7 FROM part) SELECT p_partkey, smell, round(p, 6) AS probability FROM s WHERE p >= least"""
+)
+def model_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = models.model_findings(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice"), TREES, {"size": F.col("p_size"), "price": F.col("p_retailprice")})
+    return found.select("p_partkey", "smell", F.round("probability", 6).alias("probability"))
+
+
+@query(
+    """WITH j AS (SELECT event_id AS id, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'in_progress' ELSE 'done' END AS status, event_id % 6 AS attempts, ts AS due, ts AS locked_at FROM events),
+f AS (SELECT *, CASE WHEN status = 'in_progress' AND locked_at < TIMESTAMP '2024-01-20' - INTERVAL 900 SECOND THEN CASE WHEN attempts >= 5 THEN 'failed' ELSE 'queued' END WHEN status = 'queued' AND attempts >= 5 THEN 'failed' ELSE status END AS now FROM j),
+t AS (SELECT id, true AS mine FROM f WHERE now = 'queued' AND due <= TIMESTAMP '2024-01-20' ORDER BY due, id LIMIT 3)
+SELECT id, CASE WHEN mine THEN 'in_progress' ELSE now END AS status, CASE WHEN mine THEN attempts + 1 ELSE attempts END AS attempts, CASE WHEN mine THEN 'w1' END AS locked_by FROM f LEFT JOIN t USING (id)"""
+)
+def claim_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    rows = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"), F.when(kind == "view", "queued").when(kind == "click", "in_progress").otherwise("done").alias("status"), (F.col("event_id") % 6).alias("attempts"), F.col("ts").alias("due"), F.col("ts").alias("locked_at"), F.lit(None).cast("string").alias("locked_by")
+    )
+    return jobs.claim(rows, "w1", F.lit("2024-01-20").cast("timestamp_ntz"), n=3).select("id", "status", "attempts", "locked_by")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus IN ('F', 'P') THEN NULL ELSE 'expected F or P, is ' || o_orderstatus END AS stage_error FROM orders")
+def stage_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.at_stage(table(spark, sf_dir, "orders"), ["F", "P"], "o_orderstatus").select("o_orderkey", "stage_error")

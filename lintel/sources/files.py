@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lintel.functions.scalars import detect_language
+from lintel.operators.ranking import first_per_key
 from lintel.session import prepare
 
 # Fixed values.
@@ -105,6 +106,20 @@ def ground_truth(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter(F.trim("ground_truth").isin("0", "1")).withColumn("ground_truth", F.trim("ground_truth").cast("int"))
 
 
+def feature_table(spark: SparkSession, path: str, schema: str | None = None, key: str = "fingerprint", order: str = "sample_id") -> DataFrame:
+    """Rows of a feature table, the first of each fingerprint by number of the sample; rows without a fingerprint stay."""
+    reader = spark.read.option("header", True)
+    rows = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+    first = rows.filter(F.col(key).isNotNull())
+    return first_per_key(first, [key], [F.col(order).try_cast("long").asc_nulls_last(), F.col(order)]).unionByName(rows.filter(F.col(key).isNull()))
+
+
+def label_counts(rows: DataFrame, columns: tuple[str, ...] = ("language", "refactoring", "label")) -> DataFrame:
+    """(column, value, n): one pass counts the values of every column."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("value")) for c in columns]))
+    return rows.select(pairs.alias("x")).groupBy("x.column", "x.value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def detect_format(spark: SparkSession, path: str) -> str:
     """reviews or ground_truth, from the header line."""
     head = spark.read.text(path).limit(1).collect()

@@ -26,6 +26,26 @@ def current(spark: SparkSession, path: str, keys: list[str], time: str, tie: str
     return latest_per_key(spark.read.parquet(path), keys, time, tie)
 
 
+def update_rows(spark: SparkSession, path: str, keys: list[str], time: str, tie: str, condition: str, values: dict, at) -> int:
+    """Append new versions, at time `at`, of the current rows for which the condition is true; returns how many."""
+    found = current(spark, path, keys, time, tie).filter(F.coalesce(F.expr(condition), F.lit(False)))
+    new = written(found.withColumns({**{k: F.lit(v).cast(found.schema[k].dataType) for k, v in values.items()}, time: F.lit(at).cast(found.schema[time].dataType)}), "update")
+    n = new.count()
+    if n:
+        append(new.select(*spark.read.parquet(path).columns), path)
+    return n
+
+
+def compare_and_set(spark: SparkSession, path: str, keys: list[str], time: str, tie: str, key: dict, expected: dict, values: dict, at) -> bool:
+    """update_rows of one key, only if its current row has the expected values. Parquet has no transactions: one writer at a time, a foreachBatch say."""
+    same = " AND ".join(f"`{k}` <=> {literal(v)}" for k, v in {**key, **expected}.items())
+    return update_rows(spark, path, keys, time, tie, same, values, at) > 0
+
+
+def literal(v) -> str:
+    return "NULL" if v is None else str(v) if isinstance(v, int | float) else "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def delete_where(spark: SparkSession, path: str, condition: str) -> int:
     """Rewrite a table without the rows for which the condition is true; returns how many rows went."""
     rows = spark.read.parquet(path)

@@ -29,6 +29,38 @@ def next_stage(stage: Column) -> Column:
     return F.when(at > 0, F.try_element_at(names, (at + 1).cast("int")))
 
 
+def at_stage(workflows: DataFrame, stages: list[str], stage: str = "stage") -> DataFrame:
+    """Append `stage_error`: null for workflows at one of these stages, else what is wrong."""
+    wrong = F.concat(F.lit("expected "), F.lit(" or ".join(stages)), F.lit(", is "), F.coalesce(F.col(stage), F.lit("none")))
+    return workflows.withColumn("stage_error", F.when(F.coalesce(F.col(stage).isin(*stages), F.lit(False)), F.lit(None).cast("string")).otherwise(wrong))
+
+
+def claim(jobs: DataFrame, worker: str, now: Column, lock_seconds: int = 900, most: int = 5, n: int = 1) -> DataFrame:
+    """The jobs table (id, status, attempts, due, locked_at, locked_by) after a worker has taken its next `n` jobs.
+
+    Jobs in progress whose lock is old come back, or fail for good once their attempts are used up; of the queued and due ones the
+    oldest, by due time and id, are taken. One writer applies it to the state, in a foreachBatch say: the table itself has no lock."""
+    stale = (F.col("status") == "in_progress") & (F.col("locked_at") < now - F.expr(f"INTERVAL {lock_seconds} SECONDS"))
+    spent = F.col("attempts") >= most
+    freed = jobs.withColumn("status", F.when(stale & spent, "failed").when(stale, "queued").when((F.col("status") == "queued") & spent, "failed").otherwise(F.col("status")))
+    taken = freed.filter((F.col("status") == "queued") & (F.col("due") <= now)).orderBy("due", "id").limit(n).select("id", F.lit(True).alias("__mine"))
+    mine = F.coalesce("__mine", F.lit(False))
+    return freed.join(taken, "id", "left").select(
+        "id",
+        F.when(mine, "in_progress").otherwise(F.col("status")).alias("status"),
+        F.when(mine, F.col("attempts") + 1).otherwise(F.col("attempts")).alias("attempts"),
+        "due",
+        F.when(mine, now).otherwise(F.col("locked_at")).alias("locked_at"),
+        F.when(mine, F.lit(worker)).otherwise(F.col("locked_by")).alias("locked_by"),
+    )
+
+
+def poll(events: DataFrame, handle, checkpoint: str, every: str = "5 seconds", once: bool = False):
+    """Start handle(batch, id) on what has arrived, every so often; once: until all that is there is done."""
+    writer = events.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+
+
 def apply_batch(state_path: str, keys: list[str], time: str, tie: str):
     """For foreachBatch: append the batch to the event log, with the batch id, so that a repeated batch adds nothing new to the latest state."""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from lintel.functions import syntax_trees
 from lintel.operators import models
 from pyspark.sql import functions as F
@@ -55,3 +56,17 @@ def test_syntax_trees(spark):
     assert {r["similarity"] for r in syntax_trees.structural_similarity(tree, tree).collect()} == {1.0} or all(abs(r["similarity"] - 1) < 1e-9 for r in syntax_trees.structural_similarity(tree, tree).collect())
     uses = spark.createDataFrame([("C", "a", "x"), ("C", "b", "x"), ("C", "c", "y")], "class string, method string, field string")
     assert [round(r["cohesion"], 6) for r in syntax_trees.cohesion(uses).collect()] == [round(1 / 3, 6)]
+
+
+def test_saved_trees_and_empty_folds(spark, tmp_path):
+    tree = {"feature": "loc", "threshold": 25, "left": {"leaf": -40}, "right": {"leaf": 40}}
+    models.export_trees(f"{tmp_path}/m.json", {"A": {"trees": [tree], "rate": 1.0}, "B": {"trees": [tree], "enabled": False}})
+    found = models.load_trees(f"{tmp_path}/m.json")
+    assert models.learned_smells(found) == ["A"] and models.learned_smells(found, True) == ["A", "B"]
+    got = models.model_findings(rows(spark), found, {"loc": F.col("loc")})
+    assert got.filter("smell = 'A'").count() == rows(spark).filter("loc > 25").count() and models.model_findings(rows(spark), {}, {}).count() == 0
+    (tmp_path / "m.json").write_text('{"format": "other"}')
+    with pytest.raises(ValueError):
+        models.load_trees(f"{tmp_path}/m.json")
+    empty = models.with_logs(rows(spark).limit(0), ["loc", "noise"])
+    assert models.out_of_fold(empty, models.candidates(["loc", "noise"], "y")["logistic"], "repo", 3).count() == 0

@@ -251,3 +251,28 @@ def test_streams(spark, tmp_path):
     table = spark.createDataFrame([("a", "in_progress", 0), ("b", "in_progress", 4), ("c", "done", 1)], "id string, status string, attempts int").withColumn("due", F.to_timestamp(F.lit("2024-01-01")))
     after = {r["id"]: (r["status"], r["attempts"]) for r in jobs.retry(table, table.filter("id <> 'c'")).collect()}
     assert after == {"a": ("queued", 1), "b": ("failed", 5), "c": ("done", 1)}
+
+
+def test_updates_by_new_versions(spark, tmp_path):
+    path = f"{tmp_path}/log"
+    sinks.append(spark.createDataFrame([("a", "queued", 1, 0), ("b", "done", 1, 1)], "id string, status string, t int, tie int"), path)
+    now = lambda: {r["id"]: r["status"] for r in sinks.current(spark, path, ["id"], "t", "tie").collect()}
+    assert sinks.update_rows(spark, path, ["id"], "t", "tie", "status = 'queued'", {"status": "it's"}, 2) == 1
+    assert now() == {"a": "it's", "b": "done"} and spark.read.parquet(path).count() == 3
+    assert not sinks.compare_and_set(spark, path, ["id"], "t", "tie", {"id": "a"}, {"status": "queued"}, {"status": "x"}, 3)
+    assert sinks.compare_and_set(spark, path, ["id"], "t", "tie", {"id": "a"}, {"status": "it's"}, {"status": "x"}, 3) and now()["a"] == "x"
+
+
+def test_feature_table(spark, tmp_path):
+    (tmp_path / "f.csv").write_text("sample_id,fingerprint,x\n10,p,1\n9,p,2\n3,q,3\n,r,4\n")
+    rows = {r["fingerprint"]: r["x"] for r in files.feature_table(spark, f"{tmp_path}/f.csv").collect()}
+    assert rows == {"p": 2, "q": 3, "r": 4}
+
+
+def test_polling(spark, tmp_path):
+    spark.createDataFrame([(1,), (2,)], "id int").write.parquet(f"{tmp_path}/in")
+    seen = []
+    events = spark.readStream.schema("id int").parquet(f"{tmp_path}/in")
+    query = jobs.poll(events, lambda batch, _: seen.extend(r["id"] for r in batch.collect()), f"{tmp_path}/point", once=True)
+    query.awaitTermination(60)
+    assert sorted(seen) == [1, 2]
