@@ -111,7 +111,7 @@ def rationale(metrics: Column, severity: Column) -> Column:
             F.when(coupling >= 8, F.format_string("High coupling (depends on %d other classes)", coupling)),
         )
     )
-    text = F.when(F.size(reasons) > 0, F.array_join(reasons, "; ")).otherwise("Detected by Code Understanding Agent")
+    text = F.when(F.size(reasons) > 0, F.array_join(reasons, "; ")).otherwise("Detected by static analysis")
     return F.concat(F.lit("["), F.upper(severity), F.lit("] "), text)
 
 

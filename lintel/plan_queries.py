@@ -145,7 +145,7 @@ concat_ws(',', CASE WHEN coupling >= 5 THEN 'coupling' END, CASE WHEN cc >= 10 T
 CASE WHEN params >= 5 THEN 'parameter_count' END) AS highlights,
 '[' || upper(severity) || '] ' || coalesce(nullif(concat_ws('; ', CASE WHEN cc >= 15 THEN 'Very high complexity (CC=' || cc || ', >15)' WHEN cc >= 10 THEN 'High complexity (CC=' || cc || ', >10)' END,
 CASE WHEN loc >= 200 THEN 'Very long code block (LOC=' || loc || ', >200)' WHEN loc >= 100 THEN 'Long code block (LOC=' || loc || ', >100)' END,
-CASE WHEN coupling >= 8 THEN 'High coupling (depends on ' || coupling || ' other classes)' END), ''), 'Detected by Code Understanding Agent') AS rationale,
+CASE WHEN coupling >= 8 THEN 'High coupling (depends on ' || coupling || ' other classes)' END), ''), 'Detected by static analysis') AS rationale,
 coalesce(nullif(concat_ws('|', CASE WHEN cc >= 15 THEN 'High cyclomatic complexity increases refactoring risk' END, CASE WHEN loc >= 200 THEN 'Large code block is difficult to refactor safely' END,
 CASE WHEN coupling >= 8 THEN 'High coupling means refactoring may break dependent code' END, CASE WHEN smell IN ('Long Method', 'Long Function') AND loc >= 150 THEN 'Consider extracting smaller methods incrementally' END,
 CASE WHEN smell = 'God Class' AND methods >= 20 THEN 'Class has too many responsibilities to fix at once' END), ''), 'Standard refactoring complexity') AS risks FROM s"""
