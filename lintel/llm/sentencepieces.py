@@ -34,7 +34,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from lintel.session import prepare
 
 MARK = "▁"
-MEMO = 400_000  # chunks a worker remembers
+MEMO = 100_000  # chunks a worker remembers: about 30 MB
 LONG = 48  # longer chunks are not remembered
 NONE, LAST = -(1 << 40), 1 << 62
 END = "\uffff"  # between chunks; texts that hold it are cut one by one
@@ -287,7 +287,7 @@ def codec_of(model: bytes, check: bool, kind: str) -> PieceCodec:
     return CODECS[key]
 
 
-def few(batch: pa.RecordBatch, column: int, rows: int = 1024, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def few(batch: pa.RecordBatch, column: int, rows: int = 1024, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that end at so many rows or bytes of a column, so that the working set stays small whatever the length of the texts."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy() if pa.types.is_string(batch.column(column).type) else np.zeros(batch.num_rows)
     total, start = np.cumsum(sizes), 0
@@ -323,6 +323,7 @@ def with_codec(df: DataFrame, model: bytes, text: str, columns: list[StructField
                 made = rows(codec, b.column(b.schema.get_field_index("__text")))
                 at = [b.column(i) for i in range(len(kept))]
                 yield pa.RecordBatch.from_arrays(at + made, names=kept + [c.name for c in columns])
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return df.select(*kept, F.col(text).alias("__text")).mapInArrow(run, schema)
 
