@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintel.llm import chat, cotraining, html_text, jaccard, language, line_dedup, media, mixing, nearest, sentencepieces
+from lintel.llm import chat, codes, cotraining, html_text, jaccard, language, lattice, line_dedup, media, mixing, nearest, phrases, sentencepieces
 from lintel.session import prepare, table
 
 #: Mixing: a source's weight is its number of documents to this power; documents in a block.
@@ -91,6 +91,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, power=MIX_POWER, block_docs=MIX_BLOCK)
 
 
+def op11_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts whose id's crc32 leaves 2 when divided by 7 are held out; counts are kept for each language too."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (F.crc32(F.col("doc_id").cast("string")) % 7 == 2).alias("held_out"))
+    return lattice.lattice_scores(docs, piece_model(), "held_out", by="lang")
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.phrases(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))[0]
+
+
 QUERIES = {
     "op1_nearest": op1_nearest,
     "op2_sentencepiece": op2_sentencepiece,
@@ -102,9 +116,43 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
+    "op11_lattice": op11_lattice,
+    "op12_phrases": op12_phrases,
+    "op13_codes": op13_codes,
 }
 
+
+
+def lloyd_sql(rounds: int) -> str:
+    """Plain Lloyd rounds over the parts of the embeddings' integers."""
+    steps = [
+        """WITH v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+part AS MATERIALIZED (SELECT vec_id, p, x[p * len(x) // 8 + 1:(p + 1) * len(x) // 8] AS x FROM v, range(8) AS r(p)),
+e0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS j, x AS e FROM part QUALIFY j < 16)"""
+    ]
+    for k in range(rounds + 1):
+        steps.append(
+            f"""a{k} AS MATERIALIZED (SELECT vec_id, p, any_value(x) AS x, min((d, j)) AS best FROM
+  (SELECT vec_id, part.p AS p, x, j, list_sum(list_transform(list_zip(x, e), lambda t: (t[1] - t[2]) * (t[1] - t[2])))::BIGINT AS d FROM part JOIN e{k} USING (p)) GROUP BY vec_id, p)"""
+        )
+        if k < rounds:
+            steps.append(
+                f"""s{k} AS (SELECT p, best[2] AS j, i, sum(x[i]) AS s, count(*) AS n FROM a{k}, unnest(generate_series(1, len(x))) AS g(i) GROUP BY p, best[2], i),
+m{k} AS (SELECT p, j, list(CASE WHEN s % n < 0 THEN s // n - 1 ELSE s // n END::BIGINT ORDER BY i) AS e FROM s{k} GROUP BY p, j),
+e{k + 1} AS MATERIALIZED (SELECT o.p, o.j, coalesce(m{k}.e, o.e) AS e FROM e{k} AS o LEFT JOIN m{k} ON m{k}.p = o.p AND m{k}.j = o.j)"""
+            )
+    return (
+        ",\n".join(steps)
+        + f""",
+c AS (SELECT vec_id, string_agg(printf('%02x', best[2]), '' ORDER BY p) AS code, sum(best[1]) AS error FROM a{rounds} GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY p, j)) AS codebooks_sha256 FROM e{rounds})
+SELECT vec_id, code, error::BIGINT AS error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM c JOIN v USING (vec_id), h"""
+    )
+
+
 ORACLE_SQL = {
+    "op13_codes": lloyd_sql(6),
     "op8_chat": r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -118,6 +166,19 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   sum(chars + CASE WHEN n = 1 OR role <> before THEN 24 + role_chars ELSE 8 END)::BIGINT AS formatted_chars
 FROM u GROUP BY conv_id""",
+    "op12_phrases": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS gram FROM w, (SELECT unnest([1, 2, 3]) AS size), unnest(generate_series(1, len(w) - size + 1)) AS s(i)),
+f AS (SELECT lang, gram, any_value(size) AS size, count(*)::HUGEINT AS n FROM g GROUP BY lang, gram),
+total AS (SELECT lang, sum(n) AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, gram, size, n AS a, string_split(gram, ' ') AS w FROM f WHERE size > 1 AND n >= 10),
+kept AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c AS o WHERE o.lang = c.lang AND o.size = 3 AND c.size = 2 AND 100 * o.a >= 50 * c.a AND (o.w[1:2] = c.w OR o.w[2:3] = c.w))),
+cuts AS (SELECT kept.*, k, array_to_string(w[:k], ' ') AS one, array_to_string(w[k + 1:], ' ') AS two FROM kept, (SELECT unnest([1, 2]) AS k) WHERE k < size),
+scored AS (SELECT cuts.lang, cuts.gram, a, k, l.n AS l, r.n AS r, (1000000 * a * a) // (l.n * r.n) AS score FROM cuts JOIN f AS l ON l.lang = cuts.lang AND l.gram = one JOIN f AS r ON r.lang = cuts.lang AND r.gram = two),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, k) = 1)
+SELECT best.lang, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, gram) AS rank, gram AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, total.n::BIGINT AS n, score::BIGINT AS score
+FROM best JOIN total USING (lang) QUALIFY rank <= 2000""",
 }
 
 
