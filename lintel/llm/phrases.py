@@ -3,7 +3,7 @@
 Texts are split into pieces at punctuation and line ends, and equal pieces of a language become one row with a
 multiplicity, so copies and boilerplate are counted once. Runs of up to `words` words of a piece are n-grams, each
 weighted by its piece's multiplicity. A task adds them up over its pieces, cuts them by a hash into buckets and sends
-a row a bucket; each bucket's n-grams are counted by duckdb, which streams them in and writes to disk what doesn't fit
+a packed row a bucket; each bucket's n-grams are counted by duckdb, which streams them in and writes to disk what doesn't fit
 (a scratch folder of the task's own, gone when the bucket is done). Only n-grams that occur often enough leave the
 bucket: a phrase's parts occur at least as often as the phrase.
 
@@ -27,6 +27,7 @@ from lintel.session import discard, prepare, written
 
 CHUNK = 8 << 20  # bytes of pieces whose n-grams are added up at once
 BUCKET = 256 << 20  # bytes of n-grams in a bucket, about
+KINDS = pa.schema({"lang": pa.string(), "gram": pa.string(), "words": pa.int32(), "n": pa.int64()})
 MEMORY = "256MB"  # of duckdb in a task; beyond it, disk
 
 
@@ -107,40 +108,53 @@ def grams(t: pa.Table, most: int, buckets: int) -> Iterator[tuple[np.ndarray, pa
         yield ((mix >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), names.take(pa.array(lang[sample])), text, count
 
 
+def pack(grams: pa.Array, counts: np.ndarray) -> bytes:
+    """N-grams, one a line, and their counts. Lines with a first word in common lie together, which packs well."""
+    text = "\n".join(grams.to_pylist()).encode()
+    return len(text).to_bytes(8, "little") + pa.compress(text + counts.astype("<i8").tobytes(), "zstd", asbytes=True)
+
+
+def unpack(data: bytes, lang: str, words: int, n: int) -> pa.RecordBatch:
+    size = int.from_bytes(data[:8], "little")
+    whole = pa.decompress(data[8:], size + 8 * n, "zstd")
+    text = pa.StringArray.from_buffers(1, pa.py_buffer(np.array([0, size], np.int32)), whole.slice(0, size))
+    return pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pc.split_pattern(text, "\n").flatten(), pa.array(np.full(n, words, np.int32)), pa.array(np.frombuffer(whole, "<i8", n, size))], schema=KINDS)
+
+
 def sent(found: DataFrame, most: int, buckets: int) -> DataFrame:
-    """A row a chunk, length and bucket: its n-grams, their languages and counts."""
+    """A row a chunk, length, language and bucket: its n-grams with their counts, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunks(batches, "piece", CHUNK):
             for n, (to, lang, text, count) in enumerate(grams(t, most, buckets), 1):
-                order = np.argsort(to, kind="stable")
-                cuts = np.searchsorted(to[order], np.arange(buckets + 1)).astype(np.int32)
-                some = np.flatnonzero(np.diff(cuts)).astype(np.int32)
-                ends, order = pa.array(np.concatenate([cuts[some], [len(to)]]).astype(np.int32)), pa.array(order)
-                lists = [pa.ListArray.from_arrays(ends, x.take(order)) for x in (lang, text, pa.array(count))]
-                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), n, np.int32)), *lists], names=["bucket", "words", "langs", "grams", "counts"])
+                names = lang.dictionary_encode()
+                key = to * len(names.dictionary) + names.indices.to_numpy()
+                order = np.argsort(key, kind="stable")
+                heads = np.flatnonzero(np.diff(key[order], prepend=-1))
+                ends, text, count = [*heads[1:], len(key)], text.take(pa.array(order)), count[order]
+                data = [pack(text.slice(i, j - i), count[i:j]) for i, j in zip(heads, ends, strict=True)]
+                to, name = np.divmod(key[order][heads], len(names.dictionary))
+                made = [pa.array(to.astype(np.int32)), pa.array(np.full(len(heads), n, np.int32)), names.dictionary.take(pa.array(name)), pa.array(np.diff([*heads, len(key)]).astype(np.int32)), pa.array(data, pa.binary())]
+                yield pa.RecordBatch.from_arrays(made, names=["bucket", "words", "lang", "n", "data"])
 
-    return found.mapInArrow(run, "bucket int, words int, langs array<string>, grams array<string>, counts array<long>")
+    return found.mapInArrow(run, "bucket int, words int, lang string, n int, data binary")
 
 
 def counted(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Counts of a task's buckets, streamed through duckdb: (lang, gram, words, n) of n-grams that occur often enough, and each language's words in all (gram null)."""
     import duckdb
 
-    kinds = pa.schema({"lang": pa.string(), "gram": pa.string(), "words": pa.int32(), "n": pa.int64()})
-
     def rows() -> Iterator[pa.RecordBatch]:
         for b in batches:
-            grams = column(b, "grams")
-            lists = [column(b, "langs").flatten(), grams.flatten(), column(b, "words").take(pc.list_parent_indices(grams)), column(b, "counts").flatten()]
-            yield pa.RecordBatch.from_arrays(lists, schema=kinds)
+            for data, lang, words, n in zip(*(column(b, c).to_pylist() for c in ("data", "lang", "words", "n")), strict=True):
+                yield unpack(data, lang, words, n)
 
     with tempfile.TemporaryDirectory() as scratch, duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": scratch, "preserve_insertion_order": False}) as con:
-        reader = pa.RecordBatchReader.from_batches(kinds, rows())
+        reader = pa.RecordBatchReader.from_batches(KINDS, rows())
         con.register("sent", reader)
         con.execute(f"CREATE TEMP TABLE counts AS SELECT lang, gram, words, sum(n)::BIGINT AS n FROM sent GROUP BY ALL HAVING sum(n) >= {least:d} OR words = 1")
         found = con.sql(f"SELECT * FROM counts WHERE n >= {least:d} UNION ALL SELECT lang, NULL, 0, sum(n)::BIGINT FROM counts WHERE words = 1 GROUP BY lang")
-        yield from (b.cast(kinds) for b in found.to_arrow_reader(65536))
+        yield from (b.cast(KINDS) for b in found.to_arrow_reader(65536))
 
 
 def score(a: Column, left: Column, right: Column) -> Column:
