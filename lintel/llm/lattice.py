@@ -41,10 +41,10 @@ from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, Str
 from lintel.session import discard, prepare, written
 
 MARK = "▁"
-BLOCK = 16 << 20  # bytes of text in a block; one text may be longer
+BLOCK = 4 << 20  # bytes of text in a block; one text may be longer
 BUCKET = 400_000  # words sent to a bucket, about
 CLASSES = 15
-CHARS = 400_000  # characters whose lattices are in memory at once; one word may be longer
+CHARS = 150_000  # characters whose lattices are in memory at once; one word may be longer
 LITERAL = 0x110000  # stands for a space mark inside a word, which is no space
 
 
@@ -233,12 +233,13 @@ def blocks(docs: DataFrame, limit: int, classes: int) -> DataFrame:
         def emit() -> pa.RecordBatch:
             whole = pa.Table.from_batches(waiting).combine_chunks()
             made = [pa.array([at]), *block_of(*(whole[n].chunk(0) for n in ("id", "text", "held", "kind")), classes)]
+            pa.default_memory_pool().release_unused()
             return pa.RecordBatch.from_arrays(made, names=schema.names)
 
         for batch in batches:
             for a, b in cut_blocks(column(batch, "text"), limit):
                 waiting.append(batch.slice(a, b - a))
-                size += waiting[-1].column(batch.schema.get_field_index("text")).nbytes
+                size += column(waiting[-1], "text").nbytes
                 if size >= limit:
                     yield emit()
                     at, waiting, size = at + 1, [], 0
