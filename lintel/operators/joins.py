@@ -88,6 +88,23 @@ def frequent_pairs(df: DataFrame, basket: str, item: str, least: int, busiest: i
     return common.groupBy("first", "second").agg(F.first("shared").alias("shared"), F.array_sort(F.collect_list("i")).alias("items"))
 
 
+def token_references(entities: DataFrame, name: str, files: DataFrame, path: str, text: str, own: str | None = None, shortest: int = 3) -> DataFrame:
+    """Append blast_radius: 1 and the number of other files whose text holds the entity's name as a whole word.
+
+    Words of a text that are no shorter than `shortest` count once, so a file is cut into words once and meets each name
+    that it holds in one equi-join, without any scan of texts by name. Names that are no single word, shorter ones and null
+    ones have 1. own: a column with the entity's own file, which doesn't count again; entities are told apart by name and own."""
+    keys = [name, own] if own else [name]
+    asked = entities.select(*keys).filter((F.length(name) >= shortest) & ~F.col(name).rlike(r"\W")).distinct()
+    words = files.select(F.col(path).alias("__path"), F.explode(F.array_distinct(F.split(F.col(text), r"\W+"))).alias("__word")).filter(F.length("__word") >= shortest)
+    hits = asked.join(words, F.col(name) == F.col("__word"))
+    if own:
+        hits = hits.filter(~F.col("__path").eqNullSafe(F.col(own)))
+    counts = written(hits.select(*keys, "__path").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("__files")), "references").toDF(*[f"__{k}" for k in keys], "__files")
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return entities.join(counts, same, "left").select(*entities.columns, (1 + F.coalesce("__files", F.lit(0))).alias("blast_radius"))
+
+
 def churn(files: DataFrame, changes: DataFrame, path: str, day: str, until: Column, days: int = 90) -> DataFrame:
     """Changes of each file in the days before a date; 0 without any. changes: a row per change and file."""
     recent = changes.filter((F.col(day) >= F.date_sub(until, days)) & (F.col(day) < until)).groupBy(path).agg(F.count(F.lit(1)).alias("churn"))

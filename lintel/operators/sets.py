@@ -22,11 +22,18 @@ def difference(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
     return df.join(other.select(*on).distinct(), on, "left_anti")
 
 
-def prune_conflicts(steps: DataFrame, plan: str, entity: str, action: str, position: str, removing: list[str], group: str | None = None) -> DataFrame:
+#: Smells of which every fix removes the entity.
+DEAD = ("Dead Code", "DeadCode", "UnreachableCode")
+
+
+def prune_conflicts(steps: DataFrame, plan: str, entity: str, action: str, position: str, removing: list[str], group: str | None = None, smell: str | None = None) -> DataFrame:
     """Steps of a plan without conflicts: an entity that is to be removed keeps its removing steps only, of equal actions on
-    an entity the first stays, and so does the first of a group of duplicates. Steps without an entity or group stay."""
+    an entity the first stays, and so does the first of a group of duplicates. Steps without an entity or group stay.
+
+    Removing steps are those of a removing action and those of a smell in DEAD, whatever their action."""
     known = F.coalesce(F.nullif(F.nullif(F.trim(entity), F.lit("")), F.lit("unknown")))
-    rows = steps.withColumn("__e", known).withColumn("__removes", F.col(action).isin(removing))
+    removes = F.col(action).isin(removing) | (F.col(smell).isin(*DEAD) if smell else F.lit(False))
+    rows = steps.withColumn("__e", known).withColumn("__removes", F.coalesce(removes, F.lit(False)))
     gone = rows.filter("__e IS NOT NULL AND __removes").select(plan, F.col("__e")).distinct()
     rows = rows.join(gone.withColumn("__gone", F.lit(True)), [plan, "__e"], "left").filter("__gone IS NULL OR __removes")
     named = first_per_key(rows.filter(F.trim(entity) != ""), [plan, entity, action], [F.col(position)])

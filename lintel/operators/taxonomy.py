@@ -18,54 +18,53 @@ PRIORITY = {
     "Uncategorized": "low",
 }
 MEMBERS = {
-    "Bloaters": "LongMethod LongFunction LargeClass TooManyParameters PrimitiveObsession DataClumps",
-    "Object-Orientation Abusers": "SwitchStatements RefusedBequest TemporaryField AlternativeClassesWithDifferentInterfaces",
-    "Change Preventers": "DuplicateCode DivergentChange ShotgunSurgery ParallelInheritanceHierarchies",
-    "Dispensables": "DeadCode UnreachableCode UnusedVariable LazyClass Comments SpeculativeGenerality DataClass",
-    "Couplers": "FeatureEnvy InappropriateIntimacy MessageChains MiddleMan",
-    "Security / Language-Specific": "UnsafeFunctionUsage DeepNesting GlobalVariable LargeHeaderFile BareExcept MagicNumber",
+    "Bloaters": ("LongMethod", "LongFunction", "LargeClass", "TooManyParameters", "PrimitiveObsession", "DataClumps"),
+    "Object-Orientation Abusers": ("SwitchStatements", "RefusedBequest", "TemporaryField", "AlternativeClassesWithDifferentInterfaces"),
+    "Change Preventers": ("DuplicateCode", "DivergentChange", "ShotgunSurgery", "ParallelInheritanceHierarchies"),
+    "Dispensables": ("DeadCode", "UnreachableCode", "UnusedVariable", "LazyClass", "Comments", "SpeculativeGenerality", "DataClass"),
+    "Couplers": ("FeatureEnvy", "InappropriateIntimacy", "MessageChains", "MiddleMan"),
+    "Security / Language-Specific": ("UnsafeFunctionUsage", "DeepNesting", "GlobalVariable", "LargeHeaderFile", "BareExcept", "MagicNumber"),
 }
-CATEGORY_OF = {smell: category for category, smells in MEMBERS.items() for smell in smells.split()}
+CATEGORY_OF = {smell: category for category, smells in MEMBERS.items() for smell in smells}
 
 # Smell, fix, risk, impact.
-FIXES = """
-Long Method: Extract Method, low, high
-God Class: Extract Class, medium, high
-Feature Envy: Move Method, medium, high
-Duplicate Code: Extract Method, low, high
-Long Parameter List: Introduce Parameter Object, low, high
-Data Clumps: Extract Class, medium, medium
-Primitive Obsession: Replace Data Value with Object, low, medium
-Shotgun Surgery: Move Method, medium, high
-Divergent Change: Extract Class, medium, medium
-Dead Code: Remove Dead Code, low, medium
-Comments: Rename Method, low, low
-Large Class: Extract Class, medium, high
-Switch Statements: Replace Conditional with Polymorphism, high, high
-Lazy Class: Inline Class, low, low
-Speculative Generality: Collapse Hierarchy, medium, medium
-LongMethod: Extract Method, low, high
-LongFunction: Extract Method, low, high
-TooManyParameters: Introduce Parameter Object, low, high
-SwitchStatements: Replace Conditional with Polymorphism, high, high
-MessageChains: Hide Delegate, low, medium
-LargeClass: Extract Class, medium, high
-LazyClass: Inline Class, low, low
-PrimitiveObsession: Replace Data Value with Object, low, medium
-InappropriateIntimacy: Move Method, medium, medium
-SpeculativeGenerality: Collapse Hierarchy, medium, medium
-DuplicateCode: Extract Method, low, high
-FeatureEnvy: Move Method, medium, high
-DataClumps: Extract Class, medium, medium
-DeadCode: Remove Dead Code, low, medium
-MagicNumber: Replace Magic Number with Symbolic Constant, low, medium
-BareExcept: Replace Bare Except with Specific Exception, low, medium
-DeepNesting: Replace Nested Conditional with Guard Clauses, medium, high
-UnsafeFunctionUsage: Replace Unsafe Call with Safe Variant, medium, high
-GlobalVariable: Encapsulate Field, medium, medium
-LargeHeaderFile: Extract Class, medium, medium
-"""
-FIX_OF = {smell: tuple(x.strip() for x in rest.split(",")) for smell, rest in (line.split(":") for line in FIXES.strip().split("\n"))}
+FIX_OF = {
+    "Long Method": ("Extract Method", "low", "high"),
+    "God Class": ("Extract Class", "medium", "high"),
+    "Feature Envy": ("Move Method", "medium", "high"),
+    "Duplicate Code": ("Extract Method", "low", "high"),
+    "Long Parameter List": ("Introduce Parameter Object", "low", "high"),
+    "Data Clumps": ("Extract Class", "medium", "medium"),
+    "Primitive Obsession": ("Replace Data Value with Object", "low", "medium"),
+    "Shotgun Surgery": ("Move Method", "medium", "high"),
+    "Divergent Change": ("Extract Class", "medium", "medium"),
+    "Dead Code": ("Remove Dead Code", "low", "medium"),
+    "Comments": ("Rename Method", "low", "low"),
+    "Large Class": ("Extract Class", "medium", "high"),
+    "Switch Statements": ("Replace Conditional with Polymorphism", "high", "high"),
+    "Lazy Class": ("Inline Class", "low", "low"),
+    "Speculative Generality": ("Collapse Hierarchy", "medium", "medium"),
+    "LongMethod": ("Extract Method", "low", "high"),
+    "LongFunction": ("Extract Method", "low", "high"),
+    "TooManyParameters": ("Introduce Parameter Object", "low", "high"),
+    "SwitchStatements": ("Replace Conditional with Polymorphism", "high", "high"),
+    "MessageChains": ("Hide Delegate", "low", "medium"),
+    "LargeClass": ("Extract Class", "medium", "high"),
+    "LazyClass": ("Inline Class", "low", "low"),
+    "PrimitiveObsession": ("Replace Data Value with Object", "low", "medium"),
+    "InappropriateIntimacy": ("Move Method", "medium", "medium"),
+    "SpeculativeGenerality": ("Collapse Hierarchy", "medium", "medium"),
+    "DuplicateCode": ("Extract Method", "low", "high"),
+    "FeatureEnvy": ("Move Method", "medium", "high"),
+    "DataClumps": ("Extract Class", "medium", "medium"),
+    "DeadCode": ("Remove Dead Code", "low", "medium"),
+    "MagicNumber": ("Replace Magic Number with Symbolic Constant", "low", "medium"),
+    "BareExcept": ("Replace Bare Except with Specific Exception", "low", "medium"),
+    "DeepNesting": ("Replace Nested Conditional with Guard Clauses", "medium", "high"),
+    "UnsafeFunctionUsage": ("Replace Unsafe Call with Safe Variant", "medium", "high"),
+    "GlobalVariable": ("Encapsulate Field", "medium", "medium"),
+    "LargeHeaderFile": ("Extract Class", "medium", "medium"),
+}
 DEFAULT_FIX = ("Rename Method", "low", "low")
 
 # Fixes (in lower case) that a transformer has an action for, and those that need several coordinated edits.

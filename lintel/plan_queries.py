@@ -428,16 +428,17 @@ def step_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {STEPS_SQL}, s AS (SELECT o_custkey, o_orderkey, CASE mode WHEN 'AIR' THEN '' WHEN 'RAIL' THEN 'unknown' ELSE mode END AS e, o_orderstatus AS a, CASE WHEN supp % 3 = 0 THEN supp % 4 END AS g FROM o),
-d AS (SELECT DISTINCT o_custkey, e FROM s WHERE a = 'F' AND e NOT IN ('', 'unknown')), k AS (SELECT s.* FROM s LEFT JOIN d USING (o_custkey, e) WHERE d.e IS NULL OR a = 'F'),
+    f"""WITH {STEPS_SQL}, s AS (SELECT o_custkey, o_orderkey, CASE mode WHEN 'AIR' THEN '' WHEN 'RAIL' THEN 'unknown' ELSE mode END AS e, o_orderstatus AS a, CASE WHEN supp % 3 = 0 THEN supp % 4 END AS g,
+a = 'F' OR o_orderkey % 13 = 5 AS removes FROM o),
+d AS (SELECT DISTINCT o_custkey, e FROM s WHERE removes AND e NOT IN ('', 'unknown')), k AS (SELECT s.* FROM s LEFT JOIN d USING (o_custkey, e) WHERE d.e IS NULL OR removes),
 n AS (SELECT * FROM k WHERE e <> '' QUALIFY row_number() OVER (PARTITION BY o_custkey, e, a ORDER BY o_orderkey) = 1 UNION ALL SELECT * FROM k WHERE e = '')
 SELECT o_custkey, o_orderkey FROM n WHERE g IS NULL UNION ALL SELECT o_custkey, o_orderkey FROM (SELECT * FROM n WHERE g IS NOT NULL QUALIFY row_number() OVER (PARTITION BY o_custkey, g ORDER BY o_orderkey) = 1)"""
 )
 def prune_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A customer's orders as steps on a mode; finished ones remove it, some belong to groups of duplicates."""
+    """A customer's orders as steps on a mode; finished ones and some of dead code remove it, some belong to groups of duplicates."""
     entity = F.when(F.col("mode") == "AIR", "").when(F.col("mode") == "RAIL", "unknown").otherwise(F.col("mode"))
-    rows = order_steps(spark, sf_dir).select("o_custkey", "o_orderkey", entity.alias("e"), F.col("o_orderstatus").alias("a"), F.when(F.col("supp") % 3 == 0, F.col("supp") % 4).alias("g"))
-    return sets.prune_conflicts(rows, "o_custkey", "e", "a", "o_orderkey", ["F"], "g").select("o_custkey", "o_orderkey")
+    rows = order_steps(spark, sf_dir).select("o_custkey", "o_orderkey", entity.alias("e"), F.col("o_orderstatus").alias("a"), F.when(F.col("supp") % 3 == 0, F.col("supp") % 4).alias("g"), F.when(F.col("o_orderkey") % 13 == 5, "UnreachableCode").when(F.col("o_orderkey") % 13 == 6, "LongMethod").alias("smell"))
+    return sets.prune_conflicts(rows, "o_custkey", "e", "a", "o_orderkey", ["F"], "g", "smell").select("o_custkey", "o_orderkey")
 
 
 @query(

@@ -1,41 +1,13 @@
-"""Repository overview: languages, roles, imports, dependencies, key files."""
+"""Repository overview: languages, imports, dependencies, clues of its design. Roles and key files are in repository."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.functions.scalars import file_name, is_test_file
+from lintel.functions.scalars import file_name
 from lintel.operators import joins, rollups
 
-# What names of files and folders mean; callers may pass their own.
-FILE_ROLES = {"main.py": "entry", "app.py": "entry", "__main__.py": "entry", "manage.py": "entry", "setup.py": "build", "conftest.py": "test", "settings.py": "config", "config.py": "config"}
-CONTENT_ROLES = {"entry": r"(?m)__name__\s*==|public\s+static\s+void\s+main|int\s+main\s*\(", "controller": r"@(?:Rest)?Controller|@app\.route|APIRouter", "model": r"@Entity|declarative_base|models\.Model"}
-FOLDER_ROLES = {"src": "source", "lib": "source", "tests": "test", "test": "test", "docs": "docs", "config": "config", "api": "api", "controllers": "api", "models": "model", "services": "service", "utils": "helper"}
-
-
-def roles(files: DataFrame, by_name: dict[str, str] | None = None, by_content: dict[str, str] | None = None) -> DataFrame:
-    """Append `role`: by file name, else test, else by content, else source."""
-    found = F.lit(None).cast("string")
-    for name, role in (by_name or FILE_ROLES).items():
-        found = F.coalesce(found, F.when(file_name(F.col("path")) == name, role))
-    found = F.coalesce(found, F.when(is_test_file(F.col("path")), "test"))
-    for role, pattern in (by_content or CONTENT_ROLES).items():
-        found = F.coalesce(found, F.when(F.col("text").rlike(pattern), role))
-    return files.withColumn("role", F.coalesce(found, F.lit("source")))
-
-
-def folder_roles(folders: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
-    """Append `role` and `certain`: the whole name, else a part of it, else null."""
-    names = names or FOLDER_ROLES
-    last = F.lower(F.element_at(F.split("folder", "/"), -1))
-    whole, part = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for name, role in names.items():
-        whole = F.coalesce(whole, F.when(last == name, role))
-        part = F.coalesce(part, F.when(last.contains(name), role))
-    return folders.withColumn("role", F.coalesce(whole, part)).withColumn("certain", whole.isNotNull())
-
-
 def imports(files: DataFrame) -> DataFrame:
     """(src, module) of Python and Java imports and local C includes."""
     py = F.regexp_extract_all("text", F.lit(r"(?m)^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))"), F.lit(0))
@@ -60,14 +32,6 @@ def dependencies(files: DataFrame) -> DataFrame:
     return python.unionByName(java).unionByName(c).filter("src <> dst")
 
 
-def key_files(files: DataFrame, edges: DataFrame, top: int = 15) -> DataFrame:
-    """The `top` files by role, fan-in and fan-out."""
-    degree = joins.degrees(edges)
-    joined = roles(files).join(degree, files["path"] == degree["node"], "left").fillna(0, subset=["fan_in", "fan_out"])
-    score = F.when(F.col("role") == "entry", 5).when(F.col("role").isin("controller", "model"), 3).when(F.col("role") == "test", -2).otherwise(0) + 2 * F.least("fan_in", F.lit(10)) + F.least("fan_out", F.lit(5))
-    return joined.select("path", "role", "fan_in", "fan_out", score.alias("score")).orderBy(F.desc("score"), "path").limit(top)
-
-
 def languages(files: DataFrame) -> DataFrame:
     """Files, lines and percent per language."""
     lines = files.select("language", F.size(F.split("text", "\n")).alias("lines"))
@@ -75,8 +39,8 @@ def languages(files: DataFrame) -> DataFrame:
     return rollups.share(lines, "language").join(counts, "language")
 
 
-def clues(folders: DataFrame, needed: dict[str, list[str]], least: int = 3) -> DataFrame:
-    """(clue, found) for sets of folder roles of which at least `least` occur."""
-    have = folder_roles(folders).filter("role IS NOT NULL").agg(F.collect_set("role").alias("have"))  # as many as there are roles
-    rows = F.array(*[F.struct(F.lit(k).alias("clue"), F.size(F.array_intersect(F.col("have"), F.array(*[F.lit(x) for x in v]))).alias("found")) for k, v in needed.items()])
-    return have.select(F.explode(rows).alias("r")).select("r.*").filter(F.col("found") >= least)
+def clues(folders: DataFrame, needed: dict[str, list[str]], least: int = 3, by: str = "repository") -> DataFrame:
+    """(by, clue, found) for sets of folder roles of which at least `least` occur in a repository. folders: (by, role), of repository.important_folders say."""
+    rows = F.array(*[F.struct(F.lit(k).alias("clue"), F.array(*[F.lit(x) for x in v]).alias("roles")) for k, v in needed.items()])
+    asked = folders.select(by, "role").distinct().select(by, "role", F.explode(rows).alias("r"))
+    return asked.filter(F.array_contains("r.roles", F.col("role"))).groupBy(by, F.col("r.clue").alias("clue")).agg(F.count(F.lit(1)).alias("found")).filter(F.col("found") >= least)

@@ -18,15 +18,17 @@ def findings(files: DataFrame, repository: str | None = None) -> tuple[DataFrame
     rows = python_code.all_findings(python).unionByName(c_code.all_findings(other))
     rows = rows.filter(~((F.col("smell") == "MagicNumber") & is_test_file(F.col("path"))))
     facts = python.unionByName(other).filter("kind IN ('file', 'error')")
-    return rows, facts.select("path", F.coalesce("smell", "kind").alias("fact"), "value", F.when(F.col("kind") == "error", F.col("detail")).alias("error"))
+    return rows, facts.select("repository", "path", F.coalesce("smell", "kind").alias("fact"), "value", F.when(F.col("kind") == "error", F.col("detail")).alias("error"))
 
 
-def file_report(files: DataFrame, found: DataFrame, facts: DataFrame) -> DataFrame:
-    """path, language, lines, findings by severity, score, error; files without findings stay."""
-    scores = rollups.quality_score(found, ["path"], F.col("severity"))
-    levels = found.groupBy("path").agg(*[F.count_if(F.col("severity") == s).alias(s) for s in ("high", "medium", "low")])
-    lines = facts.groupBy("path").agg(F.max(F.when(F.col("fact") == "lines", F.col("value"))).alias("lines"), F.max("error").alias("error"))
-    joined = files.select("path", "language").join(lines, "path", "left").join(scores, "path", "left").join(levels, "path", "left")
+def file_report(files: DataFrame, found: DataFrame, facts: DataFrame, repository: str | None = None) -> DataFrame:
+    """repository, path, language, lines, findings by severity, score, error; files without findings stay. Repositories may have equal paths."""
+    key = ["repository", "path"]
+    scores = rollups.quality_score(found, key, F.col("severity"))
+    levels = found.groupBy(*key).agg(*[F.count_if(F.col("severity") == s).alias(s) for s in ("high", "medium", "low")])
+    lines = facts.groupBy(*key).agg(F.max(F.when(F.col("fact") == "lines", F.col("value"))).alias("lines"), F.max("error").alias("error"))
+    owner = F.lit("") if repository is None else F.coalesce(F.col(repository).cast("string"), F.lit(""))
+    joined = files.select(owner.alias("repository"), "path", "language").join(lines, key, "left").join(scores, key, "left").join(levels, key, "left")
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("findings", "high", "medium", "low")}
     return joined.withColumns(zero | {"score": F.when(F.col("error").isNull(), F.coalesce("score", F.lit(100.0)))})
 

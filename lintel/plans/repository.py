@@ -15,131 +15,129 @@ from lintel.operators.ranking import first_per_key, top_per_key
 IGNORED = ".git .github node_modules __pycache__ .venv venv env .env target build dist out coverage .coverage htmlcov .idea .vscode .eclipse .mypy_cache .pytest_cache .tox bin obj".split()
 
 # Folder name, role, confidence; the first name that a folder's name holds counts where no name equals it.
-FOLDER_ROLES = """
-src: Source, high
-source: Source, high
-lib: Library, high
-libs: Library, high
-core: Core, high
-main: Source, medium
-app: Application, medium
-controller: Controller, high
-controllers: Controller, high
-handler: Controller, high
-handlers: Controller, high
-route: Controller, high
-routes: Controller, high
-api: API, high
-service: Service, high
-services: Service, high
-usecase: Service, high
-usecases: Service, high
-business: Service, high
-logic: Service, medium
-domain: Domain, high
-repository: Repository, high
-repositories: Repository, high
-repo: Repository, medium
-dao: Repository, high
-persistence: Repository, high
-store: Repository, medium
-database: Repository, high
-db: Repository, high
-model: Data Model, high
-models: Data Model, high
-entity: Data Model, high
-entities: Data Model, high
-schema: Schema, high
-schemas: Schema, high
-dto: Data Model, high
-dtos: Data Model, high
-util: Utility, high
-utils: Utility, high
-helper: Utility, high
-helpers: Utility, high
-common: Utility, medium
-shared: Utility, medium
-support: Utility, medium
-tools: Utility, medium
-test: Tests, high
-tests: Tests, high
-spec: Tests, high
-specs: Tests, high
-__tests__: Tests, high
-config: Configuration, high
-configs: Configuration, high
-conf: Configuration, high
-settings: Configuration, high
-properties: Configuration, medium
-env: Configuration, medium
-doc: Documentation, high
-docs: Documentation, high
-wiki: Documentation, medium
-script: Scripts, high
-scripts: Scripts, high
-bin: Scripts, medium
-include: Headers, high
-includes: Headers, high
-header: Headers, high
-headers: Headers, high
-deploy: Deployment, high
-deployment: Deployment, high
-infra: Infrastructure, high
-infrastructure: Infrastructure, high
-k8s: Deployment, high
-kubernetes: Deployment, high
-docker: Deployment, high
-middleware: Middleware, high
-plugin: Plugin, medium
-plugins: Plugin, medium
-extension: Plugin, medium
-extensions: Plugin, medium
-auth: Auth, high
-security: Auth, high
-oauth: Auth, high
-migration: Migration, high
-migrations: Migration, high
-flyway: Migration, high
-liquibase: Migration, high
-"""
-FOLDERS = {k.strip(): tuple(x.strip() for x in v.split(",")) for k, v in (line.split(":") for line in FOLDER_ROLES.strip().split("\n"))}
+FOLDERS = {
+    "src": ("Source", "high"),
+    "source": ("Source", "high"),
+    "lib": ("Library", "high"),
+    "libs": ("Library", "high"),
+    "core": ("Core", "high"),
+    "main": ("Source", "medium"),
+    "app": ("Application", "medium"),
+    "controller": ("Controller", "high"),
+    "controllers": ("Controller", "high"),
+    "handler": ("Controller", "high"),
+    "handlers": ("Controller", "high"),
+    "route": ("Controller", "high"),
+    "routes": ("Controller", "high"),
+    "api": ("API", "high"),
+    "service": ("Service", "high"),
+    "services": ("Service", "high"),
+    "usecase": ("Service", "high"),
+    "usecases": ("Service", "high"),
+    "business": ("Service", "high"),
+    "logic": ("Service", "medium"),
+    "domain": ("Domain", "high"),
+    "repository": ("Repository", "high"),
+    "repositories": ("Repository", "high"),
+    "repo": ("Repository", "medium"),
+    "dao": ("Repository", "high"),
+    "persistence": ("Repository", "high"),
+    "store": ("Repository", "medium"),
+    "database": ("Repository", "high"),
+    "db": ("Repository", "high"),
+    "model": ("Data Model", "high"),
+    "models": ("Data Model", "high"),
+    "entity": ("Data Model", "high"),
+    "entities": ("Data Model", "high"),
+    "schema": ("Schema", "high"),
+    "schemas": ("Schema", "high"),
+    "dto": ("Data Model", "high"),
+    "dtos": ("Data Model", "high"),
+    "util": ("Utility", "high"),
+    "utils": ("Utility", "high"),
+    "helper": ("Utility", "high"),
+    "helpers": ("Utility", "high"),
+    "common": ("Utility", "medium"),
+    "shared": ("Utility", "medium"),
+    "support": ("Utility", "medium"),
+    "tools": ("Utility", "medium"),
+    "test": ("Tests", "high"),
+    "tests": ("Tests", "high"),
+    "spec": ("Tests", "high"),
+    "specs": ("Tests", "high"),
+    "__tests__": ("Tests", "high"),
+    "config": ("Configuration", "high"),
+    "configs": ("Configuration", "high"),
+    "conf": ("Configuration", "high"),
+    "settings": ("Configuration", "high"),
+    "properties": ("Configuration", "medium"),
+    "env": ("Configuration", "medium"),
+    "doc": ("Documentation", "high"),
+    "docs": ("Documentation", "high"),
+    "wiki": ("Documentation", "medium"),
+    "script": ("Scripts", "high"),
+    "scripts": ("Scripts", "high"),
+    "bin": ("Scripts", "medium"),
+    "include": ("Headers", "high"),
+    "includes": ("Headers", "high"),
+    "header": ("Headers", "high"),
+    "headers": ("Headers", "high"),
+    "deploy": ("Deployment", "high"),
+    "deployment": ("Deployment", "high"),
+    "infra": ("Infrastructure", "high"),
+    "infrastructure": ("Infrastructure", "high"),
+    "k8s": ("Deployment", "high"),
+    "kubernetes": ("Deployment", "high"),
+    "docker": ("Deployment", "high"),
+    "middleware": ("Middleware", "high"),
+    "plugin": ("Plugin", "medium"),
+    "plugins": ("Plugin", "medium"),
+    "extension": ("Plugin", "medium"),
+    "extensions": ("Plugin", "medium"),
+    "auth": ("Auth", "high"),
+    "security": ("Auth", "high"),
+    "oauth": ("Auth", "high"),
+    "migration": ("Migration", "high"),
+    "migrations": ("Migration", "high"),
+    "flyway": ("Migration", "high"),
+    "liquibase": ("Migration", "high"),
+}
 
 # File name, category of artifact, tool.
-ARTIFACTS = """
-pom.xml: build_tools, Maven
-build.gradle: build_tools, Gradle
-build.gradle.kts: build_tools, Gradle
-makefile: build_tools, Make
-gnumakefile: build_tools, Make
-cmakelists.txt: build_tools, CMake
-meson.build: build_tools, Meson
-configure: build_tools, Autotools
-configure.ac: build_tools, Autotools
-gradlew: build_tools, Gradle Wrapper
-autogen.sh: build_tools, Autotools
-requirements.txt: dependency_managers, pip
-requirements-dev.txt: dependency_managers, pip
-pipfile: dependency_managers, Pipenv
-pyproject.toml: dependency_managers, pip/Poetry
-setup.py: dependency_managers, setuptools
-conanfile.txt: dependency_managers, Conan
-conanfile.py: dependency_managers, Conan
-pytest.ini: testing, pytest
-setup.cfg: testing, pytest
-tox.ini: testing, tox
-testng.xml: testing, TestNG
-dockerfile: deployment, Docker
-docker-compose.yml: deployment, Docker Compose
-docker-compose.yaml: deployment, Docker Compose
-vagrantfile: deployment, Vagrant
-kubernetes: deployment, Kubernetes
-k8s: deployment, Kubernetes
-.travis.yml: ci_cd, Travis CI
-jenkinsfile: ci_cd, Jenkins
-appveyor.yml: ci_cd, AppVeyor
-azure-pipelines.yml: ci_cd, Azure Pipelines
-"""
-TOOLS = [tuple(x.strip() for x in (k, *v.split(","))) for k, v in (line.split(":") for line in ARTIFACTS.strip().split("\n"))]
+TOOLS = [
+    ("pom.xml", "build_tools", "Maven"),
+    ("build.gradle", "build_tools", "Gradle"),
+    ("build.gradle.kts", "build_tools", "Gradle"),
+    ("makefile", "build_tools", "Make"),
+    ("gnumakefile", "build_tools", "Make"),
+    ("cmakelists.txt", "build_tools", "CMake"),
+    ("meson.build", "build_tools", "Meson"),
+    ("configure", "build_tools", "Autotools"),
+    ("configure.ac", "build_tools", "Autotools"),
+    ("gradlew", "build_tools", "Gradle Wrapper"),
+    ("autogen.sh", "build_tools", "Autotools"),
+    ("requirements.txt", "dependency_managers", "pip"),
+    ("requirements-dev.txt", "dependency_managers", "pip"),
+    ("pipfile", "dependency_managers", "Pipenv"),
+    ("pyproject.toml", "dependency_managers", "pip/Poetry"),
+    ("setup.py", "dependency_managers", "setuptools"),
+    ("conanfile.txt", "dependency_managers", "Conan"),
+    ("conanfile.py", "dependency_managers", "Conan"),
+    ("pytest.ini", "testing", "pytest"),
+    ("setup.cfg", "testing", "pytest"),
+    ("tox.ini", "testing", "tox"),
+    ("testng.xml", "testing", "TestNG"),
+    ("dockerfile", "deployment", "Docker"),
+    ("docker-compose.yml", "deployment", "Docker Compose"),
+    ("docker-compose.yaml", "deployment", "Docker Compose"),
+    ("vagrantfile", "deployment", "Vagrant"),
+    ("kubernetes", "deployment", "Kubernetes"),
+    ("k8s", "deployment", "Kubernetes"),
+    (".travis.yml", "ci_cd", "Travis CI"),
+    ("jenkinsfile", "ci_cd", "Jenkins"),
+    ("appveyor.yml", "ci_cd", "AppVeyor"),
+    ("azure-pipelines.yml", "ci_cd", "Azure Pipelines"),
+]
 
 # Manifests of subprojects; names of Python entry points; patterns of main functions.
 MANIFESTS = {

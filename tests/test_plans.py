@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lintel.operators import selection
-from lintel.plans import overview
+from lintel.plans import overview, repository
 from lintel.sources import files as sources
 from pyspark.sql import functions as F
 
@@ -52,11 +52,8 @@ def test_overview(spark):
     files = spark.createDataFrame(rows, "path string, language string, text string")
     edges = overview.dependencies(files)
     assert {(r["src"], r["dst"]) for r in edges.collect()} == {("app.py", "lib/util.py"), ("app.py", "lib/__init__.py"), ("tests/test_a.py", "app.py"), ("j/Main.java", "k/Helper.java"), ("c/a.c", "c/a.h")}
-    role = {r["path"]: r["role"] for r in overview.roles(files).collect()}
-    assert (role["app.py"], role["tests/test_a.py"], role["j/Main.java"], role["c/a.h"]) == ("entry", "test", "entry", "source")
-    assert overview.key_files(files, edges, 2).first()["path"] == "app.py"
     share = {r["language"]: (r["n"], r["percent"]) for r in overview.languages(files).collect()}
     assert share["python"] == (4, 50.0)
-    folders = sources.folders(files)
-    assert {r["folder"]: r["role"] for r in overview.folder_roles(folders).collect()}["tests"] == "test"
-    assert [r["clue"] for r in overview.clues(folders, {"layers": ["source", "test"]}, 2).collect()] == ["layers"]
+    known = repository.important_folders(spark.createDataFrame([("r", p) for p in ("api/a.py", "services/b.py", "models/c.py", "docs/d.md")] + [("s", "api/a.py")], "repository string, path string"))
+    found = overview.clues(known, {"layers": ["API", "Service", "Data Model"], "other": ["Schema"]}).collect()
+    assert [(r["repository"], r["clue"], r["found"]) for r in found] == [("r", "layers", 3)]

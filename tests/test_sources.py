@@ -167,6 +167,67 @@ def test_c_and_java_rules(spark):
     assert c_code.comment_lines("/* Copyright */\n/** doc\n */\n// a\nint x; /* b\nc */\n") == 3
 
 
+def slowest(texts, language):
+    import time
+
+    start = time.thread_time()
+    for text in texts:
+        list(c_code.rows_of("a." + language, text, language))
+    return time.thread_time() - start
+
+
+@pytest.mark.parametrize("language", ["c", "java"])
+def test_long_files_take_time_in_proportion(language):
+    """Ten thousand functions, classes, open bodies, type words, calls: four times the text takes about four times as long."""
+    kinds = [
+        lambda n: "".join(f"int f{i}(int a) {{ int b = a; b++; return b + 7; }}\n" for i in range(n)),
+        lambda n: "int f(int a) { f(a); return 7; }\n" * n,
+        lambda n: "".join(f"class C{i} {{ void m{i}() {{ }} }}\n" for i in range(n)),
+        lambda n: "class C {\n" * n,
+        lambda n: "".join(f"int f{i}(int a) {{\n" for i in range(n)),
+        lambda n: "int " * n,
+        lambda n: "f(" * n,
+        lambda n: "gets(" * n + "int a(int b);\n" * n,
+        lambda n: "/*" * n + "\"" * n,
+        lambda n: "int" + " *" * n + " x[" + "[" * n,
+    ]
+    for make in kinds:
+        assert slowest([make(10_000)], language) < 8 * slowest([make(2_500)], language) + 0.5
+
+
+def test_c_numbers_that_name_themselves():
+    text = """enum { A = 5, B = 6 };
+static int limits[] = {7, 8};
+int f(int a) {
+    const int k = 9; int MAX_ROWS = 11; int t[12]; int u[3][13] = {{14, 15}, {16}};
+    mkdir("x", 0755); int mode = 0644; assert(a == 17); EXPECT_EQ(a, 18);
+    switch (a) { case -19: break; case (20): break; }
+    int s = a * 60, h = 3600 / a, d = a + 3600;
+    return a - -21 + (-22) * a;
+}
+"""
+    assert [r[7] for r in c_code.rows_of("a.c", text, "c") if r[1] == "MagicNumber"] == ["0644", "3600", "-21", "-22"]
+    assert [r[7] for r in c_code.rows_of("test_a.c", text, "c") if r[1] == "MagicNumber"] == []
+
+
+def test_c_globals_and_prototypes():
+    text = "#define X int y = 1; \\\n int z;\nunsigned long *p[4] = 0;\nextern int e;\nint internal = 5;\nint g(int a);\nchar *gets(char *s);\nint used(void) { int local; return g(1); }\n"
+    rows = [(r[1], r[3]) for r in c_code.rows_of("a.h", text, "c") if r[0] == "finding"]
+    assert rows == [("GlobalVariable", "p"), ("GlobalVariable", "internal")]
+
+
+def test_java_classes_hold_their_own_methods():
+    inner = "class Inner {\n" + "void m() { }\n" * 16 + "}\n"
+    text = "class Outer {\n Outer() { }\n @Override public String toString() throws A, B { return x; }\n" + inner + "void last() { }\n}\n"
+    assert [(r[3], r[6]) for r in c_code.rows_of("A.java", text, "java") if r[1] == "LargeClass"] == [("Inner", 16)]
+    assert [f["name"] for f in c_code.functions_of(text)][:2] == ["toString", "m"]
+
+
+def test_python_clumps_once_a_pair():
+    text = "def f(a, b, c): pass\ndef g(a, b, c): pass\ndef h(a, b, c, d): pass\ndef i(d, c, b): pass\nclass K:\n def f(self, x, y, z): pass\n def g(self, x, y, z): pass\n"
+    assert [(r[3], r[7]) for r in python_code.rows_of(text) if r[1] == "DataClumps"] == [("f", "a,b,c"), ("h", "b,c,d")]
+
+
 def test_quality_report(spark, tree):
     source = files.source_tree(spark, tree)
     found, facts = quality.findings(source)
