@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lintel.session import discard, prepare, written
 
-CHUNK = 8 << 20  # bytes of pieces whose n-grams are added up at once
+CHUNK = 4 << 20  # bytes of pieces whose n-grams are added up at once
 BUCKET = 256 << 20  # bytes of n-grams in a bucket, about
 KINDS = pa.schema({"lang": pa.string(), "gram": pa.string(), "words": pa.int32(), "n": pa.int64()})
 MEMORY = "256MB"  # of duckdb in a task; beyond it, disk
@@ -108,36 +108,40 @@ def grams(t: pa.Table, most: int, buckets: int) -> Iterator[tuple[np.ndarray, pa
         yield ((mix >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), names.take(pa.array(lang[sample])), text, count
 
 
-def pack(grams: pa.Array, counts: np.ndarray) -> bytes:
-    """N-grams, one a line, and their counts. Lines with a first word in common lie together, which packs well."""
+def pack(grams: pa.Array, numbers: np.ndarray) -> bytes:
+    """N-grams, one a line, and numbers for each of them. Lines with a first word in common lie together, which packs well."""
     text = "\n".join(grams.to_pylist()).encode()
-    return len(text).to_bytes(8, "little") + pa.compress(text + counts.astype("<i8").tobytes(), "zstd", asbytes=True)
+    return len(text).to_bytes(8, "little") + pa.compress(text + numbers.T.astype("<i8").tobytes(), "zstd", asbytes=True)
 
 
-def unpack(data: bytes, lang: str, words: int, n: int) -> pa.RecordBatch:
+def unpack(data: bytes, langs: list[str], n: int) -> pa.RecordBatch:
     size = int.from_bytes(data[:8], "little")
-    whole = pa.decompress(data[8:], size + 8 * n, "zstd")
+    whole = pa.decompress(data[8:], size + 24 * n, "zstd")
     text = pa.StringArray.from_buffers(1, pa.py_buffer(np.array([0, size], np.int32)), whole.slice(0, size))
-    return pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pc.split_pattern(text, "\n").flatten(), pa.array(np.full(n, words, np.int32)), pa.array(np.frombuffer(whole, "<i8", n, size))], schema=KINDS)
+    lang, words, count = np.frombuffer(whole, "<i8", 3 * n, size).reshape(3, n)
+    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()).take(pa.array(lang)), pc.split_pattern(text, "\n").flatten(), pa.array(words.astype(np.int32)), pa.array(count)], schema=KINDS)
 
 
 def sent(found: DataFrame, most: int, buckets: int) -> DataFrame:
-    """A row a chunk, length, language and bucket: its n-grams with their counts, packed."""
+    """A row a chunk and bucket: its n-grams with their languages, lengths and counts, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunks(batches, "piece", CHUNK):
-            for n, (to, lang, text, count) in enumerate(grams(t, most, buckets), 1):
-                names = lang.dictionary_encode()
-                key = to * len(names.dictionary) + names.indices.to_numpy()
-                order = np.argsort(key, kind="stable")
-                heads = np.flatnonzero(np.diff(key[order], prepend=-1))
-                ends, text, count = [*heads[1:], len(key)], text.take(pa.array(order)), count[order]
-                data = [pack(text.slice(i, j - i), count[i:j]) for i, j in zip(heads, ends, strict=True)]
-                to, name = np.divmod(key[order][heads], len(names.dictionary))
-                made = [pa.array(to.astype(np.int32)), pa.array(np.full(len(heads), n, np.int32)), names.dictionary.take(pa.array(name)), pa.array(np.diff([*heads, len(key)]).astype(np.int32)), pa.array(data, pa.binary())]
-                yield pa.RecordBatch.from_arrays(made, names=["bucket", "words", "lang", "n", "data"])
-
-    return found.mapInArrow(run, "bucket int, words int, lang string, n int, data binary")
+            made = list(grams(t, most, buckets))
+            to = np.concatenate([x[0] for x in made])
+            lang = pa.concat_arrays([x[1] for x in made]).dictionary_encode()
+            order = np.argsort(to, kind="stable")
+            heads = np.flatnonzero(np.diff(to[order], prepend=-1))
+            ends = [*heads[1:], len(to)]
+            text = pa.concat_arrays([x[2] for x in made]).take(pa.array(order))
+            length = np.repeat(np.arange(1, len(made) + 1), [len(x[0]) for x in made])
+            numbers = np.column_stack([lang.indices.to_numpy(), length, np.concatenate([x[3] for x in made])])[order]
+            data = [pack(text.slice(i, j - i), numbers[i:j]) for i, j in zip(heads, ends, strict=True)]
+            names = pa.array([lang.dictionary.to_pylist()] * len(heads), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(to[order][heads].astype(np.int32)), names, pa.array(np.diff([*heads, len(to)]).astype(np.int32)), pa.array(data, pa.binary())], names=["bucket", "langs", "n", "data"])
+            pa.default_memory_pool().release_unused()
+
+    return found.mapInArrow(run, "bucket int, langs array<string>, n int, data binary")
 
 
 def counted(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -146,8 +150,8 @@ def counted(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
 
     def rows() -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for data, lang, words, n in zip(*(column(b, c).to_pylist() for c in ("data", "lang", "words", "n")), strict=True):
-                yield unpack(data, lang, words, n)
+            for data, langs, n in zip(*(column(b, c).to_pylist() for c in ("data", "langs", "n")), strict=True):
+                yield unpack(data, langs, n)
 
     with tempfile.TemporaryDirectory() as scratch, duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": scratch, "preserve_insertion_order": False}) as con:
         reader = pa.RecordBatchReader.from_batches(KINDS, rows())
