@@ -19,9 +19,10 @@ class too, a class's probability of a token is (c_k + V_k * p) / (N_k + V_k), p
 probability sums over the classes, weighted by their training texts; a text's own class isn't looked at. Classes are
 the `CLASSES` most frequent values that hold a hundredth of the training texts; all others make one more.
 
-How it is spread out: texts are cut into blocks of bounded size; a block is a row with its distinct words and, for
-each text, their places and counts. Blocks send their words to hash buckets (a row a block and bucket); a bucket
-adds up counts and scores each distinct word once; the answers go back the same way. A frequent word is one entry
+How it is spread out: texts are cut into blocks of bounded size; a block is a row with its distinct words, in the order
+of their hashes, and, for each text, their places and counts. Buckets are ranges of hashes, so a block sends each of
+them a run of its words (a packed row a block and bucket); a bucket adds up counts and scores each distinct word once;
+the answers go back the same way. A frequent word is one entry
 a block, so no word, text or source is hot. Only the vocabulary's scores (a row a piece) pass through the driver.
 """
 
@@ -38,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
+from lintel.llm.packing import by_key, packed, unpacked
 from lintel.session import discard, prepare, written
 
 MARK = "▁"
@@ -190,6 +192,10 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def hashes(words: pa.Array) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w.encode()) for w in words.to_pylist()), np.int64, len(words))
+
+
 def block_of(ids: pa.Array, texts: pa.Array, held: pa.Array, kinds: pa.Array, classes: int) -> list[pa.Array]:
     """The columns of one block, from its texts; kinds: their classes."""
     split = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts, "")), "[\\x20\\x09-\\x0D]+")
@@ -198,7 +204,10 @@ def block_of(ids: pa.Array, texts: pa.Array, held: pa.Array, kinds: pa.Array, cl
     flat, owner = flat.filter(keep), owner[keep.to_numpy(zero_copy_only=False)]
     coded = flat.dictionary_encode()
     n, words = len(texts), coded.dictionary
-    key, ns = np.unique(owner * max(len(words), 1) + coded.indices.to_numpy().astype(np.int64), return_counts=True)
+    order = np.argsort(hashes(words), kind="stable")
+    words, place = words.take(pa.array(order)), np.empty(len(words), np.int64)
+    place[order] = np.arange(len(order))
+    key, ns = np.unique(owner * max(len(words), 1) + place[coded.indices.to_numpy()], return_counts=True)
     doc, code = np.divmod(key, max(len(words), 1))
     kept = ~held.to_numpy(zero_copy_only=False)
     train = np.bincount(code * classes + kinds.to_numpy()[doc], ns * kept[doc], len(words) * classes).astype(np.int64)
@@ -249,26 +258,29 @@ def blocks(docs: DataFrame, limit: int, classes: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def with_counts(words: pa.Array, counts: np.ndarray, logs: np.ndarray | None = None) -> pa.RecordBatch:
+    """Words with their counts by class, and their scores."""
+    columns = {"word": words, **{f"n{k}": pa.array(counts[:, k]) for k in range(counts.shape[1])}, **({} if logs is None else {"log": pa.array(logs)})}
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def counts_of(batch: pa.RecordBatch | pa.Table, classes: int) -> np.ndarray:
+    return np.column_stack([batch.column(f"n{k}").to_numpy() for k in range(classes)]) if batch.num_rows else np.zeros((0, classes), np.int64)
+
+
 def by_bucket(table: DataFrame, buckets: int, classes: int) -> DataFrame:
-    """A row a block and bucket: the places of the block's words that the bucket counts, the words and their counts."""
+    """A row a block and bucket: the place of the first of the block's words that the bucket counts, and the words with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 words, train = column(batch, "words")[r].values, column(batch, "train")[r].values
-                to = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words.to_pylist()), np.int64, len(words))
-                order = np.argsort(to, kind="stable")
-                cuts = np.searchsorted(to[order], np.arange(buckets + 1)).astype(np.int32)
-                some = np.flatnonzero(np.diff(cuts)).astype(np.int32)
-                if not len(some):
-                    continue
-                ends = np.concatenate([cuts[some], [len(words)]]).astype(np.int32)
-                counts = train.to_numpy().reshape(-1, classes)[order].ravel()
-                lists = [pa.ListArray.from_arrays(pa.array(e), x) for e, x in ((ends, pa.array(order.astype(np.int32))), (ends, words.take(pa.array(order))), (ends * classes, pa.array(counts)))]
-                made = [pa.array(some), pa.array(np.full(len(some), column(batch, "block")[r].as_py())), *lists]
-                yield pa.RecordBatch.from_arrays(made, names=["bucket", "block", "at", "words", "train"])
+                keys, sizes, data = by_key(with_counts(words, train.to_numpy().reshape(-1, classes)), hashes(words) * buckets >> 32)
+                if len(keys):
+                    made = [pa.array(keys.astype(np.int32)), pa.array(np.full(len(keys), column(batch, "block")[r].as_py())), pa.array((np.cumsum(sizes) - sizes).astype(np.int32)), pa.array(data, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(made, names=["bucket", "block", "first", "data"])
 
-    return table.select("block", "words", "train").mapInArrow(run, "bucket int, block long, at array<int>, words array<string>, train array<long>")
+    return table.select("block", "words", "train").mapInArrow(run, "bucket int, block long, first int, data binary")
 
 
 def one_list(values: pa.Array) -> pa.Array:
@@ -277,13 +289,13 @@ def one_list(values: pa.Array) -> pa.Array:
 
 def added(key: tuple, batch: pa.Table, classes: int) -> pa.Table:
     """A bucket's distinct words, their counts in training texts of each class, and the sums and numbers of counts over 0 of each class and, last, of all."""
-    counts = pc.list_flatten(batch["train"]).to_numpy().reshape(-1, classes)
-    flat = pa.table({"word": pc.list_flatten(batch["words"]), **{str(k): counts[:, k] for k in range(classes)}})
-    sums = flat.group_by("word").aggregate([(str(k), "sum") for k in range(classes)]).combine_chunks()
-    by_class = np.stack([sums[f"{k}_sum"].to_numpy() for k in range(classes)], 1).astype(np.int64)
+    sent = pa.Table.from_batches([unpacked(data.as_buffer()) for data in batch["data"]])
+    sums = sent.group_by("word").aggregate([(f"n{k}", "sum") for k in range(classes)]).combine_chunks()
+    by_class = np.column_stack([sums[f"n{k}_sum"].to_numpy() for k in range(classes)])
     both = np.column_stack([by_class, by_class.sum(1)])
-    lists = [sums["word"].chunk(0), pa.array(by_class.ravel()), pa.array(np.concatenate([both.sum(0), (both > 0).sum(0)]))]
-    return pa.table([pa.array([key[0].as_py()], pa.int32()), *map(one_list, lists)], names=["bucket", "words", "counts", "totals"])
+    data = packed(with_counts(sums["word"].chunk(0), by_class))
+    totals = one_list(pa.array(np.concatenate([both.sum(0), (both > 0).sum(0)])))
+    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([data], pa.binary()), totals], names=["bucket", "data", "totals"])
 
 
 def reestimated(words: DataFrame, model: bytes, scores: np.ndarray, classes: int) -> dict[int, float]:
@@ -292,14 +304,15 @@ def reestimated(words: DataFrame, model: bytes, scores: np.ndarray, classes: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, total = vocabulary_of(model), 0.0
         for batch in batches:
-            flat, counts = pc.list_flatten(column(batch, "words")), pc.list_flatten(column(batch, "counts")).to_numpy()
-            seen = counts.reshape(-1, classes).any(1)
-            for at, lattices in in_parts(vocabulary, flat.filter(pa.array(seen)).to_pylist()):
-                total = total + lattices.expected(scores, np.ones(len(at)))
+            for data in column(batch, "data"):
+                found = unpacked(data.as_buffer())
+                seen = found.column("word").filter(pa.array(counts_of(found, classes).any(1)))
+                for at, lattices in in_parts(vocabulary, seen.to_pylist()):
+                    total = total + lattices.expected(scores, np.ones(len(at)))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(np.atleast_1d(total)[used], pa.float64())], names=["piece", "uses"])
 
-    found = words.select("words", "counts").mapInArrow(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
+    found = words.select("data").mapInArrow(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
     return {r["piece"]: r["uses"] for r in found.collect()}  # at most a row a piece
 
 
@@ -317,20 +330,17 @@ def trained(words: DataFrame, model: bytes, rounds: int, prior: float, classes:
         return np.log(share)
 
 
-def answers(key: tuple, asked: pa.Table, scored: pa.Table, classes: int) -> pa.Table:
-    """For each block's words in a bucket: their places, counts and scores."""
-    names = ["block", "at", "counts", "logs"]
-    kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.float64())]
-    if not asked.num_rows:
-        return pa.table([pa.array([], k) for k in kinds], names=names)
-    asked, words = asked.combine_chunks(), pc.list_flatten(scored["words"]).combine_chunks()
-    lists = asked["words"].chunk(0)
-    at = pc.index_in(lists.flatten(), value_set=words).to_numpy()
-    counts = pc.list_flatten(scored["counts"]).to_numpy().reshape(-1, classes)[at].ravel()
-    logs = pc.list_flatten(scored["logs"]).to_numpy()[at]
-    ends = lists.offsets.to_numpy()
-    made = [pa.ListArray.from_arrays(pa.array(ends * classes), pa.array(counts)), pa.ListArray.from_arrays(lists.offsets, pa.array(logs))]
-    return pa.table([asked["block"].chunk(0), asked["at"].chunk(0), *made], names=names)
+def answers(asked: pa.Table, scored: pa.Table, classes: int) -> pa.Table:
+    """For each block's words in a bucket: their counts and scores, in the order in which they were sent."""
+    made = []
+    if asked.num_rows:
+        known = unpacked(scored["data"][0].as_buffer())
+        counts, logs = counts_of(known, classes), known.column("log").to_numpy()
+        for data in asked["data"]:
+            at = pc.index_in(unpacked(data.as_buffer()).column("word"), value_set=known.column("word")).to_numpy()
+            numbers = with_counts(pa.nulls(len(at)), counts[at], logs[at])
+            made.append(packed(numbers.drop_columns(["word"])))
+    return pa.table([asked["block"], asked["first"], pa.array(made, pa.binary())], names=["block", "first", "data"])
 
 
 def mixed(counts: np.ndarray, logs: np.ndarray, tokens: int, distinct: int) -> np.ndarray:
@@ -355,11 +365,12 @@ def added_up(block: pa.Table, replies: pa.Table, facts: Facts, kinds: pa.Schema)
     """A block's rows of results from its words' counts and scores."""
     block, classes = block.combine_chunks(), len(facts.texts) - 1
     part = lambda name: block[name].chunk(0)[0].values
-    n = len(part("words"))
+    n = block["words"][0].as_py()
     by_class, logs = np.zeros((n, classes)), np.zeros(n)
-    if replies.num_rows:
-        at = pc.list_flatten(replies["at"]).to_numpy()
-        by_class[at], logs[at] = pc.list_flatten(replies["counts"]).to_numpy().reshape(-1, classes), pc.list_flatten(replies["logs"]).to_numpy()
+    for first, data in zip(replies["first"].to_pylist(), replies["data"], strict=True):
+        told = unpacked(data.as_buffer())
+        own = slice(first, first + told.num_rows)
+        by_class[own], logs[own] = counts_of(told, classes), told.column("log").to_numpy()
     code, ns, sizes = part("codes").to_numpy(), part("ns").to_numpy(), part("sizes").to_numpy()
     doc, counts = np.repeat(np.arange(len(sizes)), sizes), by_class.sum(1)
     per_text = lambda of_word: np.bincount(doc, of_word[code] * ns, len(sizes))
@@ -403,7 +414,7 @@ def lattice_scores(docs: DataFrame, model: bytes, held: str, id: str = "doc_id",
     sent = cut.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sent // BUCKET)
     asked = written(by_bucket(cut, buckets, classes), "asked")
-    words = written(asked.groupBy("bucket").applyInArrow(lambda key, t: added(key, t, classes), "bucket int, words array<string>, counts array<long>, totals array<long>"), "words")
+    words = written(asked.groupBy("bucket").applyInArrow(lambda key, t: added(key, t, classes), "bucket int, data binary, totals array<long>"), "words")
     sums = {r["pos"]: r["n"] for r in words.select(F.posexplode("totals")).groupBy("pos").agg(F.sum("col").alias("n")).collect()}
     seen = [r["n"] for r in names] + [texts - sum(r["n"] for r in names), texts]
     scores = trained(words, model, rounds, prior, classes)
@@ -413,21 +424,24 @@ def lattice_scores(docs: DataFrame, model: bytes, held: str, id: str = "doc_id",
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = vocabulary_of(model)
         for batch in batches:
-            lists = column(batch, "words")
-            logs = np.zeros(len(lists.flatten()))
-            for at, lattices in in_parts(vocabulary, lists.flatten().to_pylist()):
-                logs[at] = lattices.marginals(scores) / np.log(10)
-            made = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]), pa.int32()), pa.array(logs))
-            yield pa.RecordBatch.from_arrays([column(batch, "bucket"), lists, column(batch, "counts"), made], names=["bucket", "words", "counts", "logs"])
-
-    def finish(key: tuple, block: pa.Table, told: pa.Table) -> pa.Table:
+            made = []
+            for data in column(batch, "data"):
+                found = unpacked(data.as_buffer())
+                logs = np.zeros(found.num_rows)
+                for at, lattices in in_parts(vocabulary, found.column("word").to_pylist()):
+                    logs[at] = lattices.marginals(scores) / np.log(10)
+                made.append(packed(found.append_column("log", pa.array(logs))))
+            yield pa.RecordBatch.from_arrays([column(batch, "bucket"), pa.array(made, pa.binary())], names=["bucket", "data"])
+
+    def finish(block: pa.Table, told: pa.Table) -> pa.Table:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         return added_up(block, told, facts, to_arrow_schema(schema))
 
     schema = StructType([StructField(id, docs.schema[id].dataType), *StructType.fromDDL("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double").fields])
-    known = words.mapInArrow(scored, "bucket int, words array<string>, counts array<long>, logs array<double>")
-    replies = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(lambda key, a, b: answers(key, a, b, classes), "block long, at array<int>, counts array<long>, logs array<double>")
-    done = written(cut.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, schema), "scores")
+    known = words.select("bucket", "data").mapInArrow(scored, "bucket int, data binary")
+    replies = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(lambda a, b: answers(a, b, classes), "block long, first int, data binary")
+    texts_of = cut.withColumn("words", F.size("words")).drop("train")
+    done = written(texts_of.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, schema), "scores")
     discard(cut, asked, words)
     return done
