@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintel.queries import query
-from lintel.session import table
-from lintel.sources import records
+from lintel.session import shared_dir, table
+from lintel.sources import archives, records
 
 # ---- Open records: an order is a report of one file, its items are findings with fields of their own
 
@@ -84,3 +86,22 @@ def narrowed_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.aggregate(found, F.lit(0.0), lambda a, f: a + records.get(f, "$.evidence.tax", "double")).alias("tax"),
         F.array_join(F.transform(found, lambda f: records.get(f, "$.note", "string")), ",").alias("notes"), records.get(v, "$.relative_path", "string").alias("path"),
     )
+
+
+# ---- Archives: documents as source files in archives, read by member
+
+
+@query(
+    r"""SELECT doc_id, doc_id % 7 AS archive, length(text) AS chars, strlen(text)::BIGINT AS size, 'p' || (doc_id % 3) || '/d' || doc_id || '.py' AS path
+FROM documents WHERE doc_id % 3 = 1 AND doc_id % 4 <> 0 AND text IS NOT NULL"""
+)
+def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven archives of documents; only the Python files of one folder are unpacked."""
+    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    key = F.col("doc_id")
+    path = F.concat(F.lit("top/p"), key % 3, F.lit("/d"), key, F.when(key % 4 > 0, ".py").otherwise(".java"))
+    folder = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
+    archives.write_archives(docs.select((key % 7).cast("int").alias("archive"), path.alias("path"), "text"), folder, "archive").count()
+    found = archives.members(spark, folder).filter("path LIKE 'p1/%' AND language = 'python' AND error IS NULL")
+    number = lambda c, pattern: F.regexp_extract(c, pattern, 1).cast("long")
+    return found.select(number("path", r"/d(\d+)\.py$").alias("doc_id"), number("archive", r"(\d+)\.zip$").alias("archive"), F.char_length("text").alias("chars"), "size", "path")
