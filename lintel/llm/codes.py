@@ -215,8 +215,8 @@ def fit(kept: DataFrame, parts: int, entries: int, rounds: int) -> tuple[Books |
 
 
 def coded(state: DataFrame, books: Books) -> DataFrame:
-    """id, label, code and error of the vectors after a last assignment."""
-    schema = StructType([state.schema["id"], state.schema["label"], *StructType.fromDDL("code string, error long").fields])
+    """id, label, code and error of the vectors after a last assignment; errors of over 38 digits are null."""
+    schema = StructType([state.schema["id"], state.schema["label"], *StructType.fromDDL("code string, error decimal(38,0)").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = to_arrow_schema(schema)
@@ -226,7 +226,7 @@ def coded(state: DataFrame, books: Books) -> DataFrame:
                 code = one_round(batch, books, None)[0][0]
                 part, entries = in_integers(batch, books)
                 error = sum(squares(part[:, p] - entries[p][code[:, p]]) for p in range(entries.shape[0])).tolist()
-                columns = [batch.column(1), batch.column(2), pa.array([r.tobytes().hex() for r in code.astype(np.uint8)], pa.string()), pa.array([e if e < 1 << 63 else None for e in error], pa.int64())]
+                columns = [batch.column(1), batch.column(2), pa.array([r.tobytes().hex() for r in code.astype(np.uint8)], pa.string()), pa.array([Decimal(e) if e < 10**38 else None for e in error], kinds.field("error").type)]
                 yield pa.RecordBatch.from_arrays([c.cast(t.type) for c, t in zip(columns, kinds, strict=True)], names=kinds.names)
 
     return state.filter("sums IS NULL").mapInArrow(run, schema)
@@ -252,9 +252,9 @@ def compress(df: DataFrame, id: str = "vec_id", vector: str = "embedding", label
     done = written(coded(state, books), "codes")
     if rounds:
         discard(state)
-    sums = written(done.groupBy("label").agg(F.sum(F.col("error").cast("decimal(38,0)")).try_cast("long").alias("label_error")), "label-errors").withColumnRenamed("label", "group")
+    sums = written(done.groupBy("label").agg(F.when(F.count("error") == F.count(F.lit(1)), F.try_sum("error")).try_cast("long").alias("label_error")), "label-errors").withColumnRenamed("label", "group")
     joined = done.join(sums, F.col("label").eqNullSafe(F.col("group")), "left")
-    return joined.select(F.col("id").alias(id), "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256")), books
+    return joined.select(F.col("id").alias(id), "code", F.col("error").try_cast("long").alias("error"), "label_error", F.lit(books.digest()).alias("codebooks_sha256")), books
 
 
 def restore(df: DataFrame, books: Books, code: str = "code", out: str = "restored") -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as ds
 import pytest
-from lintel.llm import chat, components, cotraining, html_text, jaccard, language, line_dedup, media, mixing, nearest, sentencepieces
+from lintel.llm import chat, codes, components, cotraining, html_text, jaccard, language, lattice, line_dedup, media, mixing, nearest, phrases, sentencepieces
 from lintel.llm import queries as llm_queries
 from lintel.session import shared_dir
 from pyspark.sql import functions as F
@@ -645,3 +645,157 @@ def test_near_duplicates_of_null_and_repeated_ids(spark):
         df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS).repartition(3)
         got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, df, SMALL).collect()]
         assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+# ---- Lattice scores
+
+
+def lattice_rows(spark, rows, **more):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean, lang string, score string, id int, words string")
+    return lattice.lattice_scores(docs, llm_queries.piece_model(), "held_out", by="lang", **more)
+
+
+def test_marginal_sums_all_segmentations():
+    v = lattice.Vocabulary(llm_queries.piece_model())
+    shares = {"▁the": 0.1, "▁t": 0.2, "▁": 0.05, "th": 0.1, "t": 0.1, "h": 0.1, "e": 0.2, "he": 0.1}
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_proto=llm_queries.piece_model())
+    scores = np.full(v.size + 1, -np.inf)
+    for p, x in shares.items():
+        scores[sp.piece_to_id(p)] = np.log(x)
+    want = 0.1 + 0.2 * 0.1 + 0.2 * 0.1 * 0.2 + 0.05 * (0.1 * 0.2 + 0.1 * 0.1 + 0.1 * 0.1 * 0.2)
+    words = ["the", "x", "the"]
+    found = lattice.Lattices(v, words)
+    assert np.exp(found.marginals(scores)) == pytest.approx([want, 0, want])
+    assert found.expected(scores, np.array([2.0, 0, 0]))[sp.piece_to_id("▁the")] == pytest.approx(2 * 0.1 / want)
+    finite = np.log(v.first + 1e-9)
+    for w in ["a▁b", "漢①", "x" * 300]:
+        assert np.isfinite(lattice.Lattices(v, [w]).marginals(finite)).all()
+
+
+def test_lattice_scores_of_odd_rows(spark):
+    rows = [(i, t, h, g, "s", 1, "w") for i, t, h, g in [(1, None, False, "en"), (2, "", True, None), (3, "The the\tTHE ▁x", None, "en"), (3, "the ▁x", True, "fr"), (None, "É é the" + "z" * 5000, False, "fr"), (4, "the ▁x", True, "en")]]
+    got = {(r["doc_id"], r["held_out"], r["n_tokens"]): r for r in lattice_rows(spark, rows, block=8).collect()}
+    assert len(got) == 6 and {r["train_tokens"] for r in got.values()} == {1 + 5 + 4}
+    assert [got[k]["n_known"] for k in ((1, False, 1), (2, True, 1), (3, False, 5), (3, True, 3), (None, False, 4))] == [1, 1, 5, 3, 4]
+    assert got[3, True, 3]["score"] == pytest.approx(got[4, True, 3]["score"])
+    assert all(np.isfinite([r["base_score"], r["score"], r["lattice_score"]]).all() and r["score"] < 0 for r in got.values())
+    assert got[3, False, 5]["base_score"] == pytest.approx(3 * np.log10(4 / 17) + np.log10(2 / 17) + np.log10(4 / 17))
+    assert lattice_rows(spark, []).count() == 0
+    alone = lattice_rows(spark, [(1, "a b", True, "en", "", 0, "")]).first()
+    assert (alone["train_tokens"], alone["n_known"], alone["score"]) == (0, 0, alone["lattice_score"]) and alone["base_score"] == 0.0
+
+
+def test_held_out_texts_teach_nothing(spark):
+    rows = [(1, "red green blue", False, "en", "", 0, ""), (2, "red green", True, "en", "", 0, "")]
+    other = [rows[0], (2, "red green", True, "en", "", 0, ""), (3, "violet " * 50, True, "zz", "", 0, "")]
+    first = {r["doc_id"]: r["score"] for r in lattice_rows(spark, rows).collect()}
+    second = {r["doc_id"]: r["score"] for r in lattice_rows(spark, other).collect()}
+    assert {k: second[k] for k in first} == pytest.approx(first)
+
+
+# ---- Phrases
+
+
+def test_phrases_of_odd_rows(spark):
+    rows = [(None, "New York, new\tyork! new  york\nNEW YORK", "x")] * 3 + [("en", None, "x"), ("en", "", None), ("de", " ,;. \t", "x"), ("und", "york new" + " a" * 3000, "x")]
+    docs = spark.createDataFrame(rows, "lang string, text string, rank string")
+    got = [tuple(r) for r in phrases.phrases(docs, least=3).orderBy("lang", "rank").collect()]
+    n = 3 * 8 + 3002
+    assert got == [("und", 1, "a a a", 2998, 3000, 2999, n, 1000000 * 2998 * 2998 // (3000 * 2999)), ("und", 2, "new york", 12, 13, 13, n, 1000000 * 144 // 169)]
+    assert phrases.phrases(docs.filter("1 = 0")).count() == 0 and phrases.phrases(docs.filter("lang = 'de'")).count() == 0
+
+
+def test_phrases_equal_plain_counts(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["a ", "b ", "c ", "dd ", ", ", "E "]) for _ in range(rng.randint(0, 60))) for _ in range(80)]
+    counts: dict = {}
+    for t in texts:
+        for piece in t.lower().split(","):
+            w = piece.split()
+            for size in (1, 2, 3, 4):
+                for i in range(len(w) - size + 1):
+                    g = tuple(w[i : i + size])
+                    counts[g] = counts.get(g, 0) + 1
+    cand = {g: n for g, n in counts.items() if 2 <= len(g) <= 4 and n >= 5}
+    holds = lambda o, g: any(o[i : i + len(g)] == g for i in range(len(o) - len(g) + 1))
+    want = []
+    for g, a in cand.items():
+        if any(len(o) > len(g) and 100 * b >= 30 * a and holds(o, g) for o, b in cand.items()):
+            continue
+        best, _, left, right = min((1000000 * a * a // (counts[g[:k]] * counts[g[k:]]), k, counts[g[:k]], counts[g[k:]]) for k in range(1, len(g)))
+        want.append((-best, -a, " ".join(g), left, right))
+    docs = spark.createDataFrame([("l", t) for t in texts], "lang string, text string")
+    got = phrases.phrases(docs, words=4, least=5, inside=30, top=25).orderBy("rank").collect()
+    assert [(-r["score"], -r["a"], r["phrase"], r["l"], r["r"]) for r in got] == sorted(want)[:25]
+    assert phrases.phrases(docs, words=4, least=5, inside=30, top=None).count() == len(want)
+
+
+def test_phrase_scores_are_exact(spark):
+    a, left, right = 999_999_999_999_989, 999_999_999_999_999, 999_999_999_999_990
+    df = spark.createDataFrame([(a, left, right), (10, 11, 1000)], "a long, l long, r long")
+    assert [r[0] for r in df.select(phrases.score(F.col("a"), F.col("l"), F.col("r"))).collect()] == [1000000 * a * a // (left * right), 1000000 * 100 // 11000]
+
+
+# ---- Vector codes
+
+
+def plain_lloyd(rows, parts=8, entries=16, rounds=6):
+    """rows (id, vector, label) in order of ids: {place: (code, error)} and the codebooks, in Python's integers."""
+    whole = [[int(np.floor(np.float64(x) * 4096)) for x in v] for _, v, _ in rows]
+    d = len(whole[0]) // parts
+    cut = [[v[p * d : (p + 1) * d] for p in range(parts)] for v in whole]
+    books = [[cut[i][p] for i in range(min(entries, len(cut)))] for p in range(parts)]
+    nearest = lambda x, book: min((sum((a - b) ** 2 for a, b in zip(x, e)), j) for j, e in enumerate(book))
+    for _ in range(rounds):
+        for p in range(parts):
+            groups: dict = {}
+            for v in cut:
+                groups.setdefault(nearest(v[p], books[p])[1], []).append(v[p])
+            for j, some in groups.items():
+                books[p][j] = [sum(x) // len(some) for x in zip(*some)]
+    final = [[nearest(v[p], books[p]) for p in range(parts)] for v in cut]
+    return [("".join(f"{j:02x}" for _, j in f), sum(x for x, _ in f)) for f in final], books
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e9, 1e30])
+def test_codes_equal_plain_rounds(spark, scale):
+    rng = np.random.default_rng(3)
+    vectors = (rng.integers(-3, 4, (90, 16)) * scale).astype(np.float32)
+    vectors[50:70] = vectors[10]
+    rows = [(i, [float(x) for x in v], i % 3 if i % 4 else None) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(5)
+    found, books = codes.compress(df)
+    want, plain = plain_lloyd(rows)
+    got = {r["vec_id"]: r for r in found.collect()}
+    fits = lambda x: x if x < 1 << 63 else None
+    assert books.entries == plain
+    assert {i: (r["code"], r["error"]) for i, r in got.items()} == {i: (c, fits(e)) for i, (c, e) in enumerate(want)}
+    for label in (None, 0, 1, 2):
+        same = [i for i, r in enumerate(rows) if r[2] == label]
+        assert {got[i]["label_error"] for i in same} == {fits(sum(want[i][1] for i in same))}
+
+
+def test_codes_of_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(None, [1.0, 2.0, 3.0], 1), (5, [1.0, 2.0, 3.0], None), (5, [0.0, 2.0, 3.0], None), (6, None, 1), (7, [1.0, None, 2.0], 1), (8, [nan, 1.0, 1.0], 1), (9, [1.0, inf, 1.0], 1), (10, [], 1), (11, [1.0, 2.0], 1)]
+    df = spark.createDataFrame([(*r, "x", 3) for r in rows], "vec_id long, embedding array<double>, label int, code string, error int")
+    found, books = codes.compress(df, rounds=2)
+    got = sorted(((r["vec_id"], r["code"], r["error"], r["label_error"]) for r in found.collect()), key=str)
+    assert [len(p) for p in books.entries] == [3] * 8 and books.entries[0] == [[0], [4096], [4096]]
+    assert got == [(5, "0000000000000000", 0, 0), (5, "0100000000000000", 0, 0), (None, "0100000000000000", 0, 0)]
+    assert found.columns == ["vec_id", "code", "error", "label_error", "codebooks_sha256"]
+    back = codes.restore(found.select("vec_id", "code", F.lit(1).alias("restored")), books).orderBy("code").collect()
+    assert back[0]["restored"] == [0.0, 2.0, 3.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+    assert codes.compress(df.filter("vec_id > 5 AND vec_id < 11"))[0].count() == 0
+
+
+def test_bounds_spare_distances(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(16, 8)) * 9
+    rows = [(i, [float(x) for x in centres[i % 16] + rng.normal(size=8) * 0.1], 0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    _, _, made = codes.fit(codes.usable(df, "vec_id", "embedding", "label", 2), 2, 16, 4)
+    every = 3000 * 2 * 16
+    assert made[0] > every / 4 and made[-1] < every / 20

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 import zlib
+from collections import Counter
 from html.parser import HTMLParser
 
 import corpus_pipeline
@@ -186,6 +188,89 @@ def test_op8_equals_sql(spark, result):
     assert sorted(tuple(r[c] for c in columns) for r in result("op8_chat")) == sorted(found.fetchall())
 
 
+class PlainLattice:
+    """Forward and backward sums over dictionaries, a token at a time."""
+
+    def __init__(self, model):
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+        names = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
+        usable = [i for i in range(len(names)) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)) and "▁" not in names[i][1:]]
+        usable.sort(key=lambda i: (-sp.get_score(i), i))
+        order = [names[i] for i in usable] + [f"<0x{b:02X}>" for b in range(256)]
+        first = {p: 1 / (k + 2) for k, p in enumerate(order)} | {"</s>": 0.5}
+        total = sum(first.values())
+        self.first = {p: x / total for p, x in first.items()}
+        self.whole = {names[i] for i in usable}
+
+    def arcs(self, word):
+        chars = "▁" + word
+        for j in range(1, len(chars) + 1):
+            for i in range(max(0, j - 16), j):
+                if chars[i:j] in self.whole and (i == 0 or chars[i] != "▁"):
+                    yield i, j, [chars[i:j]]
+            if j > 1:
+                yield j - 1, j, [f"<0x{b:02X}>" for b in chars[j - 1].encode()]
+
+    def sums(self, word, share):
+        n, arcs = len(word) + 1, [(i, j, p, math.prod(share[x] for x in p)) for i, j, p in self.arcs(word)]
+        forward, back = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+        for i, j, _, x in sorted(arcs, key=lambda a: a[1]):
+            forward[j] += forward[i] * x
+        for i, j, _, x in sorted(arcs, key=lambda a: -a[0]):
+            back[i] += x * back[j]
+        return forward[n], [(p, forward[i] * x * back[j] / forward[n]) for i, j, p, x in arcs]
+
+    def trained(self, words, rounds, prior):
+        share = self.first
+        for _ in range(rounds):
+            uses = {p: prior * x for p, x in self.first.items()}
+            for w in words:
+                for pieces, n in self.sums(w, share)[1]:
+                    for p in pieces:
+                        uses[p] += n
+            uses["</s>"] += 1
+            total = sum(uses.values())
+            share = {p: x / total for p, x in uses.items()}
+        return share
+
+
+def test_op11_equals_plain_sums(result):
+    docs = rows_of("documents")
+    tokens = {r["doc_id"]: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in r["text"] or "")) for r in docs}
+    held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2 for r in docs}
+    lang = {r["doc_id"]: r["lang"] for r in docs if not held[r["doc_id"]]}
+    counts, by = Counter(), {}
+    for i, words in tokens.items():
+        if not held[i]:
+            counts.update([*words, None])
+            by.setdefault(lang[i], Counter()).update([*words, None])
+    n, v, texts = counts.total(), len(counts), counts[None]
+    plain = PlainLattice(llm_queries.piece_model())
+    share = plain.trained([w for w in counts if w is not None], 2, 1000)
+    marginal = {w: plain.sums(w, share)[0] for words in tokens.values() for w in words} | {None: share["</s>"]}
+    assert len(result("op11_lattice")) == len(docs) and any(held.values())
+    for r in result("op11_lattice"):
+        words = [*tokens[r["doc_id"]], None]
+        assert (r["held_out"], r["n_tokens"], r["train_tokens"], r["n_known"]) == (held[r["doc_id"]], len(words), n, sum(w in counts for w in words))
+        assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words), rel=1e-9)
+        whole = {w: (counts[w] + v * marginal[w]) / (n + v) for w in words}
+        score = np.logaddexp.reduce([sum(math.log((c[w] + len(c) * whole[w]) / (c.total() + len(c))) for w in words) + math.log(c[None] / texts) for c in by.values()])
+        assert r["score"] == pytest.approx(score / math.log(10), rel=1e-9)
+        assert r["lattice_score"] == pytest.approx(sum(math.log10(marginal[w]) for w in words), rel=1e-9)
+
+
+@pytest.mark.parametrize("name,table", [("op12_phrases", "documents"), ("op13_codes", "embeddings")])
+def test_new_queries_equal_sql(result, name, table):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
+    found = con.execute(llm_queries.ORACLE_SQL[name])
+    columns = [c[0] for c in found.description]
+    rows = found.fetchall()
+    assert rows and sorted(tuple(r[c] for c in columns) for r in result(name)) == sorted(rows)
+
+
 def test_op9_scores_every_document(result):
     docs = {r["doc_id"]: r for r in rows_of("documents")}
     got = {r["doc_id"]: r for r in result("op9_quality")}
