@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lintel.queries import query
 from lintel.session import shared_dir, table
 from lintel.sources import archives, records
+from lintel.streaming import queue
 
 # ---- Open records: an order is a report of one file, its items are findings with fields of their own
 
@@ -105,3 +106,32 @@ def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = archives.members(spark, folder).filter("path LIKE 'p1/%' AND language = 'python' AND error IS NULL")
     number = lambda c, pattern: F.regexp_extract(c, pattern, 1).cast("long")
     return found.select(number("path", r"/d(\d+)\.py$").alias("doc_id"), number("archive", r"(\d+)\.zip$").alias("archive"), F.char_length("text").alias("chars"), "size", "path")
+
+
+# ---- A job queue: events of a user in a span of days are steps of a job
+
+QUEUE_RULES = queue.Rules(lock_seconds=9 * 3600, most=2, first_wait=3600, longest_wait=5400)
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id || '-' || (dayofmonth(ts) // 6) AS job, epoch(ts) AS t, event_id,
+CASE event_type WHEN 'signup' THEN 'enqueue' WHEN 'view' THEN 'claim' WHEN 'click' THEN 'fail' WHEN 'purchase' THEN 'complete' ELSE 'claim' END AS kind, 'w' || (event_id % 2) AS w FROM events WHERE ts <= TIMESTAMP '2024-01-25'),
+n AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY t, event_id) AS k FROM e),
+s AS (SELECT DISTINCT job, 0::BIGINT AS k, NULL::VARCHAR AS status, 0 AS attempts, NULL::DOUBLE AS due, NULL::DOUBLE AS locked, NULL::VARCHAR AS worker, 0 AS refused FROM e
+UNION ALL SELECT job, k, CASE WHEN takes THEN 'queued' WHEN claims THEN 'in_progress' WHEN kind = 'complete' AND owns THEN 'done' WHEN kind = 'fail' AND owns THEN CASE WHEN attempts >= 2 THEN 'failed' ELSE 'queued' END ELSE st END,
+  attempts + claims::INT, CASE WHEN takes THEN t WHEN kind = 'fail' AND owns AND attempts < 2 THEN t + least(3600 * 2 ** greatest(0, attempts - 1), 5400) ELSE due END,
+  CASE WHEN claims THEN t WHEN ends THEN NULL ELSE lk END, CASE WHEN claims THEN w WHEN ends THEN NULL ELSE worker END, refused + (NOT (takes OR claims OR ends))::INT
+  FROM (SELECT *, kind = 'enqueue' AND st IS NULL AS takes, coalesce(kind = 'claim' AND st = 'queued' AND due <= t, false) AS claims, coalesce(st IN ('in_progress', 'queued') AND w = worker, false) AS owns, coalesce(kind IN ('complete', 'fail') AND owns, false) AS ends
+    FROM (SELECT n.*, s.attempts, s.due, s.worker, s.refused, CASE WHEN s.status = 'in_progress' AND s.locked + 32400 < n.t THEN CASE WHEN s.attempts >= 2 THEN 'failed' ELSE 'queued' END ELSE s.status END AS st,
+      CASE WHEN s.status = 'in_progress' AND s.locked + 32400 < n.t THEN NULL ELSE s.locked END AS lk FROM s JOIN n ON n.job = s.job AND n.k = s.k + 1))),
+f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY job ORDER BY k DESC) = 1)
+SELECT job, CASE WHEN status = 'in_progress' AND locked + 32400 < epoch(TIMESTAMP '2024-01-25') THEN CASE WHEN attempts >= 2 THEN 'failed' ELSE 'queued' END ELSE status END AS status, attempts, floor(due)::BIGINT AS due_seconds, worker, refused FROM f"""
+)
+def job_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of the jobs on a day: lost workers, waits, steps that come twice or from the wrong worker."""
+    kinds = {"signup": "enqueue", "view": "claim", "click": "fail", "purchase": "complete"}
+    kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("event_type")), F.lit("claim"))
+    job = F.concat(F.col("user_id"), F.lit("-"), F.floor(F.dayofmonth("ts") / 6))
+    steps = table(spark, sf_dir, "events").select(job.alias("job"), "ts", F.col("event_id").alias("seq"), kind.alias("kind"), F.concat(F.lit("w"), F.col("event_id") % 2).alias("worker"))
+    until = F.lit("2024-01-25").cast("timestamp_ntz")
+    return queue.job_states(steps, until, QUEUE_RULES).select("job", "status", "attempts", F.floor(F.col("due").cast("double")).alias("due_seconds"), "worker", "refused")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintel.operators.ranking import latest_per_key
@@ -61,18 +61,38 @@ def poll(events: DataFrame, handle, checkpoint: str, every: str = "5 seconds", o
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
+def versions(spark: SparkSession, state_path: str) -> dict[int, object]:
+    """The finished versions of a state, by batch."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(state_path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(folder):
+        return {}
+    found = [s.getPath() for s in store.listStatus(folder) if s.getPath().getName().startswith("version=")]
+    done = [p for p in found if store.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return {int(p.getName().removeprefix("version=")): p for p in done}
+
+
 def apply_batch(state_path: str, keys: list[str], time: str, tie: str):
-    """For foreachBatch: append the batch to the event log, with the batch id, so that a repeated batch adds nothing new to the latest state."""
+    """For foreachBatch: the state's next version is the newest row per key of the version before and the batch.
+
+    A version is named after its batch and made from an earlier one, so a batch that is repeated makes the same state. The two last
+    versions are kept: a reader of the one before isn't disturbed."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
+        spark = batch.sparkSession
+        before = [n for n in versions(spark, state_path) if n < batch_id]
+        rows = batch.unionByName(spark.read.parquet(f"{state_path}/version={max(before)}")) if before else batch
+        latest_per_key(rows, keys, time, tie).write.mode("overwrite").parquet(f"{state_path}/version={batch_id}")
+        for n, path in versions(spark, state_path).items():
+            if n < max(before, default=batch_id):
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     return run
 
 
-def state(spark, state_path: str, keys: list[str], time: str, tie: str) -> DataFrame:
-    """The newest event per key of all batches."""
-    return latest_per_key(spark.read.parquet(f"{state_path}/batch=*"), keys, time, tie)
+def state(spark: SparkSession, state_path: str) -> DataFrame:
+    """The newest row per key of all batches so far."""
+    return spark.read.parquet(f"{state_path}/version={max(versions(spark, state_path))}")
 
 
 def retry(jobs: DataFrame, failed: DataFrame, most: int = 5) -> DataFrame:

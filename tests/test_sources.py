@@ -304,7 +304,7 @@ def test_streams(spark, tmp_path):
     stream = jobs.unique_deliveries(spark.readStream.schema(df.schema).parquet(source))
     query = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(jobs.apply_batch(log, ["job"], "ts", "delivery_id")).start()
     query.awaitTermination()
-    latest = jobs.state(spark, log, ["job"], "ts", "delivery_id").collect()
+    latest = jobs.state(spark, log).collect()
     assert [(r["job"], r["status"]) for r in latest] == [("j1", "done")]
     counts = jobs.window_counts(df, "ts", "10 minutes", "1 hour", ["job"]).collect()
     assert [r["n"] for r in counts] == [3]
