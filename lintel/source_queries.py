@@ -7,8 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintel.functions import java_code
+from lintel.operators import structure
 from lintel.queries import query
-from lintel.session import shared_dir, table
+from lintel.session import shared_dir, table, written
 from lintel.sources import archives, records
 from lintel.streaming import queue
 
@@ -135,3 +137,58 @@ def job_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = table(spark, sf_dir, "events").select(job.alias("job"), "ts", F.col("event_id").alias("seq"), kind.alias("kind"), F.concat(F.lit("w"), F.col("event_id") % 2).alias("worker"))
     until = F.lit("2024-01-25").cast("timestamp_ntz")
     return queue.job_states(steps, until, QUEUE_RULES).select("job", "status", "attempts", F.floor(F.col("due").cast("double")).alias("due_seconds"), "worker", "refused")
+
+
+# ---- Java sources: a class for each part, of as many members as its numbers say
+
+
+def java_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p_partkey and the text of a class with f fields, g getters, m methods of l loops, and a type inside every second one."""
+    part = table(spark, sf_dir, "part")
+    f, m, loops = F.col("p_size") % 5, F.col("p_partkey") % 3, (F.col("p_size") / 5).cast("int") % 3
+    g = F.least(F.col("p_size") % 4, f)
+    each = lambda n, make: F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), make), "")).otherwise("")
+    field = each(f, lambda i: F.format_string("  private int f%s = %s;\n", i.cast("string"), i.cast("string")))
+    getter = each(g, lambda i: F.format_string("  public int getF%s() { return f%s; }\n", i.cast("string"), i.cast("string")))
+    loop = F.repeat(F.lit("    for (int i = 0; i < n; i++) { if (n > i) o.go(i).stop(); } // a loop\n"), loops)
+    method = each(m, lambda j: F.concat(F.lit("  void m"), j.cast("string"), F.lit("(Other o, int n) {\n"), loop, F.when(f > 0, "    f0 = n;\n").otherwise(""), F.lit("  }\n")))
+    inner = F.when(F.col("p_partkey") % 2 == 1, "  static class In { int z; void w() { if (z > 1) return; } }\n").otherwise("")
+    text = F.concat(F.lit("class P"), "p_partkey", F.lit(" extends Base implements A, B {\n"), field, getter, method, inner, F.lit("}\n"))
+    return part.select("p_partkey", text.alias("text"))
+
+
+JAVA_SQL = """p AS (SELECT p_partkey, p_size % 5 AS f, least(p_size % 4, p_size % 5) AS g, (p_partkey % 3)::INT AS m, (p_size // 5) % 3 AS l, (p_partkey % 2)::INT AS odd, least(p_size % 5, 1) AS one FROM part)"""
+
+
+@query(
+    f"""WITH {JAVA_SQL}, q AS (SELECT *, g + m AS n, CASE WHEN one = 1 THEN m + least(g, 1) ELSE 0 END AS s FROM p)
+SELECT p_partkey, 'P' || p_partkey AS name, n AS methods, f AS fields, odd AS inner_types, g AS public_methods, g AS getters, f AS private_fields, g + m * (1 + 2 * l) AS wmc, CASE WHEN n > 0 THEN (g + m * (1 + 2 * l)) / n END AS avg_complexity,
+CASE WHEN m > 0 THEN 1 + 2 * l WHEN g > 0 THEN 1 ELSE 0 END AS max_complexity, CASE WHEN m > 0 AND l > 0 THEN 2 ELSE 0 END AS max_nesting, m * l AS loops, g + m * (3 * l + one) AS statements, 2 * m * l AS foreign_calls, m * l AS calls_on_params, g + m * one AS own_field_access,
+least(m * l, 1) AS foreign_targets, CASE WHEN n > 1 THEN s * (s - 1) / (n * (n - 1)) ELSE 0 END::DOUBLE AS cohesion, CASE WHEN g + 0 > 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS weight_of_class, 2 + f + g + m * (2 + l + one) + odd AS sloc,
+9 + 6 * f + 10 * g + m * (11 + 33 * l + 4 * one) + 22 * odd + 1 AS tokens, 2 AS interfaces, 1 AS has_superclass, 0 AS is_nested, least(m, 1) AS own_types FROM q
+UNION ALL SELECT p_partkey, 'In', 1, 1, 0, 0, 0, 0, 2, 2.0, 2, 1, 0, 2, 0, 0, 1, 0, 0.0, 1.0, 1, 22, 0, 0, 1, 0 FROM q WHERE odd = 1"""
+)
+def java_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of every class from its declarations; the numbers follow from the part's."""
+    files = written(java_sources(spark, sf_dir), "java-sources")
+    declared = written(java_code.java_declarations(files, ["p_partkey"]), "java-declarations")
+    sums = written(structure.token_sums(java_code.java_tokens(files, ["p_partkey"]), ["p_partkey"]), "java-tokens")
+    sizes = structure.span_sizes(sums, declared.select("p_partkey", "id", "first", "last"), ["p_partkey"])
+    found = structure.class_features(declared, sizes, ["p_partkey"])
+    whole = ("methods", "fields", "inner_types", "public_methods", "getters", "private_fields", "wmc", "max_complexity", "max_nesting", "loops", "statements", "foreign_calls", "calls_on_params", "own_field_access", "foreign_targets", "sloc", "tokens", "interfaces", "has_superclass", "is_nested")
+    return found.select("p_partkey", "name", *[F.col(c).cast("long").alias(c) for c in whole], F.when(F.col("methods") > 0, F.col("avg_complexity")).alias("avg_complexity"), "cohesion", "weight_of_class", F.col("distinct_types").cast("long").alias("own_types"))
+
+
+@query(
+    f"""WITH {JAVA_SQL}, k AS (SELECT p.*, unnest(range(m)) AS j FROM p)
+SELECT p_partkey, 'm' || j AS name, 2 + l + one AS sloc, 11 + 33 * l + 4 * one AS tokens, 4 + 10 * l + 2 * one AS identifiers, 4 * l + one AS operators, l AS literals, 4 + CASE WHEN l > 0 THEN 3 ELSE 0 END + one AS different, 2 + f + g + j * (2 + l + one) AS line FROM k
+UNION ALL SELECT p_partkey, 'getF' || j, 1, 10, 2, 0, 0, 2, 2 + f + j FROM (SELECT p.*, unnest(range(g)) AS j FROM p)"""
+)
+def token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the methods' spans from sums up to each token."""
+    files = written(java_sources(spark, sf_dir), "java-sources")
+    sums = written(structure.token_sums(java_code.java_tokens(files, ["p_partkey"]), ["p_partkey"]), "java-tokens")
+    spans = java_code.java_declarations(files, ["p_partkey"]).filter("kind = 'method' AND name <> 'w'").select("p_partkey", "name", "first", "last")
+    spans = written(spans, "java-spans")
+    sizes = structure.span_sizes(sums, spans, ["p_partkey"]).join(structure.distinct_identifiers(sums, spans, ["p_partkey"]), ["p_partkey", "first", "last"])
+    return sizes.select("p_partkey", "name", *[F.col(c).cast("long").alias(c) for c in ("sloc", "tokens", "identifiers", "operators", "literals", "line")], F.col("distinct").alias("different"))
