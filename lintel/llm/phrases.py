@@ -23,10 +23,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintel.llm.packing import by_key, unpacked
 from lintel.session import discard, prepare, written
 
-CHUNK = 4 << 20  # bytes of pieces whose n-grams are added up at once
+CHUNK = 8 << 20  # bytes of pieces whose n-grams are added up at once
 BUCKET = 256 << 20  # bytes of n-grams in a bucket, about
 KINDS = pa.schema({"lang": pa.string(), "gram": pa.string(), "words": pa.int32(), "n": pa.int64()})
 MEMORY = "256MB"  # of duckdb in a task; beyond it, disk
@@ -109,21 +108,40 @@ def grams(t: pa.Table, most: int, buckets: int) -> Iterator[tuple[np.ndarray, pa
         yield ((mix >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), names.take(pa.array(lang[sample])), text, count
 
 
+def pack(text: bytes, numbers: np.ndarray) -> bytes:
+    """N-grams, one a line, and numbers for each of them. Lines with a first word in common lie together, which packs well."""
+    return len(text).to_bytes(8, "little") + pa.compress(text + numbers.T.astype("<i8").tobytes(), "zstd", asbytes=True)
+
+
+def unpack(data: bytes, langs: list[str], n: int) -> pa.RecordBatch:
+    size = int.from_bytes(data[:8], "little")
+    whole = pa.decompress(data[8:], size + 24 * n, "zstd")
+    text = pa.StringArray.from_buffers(1, pa.py_buffer(np.array([0, size], np.int32)), whole.slice(0, size))
+    lang, words, count = np.frombuffer(whole, "<i8", 3 * n, size).reshape(3, n)
+    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()).take(pa.array(lang)), pc.split_pattern(text, "\n").flatten(), pa.array(words.astype(np.int32)), pa.array(count)], schema=KINDS)
+
+
 def sent(found: DataFrame, most: int, buckets: int) -> DataFrame:
-    """A row a chunk and bucket: its n-grams with their languages, lengths and counts, packed. Those with a first word in common lie together, which packs well."""
+    """A row a chunk and bucket: its n-grams with their languages, lengths and counts, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunks(batches, "piece", CHUNK):
             made = list(grams(t, most, buckets))
             to = np.concatenate([x[0] for x in made])
-            length = np.repeat(np.arange(1, len(made) + 1, dtype=np.int32), [len(x[0]) for x in made])
-            columns = [pa.concat_arrays([x[1] for x in made]), pa.concat_arrays([x[2] for x in made]), pa.array(length), pa.array(np.concatenate([x[3] for x in made]))]
+            lang = pa.concat_arrays([x[1] for x in made]).dictionary_encode()
             order = np.argsort(to, kind="stable")
-            keys, _, data = by_key(pa.RecordBatch.from_arrays(columns, schema=KINDS).take(pa.array(order)), to[order])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(data, pa.binary())], names=["bucket", "data"])
+            heads = np.flatnonzero(np.diff(to[order], prepend=-1))
+            ends = np.array([*heads[1:], len(to)])
+            text = pa.concat_arrays([x[2] for x in made]).take(pa.array(order))
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(heads, len(to)).astype(np.int32)), text), "\n")
+            length = np.repeat(np.arange(1, len(made) + 1), [len(x[0]) for x in made])
+            numbers = np.column_stack([lang.indices.to_numpy(), length, np.concatenate([x[3] for x in made])])[order]
+            data = [pack(x.as_buffer().to_pybytes(), numbers[i:j]) for x, i, j in zip(joined, heads, ends, strict=True)]
+            names = pa.array([lang.dictionary.to_pylist()] * len(heads), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(to[order][heads].astype(np.int32)), names, pa.array((ends - heads).astype(np.int32)), pa.array(data, pa.binary())], names=["bucket", "langs", "n", "data"])
             pa.default_memory_pool().release_unused()
 
-    return found.mapInArrow(run, "bucket int, data binary")
+    return found.mapInArrow(run, "bucket int, langs array<string>, n int, data binary")
 
 
 def counted(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -132,7 +150,8 @@ def counted(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
 
     def rows() -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield from (unpacked(data.as_buffer()) for data in column(b, "data"))
+            for data, langs, n in zip(*(column(b, c).to_pylist() for c in ("data", "langs", "n")), strict=True):
+                yield unpack(data, langs, n)
 
     with tempfile.TemporaryDirectory() as scratch, duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": scratch, "preserve_insertion_order": False}) as con:
         reader = pa.RecordBatchReader.from_batches(KINDS, rows())
