@@ -268,11 +268,12 @@ def f1_column(prefix: str = ""):
     return F.try_divide(2.0 * tp, 2.0 * tp + fp + fn)
 
 
-def cluster_bootstrap(df: DataFrame, cluster: str, rounds: int = 200, seed: int = 42) -> DataFrame:
-    """Percentile interval of F1 when whole clusters (tp, fp, fn a row) are drawn with replacement: Poisson(1) weights per cluster and round."""
-    draws = df.select(cluster, "tp", "fp", "fn", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
-    sums = draws.withColumn("w", poisson_weights(cluster, "round", seed)).groupBy("round").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in ("tp", "fp", "fn")])
-    return sums.select(f1_column().alias("f1")).agg(F.count("f1").alias("rounds"), F.percentile("f1", F.lit(0.025)).alias("low"), F.percentile("f1", F.lit(0.975)).alias("high"))
+def cluster_bootstrap(df: DataFrame, cluster: str, rounds: int = 200, seed: int = 42, by: list[str] | None = None) -> DataFrame:
+    """Percentile interval of F1 when whole clusters (tp, fp, fn a row) are drawn with replacement: Poisson(1) weights per cluster and round. by: an interval a group."""
+    by = by or []
+    draws = df.select(*by, cluster, "tp", "fp", "fn", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
+    sums = draws.withColumn("w", poisson_weights(cluster, "round", seed)).groupBy(*by, "round").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in ("tp", "fp", "fn")])
+    return sums.select(*by, f1_column().alias("f1")).groupBy(*by).agg(F.count("f1").alias("rounds"), F.percentile("f1", F.lit(0.025)).alias("low"), F.percentile("f1", F.lit(0.975)).alias("high"))
 
 
 def paired_bootstrap(df: DataFrame, cluster: str, rounds: int = 200, seed: int = 42) -> DataFrame:

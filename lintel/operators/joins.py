@@ -139,6 +139,32 @@ def restore_paths(df: DataFrame, column: str, paths: DataFrame, path: str) -> Da
     return joined.withColumn(column, F.when(F.instr(column, "/") == 0, F.coalesce("full", F.col(column))).otherwise(F.col(column))).drop("base", "full")
 
 
+def path_ends(paths: DataFrame, path: str, deepest: int = 64) -> DataFrame:
+    """paths with depth and end: a row for each of a path's ends, its last segments in lower case, the shortest first."""
+    parts = F.split(F.regexp_replace(F.regexp_replace(F.col(path), r"\\\\", "/"), "^/+", ""), "/")
+    n = F.least(F.size(parts), F.lit(deepest))
+    ends = F.transform(F.sequence(F.lit(1), n), lambda d: F.struct(d.alias("depth"), F.lower(F.array_join(F.slice(parts, F.size(parts) - d + 1, d), "/")).alias("end")))
+    return paths.filter(F.col(path).isNotNull()).select("*", F.inline(ends))
+
+
+def match_paths(asked: DataFrame, files: DataFrame, path: str, file: str, position: str, by: list[str] | None = None, whole: bool = True) -> DataFrame:
+    """asked with match, the file whose path ends in the asked one, and depth, the segments that agree; null and 0 without any.
+
+    File names agree in letter case, folders need not; a folder agrees as a whole. Of several files the first by position is taken.
+    whole: all segments must agree; else the file with the most does. Every end of a path is a key, so both are equi-joins."""
+    by = by or []
+    last = lambda c: F.regexp_extract(F.regexp_replace(F.col(c), r"\\\\", "/"), "[^/]*$", 0)
+    known = path_ends(files.select(*by, F.col(file).alias("__file"), F.col(position).alias("__at"), last(file).alias("__name")), "__file")
+    wanted = asked.select(*by, F.col(path).alias("__path"), last(path).alias("__name")).distinct()
+    ends = path_ends(wanted, "__path")
+    if whole:
+        ends = ends.withColumn("__most", F.max("depth").over(Window.partitionBy(*by, "__path"))).filter("depth = __most").drop("__most")
+    hits = ends.join(known, [*by, "__name", "depth", "end"])
+    best = hits.groupBy(*by, "__path").agg(F.min(F.struct((-F.col("depth")).alias("less"), F.col("__at").alias("at"), F.col("__file").alias("match"))).alias("m"))
+    same = [asked[c].eqNullSafe(best[c]) for c in by] + [asked[path] == best["__path"]]
+    return asked.join(best, same, "left").select(*[asked[c] for c in asked.columns], F.col("m.match").alias("match"), F.coalesce(-F.col("m.less"), F.lit(0)).alias("depth"))
+
+
 def degrees(edges: DataFrame, source: str = "src", target: str = "dst") -> DataFrame:
     """Fan-in and fan-out per node; repeated edges count."""
     out = edges.groupBy(F.col(source).alias("node")).agg(F.count(F.lit(1)).alias("fan_out"))

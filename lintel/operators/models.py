@@ -56,9 +56,16 @@ def with_logs(df: DataFrame, features: list[str]) -> DataFrame:
     return df.withColumns({f"log_{f}": F.log1p(F.greatest(F.col(f).cast("double"), F.lit(0.0))) for f in features})
 
 
-def out_of_fold(df: DataFrame, pipeline: Pipeline, group: str, folds: int = 5, seed: int = 7) -> DataFrame:
-    """Append `probability1`, each row scored by a model that saw none of its group. Models are chosen by this, never by test rows."""
-    cut = written(sets.folds_by_group(df, group, folds, seed), "folds")
+def out_of_fold(df: DataFrame, pipeline: Pipeline, group: str, folds: int = 5, seed: int = 7, label: str | None = None) -> DataFrame:
+    """Append `probability1`, each row scored by a model that saw none of its group. Models are chosen by this, never by test rows.
+
+    label: deal groups so that its classes have about the same share in each fold, else by hash."""
+    if label is None:
+        cut = sets.folds_by_group(df, group, folds, seed)
+    else:
+        dealt = sets.stratified_folds(df, group, label, folds, seed=seed).select(F.col("group").alias("__group"), "fold")
+        cut = df.join(dealt, F.coalesce(F.col(group).cast("string"), F.lit("")) == F.col("__group")).drop("__group")
+    cut = written(cut, "folds")
     parts = [cut.withColumn("probability1", F.lit(0.0)).limit(0)]
     for k in range(folds):
         test = cut.filter(F.col("fold") == k)
@@ -70,18 +77,78 @@ def out_of_fold(df: DataFrame, pipeline: Pipeline, group: str, folds: int = 5, s
     return out
 
 
-def tree_score(trees: list[dict], features: dict[str, Column], rate: float = 0.1, start: float = 0.0) -> Column:
-    """Probability of a boosted ensemble as one expression. A tree is {"leaf": v} or {"feature", "threshold", "left", "right"}; values up to the threshold go left."""
+def tree_score(trees: list[dict], features: dict[str, Column], rate: float = 0.1, start: float = 0.0, kind: str = "float", mean: bool = False) -> Column:
+    """Probability of an ensemble as one expression. A tree is {"leaf": v} or {"feature", "threshold", "left", "right"}; values up to the threshold go left.
+
+    kind: the type in which values and thresholds are compared. mean: leaves are probabilities, their mean is the result."""
 
     def value(t: dict) -> Column:
         if "leaf" in t:
             return F.lit(float(t["leaf"]))
-        return F.when(features[t["feature"]].cast("float") <= F.lit(float(t["threshold"])).cast("float"), value(t["left"])).otherwise(value(t["right"]))
+        return F.when(features[t["feature"]].cast(kind) <= F.lit(float(t["threshold"])).cast(kind), value(t["left"])).otherwise(value(t["right"]))
 
     total = F.lit(float(start))
     for t in trees:
         total = total + rate * value(t)
-    return 1.0 / (1.0 + F.exp(-total))
+    return total / (rate * len(trees)) if mean else 1.0 / (1.0 + F.exp(-total))
+
+
+def fitted_tree(node, features: list[str], leaf) -> dict:
+    """A fitted tree's node as a tree of tree_score(); leaf: what a leaf of the model is worth. Splits must be by a threshold."""
+    if node.getClass().getSimpleName() == "LeafNode":
+        return {"leaf": leaf(node)}
+    split = node.split()
+    left, right = (fitted_tree(n, features, leaf) for n in (node.leftChild(), node.rightChild()))
+    return {"feature": features[split.featureIndex()], "threshold": split.threshold(), "left": left, "right": right}
+
+
+def fitted_classifier(model, features: list[str]) -> dict:
+    """A fitted forest or boosted ensemble of two classes (or a pipeline that ends in one) as a classifier of export_trees()."""
+    model = model.stages[-1] if hasattr(model, "stages") else model
+    jvm = model._java_obj
+    roots = [t.rootNode() for t in jvm.trees()]
+    if "GBT" in type(model).__name__:
+        # the margin counts twice in the probability; a tree's weight goes into its leaves
+        weights = list(jvm.treeWeights())
+        trees = [fitted_tree(r, features, lambda n, w=w: 2.0 * w * n.prediction()) for r, w in zip(roots, weights, strict=True)]
+        return {"trees": trees, "rate": 1.0, "start": 0.0, "kind": "double"}
+
+    def share(n) -> float:
+        stats = list(n.impurityStats().stats())
+        return stats[1] / sum(stats) if sum(stats) else 0.0
+
+    return {"trees": [fitted_tree(r, features, share) for r in roots], "rate": 1.0, "start": 0.0, "kind": "double", "mean": True}
+
+
+def score_of(classifier: dict, features: dict[str, Column]) -> Column:
+    return tree_score(classifier["trees"], features, classifier.get("rate", 0.1), classifier.get("start", 0.0), classifier.get("kind", "float"), classifier.get("mean", False))
+
+
+def compared(df: DataFrame, pipelines: dict[str, Pipeline], label: str, group: str, folds: int = 5, seed: int = 7) -> DataFrame:
+    """(model, auc, accuracy, rows) of each pipeline and of `majority`, which gives every row its fold's share of ones elsewhere; from rows that a model hasn't seen."""
+    from lintel.operators.metrics import roc_auc
+
+    found = None
+    for name, pipeline in pipelines.items():
+        scored = out_of_fold(df, pipeline, group, folds, seed, label).select(F.col(label).cast("int").alias("y"), F.col("probability1").alias("p"), "fold")
+        scored = written(scored, "scored")
+        parts = {name: scored}
+        if found is None:
+            ones = scored.groupBy("fold").agg(F.sum("y").alias("o"), F.count(F.lit(1)).alias("n"))
+            whole = ones.agg(F.sum("o").alias("all_o"), F.sum("n").alias("all_n"))
+            shares = ones.crossJoin(F.broadcast(whole)).select("fold", F.try_divide(F.col("all_o") - F.col("o"), F.col("all_n") - F.col("n")).alias("share"))  # a row a fold
+            parts["majority"] = scored.join(F.broadcast(shares), "fold").select("y", F.coalesce("share", F.lit(0.0)).alias("p"), "fold")
+        for n, rows in parts.items():
+            right = rows.agg(F.avg(((F.col("p") >= 0.5).cast("int") == F.col("y")).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("rows"))
+            row = roc_auc(rows, F.col("p"), F.col("y")).select(F.lit(n).alias("model"), "auc").crossJoin(F.broadcast(right))  # one row each
+            found = row if found is None else found.unionByName(row)
+    return found
+
+
+def winner(comparison: DataFrame) -> str:
+    """The model with the best ranking of rows it hasn't seen; of equal ones the first by name. The majority wins if nothing ranks better."""
+    best = comparison.orderBy(F.desc(F.when(F.col("model") == "majority", 0.5).otherwise(F.col("auc"))), F.col("model") != "majority", "model").first()
+    return best["model"]
 
 
 FORMAT = {"format": "boosted-trees", "version": 1}
@@ -114,7 +181,7 @@ def model_findings(df: DataFrame, classifiers: dict[str, dict], features: dict[s
         return df.withColumns({"smell": F.lit(""), "probability": F.lit(0.0)}).limit(0)
     scored = F.array(
         *[
-            F.struct(F.lit(n).alias("smell"), tree_score(c["trees"], features, c.get("rate", 0.1), c.get("start", 0.0)).alias("probability"), F.lit(float(c.get("threshold", 0.5))).alias("least"))
+            F.struct(F.lit(n).alias("smell"), score_of(c, features).alias("probability"), F.lit(float(c.get("threshold", 0.5))).alias("least"))
             for n, c in ((n, classifiers[n]) for n in names)
         ]
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +72,51 @@ def folds_by_group(df: DataFrame, group: str, folds: int = 5, seed: int = 7) ->
     return df.withColumn("fold", F.pmod(F.xxhash64(F.col(group), F.lit(seed)), F.lit(folds)).cast("int"))
 
 
+def dealt(groups: list[tuple[str, dict]], folds: int) -> list[int]:
+    """A fold for each (name, rows by class) in order: where its classes are rarest so far, weighted by their share of all rows.
+
+    A class's weight is 1 / its rows squared, so the sum that is made smallest is the spread of the classes' shares over the
+    folds. Integers decide; ties go to the fold with fewer rows, then to the first."""
+    totals: dict = {}
+    for _, counts in groups:
+        for c, n in counts.items():
+            totals[c] = totals.get(c, 0) + n
+    scale = math.lcm(*[n * n for n in totals.values()]) if totals else 1
+    weight = {c: scale // (n * n) for c, n in totals.items()}
+    held = [dict.fromkeys(totals, 0) for _ in range(folds)]
+    rows, found = [0] * folds, []
+    for _, counts in groups:
+        f = min(range(folds), key=lambda f: (sum(held[f][c] * n * weight[c] for c, n in counts.items()), rows[f], f))
+        for c, n in counts.items():
+            held[f][c] += n
+        rows[f] += sum(counts.values())
+        found.append(f)
+    return found
+
+
+def stratified_folds(df: DataFrame, group: str, label: str, folds: int = 5, repeats: int = 1, seed: int = 7, part: int = 20_000) -> DataFrame:
+    """(group, repeat, fold): whole groups dealt to folds so that each fold has about the same share of every class.
+
+    The table is one row a group. Groups are cut by hash into parts of about `part`, and each part is dealt by itself, the largest
+    groups first, ties in an order that the seed and the repeat shuffle: parts that are even are even together, and none needs to
+    see another. Null groups are one group, null labels a class."""
+    from lintel.session import prepare, written
+
+    prepare(df.sparkSession)
+    name = F.coalesce(F.col(group).cast("string"), F.lit(""))
+    cells = df.groupBy(name.alias("group"), F.coalesce(F.col(label).cast("string"), F.lit("")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    rows = written(cells.groupBy("group").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("class", "n")))).alias("counts"), F.sum("n").alias("rows")), "groups")
+    parts = max(1, -(-rows.count() // part))
+    spread = rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("part", F.pmod(F.xxhash64("group"), F.lit(parts)))
+    order = F.md5(F.concat_ws("|", "group", F.col("repeat").cast("string"), F.lit(str(seed))))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["rows", "order"], ascending=[False, True])
+        return pd.DataFrame({"group": pdf["group"], "repeat": pdf["repeat"], "fold": dealt([(g, dict(c)) for g, c in zip(pdf["group"], pdf["counts"], strict=True)], folds)})
+
+    return spread.withColumn("order", order).groupBy("repeat", "part").applyInPandas(run, "group string, repeat int, fold int")
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], time: str) -> DataFrame:
     """The newest row per key of both; of equal times the new one."""
     both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
