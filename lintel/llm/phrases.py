@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 
 from lintel.session import discard, prepare, written
 
-CHUNK = 8 << 20  # bytes of pieces whose n-grams are added up at once
+CHUNK = 6 << 20  # bytes of pieces whose n-grams are added up at once
 BUCKET = 256 << 20  # bytes of n-grams in a bucket, about
 KINDS = pa.schema({"lang": pa.string(), "gram": pa.string(), "words": pa.int32(), "n": pa.int64()})
-MEMORY = "256MB"  # of duckdb in a task; beyond it, disk
+MEMORY = "192MB"  # of duckdb in a task; beyond it, disk
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -113,35 +113,36 @@ def pack(text: bytes, numbers: np.ndarray) -> bytes:
     return len(text).to_bytes(8, "little") + pa.compress(text + numbers.T.astype("<i8").tobytes(), "zstd", asbytes=True)
 
 
-def unpack(data: bytes, langs: list[str], n: int) -> pa.RecordBatch:
-    size = int.from_bytes(data[:8], "little")
-    whole = pa.decompress(data[8:], size + 24 * n, "zstd")
+def unpack(data: pa.Buffer, langs: list[str], words: int, n: int) -> pa.RecordBatch:
+    size = int.from_bytes(data.slice(0, 8).to_pybytes(), "little")
+    whole = pa.decompress(data.slice(8), size + 16 * n, "zstd")
     text = pa.StringArray.from_buffers(1, pa.py_buffer(np.array([0, size], np.int32)), whole.slice(0, size))
-    lang, words, count = np.frombuffer(whole, "<i8", 3 * n, size).reshape(3, n)
-    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()).take(pa.array(lang)), pc.split_pattern(text, "\n").flatten(), pa.array(words.astype(np.int32)), pa.array(count)], schema=KINDS)
+    lang, count = np.frombuffer(whole, "<i8", 2 * n, size).reshape(2, n)
+    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()).take(pa.array(lang)), pc.split_pattern(text, "\n").flatten(), pa.array(np.full(n, words, np.int32)), pa.array(count)], schema=KINDS)
 
 
 def sent(found: DataFrame, most: int, buckets: int) -> DataFrame:
-    """A row a chunk and bucket: its n-grams with their languages, lengths and counts, packed."""
+    """A row a chunk and bucket: its n-grams of each length with their languages and counts, packed. One length is in memory at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunks(batches, "piece", CHUNK):
-            made = list(grams(t, most, buckets))
-            to = np.concatenate([x[0] for x in made])
-            lang = pa.concat_arrays([x[1] for x in made]).dictionary_encode()
-            order = np.argsort(to, kind="stable")
-            heads = np.flatnonzero(np.diff(to[order], prepend=-1))
-            ends = np.array([*heads[1:], len(to)])
-            text = pa.concat_arrays([x[2] for x in made]).take(pa.array(order))
-            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(heads, len(to)).astype(np.int32)), text), "\n")
-            length = np.repeat(np.arange(1, len(made) + 1), [len(x[0]) for x in made])
-            numbers = np.column_stack([lang.indices.to_numpy(), length, np.concatenate([x[3] for x in made])])[order]
-            data = [pack(x.as_buffer().to_pybytes(), numbers[i:j]) for x, i, j in zip(joined, heads, ends, strict=True)]
-            names = pa.array([lang.dictionary.to_pylist()] * len(heads), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(to[order][heads].astype(np.int32)), names, pa.array((ends - heads).astype(np.int32)), pa.array(data, pa.binary())], names=["bucket", "langs", "n", "data"])
+            names = pc.unique(t["lang"]).to_pylist()
+            rows: dict[int, tuple[list[int], list[int], list[bytes]]] = {}
+            for words, (to, lang, text, count) in enumerate(grams(t, most, buckets), 1):
+                order = np.argsort(to, kind="stable")
+                heads = np.flatnonzero(np.diff(to[order], prepend=-1))
+                ends = np.array([*heads[1:], len(to)])
+                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(heads, len(to)).astype(np.int32)), text.take(pa.array(order))), "\n")
+                numbers = np.column_stack([pc.index_in(lang, value_set=pa.array(names, pa.string())).to_numpy(), count])[order]
+                for bucket, x, i, j in zip(to[order][heads].tolist(), joined, heads, ends, strict=True):
+                    row = rows.setdefault(bucket, ([], [], []))
+                    for values, value in zip(row, (words, int(j - i), pack(x.as_buffer().to_pybytes(), numbers[i:j])), strict=True):
+                        values.append(value)
+            lists = [pa.array([r[k] for r in rows.values()], pa.list_(kind)) for k, kind in enumerate((pa.int32(), pa.int32(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), pa.array([names] * len(rows), pa.list_(pa.string())), *lists], names=["bucket", "langs", "words", "n", "data"])
             pa.default_memory_pool().release_unused()
 
-    return found.mapInArrow(run, "bucket int, langs array<string>, n int, data binary")
+    return found.mapInArrow(run, "bucket int, langs array<string>, words array<int>, n array<int>, data array<binary>")
 
 
 def counted(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -150,8 +151,10 @@ def counted(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
 
     def rows() -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for data, langs, n in zip(*(column(b, c).to_pylist() for c in ("data", "langs", "n")), strict=True):
-                yield unpack(data, langs, n)
+            for r in range(b.num_rows):
+                langs, lengths, sizes = (column(b, c)[r].as_py() for c in ("langs", "words", "n"))
+                for words, n, data in zip(lengths, sizes, column(b, "data")[r].values, strict=True):
+                    yield unpack(data.as_buffer(), langs, words, n)
 
     with tempfile.TemporaryDirectory() as scratch, duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": scratch, "preserve_insertion_order": False}) as con:
         reader = pa.RecordBatchReader.from_batches(KINDS, rows())
