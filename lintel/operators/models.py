@@ -154,16 +154,25 @@ def winner(comparison: DataFrame) -> str:
 FORMAT = {"format": "boosted-trees", "version": 1}
 
 
+def store_of(path: str):
+    """(file system, path in it) of an address of any store that pyarrow reads, or of a local path."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 def export_trees(path: str, classifiers: dict[str, dict]) -> None:
     """Write classifiers as JSON: by smell {"trees", "rate", "start", "threshold", "enabled"}."""
-    with open(path, "w") as f:
-        json.dump({**FORMAT, "classifiers": classifiers}, f)
+    store, place = store_of(path)
+    with store.open_output_stream(place) as f:
+        f.write(json.dumps({**FORMAT, "classifiers": classifiers}).encode())
 
 
 def load_trees(path: str) -> dict[str, dict]:
     """Classifiers of a JSON file; another format or version raises."""
-    with open(path) as f:
-        found = json.load(f)
+    store, place = store_of(path)
+    with store.open_input_stream(place) as f:
+        found = json.loads(f.read())
     if any(found.get(k) != v for k, v in FORMAT.items()):
         raise ValueError(f"{path} is not a model of this format and version")
     return found["classifiers"]

@@ -967,3 +967,37 @@ def claim_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus IN ('F', 'P') THEN NULL ELSE 'expected F or P, is ' || o_orderstatus END AS stage_error FROM orders")
 def stage_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.at_stage(table(spark, sf_dir, "orders"), ["F", "P"], "o_orderstatus").select("o_orderkey", "stage_error")
+
+
+# ---- Fixed tables, spelled out by hand in SQL
+
+
+@query(
+    """SELECT p_partkey, p_partkey % 14 AS n, CASE p_partkey % 14
+WHEN 0 THEN 'Bloaters' WHEN 1 THEN 'Bloaters' WHEN 2 THEN 'Object-Orientation Abusers' WHEN 3 THEN 'Change Preventers' WHEN 4 THEN 'Change Preventers' WHEN 5 THEN 'Dispensables' WHEN 6 THEN 'Dispensables'
+WHEN 7 THEN 'Couplers' WHEN 8 THEN 'Couplers' WHEN 9 THEN 'Security / Language-Specific' WHEN 10 THEN 'Security / Language-Specific' WHEN 11 THEN 'Bloaters' WHEN 12 THEN 'Dispensables' ELSE 'Uncategorized' END AS category,
+CASE p_partkey % 14 WHEN 0 THEN 'critical' WHEN 1 THEN 'critical' WHEN 2 THEN 'medium' WHEN 3 THEN 'critical' WHEN 4 THEN 'critical' WHEN 5 THEN 'low' WHEN 6 THEN 'low'
+WHEN 7 THEN 'medium' WHEN 8 THEN 'medium' WHEN 9 THEN 'critical' WHEN 10 THEN 'critical' WHEN 11 THEN 'critical' WHEN 12 THEN 'low' ELSE 'low' END AS priority,
+CASE p_partkey % 14 WHEN 0 THEN 'Extract Method' WHEN 1 THEN 'Extract Class' WHEN 2 THEN 'Replace Conditional with Polymorphism' WHEN 3 THEN 'Extract Method' WHEN 5 THEN 'Remove Dead Code' WHEN 6 THEN 'Inline Class'
+WHEN 7 THEN 'Move Method' WHEN 8 THEN 'Hide Delegate' WHEN 9 THEN 'Replace Magic Number with Symbolic Constant' WHEN 10 THEN 'Replace Nested Conditional with Guard Clauses' WHEN 11 THEN 'Introduce Parameter Object' END AS fix,
+CASE WHEN p_partkey % 14 IN (0, 3, 5, 9) THEN 'executable' WHEN p_partkey % 14 IN (4, 12, 13) THEN 'unknown' ELSE 'advisory' END AS status FROM part"""
+)
+def known_smells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category, priority, fix and capability of a dozen smells and of one that nobody knows."""
+    names = ["LongMethod", "LargeClass", "SwitchStatements", "DuplicateCode", "ShotgunSurgery", "DeadCode", "LazyClass", "FeatureEnvy", "MessageChains", "MagicNumber", "DeepNesting", "TooManyParameters", "DataClass", "Nothing Known"]
+    rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 14).alias("n"), picked(names, F.col("p_partkey")).alias("smell"))
+    name, can = taxonomy.category(F.col("smell")), taxonomy.capability(F.col("smell"))
+    return rows.select("p_partkey", "n", name.alias("category"), taxonomy.category_priority(name).alias("priority"), can["refactoring"].alias("fix"), can["status"].alias("status"))
+
+
+@query(
+    """WITH f AS (SELECT p_partkey AS k, (['pom.xml', 'Makefile', 'sub/build.gradle', 'requirements.txt', 'PyProject.toml', 'b/Pipfile', 'tox.ini', 'Dockerfile', 'docker-compose.yml', 'Jenkinsfile', '.travis.yml', 'readme.md'])[(p_partkey % 12 + 1)::INT] AS path FROM part)
+SELECT k, CASE k % 12 WHEN 0 THEN 'build_tools' WHEN 1 THEN 'build_tools' WHEN 2 THEN 'build_tools' WHEN 3 THEN 'dependency_managers' WHEN 4 THEN 'dependency_managers' WHEN 5 THEN 'dependency_managers' WHEN 6 THEN 'testing' WHEN 7 THEN 'deployment' WHEN 8 THEN 'deployment' ELSE 'ci_cd' END AS category,
+CASE k % 12 WHEN 0 THEN 'Maven' WHEN 1 THEN 'Make' WHEN 2 THEN 'Gradle' WHEN 3 THEN 'pip' WHEN 4 THEN 'pip/Poetry' WHEN 5 THEN 'Pipenv' WHEN 6 THEN 'tox' WHEN 7 THEN 'Docker' WHEN 8 THEN 'Docker Compose' WHEN 9 THEN 'Jenkins' WHEN 10 THEN 'Travis CI' END AS tool FROM f WHERE k % 12 <> 11"""
+)
+def known_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a project that tell its tools; each part is a repository of one file."""
+    names = ["pom.xml", "Makefile", "sub/build.gradle", "requirements.txt", "PyProject.toml", "b/Pipfile", "tox.ini", "Dockerfile", "docker-compose.yml", "Jenkinsfile", ".travis.yml", "readme.md"]
+    paths = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("repository"), picked(names, F.col("p_partkey")).alias("path"))
+    found = repository.artifacts(paths)
+    return found.select(F.col("repository").alias("k"), "category", "tool")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,13 +48,28 @@ def literal(v) -> str:
     return "NULL" if v is None else str(v) if isinstance(v, int | float) else "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def replaced(df: DataFrame, path: str) -> None:
+    """Put a frame's rows in the place of a table that it may be read from.
+
+    The new table is written beside the old one and takes its name when it is whole; a failure before that leaves the old one as
+    it was, a failure between the two renames leaves both, the old one as <path>.before-..."""
+    spark = df.sparkSession
+    mark = uuid.uuid4().hex
+    new, old, place = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.new-{mark}", f"{path}.before-{mark}", path))
+    df.write.parquet(new.toString())
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(place) and not store.rename(place, old) or not store.rename(new, place):
+        raise OSError(f"{path} could not be replaced; the new table is {new.toString()}")
+    store.delete(old, True)
+    spark.catalog.refreshByPath(path)
+
+
 def delete_where(spark: SparkSession, path: str, condition: str) -> int:
     """Rewrite a table without the rows for which the condition is true; returns how many rows went."""
     rows = spark.read.parquet(path)
-    keep = written(rows.filter(~F.coalesce(F.expr(condition), F.lit(False))), "delete")
-    before, after = rows.count(), keep.count()
-    keep.write.mode("overwrite").parquet(path)
-    return before - after
+    before = rows.count()
+    replaced(rows.filter(~F.coalesce(F.expr(condition), F.lit(False))), path)
+    return before - spark.read.parquet(path).count()
 
 
 def export_csv(df: DataFrame, path: str, order: list | None = None, partition_by: list[str] | None = None) -> None:
