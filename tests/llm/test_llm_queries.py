@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 from html.parser import HTMLParser
 
 import corpus_pipeline
@@ -14,6 +16,7 @@ import duckdb
 import numpy as np
 import pyarrow.dataset as ds
 import pytest
+import xxhash
 from lintel.llm import language, media, mixing, sentencepieces
 from lintel.llm import queries as llm_queries
 from pyspark.sql import functions as F
@@ -285,6 +288,145 @@ def test_op9_scores_every_document(result):
     assert np.mean([got[i]["quality_kept"] == bool(q) for i, q in truth.items()]) > 0.9
 
 
+class PlainRidge:
+    """Ridge logistic regression by plain gradient steps with halving, on standardised values between -8 and 8."""
+
+    def __init__(self, x, y, ridge):
+        x, y = np.array(x, float), np.array(y, float)
+        self.mean, self.scale = x.mean(0), x.std(0) + 1e-9
+        self.w = np.zeros(x.shape[1] + 1)
+        z, penalty = self.side(x), np.append(1e-3, np.ones(x.shape[1]) * ridge)
+        loss = lambda w: np.sum(np.logaddexp(0, z @ w) - y * (z @ w)) + 0.5 * np.sum(penalty * w * w)
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-(z @ self.w)))
+            gradient = z.T @ (p - y) + penalty * self.w
+            step = np.linalg.lstsq(z.T @ (z * (p * (1 - p))[:, None]) + np.diag(penalty), gradient, rcond=None)[0]
+            t = 1.0
+            while loss(self.w - t * step) > loss(self.w) + 1e-12 and t > 1e-6:
+                t /= 2
+            self.w = self.w - t * step
+
+    def side(self, x):
+        return np.column_stack([np.ones(len(x)), np.clip((np.array(x, float) - self.mean) / self.scale, -8, 8)])
+
+    def __call__(self, x):
+        return self.side(x) @ self.w
+
+
+def plain_words(text):
+    counts = [0] * 256
+    for w in text.split():
+        counts[xxhash.xxh3_64_intdigest(w.lower().encode()) % 256] += 1
+    n = max(1, sum(counts))
+    return [round(255 * math.sqrt(c / n)) / 255 for c in counts]
+
+
+def test_op9_equals_a_plain_loop(spark, result):
+    """Two views as lists of numbers, three rounds of exchange, one document at a time."""
+    from lintel.llm import cotraining
+
+    docs = sorted(rows_of("documents"), key=lambda r: r["doc_id"])
+    order = {r["id"]: r["o"] for r in spark.range(10_000).select("id", F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1 << 62)).alias("o")).collect()}
+    label = {r["doc_id"]: float(r["quality"]) for r in rows_of("labels")}
+    held = {d["doc_id"]: order[d["doc_id"]] % 5 == 0 for d in docs}
+    train = [d for d in docs if d["doc_id"] in label and not held[d["doc_id"]]]
+    overall = sum(label[d["doc_id"]] for d in train) / len(train)
+
+    def rate(column, value):
+        same = [label[d["doc_id"]] for d in train if d[column] == value]
+        return (sum(same) + 20 * overall) / (len(same) + 20) if same else overall
+
+    rates = {c: {v: rate(c, v) for v in {d[c] for d in docs}} for c in ("source", "lang")}
+    views = {}
+    for d in docs:
+        t = d["text"] or ""
+        page = cotraining.shape_features(t) + [rates["source"][d["source"]], rates["lang"][d["lang"]]]
+        views[d["doc_id"]] = (tuple(cotraining.text_features(t) + plain_words(t)), tuple(page))
+    ridges = [np.append(np.ones(14), np.full(256, 20.0)), 1.0]
+    held_ids = [i for i in sorted(label) if held[i]]
+    pools = [([views[d["doc_id"]][v] for d in train], [label[d["doc_id"]] for d in train]) for v in (0, 1)]
+    examples = {}
+    for i in sorted(views):
+        if i not in label:
+            examples.setdefault(views[i], i)
+
+    def fitted():
+        made = []
+        for v in (0, 1):
+            model = PlainRidge(*pools[v], ridges[v])
+            platt = PlainRidge([[s] for s in model([views[i][v] for i in held_ids])], [label[i] for i in held_ids], 1e-2)
+            made.append(lambda x, model=model, platt=platt: platt([[s] for s in model(x)]))
+        return made
+
+    models = fitted()
+    for _ in range(3):
+        left, taken = list(examples), set()
+        if left:
+            for v in (0, 1):
+                scores = models[v]([e[v] for e in left])
+                for sign in (1, -1):
+                    sure = sorted((-sign * s, examples[e], e) for s, e in zip(scores, left) if sign * s > 2)[:200]
+                    for _, _, e in sure:
+                        pools[1 - v][0].append(e[1 - v])
+                        pools[1 - v][1].append((1 + sign) / 2)
+                        taken.add(e)
+        for e in taken:
+            del examples[e]
+        models = fitted()
+    both = {i: (float(models[0]([x[0]])[0]), float(models[1]([x[1]])[0])) for i, x in views.items()}
+    joint = PlainRidge([both[i] for i in held_ids], [label[i] for i in held_ids], 1e-1)
+    one = lambda s: 1 / (1 + math.exp(-s))
+    assert len(pools[0][0]) > len(train) and len(result("op9_quality")) == len(docs)
+    for r in result("op9_quality"):
+        a, b = both[r["doc_id"]]
+        want = (one(a), one(b), one(float(joint([[a, b]])[0])))
+        assert (r["text_probability"], r["page_probability"], r["quality_probability"]) == pytest.approx(want, abs=2e-5)
+
+
+def plain_schedule(weights, blocks):
+    """Slots by walking the fluid schedule slot by slot in exact fractions: {(source, block): (slot, release, deadline)}."""
+    n, served, windows, now = len(blocks), [Fraction(0)] * len(blocks), {}, Fraction(0)
+    begins = [[Fraction(0)] for _ in range(n)]
+    while any(s < b for s, b in zip(served, blocks)):
+        live = [i for i in range(n) if served[i] < blocks[i]]
+        total = sum(weights[i] for i in live)
+        step = min((math.floor(served[i]) + 1 - served[i]) * total / weights[i] for i in live)  # up to the next whole block of any source
+        now += step
+        for i in live:
+            served[i] += step * weights[i] / total
+            if served[i].denominator == 1:
+                begins[i].append(now)
+    for i in range(n):
+        for k in range(blocks[i]):
+            windows[i, k] = (math.floor(begins[i][k]), math.ceil(begins[i][k + 1]))
+    done, found = [0] * n, {}
+    for slot in range(sum(blocks)):
+        ready = [(windows[i, done[i]][1], i) for i in range(n) if done[i] < blocks[i] and windows[i, done[i]][0] <= slot]
+        deadline, i = min(ready)
+        assert slot < deadline
+        found[i, done[i]] = (slot, *windows[i, done[i]])
+        done[i] += 1
+    return found
+
+
+def test_op10_equals_a_plain_schedule(result):
+    docs = rows_of("documents")
+    sizes = Counter(r["source"] for r in docs)
+    names = sorted(sizes, key=lambda s: (s is not None, s))
+    want = plain_schedule([Fraction(str(round(sizes[s] ** 0.5, 6))) for s in names], [-(-sizes[s] // 64) for s in names])
+    got = {(names.index(r["source"]), r["mix_block"]): (r["mix_slot"], r["mix_release"], r["mix_deadline"]) for r in result("op10_mixing")}
+    assert got == want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_schedules_of_many_blocks(seed):
+    rng = random.Random(seed)
+    blocks = [rng.randint(0, 40) for _ in range(6)]
+    weights = [Fraction(rng.randint(1, 50), rng.randint(1, 9)) for _ in blocks]
+    got = {(s, k): (slot, release, deadline) for slot, s, k, release, deadline in mixing.pfair(weights, blocks)}
+    assert got == plain_schedule(weights, blocks)
+
+
 def test_op10_equals_the_schedule(result):
     """Every document once; blocks in the slots that the scheduler gives them."""
     got = result("op10_mixing")
