@@ -664,7 +664,7 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.file_report(files, *quality.findings(files)).select("path", "lines", "findings", "score")
 
 
-from lintel import finding_queries, model_queries, plan_queries, source_queries  # noqa: E402, F401  register more
+from lintel import detail_queries, finding_queries, model_queries, plan_queries, source_queries  # noqa: E402, F401  register more
 
 
 def queries() -> dict:
