@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintel.finding_queries import K, S, repeated, text
+from lintel.finding_queries import numbers, repeated, text
 from lintel.functions import scalars, syntax_trees
 from lintel.operators import joins, models, rollups, scoring, selection
 from lintel.plans import overview
@@ -68,12 +68,13 @@ def resolved_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def module_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Python package of a module for each part that imports the one behind it, some Java classes and C files that do the same."""
-    after = K + 1
-    python = text("import os\nfrom pkg.m", after, " import x\nimport pkg.none as n\n", repeated("x = 1\n", S))
-    java = text("package a;\nimport a.b.J", after, ";\nimport static java.util.List;\nclass J", K, " { }\n")
-    c = text('#include "c', after, '.h"\n#include <stdio.h>\n', repeated("int a;\n", S))
+    key, size = numbers()
+    after = key + 1
+    python = text("import os\nfrom pkg.m", after, " import x\nimport pkg.none as n\n", repeated("x = 1\n", size))
+    java = text("package a;\nimport a.b.J", after, ";\nimport static java.util.List;\nclass J", key, " { }\n")
+    c = text('#include "c', after, '.h"\n#include <stdio.h>\n', repeated("int a;\n", size))
     one = lambda language, path, body: F.struct(F.lit(language).alias("language"), path.alias("path"), body.alias("text"))
-    files = F.array(one("python", text("pkg/m", K, ".py"), python), one("java", text("src/J", K, ".java"), java), one("c", text("inc/c", K, ".h"), c))
+    files = F.array(one("python", text("pkg/m", key, ".py"), python), one("java", text("src/J", key, ".java"), java), one("c", text("inc/c", key, ".h"), c))
     return table(spark, sf_dir, "part").select(F.inline(files))
 
 
@@ -121,7 +122,8 @@ UNION ALL SELECT k, unnest(['Module', 'FunctionDef', 'arguments', 'arg', 'Return
 )
 def tree_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds of nodes of functions that add up a name so many times."""
-    files = table(spark, sf_dir, "part").select(K.cast("string").alias("path"), F.lit("python").alias("language"), text("def f(a):\n    return a", repeated(" + a", S % 5), "\n").alias("text"))
+    key, size = numbers()
+    files = table(spark, sf_dir, "part").select(key.cast("string").alias("path"), F.lit("python").alias("language"), text("def f(a):\n    return a", repeated(" + a", size % 5), "\n").alias("text"))
     return syntax_trees.histogram(syntax_trees.nodes(files)).select(F.col("path").cast("long").alias("k"), "type", "nodes")
 
 

@@ -11,7 +11,9 @@ from lintel.plans import quality
 from lintel.queries import query
 from lintel.session import table, written
 
-K, S = F.col("p_partkey"), F.col("p_size")
+def numbers() -> tuple[Column, Column]:
+    """A part's key and size, from which its file is made."""
+    return F.col("p_partkey"), F.col("p_size")
 
 
 def text(*parts: Column | str) -> Column:
@@ -36,26 +38,27 @@ def repeated(piece: str, n: Column) -> Column:
 
 def python_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen kinds of files by the part's key, each for one rule."""
+    key, size = numbers()
     three = "    def a(self): pass\n    def b(self): pass\n    def c(self): pass\n"
     options = [
-        text("def main(", F.array_join(F.transform(F.sequence(F.lit(0), (S % 9).cast("int")), lambda i: text("p", i)), ", "), "):\n    pass\n"),
-        text("def main(a):\n    if a == 0:\n        pass\n", repeated("    elif a == 1:\n        pass\n", S % 7)),
-        text("def main(a):\n    return a", repeated(".b()", S % 6), "\n"),
-        text("def main(a):\n    return a\n", repeated("    a()\n", S % 4)),
-        text("def main(a):\n", times(S % 4, lambda i: text("    v", i, " = a\n")), "    return a\n"),
-        text("def main(a):\n    try:\n        a()\n    except", F.when(S % 2 == 0, " ValueError").otherwise(""), ":\n        pass\n"),
-        text("def main(a):\n    return a + ", S, "\n"),
-        text("class K:\n", times(S % 20 + 1, lambda i: text("    def m", i, "(self): pass\n")), "print(K)\n"),
-        text("class K:\n", times(S % 7, lambda i: text("    f", i, ": int = 0\n")), three, "print(K)\n"),
-        text("def main(a):\n    pass\n", repeated("    a()\n", S % 5), "def run(a):\n    pass\n", repeated("    a()\n", S % 5)),
-        text("def main(a, b, c): pass\ndef run(z, b, ", F.when(S % 2 == 0, "c").otherwise("d"), ", a): pass\n"),
-        text("class K:\n", three, "    def go(self, other): return self.a + self.b", times(S % 6, lambda i: text(" + other.x", i)), "\nprint(K)\n"),
-        text("class K:\n", three, "    def go(self, other): return other.", F.when(S % 2 == 0, "_").otherwise(""), "x\nprint(K)\n"),
-        text("class BaseK:\n", three, F.when(S % 2 == 0, "print(BaseK)\n").otherwise("")),
-        text(repeated("x = a\n", F.lit(20)), repeated("# why\n", S)),
-        text("def used(): pass\n", times(S % 3, lambda i: text("def spare", i, "(): pass\n")), "used()\n"),
+        text("def main(", F.array_join(F.transform(F.sequence(F.lit(0), (size % 9).cast("int")), lambda i: text("p", i)), ", "), "):\n    pass\n"),
+        text("def main(a):\n    if a == 0:\n        pass\n", repeated("    elif a == 1:\n        pass\n", size % 7)),
+        text("def main(a):\n    return a", repeated(".b()", size % 6), "\n"),
+        text("def main(a):\n    return a\n", repeated("    a()\n", size % 4)),
+        text("def main(a):\n", times(size % 4, lambda i: text("    v", i, " = a\n")), "    return a\n"),
+        text("def main(a):\n    try:\n        a()\n    except", F.when(size % 2 == 0, " ValueError").otherwise(""), ":\n        pass\n"),
+        text("def main(a):\n    return a + ", size, "\n"),
+        text("class K:\n", times(size % 20 + 1, lambda i: text("    def m", i, "(self): pass\n")), "print(K)\n"),
+        text("class K:\n", times(size % 7, lambda i: text("    f", i, ": int = 0\n")), three, "print(K)\n"),
+        text("def main(a):\n    pass\n", repeated("    a()\n", size % 5), "def run(a):\n    pass\n", repeated("    a()\n", size % 5)),
+        text("def main(a, b, c): pass\ndef run(z, b, ", F.when(size % 2 == 0, "c").otherwise("d"), ", a): pass\n"),
+        text("class K:\n", three, "    def go(self, other): return self.a + self.b", times(size % 6, lambda i: text(" + other.x", i)), "\nprint(K)\n"),
+        text("class K:\n", three, "    def go(self, other): return other.", F.when(size % 2 == 0, "_").otherwise(""), "x\nprint(K)\n"),
+        text("class BaseK:\n", three, F.when(size % 2 == 0, "print(BaseK)\n").otherwise("")),
+        text(repeated("x = a\n", F.lit(20)), repeated("# why\n", size)),
+        text("def used(): pass\n", times(size % 3, lambda i: text("def spare", i, "(): pass\n")), "used()\n"),
     ]
-    return table(spark, sf_dir, "part").select(K, K.alias("repository"), F.lit("src/code.py").alias("path"), F.lit("python").alias("language"), pick(K % 16, options).alias("text"))
+    return table(spark, sf_dir, "part").select(key, key.alias("repository"), F.lit("src/code.py").alias("path"), F.lit("python").alias("language"), pick(key % 16, options).alias("text"))
 
 
 @query(
@@ -85,22 +88,23 @@ def python_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, size = numbers()
     calls = ["gets", "strcpy", "strcat", "sprintf", "scanf", "snprintf"]
-    call = F.element_at(F.array(*[F.lit(c) for c in calls]), (S % 6 + 1).cast("int"))
-    body = repeated("    a();\n", S % 5)
+    call = F.element_at(F.array(*[F.lit(c) for c in calls]), (size % 6 + 1).cast("int"))
+    body = repeated("    a();\n", size % 5)
     options = [
-        text("int main(void) {\n", repeated("    f();\n\n    // none\n", S), "}\n"),
-        text("int main(", F.array_join(F.transform(F.sequence(F.lit(0), (S % 9).cast("int")), lambda i: text("int (*p", i, ")(int, int)")), ", "), ") {\n}\n"),
-        text("int main(int a) {\n    {\n    ", repeated("if (a) { ", S % 7), repeated("} ", S % 7), "}\n}\n"),
+        text("int main(void) {\n", repeated("    f();\n\n    // none\n", size), "}\n"),
+        text("int main(", F.array_join(F.transform(F.sequence(F.lit(0), (size % 9).cast("int")), lambda i: text("int (*p", i, ")(int, int)")), ", "), ") {\n}\n"),
+        text("int main(int a) {\n    {\n    ", repeated("if (a) { ", size % 7), repeated("} ", size % 7), "}\n}\n"),
         text("int main(void) {\n    char *p = \"gets(p)\"; ", call, "(p); x.gets(p);\n}\n"),
-        text(F.when(S % 2 == 0, "static unsigned").otherwise("extern"), " int g", S, "[3];\nint main(void) { int local = 0; return local; }\n"),
-        text("static int one(int a) { return a; }\nint two(int a);\nint two(int a) { return two(a); }\nint main(void) { return ", F.when(S % 2 == 0, "one(1)").otherwise("0"), "; }\n"),
+        text(F.when(size % 2 == 0, "static unsigned").otherwise("extern"), " int g", size, "[3];\nint main(void) { int local = 0; return local; }\n"),
+        text("static int one(int a) { return a; }\nint two(int a);\nint two(int a) { return two(a); }\nint main(void) { return ", F.when(size % 2 == 0, "one(1)").otherwise("0"), "; }\n"),
         text("int one(void) {\n", body, "}\nint two(void) {\n", body, "}\nint main(void) { one(); two(); }\n"),
-        repeated("int f(void);\n", S * 10),
-        text("#define N 77\nint main(int a) {\n    const int k = 9; int t[12]; t[0] = a * 60;\n    switch (a) { case 13: break; }\n    return a - ", S, ";\n}\n"),
+        repeated("int f(void);\n", size * 10),
+        text("#define N 77\nint main(int a) {\n    const int k = 9; int t[12]; t[0] = a * 60;\n    switch (a) { case 13: break; }\n    return a - ", size, ";\n}\n"),
     ]
-    path = F.when(K % 9 == 7, "src/code.h").otherwise("src/code.c")
-    return table(spark, sf_dir, "part").select(K, K.alias("repository"), path.alias("path"), F.lit("c").alias("language"), pick(K % 9, options).alias("text"))
+    path = F.when(key % 9 == 7, "src/code.h").otherwise("src/code.c")
+    return table(spark, sf_dir, "part").select(key, key.alias("repository"), path.alias("path"), F.lit("c").alias("language"), pick(key % 9, options).alias("text"))
 
 
 @query(
@@ -124,12 +128,13 @@ def c_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rule_java_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, size = numbers()
     options = [
-        text("class K {\n    void run() {\n", repeated("        f();\n", S), "    }\n}\n"),
-        text("class K {\n    K() { }\n", times(S % 25, lambda i: text("    void m", i, "() { }\n")), "    static class In {\n        void x() { }\n    }\n}\n"),
-        text("class K {\n    static final int A = 5;\n    int run(int a", times(S % 8, lambda i: text(", Map<A, B> p", i)), ") {\n        return a + ", S, ";\n    }\n    public int hashCode() { return 31; }\n}\n"),
+        text("class K {\n    void run() {\n", repeated("        f();\n", size), "    }\n}\n"),
+        text("class K {\n    K() { }\n", times(size % 25, lambda i: text("    void m", i, "() { }\n")), "    static class In {\n        void x() { }\n    }\n}\n"),
+        text("class K {\n    static final int A = 5;\n    int run(int a", times(size % 8, lambda i: text(", Map<A, B> p", i)), ") {\n        return a + ", size, ";\n    }\n    public int hashCode() { return 31; }\n}\n"),
     ]
-    return table(spark, sf_dir, "part").select(K, K.alias("repository"), F.lit("src/K.java").alias("path"), F.lit("java").alias("language"), pick(K % 3, options).alias("text"))
+    return table(spark, sf_dir, "part").select(key, key.alias("repository"), F.lit("src/K.java").alias("path"), F.lit("java").alias("language"), pick(key % 3, options).alias("text"))
 
 
 @query(
@@ -154,7 +159,8 @@ SELECT k, path, low, high, greatest(0, 100 - low - 8 * high)::DOUBLE AS score FR
 )
 def repository_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports of files of many repositories that have equal paths."""
-    files = python_sources(spark, sf_dir).filter(K % 16 == K % 16).filter((K % 16).isin(3, 6, 7, 15)).unionByName(c_sources(spark, sf_dir).filter((K % 9).isin(2, 8)))
+    key, _ = numbers()
+    files = python_sources(spark, sf_dir).filter((key % 16).isin(3, 6, 7, 15)).unionByName(c_sources(spark, sf_dir).filter((key % 9).isin(2, 8)))
     files = written(files, "rule-sources")
     found, facts = quality.findings(files, "repository")
     report = quality.file_report(files, found, facts, "repository")
@@ -168,12 +174,13 @@ FROM (SELECT *, CASE WHEN kind = 4 AND others >= 0 THEN 'NO_FEATURE_ENVY_EVIDENC
 )
 def move_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A method of as many uses of another object and of its own as the part's numbers say; five kinds of evidence."""
-    parameter = pick(K % 5, [F.lit("order"), F.lit('order: "Line"'), F.lit("item"), F.lit("order"), F.lit("order, more")])
-    name = F.when(K % 5 == 2, "item").otherwise("order")
-    uses = F.concat(times(S % 6, lambda i: F.concat(F.lit(" + "), name, F.lit(".x"), i.cast("string"))), F.when(K % 5 == 4, times(S % 6, lambda i: text(" + more.x", i))).otherwise(""))
-    tail = pick(K % 5, [F.lit("Basket().move(Order())\n"), F.lit(""), F.when(S % 2 == 0, "b = Basket()\nline = Line()\nb.move(line)\n").otherwise(""), F.when(S % 2 == 0, "").otherwise("other.move(Order())\n"), F.lit("")])
-    source = text("class Order: pass\nclass Line: pass\nclass Basket:\n    def move(self, ", parameter, "):\n        return 0", uses, times(S % 4, lambda i: text(" + self.y", i)), "\n", tail)
-    files = table(spark, sf_dir, "part").select(K.cast("string").alias("repository"), F.lit("shop.py").alias("path"), source.alias("text"))
+    key, size = numbers()
+    parameter = pick(key % 5, [F.lit("order"), F.lit('order: "Line"'), F.lit("item"), F.lit("order"), F.lit("order, more")])
+    name = F.when(key % 5 == 2, "item").otherwise("order")
+    uses = F.concat(times(size % 6, lambda i: F.concat(F.lit(" + "), name, F.lit(".x"), i.cast("string"))), F.when(key % 5 == 4, times(size % 6, lambda i: text(" + more.x", i))).otherwise(""))
+    tail = pick(key % 5, [F.lit("Basket().move(Order())\n"), F.lit(""), F.when(size % 2 == 0, "b = Basket()\nline = Line()\nb.move(line)\n").otherwise(""), F.when(size % 2 == 0, "").otherwise("other.move(Order())\n"), F.lit("")])
+    source = text("class Order: pass\nclass Line: pass\nclass Basket:\n    def move(self, ", parameter, "):\n        return 0", uses, times(size % 4, lambda i: text(" + self.y", i)), "\n", tail)
+    files = table(spark, sf_dir, "part").select(key.cast("string").alias("repository"), F.lit("shop.py").alias("path"), source.alias("text"))
     facts = written(python_scopes.scopes(files), "scopes")
     found, _ = moves.destinations(facts)
     return found.select(F.col("repository").cast("long").alias("k"), "destination", "parameter", "accesses", "self_accesses", "reason")

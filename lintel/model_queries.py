@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintel.finding_queries import K, S, text, times
+from lintel.finding_queries import numbers, text, times
 from lintel.operators import grouped, joins, preconditions, sets, statistics, versions
 from lintel.queries import LABELLED_SQL, labelled, poisson_sql, query
 from lintel.session import table
@@ -41,15 +41,16 @@ SELECT k, refactoring FROM c WHERE refactoring IS NOT NULL"""
 )
 def named_preconditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fixes of every part's finding; metrics and places that are missing leave a rule unknown, and one rule is the caller's."""
-    even, third, fifth = K % 2 == 0, K % 3 == 0, K % 5 == 0
+    key, size = numbers()
+    even, third, fifth = key % 2 == 0, key % 3 == 0, key % 5 == 0
     metric = lambda name, there, value: F.when(there, F.struct(F.lit(name).alias("key"), value.cast("double").alias("value")))
     metrics = [
-        metric("lines_of_code", even, S), metric("parameter_count", third, S % 6), metric("method_count", fifth, S % 9), metric("external_field_accesses", even, S % 5), metric("cyclomatic_complexity", third, S % 8),
-        metric("primitive_field_count", third, S % 4), metric("chain_length", fifth, S % 5), metric("coupling", fifth, S % 5), metric("nesting_depth", even, S % 6),
+        metric("lines_of_code", even, size), metric("parameter_count", third, size % 6), metric("method_count", fifth, size % 9), metric("external_field_accesses", even, size % 5), metric("cyclomatic_complexity", third, size % 8),
+        metric("primitive_field_count", third, size % 4), metric("chain_length", fifth, size % 5), metric("coupling", fifth, size % 5), metric("nesting_depth", even, size % 6),
     ]
     place = F.map_from_entries(F.array_compact(F.array(F.when(third, F.struct(F.lit("method"), F.lit("m"))), F.when(~third, F.struct(F.lit("entity"), F.lit("unknown"))), F.when(fifth, F.struct(F.lit("superclass"), F.lit("Base"))))))
-    lines = F.when(third, F.array(F.lit(1))).otherwise(F.array(F.lit(10), 10 + (S % 7).cast("int")))
-    findings = table(spark, sf_dir, "part").select(K.alias("k"), F.lit("any").alias("smell"), F.map_from_entries(F.array_compact(F.array(*metrics))).alias("metrics"), place.alias("location"), lines.alias("lines"))
+    lines = F.when(third, F.array(F.lit(1))).otherwise(F.array(F.lit(10), 10 + (size % 7).cast("int")))
+    findings = table(spark, sf_dir, "part").select(key.alias("k"), F.lit("any").alias("smell"), F.map_from_entries(F.array_compact(F.array(*metrics))).alias("metrics"), place.alias("location"), lines.alias("lines"))
     catalogue = spark.createDataFrame([("any", r, names) for r, names in FIXES], "smell string, refactoring string, preconditions array<string>")
     return preconditions.candidates(findings, catalogue, {"is_large": preconditions.least("lines_of_code", 41)}).select("k", "refactoring")
 
@@ -133,10 +134,11 @@ SELECT asked, (SELECT file FROM h WHERE h.asked = a.asked ORDER BY pos LIMIT 1)
 )
 def path_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Asked ends of paths and the first file that has them; folders in any letter case."""
+    key, size = numbers()
     part = table(spark, sf_dir, "part")
-    folder = F.when(K % 3 == 0, "Src/").when(K % 3 == 1, "src/app/").otherwise("old/src/")
-    files = part.select(K.alias("pos"), text("C:/ws/", folder, "b", S % 7, "/f", S % 11, ".py").alias("file"))
-    asked = part.select(text("src/", F.when(S % 2 == 0, "").otherwise("APP/"), "B", S % 9, "/f", S % 13, ".py").alias("asked")).distinct()
+    folder = F.when(key % 3 == 0, "Src/").when(key % 3 == 1, "src/app/").otherwise("old/src/")
+    files = part.select(key.alias("pos"), text("C:/ws/", folder, "b", size % 7, "/f", size % 11, ".py").alias("file"))
+    asked = part.select(text("src/", F.when(size % 2 == 0, "").otherwise("APP/"), "B", size % 9, "/f", size % 13, ".py").alias("asked")).distinct()
     return joins.match_paths(asked, files, "asked", "file", "pos").select("asked", "match")
 
 
@@ -165,8 +167,9 @@ SELECT k, round(CASE WHEN f1 = f2 AND m1 = m2 THEN greatest(0.6, s) ELSE s END,
 )
 def c_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C files of some functions and macros against others of more or fewer, with twice the branches."""
+    key, size = numbers()
     def source(functions, macros, branch: str):
         return text(times(macros, lambda i: text("#define M", i, " 1\n")), "/* return if */\n", times(functions, lambda i: text("int f", i, "(int a,\n   int b)\n{\n", branch, "  return 0; // return\n}\n")))
 
-    files = table(spark, sf_dir, "part").select(K.alias("k"), F.lit("c").alias("language"), source(S % 4, K % 3, "  if (a) b = 1;\n").alias("before"), source(S % 5, K % 4, "  if (a) b = 1;\n  while (b) a = 1;\n").alias("after"))
+    files = table(spark, sf_dir, "part").select(key.alias("k"), F.lit("c").alias("language"), source(size % 4, key % 3, "  if (a) b = 1;\n").alias("before"), source(size % 5, key % 4, "  if (a) b = 1;\n  while (b) a = 1;\n").alias("after"))
     return versions.version_similarity(files, ["k"]).select("k", F.round("similarity", 6).alias("similarity"))
