@@ -30,6 +30,7 @@ LANGUAGES = {"py": "python", "java": "java", "c": "c", "h": "c"}
 SPLIT = 128 << 20  # compressed bytes of members in a task
 LARGEST_MEMBER = 64 << 20
 BATCH = 8 << 20  # bytes of text in a batch of rows
+BUFFER = 1 << 20  # bytes that a request to a web archive asks for at least
 
 
 class RangeFile(io.RawIOBase):
@@ -78,7 +79,7 @@ def is_web(path: str) -> bool:
 def opened(path: str):
     """A seekable file of a store or an address."""
     if is_web(path):
-        return io.BufferedReader(RangeFile(path), 1 << 20)
+        return io.BufferedReader(RangeFile(path), BUFFER)
     from pyarrow import fs
 
     store, place = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)

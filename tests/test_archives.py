@@ -95,7 +95,7 @@ def test_web_archives_by_ranges(spark, folder, server, monkeypatch):
     assert archives.members(spark, f"{server}/a.zip, {server}/missing.zip").filter("path IS NULL").first()["error"].startswith("HTTP Error 404")
     assert archives.members(spark, f"{server}/a.zip", largest_archive=1000).first()["error"] == "too large"
     Ranges.served.clear()
-    monkeypatch.setattr(archives.io, "BufferedReader", lambda raw, size: __import__("io").BufferedReader(raw, 4096))
+    monkeypatch.setattr(archives, "BUFFER", 4096)
     reader = archives.ZipReader({"path": f"{server}/a.zip"})
     list(reader.pushFilters([EqualTo(("path",), "src/f33.py")]))
     (row,) = reader.rows(reader.partitions()[0])
