@@ -9,13 +9,18 @@ from lintel.functions import c_code, python_code, python_scopes
 from lintel.operators import moves
 from lintel.plans import quality
 from lintel.queries import query
-from lintel.session import table, written
+from lintel.session import dealt, table, written
 
 def numbers() -> tuple[Column, Column]:
     """A part's key and size, from which its file is made."""
     return F.col("p_partkey"), F.col("p_size")
 
 
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys and sizes, dealt out before texts are made of them."""
+    return dealt(table(spark, sf_dir, "part").select(*numbers()))
+
+
 def text(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
@@ -58,7 +63,7 @@ def python_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         text(repeated("x = a\n", F.lit(20)), repeated("# why\n", size)),
         text("def used(): pass\n", times(size % 3, lambda i: text("def spare", i, "(): pass\n")), "used()\n"),
     ]
-    return table(spark, sf_dir, "part").select(key, key.alias("repository"), F.lit("src/code.py").alias("path"), F.lit("python").alias("language"), pick(key % 16, options).alias("text"))
+    return parts(spark, sf_dir).select(key, key.alias("repository"), F.lit("src/code.py").alias("path"), F.lit("python").alias("language"), pick(key % 16, options).alias("text"))
 
 
 @query(
@@ -104,7 +109,7 @@ def c_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         text("#define N 77\nint main(int a) {\n    const int k = 9; int t[12]; t[0] = a * 60;\n    switch (a) { case 13: break; }\n    return a - ", size, ";\n}\n"),
     ]
     path = F.when(key % 9 == 7, "src/code.h").otherwise("src/code.c")
-    return table(spark, sf_dir, "part").select(key, key.alias("repository"), path.alias("path"), F.lit("c").alias("language"), pick(key % 9, options).alias("text"))
+    return parts(spark, sf_dir).select(key, key.alias("repository"), path.alias("path"), F.lit("c").alias("language"), pick(key % 9, options).alias("text"))
 
 
 @query(
@@ -134,7 +139,7 @@ def rule_java_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         text("class K {\n    K() { }\n", times(size % 25, lambda i: text("    void m", i, "() { }\n")), "    static class In {\n        void x() { }\n    }\n}\n"),
         text("class K {\n    static final int A = 5;\n    int run(int a", times(size % 8, lambda i: text(", Map<A, B> p", i)), ") {\n        return a + ", size, ";\n    }\n    public int hashCode() { return 31; }\n}\n"),
     ]
-    return table(spark, sf_dir, "part").select(key, key.alias("repository"), F.lit("src/K.java").alias("path"), F.lit("java").alias("language"), pick(key % 3, options).alias("text"))
+    return parts(spark, sf_dir).select(key, key.alias("repository"), F.lit("src/K.java").alias("path"), F.lit("java").alias("language"), pick(key % 3, options).alias("text"))
 
 
 @query(
@@ -180,7 +185,7 @@ def move_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     uses = F.concat(times(size % 6, lambda i: F.concat(F.lit(" + "), name, F.lit(".x"), i.cast("string"))), F.when(key % 5 == 4, times(size % 6, lambda i: text(" + more.x", i))).otherwise(""))
     tail = pick(key % 5, [F.lit("Basket().move(Order())\n"), F.lit(""), F.when(size % 2 == 0, "b = Basket()\nline = Line()\nb.move(line)\n").otherwise(""), F.when(size % 2 == 0, "").otherwise("other.move(Order())\n"), F.lit("")])
     source = text("class Order: pass\nclass Line: pass\nclass Basket:\n    def move(self, ", parameter, "):\n        return 0", uses, times(size % 4, lambda i: text(" + self.y", i)), "\n", tail)
-    files = table(spark, sf_dir, "part").select(key.cast("string").alias("repository"), F.lit("shop.py").alias("path"), source.alias("text"))
+    files = parts(spark, sf_dir).select(key.cast("string").alias("repository"), F.lit("shop.py").alias("path"), source.alias("text"))
     facts = written(python_scopes.scopes(files), "scopes")
     found, _ = moves.destinations(facts)
     return found.select(F.col("repository").cast("long").alias("k"), "destination", "parameter", "accesses", "self_accesses", "reason")

@@ -73,6 +73,14 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def dealt(df: DataFrame, rows: int = 4096) -> DataFrame:
+    """The rows of a table dealt evenly to tasks of `rows` each, and to every core if there are fewer.
+
+    A table of keys and numbers is a split or two, however much work is made of a row: so its texts would all be made and read in one task."""
+    n = df.count()
+    return df.repartition(max(-(-n // rows), min(df.sparkSession.sparkContext.defaultParallelism, -(-n // 64)), 1))
+
+
 def widened(df: DataFrame, columns: str) -> StructType:
     """The frame's schema with more columns, given as DDL; the frame's own schema object stays as it is."""
     return StructType([*df.schema.fields, *StructType.fromDDL(columns).fields])
