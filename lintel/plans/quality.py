@@ -28,7 +28,7 @@ def file_report(files: DataFrame, found: DataFrame, facts: DataFrame, repository
     levels = found.groupBy(*key).agg(*[F.count_if(F.col("severity") == s).alias(s) for s in ("high", "medium", "low")])
     lines = facts.groupBy(*key).agg(F.max(F.when(F.col("fact") == "lines", F.col("value"))).alias("lines"), F.max("error").alias("error"))
     owner = F.lit("") if repository is None else F.coalesce(F.col(repository).cast("string"), F.lit(""))
-    joined = files.select(owner.alias("repository"), "path", "language").join(lines, key, "left").join(scores, key, "left").join(levels, key, "left")
+    joined = files.select(owner.alias("repository"), "path", "language").join(lines.hint("merge"), key, "left").join(scores.hint("merge"), key, "left").join(levels.hint("merge"), key, "left")
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("findings", "high", "medium", "low")}
     return joined.withColumns(zero | {"score": F.when(F.col("error").isNull(), F.coalesce("score", F.lit(100.0)))})
 
