@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintel.finding_queries import numbers, text, times
+from lintel.finding_queries import numbers, parts, text, times
 from lintel.operators import grouped, joins, preconditions, sets, statistics, versions
 from lintel.queries import LABELLED_SQL, labelled, poisson_sql, query
 from lintel.session import table
@@ -171,5 +171,5 @@ def c_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     def source(functions, macros, branch: str):
         return text(times(macros, lambda i: text("#define M", i, " 1\n")), "/* return if */\n", times(functions, lambda i: text("int f", i, "(int a,\n   int b)\n{\n", branch, "  return 0; // return\n}\n")))
 
-    files = table(spark, sf_dir, "part").select(key.alias("k"), F.lit("c").alias("language"), source(size % 4, key % 3, "  if (a) b = 1;\n").alias("before"), source(size % 5, key % 4, "  if (a) b = 1;\n  while (b) a = 1;\n").alias("after"))
+    files = parts(spark, sf_dir).select(key.alias("k"), F.lit("c").alias("language"), source(size % 4, key % 3, "  if (a) b = 1;\n").alias("before"), source(size % 5, key % 4, "  if (a) b = 1;\n  while (b) a = 1;\n").alias("after"))
     return versions.version_similarity(files, ["k"]).select("k", F.round("similarity", 6).alias("similarity"))

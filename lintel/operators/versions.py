@@ -31,17 +31,20 @@ def without_comments(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)/\*.*?\*/|//[^\n]*", " ")
 
 
-def items(text: Column, language: Column) -> Column:
-    """An array of (measure, item) of a file's text. Items of a count are all alike."""
-    java, plain = text, without_comments(text)
+def items(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, measure and item for all of the rows' texts (language, text). Items of a count are all alike.
+
+    A text is stripped of its comments, and its functions are looked for, once: each step is a column of its own."""
     named = lambda measure, found: F.transform(found, lambda x: F.struct(F.lit(measure).alias("measure"), x.alias("item")))
     alike = lambda measure, found: F.transform(found, lambda x: F.struct(F.lit(measure).alias("measure"), F.lit("").alias("item")))
-    pairs = F.arrays_zip(all_of(plain, FUNCTION, 1).alias("name"), all_of(plain, FUNCTION, 2).alias("given"))
-    functions = F.filter(pairs, lambda p: ~p["name"].isin(*NOT_FUNCTIONS))
-    signatures = F.transform(functions, lambda p: F.concat(p["name"], F.lit(":"), F.trim(F.regexp_replace(F.when(F.trim(p["given"]) == "void", "").otherwise(p["given"]), r"\s+", " "))))
-    of_java = F.concat(named("tokens", all_of(java, TOKEN)), alike("classes", all_of(java, CLASS)), alike("methods", all_of(java, METHOD)))
-    of_c = F.concat(named("signatures", F.array_distinct(signatures)), alike("functions", signatures), alike("returns", all_of(plain, RETURN)), alike("control", all_of(plain, CONTROL)), named("macros", F.array_distinct(all_of(plain, MACRO, 1))))
-    return F.when(language == "java", of_java).when(language == "c", of_c)
+    java, text = rows.filter("language = 'java'"), F.col("text")
+    of_java = F.concat(named("tokens", all_of(text, TOKEN)), alike("classes", all_of(text, CLASS)), alike("methods", all_of(text, METHOD)))
+    plain = rows.filter("language = 'c'").select(*keep, without_comments(text).alias("plain")).withColumns({"names": all_of(F.col("plain"), FUNCTION, 1), "given": all_of(F.col("plain"), FUNCTION, 2)})
+    given = lambda p: F.trim(F.regexp_replace(F.when(F.trim(p["given"]) == "void", "").otherwise(p["given"]), r"\s+", " "))
+    functions = F.filter(F.arrays_zip(F.col("names").alias("name"), F.col("given").alias("given")), lambda p: ~p["name"].isin(*NOT_FUNCTIONS))
+    c = plain.withColumn("signatures", F.transform(functions, lambda p: F.concat(p["name"], F.lit(":"), given(p))))
+    of_c = F.concat(named("signatures", F.array_distinct("signatures")), alike("functions", F.col("signatures")), alike("returns", all_of(F.col("plain"), RETURN)), alike("control", all_of(F.col("plain"), CONTROL)), named("macros", F.array_distinct(all_of(F.col("plain"), MACRO, 1))))
+    return java.select(*keep, F.inline(of_java)).unionByName(c.select(*keep, F.inline(of_c)))
 
 
 def version_measures(files: DataFrame, by: list[str]) -> DataFrame:
@@ -50,15 +53,14 @@ def version_measures(files: DataFrame, by: list[str]) -> DataFrame:
     A measure that neither version has anything of is 1."""
     known = files.filter(F.col("language").isin(*MEASURES)).select(*by, "language", *[F.coalesce(c, F.lit("")).alias(c) for c in ("before", "after")])
     sides = known.select(*by, "language", F.inline(F.array(*[F.struct(F.lit(s).alias("side"), F.col(c).alias("text")) for s, c in (("a", "before"), ("b", "after"))])))
-    rows = sides.select(*by, "language", "side", F.inline(items(F.col("text"), F.col("language"))))
-    counts = rows.groupBy(*by, "language", "measure", "item").agg(*[F.count_if(F.col("side") == s).cast("double").alias(s) for s in "ab"])
+    counts = items(sides, [*by, "language", "side"]).groupBy(*by, "language", "measure", "item").agg(*[F.count_if(F.col("side") == s).cast("double").alias(s) for s in "ab"])
     a, b = F.col("a"), F.col("b")
     sums = counts.groupBy(*by, "language", "measure").agg(
         F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum(a * b).alias("ab"), F.sum(a * a).alias("aa"), F.sum(b * b).alias("bb"), F.count_if((a > 0) & (b > 0)).alias("both"), F.count(F.lit(1)).alias("any")
     )
     kinds = F.array(*[F.struct(F.lit(lang).alias("lang"), F.lit(m).alias("measure"), F.lit(kind).alias("kind"), F.lit(w).alias("weight")) for lang, ms in MEASURES.items() for m, (kind, w) in ms.items()])
     asked = known.select(*by, "language", F.inline(kinds)).filter("lang = language").drop("lang")
-    joined = asked.join(sums, [*by, "language", "measure"], "left")
+    joined = asked.join(sums.hint("merge"), [*by, "language", "measure"], "left")  # the planner takes the lists of a text for one row, so it would broadcast them
     cosine = F.coalesce(F.try_divide(F.col("ab"), F.sqrt("aa") * F.sqrt("bb")), F.lit(0.0))
     alike = F.when(F.col("kind") == "cosine", cosine).when(F.col("kind") == "jaccard", F.col("both") / F.col("any")).otherwise(1 - F.abs(a - b) / F.greatest(a, b))
     return joined.select(*by, "language", "measure", "weight", F.when(F.col("any").isNull(), 1.0).otherwise(alike).alias("similarity"), F.coalesce(F.col("both") == F.col("any"), F.lit(True)).alias("same"))
