@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintel.functions import c_code
+from lintel.functions.copies import framed, remembered
 from lintel.session import prepare
 
 COLUMNS = "node int, parent int, pos int, depth int, type string, name string, line int, tree_path string"
@@ -61,13 +62,17 @@ def nodes(files: DataFrame, deepest: int = 12) -> DataFrame:
     names = ["path", *[c.split()[0] for c in COLUMNS.split(", ")]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for p, lang, t in zip(pdf["path"], pdf["language"], pdf["text"], strict=True):
-                try:
-                    rows = [(p, *r) for r in (python_nodes(t or "", deepest) if lang == "python" else block_nodes(t or ""))]
-                except (SyntaxError, ValueError):
-                    rows = []
-                yield pd.DataFrame(rows, columns=names).astype({c: "Int32" for c in ("node", "parent", "pos", "depth", "line")})
+        made = remembered(lambda lang, text: python_nodes(text, deepest) if lang == "python" else block_nodes(text))
+
+        def found() -> Iterator[list[tuple]]:
+            for pdf in batches:
+                for p, lang, t in zip(pdf["path"], pdf["language"], pdf["text"], strict=True):
+                    try:
+                        yield [(p, *r) for r in made(lang or "", t or "")]
+                    except (SyntaxError, ValueError):
+                        continue
+
+        yield from framed(found(), names, {c: "Int32" for c in ("node", "parent", "pos", "depth", "line")})
 
     return files.select("path", "language", "text").mapInPandas(run, f"path string, {COLUMNS}")
 
