@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintel.finding_queries import parts
 from lintel.functions import java_code
 from lintel.operators import structure
 from lintel.queries import query
@@ -144,7 +145,7 @@ def job_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def java_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p_partkey and the text of a class with f fields, g getters, m methods of l loops, and a type inside every second one."""
-    part = table(spark, sf_dir, "part")
+    part = parts(spark, sf_dir)
     f, m, loops = F.col("p_size") % 5, F.col("p_partkey") % 3, (F.col("p_size") / 5).cast("int") % 3
     g = F.least(F.col("p_size") % 4, f)
     each = lambda n, make: F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), make), "")).otherwise("")
