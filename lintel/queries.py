@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lintel.functions import scalars
 from lintel.operators import events, grouped, joins, metrics, ranking, rollups, scoring, selection, sets
 from lintel.plans import quality
-from lintel.session import prepare, table, written
+from lintel.session import dealt, prepare, table, written
 
 EVENT_TYPES = ["signup", "view", "click", "purchase", "error"]
 #: Severities of event types and order priorities.
@@ -643,7 +643,7 @@ def written_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Python file for each part: one function of as many lines as the part's size."""
     name = F.concat(F.lit("f"), F.col("p_partkey"))
     text = F.concat(F.lit("def "), name, F.lit("():\n"), F.repeat(F.lit("    pass\n"), F.greatest(F.col("p_size"), F.lit(1))))
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("src/"), name, F.lit(".py")).alias("path"), F.lit("python").alias("language"), text.alias("text"))
+    return dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size")).select(F.concat(F.lit("src/"), name, F.lit(".py")).alias("path"), F.lit("python").alias("language"), text.alias("text"))
 
 
 @query(
