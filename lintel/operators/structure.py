@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from lintel.functions.java_code import COUNTS
 from lintel.functions.syntax_trees import cohesion
+from lintel.session import written
 
 FLAGS = ("starts_line", "identifier", "operator", "literal")
 
@@ -30,7 +31,7 @@ def span_sizes(sums: DataFrame, spans: DataFrame, by: list[str]) -> DataFrame:
     ends = sums.select(*by, F.col("i").alias("last"), F.col("line").alias("end_line"), *[F.col(f"sum_{f}").alias(f"e_{f}") for f in FLAGS])
     starts = sums.select(*by, F.col("i").alias("first"), F.col("line").alias("line"), *[(F.col(f"sum_{f}") - F.col(f)).alias(f"s_{f}") for f in FLAGS], F.col("starts_line").alias("own_start"))
     plain = spans.drop("line", "end_line")
-    joined = plain.join(ends, [*by, "last"]).join(starts, [*by, "first"])
+    joined = plain.join(ends.hint("merge"), [*by, "last"]).join(starts.hint("merge"), [*by, "first"])
     between = lambda f: (F.col(f"e_{f}") - F.col(f"s_{f}")).cast("long")
     return joined.select(
         *plain.columns,
@@ -51,7 +52,7 @@ def distinct_identifiers(sums: DataFrame, spans: DataFrame, by: list[str], width
     Tokens and spans meet by cells of `width` tokens, so a pair is made only for tokens inside a span."""
     named = sums.filter("identifier = 1").select(*by, "i", F.coalesce("before", F.lit(-1)).alias("before"), F.floor(F.col("i") / width).alias("cell"))
     cut = spans.select(*by, "first", "last").distinct().withColumn("cell", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))))
-    inside = cut.join(named, [*by, "cell"]).filter("i BETWEEN first AND last AND before < first")
+    inside = cut.hint("merge").join(named, [*by, "cell"]).filter("i BETWEEN first AND last AND before < first")
     return inside.groupBy(*by, "first", "last").agg(F.count(F.lit(1)).alias("distinct"))
 
 
@@ -65,12 +66,12 @@ def class_features(declared: DataFrame, sizes: DataFrame, by: list[str]) -> Data
     declared: java_declarations(); sizes: span_sizes() of them, with id. Members are a type's own; types inside it are types of
     their own, but what they refer to counts for the types around them too."""
     key = [*by, "id"]
-    rows = declared.join(sizes.select(*key, "sloc", "tokens", "lines"), key, "left")
+    rows = written(declared.join(sizes.select(*key, "sloc", "tokens", "lines").hint("merge"), key, "left"), "members")
     callable_ = F.col("kind").isin("method", "constructor")
     method, field = F.col("kind") == "method", F.col("kind") == "field"
     types = rows.filter(~callable_ & ~field)
     interface = types.select(*by, F.col("id").alias("parent"), (F.col("kind") == "interface").alias("of_interface"))
-    members = rows.filter("parent IS NOT NULL").join(interface, [*by, "parent"])
+    members = rows.filter("parent IS NOT NULL").join(interface.hint("merge"), [*by, "parent"])
     public = method & (F.col("of_interface") | has("public"))
     statements = F.try_element_at("counts", F.lit("statements"))
     getter = method & F.col("name").rlike("^(get|is)[A-Z_]") & (F.col("parameters") == 0) & (statements <= 1)
@@ -111,10 +112,10 @@ def class_features(declared: DataFrame, sizes: DataFrame, by: list[str]) -> Data
     uses = members.filter(method & F.col("has_body")).select(F.struct(*by, F.col("parent").alias("id")).alias("class"), F.col("id").alias("method"), F.explode("fields_used").alias("field"))
     bodied = members.filter(method & F.col("has_body")).groupBy(*by, F.col("parent").alias("id")).agg(F.count(F.lit(1)).cast("double").alias("m"))
     linked = cohesion_pairs(uses).select("class.*", "n")
-    tight = bodied.join(linked, key, "left").select(*key, F.coalesce(F.try_divide(F.coalesce("n", F.lit(0)).cast("double"), F.col("m") * (F.col("m") - 1) / 2), F.lit(0.0)).alias("cohesion"))
+    tight = bodied.join(linked.hint("merge"), key, "left").select(*key, F.coalesce(F.try_divide(F.coalesce("n", F.lit(0)).cast("double"), F.col("m") * (F.col("m") - 1) / 2), F.lit(0.0)).alias("cohesion"))
     names = type_names(rows, by)
     zero = [c for c in grouped.columns if c not in key and not c.startswith("__")]
-    joined = types.select(*key, "name", "kind", "sloc", "tokens", "lines", "parent", "modifiers", "extends", "implements").join(grouped, key, "left").join(targets, key, "left").join(tight, key, "left").join(names, key, "left")
+    joined = types.select(*key, "name", "kind", "sloc", "tokens", "lines", "parent", "modifiers", "extends", "implements").join(grouped.hint("merge"), key, "left").join(targets.hint("merge"), key, "left").join(tight.hint("merge"), key, "left").join(names.hint("merge"), key, "left")
     accessors = F.col("getters") + F.col("setters")
     return joined.fillna(0, subset=[*zero, "foreign_targets", "distinct_types"]).fillna(0.0, subset=["cohesion"]).select(
         *key, "name", "kind", "sloc", "tokens", "lines", *zero, "foreign_targets", "distinct_types", "cohesion",
@@ -131,17 +132,18 @@ def cohesion_pairs(uses: DataFrame) -> DataFrame:
     """(class, n): pairs of a class's methods that use a common field, from (class, method, field)."""
     once = uses.distinct()
     a, b = once.withColumnRenamed("method", "x"), once.withColumnRenamed("method", "y")
-    return a.join(b, ["class", "field"]).filter("x < y").select("class", "x", "y").distinct().groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+    return a.hint("merge").join(b, ["class", "field"]).filter("x < y").select("class", "x", "y").distinct().groupBy("class").agg(F.count(F.lit(1)).alias("n"))
 
 
 def type_names(rows: DataFrame, by: list[str]) -> DataFrame:
     """(by, id, distinct_types): the types that a type's members name, those of the types inside it included.
 
-    A type's ancestors are found level by level, as deep as types are nested in each other."""
-    types = rows.filter(~F.col("kind").isin("method", "constructor", "field")).select(*by, "id", F.col("parent").alias("up"))
-    found = rows.filter("types_used IS NOT NULL AND parent IS NOT NULL").select(*by, F.col("parent").alias("id"), F.explode("types_used").alias("type")).distinct()
-    level, every = found, found
-    for _ in range(8):  # deeper types count for the eight around them
-        level = level.join(types, [*by, "id"]).filter("up IS NOT NULL").select(*by, F.col("up").alias("id"), "type").distinct()
+    The names of the types inside go up level by level, each level written and small, until no type lies around the last one's."""
+    inside = rows.filter(~F.col("kind").isin("method", "constructor", "field") & F.col("parent").isNotNull()).select(*by, "id", F.col("parent").alias("up"))
+    every = level = rows.filter("types_used IS NOT NULL AND parent IS NOT NULL").select(*by, F.col("parent").alias("id"), F.explode("types_used").alias("type")).distinct()
+    while True:
+        level = written(level.join(inside.hint("merge"), [*by, "id"]).select(*by, F.col("up").alias("id"), "type").distinct(), "type-names")
+        if level.isEmpty():
+            break
         every = every.unionByName(level)
     return every.groupBy(*by, "id").agg(F.countDistinct("type").alias("distinct_types"))
