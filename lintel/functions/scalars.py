@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -133,11 +135,22 @@ def cosine(a: Column, b: Column) -> Column:
     return ratio_or_zero(dot(a, b), norms)
 
 
+def bound(make: Callable[..., Column], *values: Column) -> Column:
+    """make(*values) with each value made once a row, however often it is named; inside a lambda it would be made for each element."""
+    one = F.array(F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)]))
+    return F.element_at(F.transform(one, lambda s: make(*[s[f"v{i}"] for i in range(len(values))])), 1)
+
+
 def cosine_counts(a: Column, b: Column) -> Column:
     """Of two maps from term to count; 1 without any key, 0 if one is zero."""
-    keys = F.array_union(F.map_keys(a), F.map_keys(b))
-    values = lambda m: F.transform(keys, lambda k: F.coalesce(F.try_element_at(m, k), F.lit(0)).cast("double"))
-    return F.when(F.size(keys) == 0, 1.0).otherwise(cosine(values(a), values(b)))
+    number = lambda x: F.coalesce(x, F.lit(0)).cast("double")
+
+    def of_maps(a: Column, b: Column) -> Column:
+        square = lambda m: F.aggregate(F.map_values(m), F.lit(0.0), lambda s, x: s + number(x) * number(x))
+        both = F.aggregate(F.map_entries(a), F.lit(0.0), lambda s, e: s + number(e["value"]) * number(F.try_element_at(b, e["key"])))
+        return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(ratio_or_zero(both, F.sqrt(square(a)) * F.sqrt(square(b))))
+
+    return bound(of_maps, a, b)
 
 
 def count_similarity(a: Column, b: Column) -> Column:
