@@ -5,6 +5,8 @@ joins. Keys that repeat very often are bucketed by the interval where the join a
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -73,18 +75,22 @@ def with_fallback(df: DataFrame, stats: DataFrame, first: str, second: str, meas
     return joined.select(*df.columns, kind.alias("match"), *[F.coalesce(F.col(f"__e_{m}"), F.col(f"__r_{m}"), F.lit(0)).alias(m) for m in measures])
 
 
-def frequent_pairs(df: DataFrame, basket: str, item: str, least: int, busiest: int | None = None) -> DataFrame:
+def frequent_pairs(df: DataFrame, basket: str, item: str, least: int, busiest: int | None = None, task: int = 1 << 21) -> DataFrame:
     """Pairs of baskets that share at least `least` items, with the sorted items. Items in one basket only are dropped before the self join.
 
-    Pairs are counted first, from narrow rows; items are collected for the pairs that reach `least` only.
+    Pairs are counted first, from narrow rows; items are collected for the pairs that reach `least` only. A task counts `task`
+    pairs, about, so there are more tasks for more of them, none with a larger table of counts.
     busiest: leave out items in more baskets than this (a definition of noise words, not a default)."""
     rows = df.select(F.col(basket).alias("k"), F.col(item).alias("i")).filter("k IS NOT NULL AND i IS NOT NULL").distinct()
     n = rows.groupBy("i").agg(F.count(F.lit(1)).alias("n")).filter("n > 1" + (f" AND n <= {busiest}" if busiest else ""))
-    shared = written(rows.join(n.select("i"), "i", "left_semi"), "baskets")
+    n = written(n, "busy-items")
+    made = n.agg(F.coalesce(F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2), F.lit(0.0))).first()[0]
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(made / task))
+    shared = written(rows.join(n.select("i").hint("merge"), "i", "left_semi"), "baskets")
     a, b = shared.select(F.col("k").alias("first"), "i"), shared.select(F.col("k").alias("second"), "i")
-    pairs = a.join(b, "i").filter("first < second").groupBy("first", "second").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
-    pairs = written(pairs, "basket-pairs")
-    common = pairs.join(a, "first").join(b, ["second", "i"], "left_semi")
+    pairs = a.join(b.hint("merge"), "i").filter("first < second").repartition(parts, "first", "second")
+    pairs = written(pairs.groupBy("first", "second").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least), "basket-pairs")
+    common = pairs.hint("merge").join(a, "first").join(b, ["second", "i"], "left_semi")
     return common.groupBy("first", "second").agg(F.first("shared").alias("shared"), F.array_sort(F.collect_list("i")).alias("items"))
 
 
