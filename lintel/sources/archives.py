@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import fnmatch
 import io
+import itertools
 import urllib.error
 import urllib.request
 import zipfile
@@ -261,18 +262,23 @@ def snapshot(spark: SparkSession, repository: str, branches: tuple[str, ...] = (
 def write_archives(files: DataFrame, folder: str, by: str, path: str = "path", text: str = "text") -> DataFrame:
     """Write one ZIP file for each value of a column, named after it, into a folder of a store; gives (archive, members).
 
-    A file is written whole by one task, under the same name whenever the task is repeated."""
+    A file is written by one task, under the same name whenever the task is repeated. Its members come sorted and are written
+    one by one, so a task holds a batch of texts and the archive's directory, however large the archive is."""
 
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, place = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
         store.create_dir(place, recursive=True)
-        name = f"{key[0].as_py()}.zip"
-        with store.open_output_stream(f"{place}/{name}") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for p, t in sorted(zip(rows["path"].to_pylist(), rows["text"].to_pylist(), strict=True), key=lambda x: x[0]):
-                z.writestr(zipfile.ZipInfo(p), t or "", zipfile.ZIP_DEFLATED)
-        return pa.table({"archive": [f"{folder}/{name}"], "members": pa.array([rows.num_rows], pa.int64())})
+        rows = (r for batch in batches for r in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+        for key, held in itertools.groupby(rows, key=lambda r: r[0]):
+            members = 0
+            with store.open_output_stream(f"{place}/{key}.zip") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                for _, p, t in held:
+                    z.writestr(zipfile.ZipInfo(p), t or "", zipfile.ZIP_DEFLATED)
+                    members += 1
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{key}.zip"]), pa.array([members], pa.int64())], names=["archive", "members"])
 
     prepare(files.sparkSession)
-    return files.select(files[by].alias("__by"), files[path].alias("path"), files[text].alias("text")).groupBy("__by").applyInArrow(run, "archive string, members long")
+    rows = files.select(files[by].alias("__by"), files[path].alias("path"), files[text].alias("text"))
+    return rows.repartition("__by").sortWithinPartitions("__by", "path").mapInArrow(run, "archive string, members long")

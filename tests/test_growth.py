@@ -79,3 +79,39 @@ def test_trees_come_in_few_frames(spark):
 
     files = spark.range(100).select(F.col("id").cast("string").alias("path"), F.lit("python").alias("language"), F.lit("a = 1\n").alias("text"))
     assert syntax_trees.nodes(files).groupBy("path").count().filter("count = 5").count() == 100
+
+
+def test_archives_are_written_from_a_stream(spark, tmp_path):
+    """No task holds the texts of an archive: the plan has no grouped function, and archives hold all of their members in order."""
+    import zipfile
+
+    from lintel.sources import archives
+
+    files = spark.range(500).select((F.col("id") % 3).alias("a"), F.concat(F.lit("d/"), F.col("id"), F.lit(".py")).alias("path"), F.col("id").cast("string").alias("text"))
+    made = archives.write_archives(files, str(tmp_path), "a")
+    assert "FlatMapGroups" not in plan(made)
+    assert {(r["archive"].rsplit("/")[-1], r["members"]) for r in made.collect()} == {("0.zip", 167), ("1.zip", 167), ("2.zip", 166)}
+    for k in range(3):
+        with zipfile.ZipFile(tmp_path / f"{k}.zip") as z:
+            assert z.namelist() == sorted(f"d/{i}.py" for i in range(k, 500, 3)) and z.read(f"d/{k + 3}.py") == str(k + 3).encode()
+
+
+def test_pairs_are_counted_in_more_tasks_if_there_are_more(spark, monkeypatch):
+    from lintel.operators import joins
+
+    seen = {}
+    keep = joins.written
+    monkeypatch.setattr(joins, "written", lambda df, name: seen.setdefault(name, df) and keep(df, name))
+    rows = spark.range(400).select((F.col("id") % 40).alias("k"), F.floor(F.col("id") / 40).alias("i"))
+    assert joins.frequent_pairs(rows, "k", "i", 2, task=200).count() == 780
+    assert "hashpartitioning(first" in plan(seen["basket-pairs"]) and ", 39)" in plan(seen["basket-pairs"])
+
+
+def test_counts_of_a_map_are_made_once(spark):
+    """The cosine of two maps names each of them once, however many keys they have."""
+    from lintel.functions import scalars
+
+    rows = spark.createDataFrame([({"x": 3, "y": 4}, {"x": 3.0}), ({}, {}), ({"x": 1}, {}), ({"x": None}, {"x": 2.0}), (None, {"x": 1.0})], "a map<string,int>, b map<string,double>")
+    found = rows.select(F.round(scalars.cosine_counts(F.map_concat("a", F.create_map(F.lit("q"), F.lit(0))), F.col("b")), 6).alias("c"), scalars.cosine_counts(F.col("a"), F.col("b")).alias("d"))
+    assert plan(found).count("map_concat(") == 1
+    assert [(r["c"], r["d"] and round(r["d"], 6)) for r in found.collect()] == [(0.6, 0.6), (0.0, 1.0), (0.0, 0.0), (0.0, 0.0), (0.0, 0.0)]
