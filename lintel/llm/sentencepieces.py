@@ -35,6 +35,7 @@ from lintel.session import prepare
 
 MARK = "▁"
 MEMO = 100_000  # chunks a worker remembers: about 30 MB
+ALONE = 4  # times as many where encoding is a job of its own, with no stage of other work behind it in the worker
 LONG = 48  # longer chunks are not remembered
 NONE, LAST = -(1 << 40), 1 << 62
 END = "\uffff"  # between chunks; texts that hold it are cut one by one
@@ -84,7 +85,8 @@ class PieceCodec:
         self.cut = re.compile(self.pattern(alone, "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in letters)))
         self.arrow_cut = self.pattern(alone, "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in letters))
         self.decimal = list(map(str, range(size)))
-        self.memo: dict[str, tuple] = {}
+        self.memo: dict[str, tuple] = {}  # the last one used at the end
+        self.times = 1
 
     @staticmethod
     def pattern(alone: str, word: str) -> str:
@@ -260,9 +262,12 @@ class PieceCodec:
         ends, chunks = self.cut_all(pc.fill_null(texts, ""))
         coded = chunks.dictionary_encode()
         names = coded.dictionary.to_pylist()
-        if len(self.memo) > MEMO:
+        if len(self.memo) > MEMO * self.times:
             self.memo = dict(list(self.memo.items())[len(self.memo) // 2 :])
         memo = self.memo
+        for c in names:
+            if c in memo:
+                memo[c] = memo.pop(c)
         new = [c for c in names if c not in memo]
         if new:
             fresh = self.all_ids(new)
@@ -284,6 +289,7 @@ def codec_of(model: bytes, check: bool, kind: str) -> PieceCodec:
     """One codec, with its memo, for all tasks of a worker that need one kind of entry."""
     if (key := (hashlib.sha256(model).digest(), check, kind)) not in CODECS:
         CODECS[key] = PieceCodec(model, check)
+        CODECS[key].times = ALONE if kind == "digests" else 1
     return CODECS[key]
 
 
