@@ -20,7 +20,7 @@ probability sums over the classes, weighted by their training texts; a text's ow
 the `CLASSES` most frequent values that hold a hundredth of the training texts; all others make one more.
 
 How it is spread out: texts are cut into blocks of bounded size; a block is a row with its distinct words, in the order
-of their hashes, and, for each text, their places and counts. Buckets are ranges of hashes, so a block sends each of
+of their hashes, and, for each text, their places and counts, as compressed values. Buckets are ranges of hashes, so a block sends each of
 them a run of its words (a packed row a block and bucket); a bucket adds up counts and scores each distinct word once;
 the answers go back the same way. A frequent word is one entry
 a block, so no word, text or source is hot. Only the vocabulary's scores (a row a piece) pass through the driver.
@@ -37,7 +37,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
+from pyspark.sql.types import StructField, StructType
 
 from lintel.llm.packing import by_key, packed, unpacked
 from lintel.session import discard, prepare, written
@@ -197,7 +197,7 @@ def hashes(words: pa.Array) -> np.ndarray:
 
 
 def block_of(ids: pa.Array, texts: pa.Array, held: pa.Array, kinds: pa.Array, classes: int) -> list[pa.Array]:
-    """The columns of one block, from its texts; kinds: their classes."""
+    """The columns of one block after its number, from its texts; kinds: their classes."""
     split = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts, "")), "[\\x20\\x09-\\x0D]+")
     flat, owner = split.flatten(), pc.list_parent_indices(split).to_numpy().astype(np.int64)
     keep = pc.not_equal(flat, "")
@@ -211,11 +211,10 @@ def block_of(ids: pa.Array, texts: pa.Array, held: pa.Array, kinds: pa.Array, cl
     doc, code = np.divmod(key, max(len(words), 1))
     kept = ~held.to_numpy(zero_copy_only=False)
     train = np.bincount(code * classes + kinds.to_numpy()[doc], ns * kept[doc], len(words) * classes).astype(np.int64)
-    one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values if isinstance(values, pa.Array) else pa.array(values, kind))
-    return [
-        one(ids, None), one(held, None), one(np.bincount(owner, minlength=n) + 1, pa.int64()), one(words, None), one(train, pa.int64()),
-        one(np.bincount(doc, minlength=n).astype(np.int32), pa.int32()), one(code.astype(np.int32), pa.int32()), one(ns.astype(np.int32), pa.int32()),
-    ]
+    of_texts = [ids, held, pa.array(np.bincount(owner, minlength=n) + 1, pa.int64()), pa.array(np.bincount(doc, minlength=n).astype(np.int32))]
+    places = [pa.array(code.astype(np.int32)), pa.array(ns.astype(np.int32))]
+    parts = with_counts(words, train.reshape(-1, classes)), pa.RecordBatch.from_arrays(of_texts, ["id", "held", "n_tokens", "size"]), pa.RecordBatch.from_arrays(places, ["code", "n"])
+    return [pa.array([len(words)], pa.int32()), *[pa.array([packed(p)], pa.binary()) for p in parts]]
 
 
 def cut_blocks(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
@@ -228,11 +227,10 @@ def cut_blocks(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
 
 
 def blocks(docs: DataFrame, limit: int, classes: int) -> DataFrame:
-    """A row a block of (id, held, kind, text) rows: ids, held, n_tokens, distinct words, their counts in training texts of each class, and for each text the number of its distinct words (sizes), their places and counts."""
-    kind = docs.schema["id"].dataType
-    of_long = lambda *names: [StructField(n, ArrayType(LongType())) for n in names]
-    ints = StructType.fromDDL("sizes array<int>, codes array<int>, ns array<int>").fields
-    schema = StructType([StructField("block", LongType()), StructField("ids", ArrayType(kind)), StructField("held", ArrayType(BooleanType())), *of_long("n_tokens"), *StructType.fromDDL("words array<string>").fields, *of_long("train"), *ints])
+    """A row a block of (id, held, kind, text) rows: the number of its distinct words, and, packed, these words with their counts in training texts of each class (words), for each text its id, held, n_tokens and number of distinct words (texts), and these words' places and counts (places).
+
+    A task has many blocks and Spark reads many rows at once, so a block's lists are compressed values, not arrays."""
+    schema = "block long, n_words int, words binary, texts binary, places binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -243,7 +241,7 @@ def blocks(docs: DataFrame, limit: int, classes: int) -> DataFrame:
             whole = pa.Table.from_batches(waiting).combine_chunks()
             made = [pa.array([at]), *block_of(*(whole[n].chunk(0) for n in ("id", "text", "held", "kind")), classes)]
             pa.default_memory_pool().release_unused()
-            return pa.RecordBatch.from_arrays(made, names=schema.names)
+            return pa.RecordBatch.from_arrays(made, names=["block", "n_words", "words", "texts", "places"])
 
         for batch in batches:
             for a, b in cut_blocks(column(batch, "text"), limit):
@@ -268,19 +266,19 @@ def counts_of(batch: pa.RecordBatch | pa.Table, classes: int) -> np.ndarray:
     return np.column_stack([batch.column(f"n{k}").to_numpy() for k in range(classes)]) if batch.num_rows else np.zeros((0, classes), np.int64)
 
 
-def by_bucket(table: DataFrame, buckets: int, classes: int) -> DataFrame:
+def by_bucket(table: DataFrame, buckets: int) -> DataFrame:
     """A row a block and bucket: the place of the first of the block's words that the bucket counts, and the words with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                words, train = column(batch, "words")[r].values, column(batch, "train")[r].values
-                keys, sizes, data = by_key(with_counts(words, train.to_numpy().reshape(-1, classes)), hashes(words) * buckets >> 32)
+                words = unpacked(column(batch, "words")[r].as_buffer())
+                keys, sizes, data = by_key(words, hashes(words.column("word")) * buckets >> 32)
                 if len(keys):
                     made = [pa.array(keys.astype(np.int32)), pa.array(np.full(len(keys), column(batch, "block")[r].as_py())), pa.array((np.cumsum(sizes) - sizes).astype(np.int32)), pa.array(data, pa.binary())]
                     yield pa.RecordBatch.from_arrays(made, names=["bucket", "block", "first", "data"])
 
-    return table.select("block", "words", "train").mapInArrow(run, "bucket int, block long, first int, data binary")
+    return table.select("block", "words").mapInArrow(run, "bucket int, block long, first int, data binary")
 
 
 def one_list(values: pa.Array) -> pa.Array:
@@ -364,14 +362,14 @@ class Facts:
 def added_up(block: pa.Table, replies: pa.Table, facts: Facts, kinds: pa.Schema) -> pa.Table:
     """A block's rows of results from its words' counts and scores."""
     block, classes = block.combine_chunks(), len(facts.texts) - 1
-    part = lambda name: block[name].chunk(0)[0].values
-    n = block["words"][0].as_py()
+    of_texts, places = (unpacked(block[name][0].as_buffer()) for name in ("texts", "places"))
+    n = block["n_words"][0].as_py()
     by_class, logs = np.zeros((n, classes)), np.zeros(n)
     for first, data in zip(replies["first"].to_pylist(), replies["data"], strict=True):
         told = unpacked(data.as_buffer())
         own = slice(first, first + told.num_rows)
         by_class[own], logs[own] = counts_of(told, classes), told.column("log").to_numpy()
-    code, ns, sizes = part("codes").to_numpy(), part("ns").to_numpy(), part("sizes").to_numpy()
+    code, ns, sizes = places.column("code").to_numpy(), places.column("n").to_numpy(), of_texts.column("size").to_numpy()
     doc, counts = np.repeat(np.arange(len(sizes)), sizes), by_class.sum(1)
     per_text = lambda of_word: np.bincount(doc, of_word[code] * ns, len(sizes))
     tokens, distinct, texts = facts.tokens[-1], facts.distinct[-1], facts.texts[-1]
@@ -386,7 +384,7 @@ def added_up(block: pa.Table, replies: pa.Table, facts: Facts, kinds: pa.Schema)
         score = np.logaddexp.reduce(np.array(found) * np.log(10), 0) / np.log(10)
     else:
         score = per_text(each) + each_end
-    made = [part("ids"), part("held"), part("n_tokens"), known, np.full(len(sizes), tokens), base, score, per_text(logs) + end]
+    made = [*(of_texts.column(c) for c in ("id", "held", "n_tokens")), known, np.full(len(sizes), tokens), base, score, per_text(logs) + end]
     return pa.table([pa.array(x, k.type) if isinstance(x, np.ndarray) else x.cast(k.type) for x, k in zip(made, kinds, strict=True)], schema=kinds)
 
 
@@ -410,11 +408,11 @@ def lattice_scores(docs: DataFrame, model: bytes, held: str, id: str = "doc_id",
     place = F.lit(len(names))
     for k, r in enumerate(names):
         place = F.when(F.col("kind") == r["kind"], k).otherwise(place)
-    cut = written(blocks(rows.withColumn("kind", F.coalesce(place, F.lit(len(names)))), block, classes), "blocks")
-    sent = cut.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    cut = written(blocks(rows.withColumn("kind", F.coalesce(place, F.lit(len(names)))), block, classes), "blocks", large=True)
+    sent = cut.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sent // BUCKET)
-    asked = written(by_bucket(cut, buckets, classes), "asked")
-    words = written(asked.groupBy("bucket").applyInArrow(lambda key, t: added(key, t, classes), "bucket int, data binary, totals array<long>"), "words")
+    asked = written(by_bucket(cut, buckets), "asked")
+    words = written(asked.groupBy("bucket").applyInArrow(lambda key, t: added(key, t, classes), "bucket int, data binary, totals array<long>"), "words", large=True)
     sums = {r["pos"]: r["n"] for r in words.select(F.posexplode("totals")).groupBy("pos").agg(F.sum("col").alias("n")).collect()}
     seen = [r["n"] for r in names] + [texts - sum(r["n"] for r in names), texts]
     scores = trained(words, model, rounds, prior, classes)
@@ -441,7 +439,6 @@ def lattice_scores(docs: DataFrame, model: bytes, held: str, id: str = "doc_id",
     schema = StructType([StructField(id, docs.schema[id].dataType), *StructType.fromDDL("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double").fields])
     known = words.select("bucket", "data").mapInArrow(scored, "bucket int, data binary")
     replies = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(lambda a, b: answers(a, b, classes), "block long, first int, data binary")
-    texts_of = cut.withColumn("words", F.size("words")).drop("train")
-    done = written(texts_of.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, schema), "scores")
+    done = written(cut.drop("words").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, schema), "scores")
     discard(cut, asked, words)
     return done

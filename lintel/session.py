@@ -56,11 +56,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors, and fixes the rows."""
+#: Parquet looks at the size of what it holds back after a hundred rows; rows of megabytes are looked at one by one.
+LARGE_ROWS = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
+
+
+def written(df: DataFrame, name: str, large: bool = False) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage, survives lost executors, and fixes the rows. large: rows may have megabytes."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(LARGE_ROWS if large else {})).parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made.written_at = path
     return made

@@ -8,14 +8,16 @@ import random
 import time
 import zlib
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as ds
+import pyarrow.parquet as pq
 import pytest
 from lintel.llm import chat, codes, components, cotraining, html_text, jaccard, language, lattice, line_dedup, media, mixing, nearest, phrases, sentencepieces
 from lintel.llm import queries as llm_queries
-from lintel.session import shared_dir
+from lintel.session import discard, shared_dir, written
 from pyspark.sql import functions as F
 
 SMALL = "/root/testdata/sf0.001"
@@ -655,6 +657,19 @@ def lattice_rows(spark, rows, **more):
     return lattice.lattice_scores(docs, llm_queries.piece_model(), "held_out", by="lang", **more)
 
 
+def test_lattice_blocks_are_small_values(spark, tmp_path):
+    """Many blocks in one file: each is compressed, and no row group holds them all."""
+    rows = spark.range(64, numPartitions=1).select("id", F.lit(False).alias("held"), F.lit(0).alias("kind"), F.expr("concat_ws(' ', transform(sequence(1, 40000), i -> hex(xxhash64(id, i))))").alias("text"))
+    cut = lattice.blocks(rows, 300_000, 1)
+    assert not [c for c, kind in cut.dtypes if kind.startswith("array")]
+    made = written(cut, "blocks", large=True)
+    files = [pq.ParquetFile(p) for p in Path(made.written_at.removeprefix("file://")).glob("*.parquet")]
+    groups = [f.metadata.row_group(i) for f in files for i in range(f.num_row_groups)]
+    assert len(files) == 1 and sum(g.num_rows for g in groups) == 64 and sum(g.total_byte_size for g in groups) > 20 << 20
+    assert max(g.total_byte_size for g in groups) <= 17 << 20
+    discard(made)
+
+
 def test_marginal_sums_all_segmentations():
     v = lattice.Vocabulary(llm_queries.piece_model())
     shares = {"▁the": 0.1, "▁t": 0.2, "▁": 0.05, "th": 0.1, "t": 0.1, "h": 0.1, "e": 0.2, "he": 0.1}
