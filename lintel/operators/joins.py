@@ -6,12 +6,18 @@ joins. Keys that repeat very often are bucketed by the interval where the join a
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lintel.session import written
+from lintel.session import prepare, written
+
+SKETCH = 1024  # parities of a set, one bit each
+POSTINGS = 500_000  # places of tokens in a part of a group's index, about
 
 
 def lines_match(kind: Column, start: Column, end: Column, other_start: Column, other_end: Column, near: int = 5, class_near: int = 10) -> Column:
@@ -187,26 +193,93 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     return candidates.join(files.select("path").distinct(), "path").groupBy("src", "module").agg(F.min_by("path", "priority").alias("dst")).filter("src <> dst")
 
 
+def prefixes(sets: DataFrame, least: float) -> DataFrame:
+    """A row a set and part of its group's index (group, k, t, ones, parts): its size n, its sketch, and the tokens w of its prefix that lie in the part with their places p.
+
+    t has the rarest tokens first, of which `ones` are in no other set. The prefix has as many as are enough to find a partner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for group, k, t, ones, parts in zip(*(batch.column(i) for i in range(5)), strict=True):
+                t, ones, parts = t.values.to_numpy(), ones.as_py(), parts.as_py()
+                n = len(t)
+                w = t[ones : n - math.ceil(least * n - 1e-9) + 1]
+                part = (w >> 16 & 0xFFFFFFFF) % parts
+                sketch = np.packbits((np.bincount(t & (SKETCH - 1), minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
+                rows += [(group, int(x), k, n, sketch, w[at := np.flatnonzero(part == x)], (at + ones + 1).astype(np.int32)) for x in np.unique(part)]
+            kinds = pa.int64(), pa.int32(), batch.schema.field("k").type, pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i].as_py() if i in (0, 2) else r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["group", "part", "k", "n", "sketch", "w", "p"])
+
+    return sets.select("group", "k", "t", "ones", "parts").mapInArrow(run, f"group long, part int, k {sets.schema['k'].dataType.simpleString()}, n int, sketch binary, w array<long>, p array<int>")
+
+
+def close_pairs(part: pa.Table, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of a part of the index that share a token and may be similar by their sizes, the token's places and their sketches; a pair may come again.
+
+    At its first shared token a pair has at most the tokens from there on in common, and two sets differ in no fewer members than their sketches in bits."""
+    part = part.combine_chunks()
+    lists, n = part["w"].chunk(0), part["n"].to_numpy().astype(np.int64)
+    sketches = np.frombuffer(b"".join(part["sketch"].to_pylist()), np.uint64).reshape(len(n), -1)
+    w, p = lists.flatten().to_numpy(), part["p"].chunk(0).flatten().to_numpy()
+    row = np.repeat(np.arange(len(n)), np.diff(lists.offsets.to_numpy()))
+    order = np.argsort(w, kind="stable")
+    w, left, row = w[order], n[row[order]] - p[order], row[order]
+    heads = np.flatnonzero(np.diff(w, prepend=w[0] - 1))
+    end = np.repeat([*heads[1:], len(w)], np.diff([*heads, len(w)]))
+    at, apart = np.arange(len(w)), 1
+    while len(at := at[at + apart < end[at]]):  # each with the one so many places on
+        a, b = row[at], row[at + apart]
+        both = n[a] + n[b]
+        needed = np.ceil(least / (1 + least) * both - 1e-9)
+        may = (np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - 1e-9) & (1 + np.minimum(left[at], left[at + apart]) >= needed)
+        a, b, room = a[may], b[may], (both - 2 * needed)[may]
+        for i in range(0, len(a), 1 << 16):
+            x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
+            near = np.bitwise_count(sketches[x] ^ sketches[y]).sum(1, dtype=np.int64) <= room[i : i + (1 << 16)]
+            yield x[near], y[near]
+        apart += 1
+
+
 def similar_pairs(df: DataFrame, by: list[str], key: str, tokens: Column, least: float) -> DataFrame:
     """Pairs of one key whose token sets have a Jaccard similarity of at least `least`. Tokens are compared by 64-bit hashes.
 
-    Each set is indexed under its rarest tokens, as many as are enough to find a partner; sizes and the places of the first
-    shared token exclude pairs before they are shuffled. Arrays are joined once for each remaining pair."""
-    hashed = F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t)))
-    sets = written(df.select(*by, F.col(key).alias("k"), hashed.alias("t")).filter(F.size("t") > 0), "token-sets")
-    words = sets.select(*by, "k", F.size("t").alias("n"), F.explode("t").alias("w"))
-    counts = words.groupBy(*by, "w").agg(F.count(F.lit(1)).alias("c"))
-    order = Window.partitionBy(*by, "k").orderBy("c", "w")
-    rare = words.join(counts, [*by, "w"]).withColumn("p", F.row_number().over(order)).filter(F.col("p") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1)
-    rare = written(rare.filter("c > 1").select(*by, "k", "n", "w", "p"), "token-index")
-    a, b = rare.toDF(*by, "first", "na", "w", "pa"), rare.toDF(*by, "second", "nb", "w", "pb")
-    # at its first shared token a pair has at most this many tokens in common
-    most = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    needed = F.ceil(F.lit(least / (1 + least)) * (F.col("na") + F.col("nb")) - 1e-9)
-    near = a.join(b, [*by, "w"]).filter((F.col("first") < F.col("second")) & (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb") - 1e-9))
-    pairs = near.groupBy(*by, "first", "second").agg(F.max(most - needed).alias("room")).filter("room >= 0").drop("room")
-    one, two = sets.select(F.col("k").alias("first"), F.col("t").alias("t1")), sets.select(F.col("k").alias("second"), F.col("t").alias("t2"))
+    Each set is indexed under its rarest tokens, as many as are enough to find a partner. A group's index is cut into parts by
+    token, and a set goes to each part once, with its sketch; so pairs that share a token but differ too much are excluded where
+    they meet, and are never written. Arrays are joined once for each remaining pair. Rows without a key or group have no partner."""
+    prepare(df.sparkSession)
+    named = df.dropna(subset=[*by, key])
+    words = named.select(F.col(key).alias("k"), F.explode(F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(*by, t)))).alias("w"))
+    counted = words.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("w")))
+    ranked = counted.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("c", "w"))).alias("r"))
+    ranked = ranked.select("k", F.col("r.w").alias("t"), F.size(F.filter("r", lambda x: x["c"] == 1)).alias("ones"))
+    sets = written(ranked.join(named.select(F.col(key).alias("k"), *by), "k"), "token-sets")
+    places = F.size("t") - F.ceil(F.lit(least) * F.size("t") - 1e-9) + 1 - F.col("ones")
+    sizes = sets.groupBy(*by).agg((1 + F.floor(F.sum(F.greatest(places, F.lit(0))) / POSTINGS)).alias("parts"))
+    index = prefixes(sets.filter(places > 0).join(sizes, by).withColumn("group", F.xxhash64(*by)), least)
+    kind = sets.schema["k"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = pa.Table.from_batches(batches)
+        keys, found, size = part["k"].combine_chunks(), [], 0
+        for a, b in close_pairs(part, least):
+            found.append(np.minimum(a, b) * len(keys) + np.maximum(a, b))
+            size += len(a)
+            if size > 1 << 20:
+                yield named_pairs(keys, found)
+                found, size = [], 0
+        if size:
+            yield named_pairs(keys, found)
+
+    pairs = index.groupBy("group", "part").applyInArrow(run, f"a {kind}, b {kind}").select(F.least("a", "b").alias("first"), F.greatest("a", "b").alias("second")).filter("first < second").distinct()
+    one, two = sets.select(F.col("k").alias("first"), *by, F.col("t").alias("t1")), sets.select(F.col("k").alias("second"), F.col("t").alias("t2"))
     full = written(pairs, "token-pairs").join(one, "first").join(two, "second")
     both = F.size(F.array_intersect("t1", "t2"))
     similarity = both / (F.size("t1") + F.size("t2") - both)
     return full.select(*by, "first", "second", F.round(similarity, 6).alias("similarity")).filter(F.col("similarity") >= least)
+
+
+def named_pairs(keys: pa.Array, found: list[np.ndarray]) -> pa.RecordBatch:
+    """Distinct pairs of rows, as a * rows + b, by their keys."""
+    a, b = np.divmod(np.unique(np.concatenate(found)), len(keys))
+    return pa.RecordBatch.from_arrays([keys.take(pa.array(a)), keys.take(pa.array(b))], names=["a", "b"])

@@ -11,6 +11,7 @@ from lintel.functions import scalars
 from lintel.operators import events, grouped, joins, metrics, ranking, recommendation, rollups, scoring, sets
 from lintel.operators.windows import running_totals
 from lintel.plans import evaluation, planning
+from lintel.session import written
 from pyspark.sql import functions as F
 
 
@@ -124,6 +125,22 @@ def test_similar_pairs_against_all_pairs(spark):
     assert got == {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if set(a[1]) and len(set(a[1]) & set(b[1])) >= 0.5 * len(set(a[1]) | set(b[1]))}
 
 
+@pytest.mark.parametrize("postings", [500_000, 200])
+def test_similar_pairs_leave_few_to_be_joined(spark, monkeypatch, postings):
+    """Sets that share rare tokens but little else are excluded before pairs are written, in one part of an index and in many."""
+    rng, rows = random.Random(6), []
+    for i in range(300):
+        rows.append((i, [f"t{x}" for x in rng.sample(range(400), 40)]) if i % 10 else (i, [*rows[-1][1][:36], f"u{i}"] if i else ["a"]))
+    made = {}
+    monkeypatch.setattr(joins, "written", lambda df, name: made.setdefault(name, written(df, name)))
+    monkeypatch.setattr(joins, "POSTINGS", postings, raising=False)
+    df = spark.createDataFrame([(g, i + 1000 * n, t) for n, g in enumerate(["x", "y", None]) for i, t in rows], "g string, k int, t array<string>")
+    got = {(r["first"], r["second"]) for r in joins.similar_pairs(df, ["g"], "k", F.col("t"), 0.6).collect()}
+    want = {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if len(set(a[1]) & set(b[1])) >= 0.6 * len(set(a[1]) | set(b[1]))}
+    assert len(want) == 29 and got == want | {(a + 1000, b + 1000) for a, b in want}
+    assert made["token-pairs"].count() <= 2 * len(got)
+
+
 def test_hybrid_merge(spark):
     rules = spark.createDataFrame([("A", 1, 10, 20), ("A", 2, 15, 30), ("B", 3, 1, 5)], "smell string, id int, start int, end int")
     model = spark.createDataFrame([("A", 11, 16, 0.9), ("A", 12, 99, 0.7)], "smell string, id int, line int, score double")
