@@ -118,6 +118,15 @@ def test_versions_of_odd_files(spark):
     assert got == {1: 1.0, 2: 1.0, 3: 0.4, 4: 0.8, 5: 0.3}
 
 
+def test_versions_are_measured_in_their_row(spark):
+    """No shuffle of tokens; rows of one key, or without one, have measures of their own."""
+    rows = [(1, "java", "a a b (", "a b b ("), (1, "java", "x", "y"), (None, "java", "class A x", "class B x"), (2, "c", "#define A 1\nint f(void) { return 1; }", "#define A 2\nint f() { if (1) return 1; }")]
+    found = versions.version_similarity(spark.createDataFrame(rows, "n int, language string, before string, after string"), ["n"])
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted(((r["n"], round(r["similarity"], 6)) for r in found.collect()), key=repr)
+    assert got == [(1, 0.4), (1, round(0.6 * 5 / 6 + 0.4, 6)), (2, 0.85), (None, round(0.6 * 2 / 3 + 0.4, 6))]
+
+
 def test_references_by_word(spark):
     files = spark.createDataFrame([("a", "Foo foo Foo. Bar"), ("b", "Foo"), ("c", "xFoo Foo_ Bar"), ("d", None)], "path string, text string")
     entities = spark.createDataFrame([("Foo", "a"), ("Foo", "z"), ("Bar", "c"), ("ab", "a"), ("a.b", "a"), (None, "a")], "name string, own string")
