@@ -41,3 +41,14 @@ def test_narrowed_reports_keep_unknown_keys(spark):
     assert json.loads(records.narrowed(files, None, ["n"]).orderBy("n").first()["report"])["code_smells"] == [FINDING, {"line": None}]
     total = {r["n"]: r for r in records.summary(rows, ["n"]).collect()}
     assert (total[0]["total_lines_of_code"], total[0]["total_code_smells"], total[0]["selected_file_count"], total[1]["selected_file_count"]) == (9, 1, 1, 0)
+
+
+def test_reports_are_made_and_read_once(spark):
+    """No filter makes and parses the text again, and findings that are no objects or have fields of other types stay what they were."""
+    finding = F.struct(F.lit("X").alias("type"), F.lit("no number").alias("line"), F.col("id").alias("end_line"), F.lit(True).alias("parameter_count"))
+    made = spark.range(4).select("id", F.to_json(F.struct(F.lit("a/b.py").alias("file"), F.lit("odd").alias("quality_score"), F.when(F.col("id") > 0, F.array(finding)).alias("code_smells"))).alias("report"))
+    flat = records.flat_findings(records.report_files(made, "report", ["id"]), ["id"])
+    steps = flat._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert sum("ToJson" in s or "to_json" in s for s in steps) == 1 and not any("Filter (size" in s for s in steps)
+    got = [(r["id"], r["line"], r["location"]["lines"], r["metrics"]["quality_score"]) for r in flat.orderBy("id").collect()]
+    assert [(k, line, lines, score) for k, line, lines, score in got] == [(i, 0, [0, i], 100.0) for i in (1, 2, 3)]
