@@ -80,7 +80,7 @@ sum(l_tax) FILTER (WHERE pos % 2 = 0) AS tax, string_agg('note ' || l_linenumber
 )
 def narrowed_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every second finding of each report is chosen; the written file is read again with all its fields."""
-    files = records.report_files(order_reports(spark, sf_dir), "report", ["l_orderkey"])
+    files = written(records.report_files(order_reports(spark, sf_dir), "report", ["l_orderkey"]), "report-files")  # read three times, made once
     chosen = records.flat_findings(files, ["l_orderkey"]).filter("pos % 2 = 0").select("l_orderkey", "id")
     again = records.narrowed(files, chosen, ["l_orderkey"]).select("l_orderkey", F.size("kept").alias("kept"), F.parse_json("report").alias("v"))
     v = F.col("v")
