@@ -5,19 +5,23 @@ joins. Keys that repeat very often are bucketed by the interval where the join a
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lintel.session import prepare, written
+from lintel.session import prepare, widened, written
 
-SKETCH = 1024  # parities of a set, one bit each
-POSTINGS = 500_000  # places of tokens in a part of a group's index, about
+SKETCH = 256  # parities of a set, one bit each, at least
+BLOCK = 1 << 18  # words of sketches in a block of a group's sets, about
+PAIRS = 1 << 20  # pairs whose sets meet at once, about
+MARKS = 1 << 24  # bits for the keys of the sets that are needed
 
 
 def lines_match(kind: Column, start: Column, end: Column, other_start: Column, other_end: Column, near: int = 5, class_near: int = 10) -> Column:
@@ -193,93 +197,175 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     return candidates.join(files.select("path").distinct(), "path").groupBy("src", "module").agg(F.min_by("path", "priority").alias("dst")).filter("src <> dst")
 
 
-def prefixes(sets: DataFrame, least: float) -> DataFrame:
-    """A row a set and part of its group's index (group, k, t, ones, parts): its size n, its sketch, and the tokens w of its prefix that lie in the part with their places p.
+def described(sets: DataFrame, whole: bool = False) -> DataFrame:
+    """Rows (by, k, group, t) with the name of their group's set of tokens, its size n and, as body, its sketch or, whole, its sorted tokens.
 
-    t has the rarest tokens first, of which `ones` are in no other set. The prefix has as many as are enough to find a partner."""
+    A sketch has the parity of each bucket of tokens, at least two buckets a token; the sketch of half as many is made of its halves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for group, k, t, ones, parts in zip(*(batch.column(i) for i in range(5)), strict=True):
-                t, ones, parts = t.values.to_numpy(), ones.as_py(), parts.as_py()
-                n = len(t)
-                w = t[ones : n - math.ceil(least * n - 1e-9) + 1]
-                part = (w >> 16 & 0xFFFFFFFF) % parts
-                sketch = np.packbits((np.bincount(t & (SKETCH - 1), minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
-                rows += [(group, int(x), k, n, sketch, w[at := np.flatnonzero(part == x)], (at + ones + 1).astype(np.int32)) for x in np.unique(part)]
-            kinds = pa.int64(), pa.int32(), batch.schema.field("k").type, pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i].as_py() if i in (0, 2) else r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["group", "part", "k", "n", "sketch", "w", "p"])
-
-    return sets.select("group", "k", "t", "ones", "parts").mapInArrow(run, f"group long, part int, k {sets.schema['k'].dataType.simpleString()}, n int, sketch binary, w array<long>, p array<int>")
-
-
-def close_pairs(part: pa.Table, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows of a part of the index that share a token and may be similar by their sizes, the token's places and their sketches; a pair may come again.
-
-    At its first shared token a pair has at most the tokens from there on in common, and two sets differ in no fewer members than their sketches in bits."""
-    part = part.combine_chunks()
-    lists, n = part["w"].chunk(0), part["n"].to_numpy().astype(np.int64)
-    sketches = np.frombuffer(b"".join(part["sketch"].to_pylist()), np.uint64).reshape(len(n), -1)
-    w, p = lists.flatten().to_numpy(), part["p"].chunk(0).flatten().to_numpy()
-    row = np.repeat(np.arange(len(n)), np.diff(lists.offsets.to_numpy()))
-    order = np.argsort(w, kind="stable")
-    w, left, row = w[order], n[row[order]] - p[order], row[order]
-    heads = np.flatnonzero(np.diff(w, prepend=w[0] - 1))
-    end = np.repeat([*heads[1:], len(w)], np.diff([*heads, len(w)]))
-    at, apart = np.arange(len(w)), 1
-    while len(at := at[at + apart < end[at]]):  # each with the one so many places on
-        a, b = row[at], row[at + apart]
-        both = n[a] + n[b]
-        needed = np.ceil(least / (1 + least) * both - 1e-9)
-        may = (np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - 1e-9) & (1 + np.minimum(left[at], left[at + apart]) >= needed)
-        a, b, room = a[may], b[may], (both - 2 * needed)[may]
-        for i in range(0, len(a), 1 << 16):
-            x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
-            near = np.bitwise_count(sketches[x] ^ sketches[y]).sum(1, dtype=np.int64) <= room[i : i + (1 << 16)]
-            yield x[near], y[near]
-        apart += 1
+            t, groups = batch.column("t"), batch.column("group").to_numpy()
+            ends = np.cumsum(t.value_lengths().to_numpy())
+            names, sizes, bodies = [], [], []
+            for group, tokens in zip(groups, np.split(t.flatten().to_numpy(), ends[:-1]) if len(ends) else [], strict=True):
+                tokens = np.unique(tokens)
+                names.append(hashlib.blake2b(group.tobytes() + tokens.tobytes(), digest_size=16).digest())
+                sizes.append(len(tokens))
+                width = max(SKETCH, 1 << (2 * len(tokens) - 1).bit_length())
+                bodies.append(tokens.tobytes() if whole else np.packbits((np.bincount(tokens & (width - 1), minlength=width) & 1).astype(np.uint8)).tobytes())
+            made = [*batch.columns[:3], pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bodies, pa.binary())]
+            yield pa.RecordBatch.from_arrays(made, names=["by", "k", "group", "name", "n", "body"])
+
+    return sets.select("by", "k", "group", "t").mapInArrow(run, widened(sets.select("by", "k", "group"), "name binary, n int, body binary"))
+
+
+def cells_of(classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """The classes with their block, and where blocks meet: (group, i, j, block, low, high, words), for the sets of a block from low to high.
+
+    The sets of a group are cut by size into blocks of about BLOCK words of sketches; two blocks meet if they hold sets close enough in size."""
+    unit = F.floor(F.length("body") / 8) + 4
+    sizes = classes.groupBy("group", "n").agg(F.count(F.lit(1)).alias("many"), F.max(unit).alias("unit"))
+    until = F.sum(F.col("many") * F.col("unit")).over(Window.partitionBy("group").orderBy("n"))
+    sizes = written(sizes.withColumn("start", until - F.col("many") * F.col("unit")), "token-sizes")
+    spans = sizes.select("group", "n", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + (F.col("many") - 1) * F.col("unit")) / BLOCK))).alias("block"), (F.col("many") * F.col("unit")).alias("words"))
+    blocks = spans.groupBy("group", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.least(F.sum("words"), F.lit(BLOCK)).alias("words"))
+    one, two = blocks.toDF("group", "i", "lo_i", "hi_i", "words_i"), blocks.toDF("group", "j", "lo_j", "hi_j", "words_j")
+    cells = one.join(two, "group").filter((F.col("i") <= F.col("j")) & (F.col("hi_i") >= F.lit(least) * F.col("lo_j") - 1e-9))
+    first = F.struct(F.col("i").alias("block"), (F.lit(least) * F.col("lo_j") - 1e-9).alias("low"), F.col("hi_i").cast("double").alias("high"), F.col("words_i").alias("words"))
+    second = F.struct(F.col("j").alias("block"), F.col("lo_j").cast("double").alias("low"), ((F.col("hi_i") + 1e-9) / F.lit(least)).alias("high"), F.col("words_j").alias("words"))
+    meets = cells.select("group", "i", "j", F.inline(F.when(F.col("i") == F.col("j"), F.array(first)).otherwise(F.array(first, second))))
+    at = F.col("start") + F.pmod(F.xxhash64("name"), "many") * F.col("unit")
+    return classes.join(sizes, ["group", "n"]).withColumn("block", F.floor(at / BLOCK)), written(meets, "token-cells")
+
+
+def folded(bodies: np.ndarray, bits: np.ndarray, width: int) -> np.ndarray:
+    """Words by rows of sketches that have so many bits or more."""
+    out = np.empty((len(bodies), width // 64), np.uint64)
+    for b in np.unique(bits):
+        at = np.flatnonzero(bits == b)
+        out[at] = np.bitwise_xor.reduce(np.frombuffer(b"".join(bodies[at]), np.uint64).reshape(len(at), -1, width // 64), axis=1)
+    return np.ascontiguousarray(out.T)
+
+
+def close_pairs(n: np.ndarray, block: np.ndarray, bodies: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of two blocks, or of one with itself, that may be similar by their sizes and sketches, each pair once.
+
+    Two sets differ in no fewer members than their sketches in bits."""
+    order = np.lexsort((n, block))
+    n, bodies, bits = n[order], bodies[order], np.array([8 * len(x) for x in bodies[order]])
+    split = int(np.searchsorted(block[order], block.max())) if block.min() < block.max() else 0
+    one, two = np.arange(split or len(n)), np.arange(split, len(n))
+    share = (1 - least) / (1 + least)  # of both sizes, in which they may differ
+    for width in np.unique(bits[one]):
+        a = one[bits[one] == width]
+        b = two[(n[two] >= n[a[0]]) & (n[two] * least <= n[a[-1]] + 1e-9)]
+        x, y = folded(bodies[a], bits[a], width), folded(bodies[b], bits[b], width)
+        for r in range(0, len(a), 64):
+            rows = a[r : r + 64]
+            until = np.searchsorted(n[b] * least, n[rows[-1]] + 1e-9, "right")
+            for s in range(np.searchsorted(n[b], n[rows[0]]), until, 1024):
+                others = b[s : min(s + 1024, until)]
+                far = np.zeros((len(rows), len(others)), np.int32)
+                for u, v in zip(x[:, r : r + 64], y[:, s : s + len(others)], strict=True):
+                    far += np.bitwise_count(u[:, None] ^ v)
+                p, q = np.nonzero(far <= (share * n[rows] + 1e-6)[:, None] + share * n[others])
+                first, second = rows[p], others[q]
+                both = n[first] + n[second]
+                near = (first < second) & (n[first] >= least * n[second] - 1e-9) & (far[p, q] <= both - 2 * np.ceil(least / (1 + least) * both - 1e-9))
+                yield order[first[near]], order[second[near]]
+
+
+def common_counts(a: np.ndarray, b: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """The number of members that sets a and b have in common, for each pair."""
+    ends = np.cumsum([len(x) for x in sets])
+    members = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], ends[:-1])
+    marked, found = np.zeros(ends[-1], bool), np.empty(len(a), np.int64)
+    order = np.argsort(a, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(a[order])) + 1):
+        marked[members[a[at[0]]]] = True
+        for some in np.split(at, range(1024, len(at), 1024)):
+            others = [members[x] for x in b[some]]
+            starts = np.cumsum([0, *(len(x) for x in others[:-1])])
+            found[some] = np.add.reduceat(marked[np.concatenate(others)], starts, dtype=np.int64)
+        marked[members[a[at[0]]]] = False
+    return found
+
+
+def of_keys(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows of df with a key of keys' column k, and a few others: keys are marked in a table of fixed size, so no row is shuffled."""
+    place = F.pmod(F.xxhash64(F.col("k")), F.lit(MARKS))
+    words = keys.select(place.alias("p")).groupBy(F.floor(F.col("p") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(p % 64))")).alias("bits")).toArrow()
+    marks = np.zeros(MARKS // 64, np.int64)
+    marks[words["word"].to_numpy()] = words["bits"].to_numpy()
+    sent = df.sparkSession.sparkContext.broadcast(marks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = batch.column(batch.num_columns - 1).to_numpy()
+            found = batch.filter(pa.array((sent.value[p >> 6] >> (p & 63) & 1).astype(bool)))
+            yield pa.RecordBatch.from_arrays(found.columns[:-1], schema=pa.schema(list(found.schema)[:-1]))
+
+    return df.select("*", F.pmod(F.xxhash64(key), F.lit(MARKS)).alias("__place")).mapInArrow(run, df.schema)
 
 
 def similar_pairs(df: DataFrame, by: list[str], key: str, tokens: Column, least: float) -> DataFrame:
     """Pairs of one key whose token sets have a Jaccard similarity of at least `least`. Tokens are compared by 64-bit hashes.
 
-    Each set is indexed under its rarest tokens, as many as are enough to find a partner. A group's index is cut into parts by
-    token, and a set goes to each part once, with its sketch; so pairs that share a token but differ too much are excluded where
-    they meet, and are never written. Arrays are joined once for each remaining pair. Rows without a key or group have no partner."""
-    prepare(df.sparkSession)
+    Sets meet as sketches of about two bits a token, in cells of two blocks of their group, where blocks are cut by size. Tokens
+    are moved only of sets that have a near one, once to each cell. Equal sets of a group are one class; rows of one class are pairs
+    without a comparison. Rows without a key, group or token have no partner; of rows with one key, each has its own partners."""
+    cores = prepare(df.sparkSession).sparkContext.defaultParallelism
     named = df.dropna(subset=[*by, key])
-    words = named.select(F.col(key).alias("k"), F.explode(F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(*by, t)))).alias("w"))
-    counted = words.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("w")))
-    ranked = counted.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("c", "w"))).alias("r"))
-    ranked = ranked.select("k", F.col("r.w").alias("t"), F.size(F.filter("r", lambda x: x["c"] == 1)).alias("ones"))
-    sets = written(ranked.join(named.select(F.col(key).alias("k"), *by), "k"), "token-sets")
-    places = F.size("t") - F.ceil(F.lit(least) * F.size("t") - 1e-9) + 1 - F.col("ones")
-    sizes = sets.groupBy(*by).agg((1 + F.floor(F.sum(F.greatest(places, F.lit(0))) / POSTINGS)).alias("parts"))
-    index = prefixes(sets.filter(places > 0).join(sizes, by).withColumn("group", F.xxhash64(*by)), least)
-    kind = sets.schema["k"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = pa.Table.from_batches(batches)
-        keys, found, size = part["k"].combine_chunks(), [], 0
-        for a, b in close_pairs(part, least):
-            found.append(np.minimum(a, b) * len(keys) + np.maximum(a, b))
+    def sets(rows: DataFrame) -> DataFrame:
+        hashed = rows.filter(F.size(tokens) > 0).select(F.struct(*by).alias("by"), F.col(key).alias("k"), F.xxhash64(*by).alias("group"), F.transform(tokens, lambda t: F.xxhash64(t)).alias("t"))
+        return hashed.filter(F.size("t") > 0)
+
+    members = written(described(sets(named)), "token-sketches")
+    classes = members.dropDuplicates(["name"]).select("group", "name", "n", "body")
+    dealt, meets = cells_of(classes, least)
+    words = meets.agg(F.sum("words").alias("words")).first()["words"] or 0
+    inside = (F.col("n") >= F.col("low")) & (F.col("n") <= F.col("high"))
+    cells = dealt.join(meets.drop("words"), ["group", "block"]).filter(inside).select("group", "i", "j", "block", "name", "n", "body")
+    cells = cells.repartition(max(cores, -(-words // BLOCK)), "group", "i", "j")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell = pa.Table.from_batches(batches).combine_chunks()
+        names, place = cell["name"].combine_chunks(), [cell[c][0].as_py() for c in ("group", "i", "j")]
+        found, size, turn = [], 0, 0
+        for a, b in close_pairs(cell["n"].to_numpy().astype(np.int64), cell["block"].to_numpy(), np.array(cell["body"].to_pylist(), object), least):
+            found.append((a, b))
             size += len(a)
-            if size > 1 << 20:
-                yield named_pairs(keys, found)
-                found, size = [], 0
+            if size >= PAIRS:
+                yield named_pairs([*place, turn], names, found)
+                found, size, turn = [], 0, turn + 1
         if size:
-            yield named_pairs(keys, found)
-
-    pairs = index.groupBy("group", "part").applyInArrow(run, f"a {kind}, b {kind}").select(F.least("a", "b").alias("first"), F.greatest("a", "b").alias("second")).filter("first < second").distinct()
-    one, two = sets.select(F.col("k").alias("first"), *by, F.col("t").alias("t1")), sets.select(F.col("k").alias("second"), F.col("t").alias("t2"))
-    full = written(pairs, "token-pairs").join(one, "first").join(two, "second")
-    both = F.size(F.array_intersect("t1", "t2"))
-    similarity = both / (F.size("t1") + F.size("t2") - both)
-    return full.select(*by, "first", "second", F.round(similarity, 6).alias("similarity")).filter(F.col("similarity") >= least)
-
-
-def named_pairs(keys: pa.Array, found: list[np.ndarray]) -> pa.RecordBatch:
-    """Distinct pairs of rows, as a * rows + b, by their keys."""
-    a, b = np.divmod(np.unique(np.concatenate(found)), len(keys))
-    return pa.RecordBatch.from_arrays([keys.take(pa.array(a)), keys.take(pa.array(b))], names=["a", "b"])
+            yield named_pairs([*place, turn], names, found)
+
+    pairs = written(cells.groupBy("group", "i", "j").applyInArrow(meet, "cell long, a binary, b binary"), "token-pairs")
+    needs = pairs.select("cell", F.explode(F.array("a", "b")).alias("name")).distinct()
+    least_keys = members.groupBy("name").agg(F.min("k").alias("k"), F.count(F.lit(1)).alias("copies"))
+    bodies = described(sets(of_keys(named, key, needs.select("name").distinct().join(least_keys, "name"))), whole=True).select("name", "body")
+    needed = needs.join(bodies, "name").select(F.col("cell").alias("at"), "name", "body")
+
+    def verify(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        names = sets["name"].combine_chunks()
+        a, b = (pc.index_in(pairs[c].combine_chunks(), names).to_numpy() for c in ("a", "b"))
+        bodies = [np.frombuffer(x, np.int64) for x in sets["body"].to_pylist()]
+        n, common = np.array([len(x) for x in bodies]), common_counts(a, b, bodies)
+        total = n[a] + n[b] - common
+        made = pa.table({"a": pairs["a"], "b": pairs["b"], "common": common, "total": total})
+        return made.filter(pa.array(common >= least * total - 1e-9))
+
+    links = pairs.groupBy("cell").cogroup(needed.groupBy("at")).applyInArrow(verify, "a binary, b binary, common long, total long")
+    copies = least_keys.filter("copies > 1").select(F.col("name").alias("a"), F.col("name").alias("b"), F.lit(1).cast("long").alias("common"), F.lit(1).cast("long").alias("total"))
+    one, two = members.select(F.col("name").alias("a"), "by", F.col("k").alias("x")), members.select(F.col("name").alias("b"), F.col("k").alias("y"))
+    full = links.unionByName(copies).join(one, "a").join(two, "b").filter(F.when(F.col("a") == F.col("b"), F.col("x") < F.col("y")).otherwise(F.col("x") != F.col("y")))
+    return full.select("by.*", F.least("x", "y").alias("first"), F.greatest("x", "y").alias("second"), F.round(F.col("common") / F.col("total"), 6).alias("similarity"))
+
+
+def named_pairs(place: list[int], names: pa.Array, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Pairs of rows by their names, with a number for their place."""
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    cell = int.from_bytes(hashlib.blake2b(repr(place).encode(), digest_size=8).digest(), signed=True)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), cell)), names.take(pa.array(a)), names.take(pa.array(b))], names=["cell", "a", "b"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -141,6 +142,45 @@ def test_similar_pairs_leave_few_to_be_joined(spark, monkeypatch, postings):
     assert made["token-pairs"].count() <= 2 * len(got)
 
 
+def test_similar_pairs_move_no_tokens_of_lone_sets(spark, monkeypatch):
+    """Sets without a near one are written and shuffled as sketches only, which take less than a third of their tokens' bytes."""
+    made, jvm = [], spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        jvm.listenerBus().waitUntilEmpty(30_000)
+        return jvm.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    monkeypatch.setattr(joins, "written", lambda df, name: made.append(written(df, name)) or made[-1])
+    ids = F.transform(F.sequence(F.lit(0), F.lit(299)), lambda i: F.concat(F.pmod(F.xxhash64(i, F.col("id")), F.lit(4000)), F.lit("")))
+    df = written(spark.range(3000).select(F.lit("x").alias("g"), F.col("id").alias("k"), ids.alias("t")), "test-sets")
+    before = shuffled()
+    assert joins.similar_pairs(df, ["g"], "k", F.col("t"), 0.6).collect() == []
+    of_tables = sum(x.stat().st_size for t in made for x in Path(t.written_at.removeprefix("file://")).glob("*.parquet"))
+    assert made and shuffled() - before + of_tables < 3000 * 300 * 8 / 3
+
+
+@pytest.mark.parametrize(("block", "pairs"), [(1 << 18, 1 << 20), (500, 30)])
+def test_similar_pairs_in_blocks(spark, monkeypatch, block, pairs):
+    """Sets of 1 to 900 tokens with near and exact copies, in one block of a group and in many; rows of one key are told apart, and a set without tokens has no partner."""
+    rng, rows = random.Random(8), []
+    for i in range(300):
+        t = [f"t{x}" for x in rng.sample(range(1200), rng.choice([1, 2, 5, 20, 60, 130, 300, 900]))]
+        if i % 3 == 2:
+            old = rng.choice(rows)[2]
+            t = [*old[: rng.randint(len(old) // 2, len(old))], *t[: rng.choice([0, 0, 1, len(old) // 3])]]
+        rows.append((rng.choice("xxy"), i // 2 if i < 40 else i, t))
+    monkeypatch.setattr(joins, "BLOCK", block, raising=False)
+    monkeypatch.setattr(joins, "PAIRS", pairs, raising=False)
+    df = spark.createDataFrame([*rows, ("x", 900, None), ("x", None, ["t1"]), (None, 901, ["t1"])], "by string, k int, t array<string>")
+    got = sorted(tuple(r) for r in joins.similar_pairs(df, ["by"], "k", F.col("t"), 0.6).collect())
+    want = []
+    for (g, a, s), (h, b, t) in itertools.combinations(rows, 2):
+        common, total = len(set(s) & set(t)), len(set(s) | set(t))
+        if g == h and a != b and total and 10 * common >= 6 * total:
+            want.append((g, min(a, b), max(a, b), round(common / total, 6)))
+    assert len(want) > 100 and got == sorted(want)
+
+
 def test_hybrid_merge(spark):
     rules = spark.createDataFrame([("A", 1, 10, 20), ("A", 2, 15, 30), ("B", 3, 1, 5)], "smell string, id int, start int, end int")
     model = spark.createDataFrame([("A", 11, 16, 0.9), ("A", 12, 99, 0.7)], "smell string, id int, line int, score double")
