@@ -14,13 +14,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from lintel.session import prepare, widened, written
 
 SKETCH = 256  # parities of a set, one bit each, at least
 BLOCK = 1 << 18  # words of sketches in a block of a group's sets, about
-PAIRS = 1 << 20  # pairs whose sets meet at once, about
+PAIRS = 1 << 17  # pairs whose sets meet at once, about
 MARKS = 1 << 24  # bits for the keys of the sets that are needed
 
 
@@ -223,8 +224,7 @@ def cells_of(classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """The classes with their block, and where blocks meet: (group, i, j, block, low, high, words), for the sets of a block from low to high.
 
     The sets of a group are cut by size into blocks of about BLOCK words of sketches; two blocks meet if they hold sets close enough in size."""
-    unit = F.floor(F.length("body") / 8) + 4
-    sizes = classes.groupBy("group", "n").agg(F.count(F.lit(1)).alias("many"), F.max(unit).alias("unit"))
+    sizes = classes.groupBy("group", "n").agg(F.count(F.lit(1)).alias("many")).withColumn("unit", F.floor(F.col("n") * 3 / 64) + 8)
     until = F.sum(F.col("many") * F.col("unit")).over(Window.partitionBy("group").orderBy("n"))
     sizes = written(sizes.withColumn("start", until - F.col("many") * F.col("unit")), "token-sizes")
     spans = sizes.select("group", "n", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + (F.col("many") - 1) * F.col("unit")) / BLOCK))).alias("block"), (F.col("many") * F.col("unit")).alias("words"))
@@ -312,8 +312,8 @@ def similar_pairs(df: DataFrame, by: list[str], key: str, tokens: Column, least:
     """Pairs of one key whose token sets have a Jaccard similarity of at least `least`. Tokens are compared by 64-bit hashes.
 
     Sets meet as sketches of about two bits a token, in cells of two blocks of their group, where blocks are cut by size. Tokens
-    are moved only of sets that have a near one, once to each cell. Equal sets of a group are one class; rows of one class are pairs
-    without a comparison. Rows without a key, group or token have no partner; of rows with one key, each has its own partners."""
+    are moved only of sets that have a near one, once to each cell. Equal sets of a group are one class, whose rows are pairs without
+    a comparison; pairs of classes of a row each have their rows at once, the others by joins. Rows without a key, group or token have no partner; of rows with one key, each has its own partners."""
     cores = prepare(df.sparkSession).sparkContext.defaultParallelism
     named = df.dropna(subset=[*by, key])
 
@@ -322,50 +322,60 @@ def similar_pairs(df: DataFrame, by: list[str], key: str, tokens: Column, least:
         return hashed.filter(F.size("t") > 0)
 
     members = written(described(sets(named)), "token-sketches")
-    classes = members.dropDuplicates(["name"]).select("group", "name", "n", "body")
+    classes = members.groupBy("name").agg(*[F.first(c).alias(c) for c in ("group", "n", "body")], F.min("k").alias("k"), F.count(F.lit(1)).alias("copies"))
     dealt, meets = cells_of(classes, least)
     words = meets.agg(F.sum("words").alias("words")).first()["words"] or 0
     inside = (F.col("n") >= F.col("low")) & (F.col("n") <= F.col("high"))
-    cells = dealt.join(meets.drop("words"), ["group", "block"]).filter(inside).select("group", "i", "j", "block", "name", "n", "body")
+    cells = dealt.join(meets.drop("words"), ["group", "block"]).filter(inside).select("group", "i", "j", "block", "n", "body", F.struct("name", "k", "copies").alias("set"))
     cells = cells.repartition(max(cores, -(-words // BLOCK)), "group", "i", "j")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell = pa.Table.from_batches(batches).combine_chunks()
-        names, place = cell["name"].combine_chunks(), [cell[c][0].as_py() for c in ("group", "i", "j")]
+        sets = pa.StructArray.from_arrays(cell["set"].combine_chunks().flatten(), names=["name", "k", "copies"])
+        place = [cell[c][0].as_py() for c in ("group", "i", "j")]
         found, size, turn = [], 0, 0
         for a, b in close_pairs(cell["n"].to_numpy().astype(np.int64), cell["block"].to_numpy(), np.array(cell["body"].to_pylist(), object), least):
             found.append((a, b))
             size += len(a)
             if size >= PAIRS:
-                yield named_pairs([*place, turn], names, found)
+                yield named_pairs([*place, turn], sets, found)
                 found, size, turn = [], 0, turn + 1
         if size:
-            yield named_pairs([*place, turn], names, found)
+            yield named_pairs([*place, turn], sets, found)
 
-    pairs = written(cells.groupBy("group", "i", "j").applyInArrow(meet, "cell long, a binary, b binary"), "token-pairs")
-    needs = pairs.select("cell", F.explode(F.array("a", "b")).alias("name")).distinct()
-    least_keys = members.groupBy("name").agg(F.min("k").alias("k"), F.count(F.lit(1)).alias("copies"))
-    bodies = described(sets(of_keys(named, key, needs.select("name").distinct().join(least_keys, "name"))), whole=True).select("name", "body")
-    needed = needs.join(bodies, "name").select(F.col("cell").alias("at"), "name", "body")
+    kind = cells.schema["set"].dataType.simpleString()
+    pairs = written(cells.groupBy("group", "i", "j").applyInArrow(meet, f"cell long, a {kind}, b {kind}"), "token-pairs")
+    needs = pairs.select("cell", F.explode(F.array("a", "b")).alias("set")).select(F.col("cell").alias("at"), "set.*").distinct()
+    bodies = described(sets(of_keys(named, key, needs.select("k").distinct())), whole=True).select("name", "by", "body")
+    needed = needs.join(bodies, "name")
 
     def verify(pairs: pa.Table, sets: pa.Table) -> pa.Table:
         names = sets["name"].combine_chunks()
-        a, b = (pc.index_in(pairs[c].combine_chunks(), names).to_numpy() for c in ("a", "b"))
+        a, b = (pc.index_in(pairs[c].combine_chunks().field("name"), names).to_numpy() for c in ("a", "b"))
         bodies = [np.frombuffer(x, np.int64) for x in sets["body"].to_pylist()]
         n, common = np.array([len(x) for x in bodies]), common_counts(a, b, bodies)
         total = n[a] + n[b] - common
-        made = pa.table({"a": pairs["a"], "b": pairs["b"], "common": common, "total": total})
-        return made.filter(pa.array(common >= least * total - 1e-9))
-
-    links = pairs.groupBy("cell").cogroup(needed.groupBy("at")).applyInArrow(verify, "a binary, b binary, common long, total long")
-    copies = least_keys.filter("copies > 1").select(F.col("name").alias("a"), F.col("name").alias("b"), F.lit(1).cast("long").alias("common"), F.lit(1).cast("long").alias("total"))
+        near = common >= least * total - 1e-9
+        a, b = a[near], b[near]
+        single = sets["copies"].to_numpy() == 1
+        of_rows = pa.array(single[a] & single[b])
+        ends = [pc.if_else(of_rows, pa.scalar(None, pa.binary()), names.take(pa.array(x))) for x in (a, b)]
+        made = [sets["by"].combine_chunks().take(pa.array(a)), sets["k"].take(pa.array(a)), sets["k"].take(pa.array(b)), *ends, common[near], total[near]]
+        return pa.table(made, names=["by", "x", "y", "a", "b", "common", "total"])
+
+    schema = StructType([*needed.select("by", F.col("k").alias("x"), F.col("k").alias("y")).schema, *StructType.fromDDL("a binary, b binary, common long, total long")])
+    links = written(pairs.groupBy("cell").cogroup(needed.groupBy("at")).applyInArrow(verify, schema), "token-links")
+    of_rows = links.filter("a IS NULL AND x <> y").select("by", "x", "y", "common", "total")
+    links = links.filter("a IS NOT NULL").select("a", "b", "common", "total")
+    copies = members.groupBy("name").count().filter("count > 1").select(F.col("name").alias("a"), F.col("name").alias("b"), F.lit(1).cast("long").alias("common"), F.lit(1).cast("long").alias("total"))
     one, two = members.select(F.col("name").alias("a"), "by", F.col("k").alias("x")), members.select(F.col("name").alias("b"), F.col("k").alias("y"))
     full = links.unionByName(copies).join(one, "a").join(two, "b").filter(F.when(F.col("a") == F.col("b"), F.col("x") < F.col("y")).otherwise(F.col("x") != F.col("y")))
+    full = of_rows.unionByName(full.select("by", "x", "y", "common", "total"))
     return full.select("by.*", F.least("x", "y").alias("first"), F.greatest("x", "y").alias("second"), F.round(F.col("common") / F.col("total"), 6).alias("similarity"))
 
 
-def named_pairs(place: list[int], names: pa.Array, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """Pairs of rows by their names, with a number for their place."""
+def named_pairs(place: list[int], sets: pa.Array, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Pairs of rows by their sets, with a number for their place."""
     a, b = (np.concatenate(x) for x in zip(*found, strict=True))
     cell = int.from_bytes(hashlib.blake2b(repr(place).encode(), digest_size=8).digest(), signed=True)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), cell)), names.take(pa.array(a)), names.take(pa.array(b))], names=["cell", "a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), cell)), sets.take(pa.array(a)), sets.take(pa.array(b))], names=["cell", "a", "b"])
